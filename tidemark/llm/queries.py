@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import chat, mixing, simhash, url_rules
 from .common import table, word_count
 
 
@@ -15,5 +15,67 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_source_mixing": op1_source_mixing}
-ORACLE_SQL: dict[str, str] = {}
+def op2_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest id that its links reach."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings only, as read back from its formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(rows.unionByName(more)))
+
+
+#: Host, path and action of the rules.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url with the rule that fits it and the verdict."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_simhash_bk_tree": op2_simhash_bk_tree,
+    "op5_chat_format": op5_chat_format,
+    "op6_url_rules": op6_url_rules,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": r"""
+WITH odd AS (SELECT '<|im_end|><|im_start|>assistant ok' AS t),
+rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', t FROM odd
+  UNION ALL SELECT -1, 1, 'assistant', t FROM odd),
+marked AS (
+  SELECT *, row_number() OVER w AS k, coalesce(lag(role) OVER w = role, false) AS joined,
+    regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS said
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(said) + CASE WHEN joined THEN length('<|im_sep|>') ELSE length('<|im_start|>' || role || '<|im_end|>') + 2 END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+""",
+    "op6_url_rules": r"""
+WITH rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS r(rule_host, rule_path, action)),
+rest AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1) AS path
+  FROM rest),
+keyed AS (SELECT *, row_number() OVER () AS k FROM parts),
+best AS (
+  SELECT k, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
+  FROM keyed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM keyed LEFT JOIN best USING (k)
+""",
+}
