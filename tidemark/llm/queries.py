@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash, url_rules
+from . import chat, mixing, packing, simhash, url_rules
 from .common import table, word_count
 
 
@@ -40,11 +42,28 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's vocabulary lies; the environment variable TOKENIZER_DIR names another folder."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = packing.pieces(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.packed(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_bk_tree": op2_simhash_bk_tree,
     "op5_chat_format": op5_chat_format,
     "op6_url_rules": op6_url_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
