@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, simhash, url_rules
-from .common import table, word_count
+from . import chat, lattice_lm, mixing, packing, simhash, url_rules
+from .common import remainder, table, word_count
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +58,20 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by the lattice, and by counts of whole words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = lattice_lm.score(docs, remainder(F.col("doc_id"), 7) != 2, tokenizer_path("piece_bpe_32k.model"), "lang")
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_bk_tree": op2_simhash_bk_tree,
     "op5_chat_format": op5_chat_format,
     "op6_url_rules": op6_url_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_lattice_likelihood": op10_lattice_likelihood,
 }
 
 ORACLE_SQL: dict[str, str] = {
