@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lattice_lm, mixing, packing, simhash, url_rules
+from . import chat, lattice_lm, mixing, packing, quality, simhash, url_rules
 from .common import remainder, table, word_count
 
 
@@ -23,6 +23,16 @@ def op2_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def _judged(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chance to be of good quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(quality.classify(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one of control strings only, as read back from its formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -68,6 +78,7 @@ def op10_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_bk_tree": op2_simhash_bk_tree,
+    "op4_quality_fourier": op4_quality_fourier,
     "op5_chat_format": op5_chat_format,
     "op6_url_rules": op6_url_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
