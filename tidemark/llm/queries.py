@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lattice_lm, mixing, packing, quality, simhash, toxicity, url_rules
+from . import chat, lattice_lm, media, mixing, packing, quality, simhash, toxicity, url_rules
 from .common import remainder, table, word_count
 
 
@@ -52,6 +52,12 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a lossless image, read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.read_back(media.with_media(docs))
+
+
 def op8_toxicity_voters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's chance to be toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +93,7 @@ QUERIES = {
     "op4_quality_fourier": op4_quality_fourier,
     "op5_chat_format": op5_chat_format,
     "op6_url_rules": op6_url_rules,
+    "op7_webp_media": op7_webp_media,
     "op8_toxicity_voters": op8_toxicity_voters,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lattice_likelihood": op10_lattice_likelihood,
