@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lattice_lm, media, mixing, packing, quality, simhash, toxicity, url_rules
+from . import ann, chat, lattice_lm, media, mixing, packing, quality, simhash, toxicity, url_rules
 from .common import remainder, table, word_count
 
 
@@ -23,6 +23,12 @@ def op2_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found of every query, a row whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, F.col("vec_id") % 50 == 0)
+
+
 def _judged(scored: DataFrame, least: float) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
@@ -90,6 +96,7 @@ def op10_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_bk_tree": op2_simhash_bk_tree,
+    "op3_kmeans_tree_search": op3_kmeans_tree_search,
     "op4_quality_fourier": op4_quality_fourier,
     "op5_chat_format": op5_chat_format,
     "op6_url_rules": op6_url_rules,
