@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from tidemark.plans.registry import alignment, kernels
+
+_FAMILIES = (kernels, alignment)
+QUERIES: dict[str, Callable] = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
+FLAGSHIP = "win_sma"
