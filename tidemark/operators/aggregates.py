@@ -61,12 +61,11 @@ def moments(ret: Column) -> dict[str, Column]:
     return {"n": F.count(ret), "mean": F.avg(ret), "sd": sd, "skew": F.when(sd > 0, F.skewness(ret)).otherwise(0.0), "kurt": F.when(sd > 0, F.kurtosis(ret) + 3).otherwise(3.0)}
 
 
-def probabilistic_sharpe(m: DataFrame, benchmark: Column) -> Column:
+def probabilistic_sharpe(benchmark: Column) -> Column:
     """Of columns of moments(): the chance that the true ratio a period is above the benchmark."""
     sr = F.col("mean") / F.col("sd")
     spread = 1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr
     known = (F.col("sd") > EPS) & (F.col("n") >= 10) & (spread > 0)
-    del m
     return F.when(known, normal_cdf((sr - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(spread))).otherwise(0.0)
 
 
@@ -148,9 +147,9 @@ def exact_quantiles(rows: DataFrame, x: str, ps: list[float], method: str = "flo
 
 
 def regime_labels(bars: DataFrame, vol: str, trend: str, low: Column, high: Column) -> DataFrame:
-    """Volatility tercile (0 to 2) times two plus the trend's sign; NULL while either is unknown."""
+    """Volatility tercile (0 to 2) times two, plus one if the trend isn't down; NULL while either is unknown."""
     tercile = F.when(F.col(vol) <= low, 0).when(F.col(vol) <= high, 1).otherwise(2)
-    return bars.withColumn("regime", F.when(F.col(vol).isNotNull() & F.col(trend).isNotNull(), tercile * 2 + F.when(F.col(trend) > 0, 1).otherwise(0)))
+    return bars.withColumn("regime", F.when(F.col(vol).isNotNull() & F.col(trend).isNotNull(), tercile * 2 + F.when(F.col(trend) >= 0, 1).otherwise(0)))
 
 
 def regime_stats(returns: DataFrame, per_year: float, label: str = "regime", least: int = 30) -> DataFrame:

@@ -105,20 +105,25 @@ def entry_prices(weight: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.
     return entry, gains
 
 
-def dca_leg(c: np.ndarray, cheap: np.ndarray, rich: np.ndarray, step: float = 0.05, most: float = 1.0, take: float = 2.0) -> np.ndarray:
-    """Weights of a machine that is idle, buys a step a bar while cheap, and sells a step a bar while rich or doubled."""
-    out, w, cost, selling = np.zeros(len(c)), 0.0, np.nan, False
-    for i in range(len(c)):
-        if w > 0 and (rich[i] or c[i] >= take * cost):
-            selling = True
-        if selling:
-            w = max(0.0, w - step)
-            selling = w > 0
-        elif cheap[i] and w < most:
-            grown = min(most, w + step)
-            cost = c[i] if w == 0 else (cost * w + c[i] * (grown - w)) / grown
-            w = grown
-        out[i] = w
+def cycle_leg(value: np.ndarray, above: np.ndarray, buy: float, sell: float, days: int, sell_step: float = 0.06, cap: float = 1.0) -> np.ndarray:
+    """Weights of a machine over a valuation: idle, buying after value <= buy, selling after value >= sell.
+
+    It buys a step a bar up to cap, or all at once above the trend; it sells sell_step a bar above the trend and two
+    steps below it; it is idle again once full or empty. A step is 30 / (4 days), the whole at most.
+    """
+    out, held, mode, step = np.zeros(len(value)), 0.0, 0, 1 / max(1, round(days / 30 * 4))
+    for i, (x, up) in enumerate(zip(value.tolist(), above.tolist(), strict=True)):
+        if x >= sell and held > 0:
+            mode = -1
+        elif x <= buy and held < 1:
+            mode = 1
+        if mode < 0:
+            held = max(0.0, held - (sell_step if up else 2 * step))
+        elif mode > 0:
+            held = 1.0 if up else min(cap, held + step)
+        if (mode < 0 and held <= 1e-9) or (mode > 0 and held >= 1 - 1e-9):
+            mode = 0
+        out[i] = held
     return out
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans.registry import alignment, kernels
+from tidemark.plans.registry import alignment, kernels, returns
 
-_FAMILIES = (kernels, alignment)
+_FAMILIES = (kernels, alignment, returns)
 QUERIES: dict[str, Callable] = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
-FLAGSHIP = "win_sma"
+FLAGSHIP = "agg_metrics"
