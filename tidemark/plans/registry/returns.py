@@ -248,7 +248,7 @@ e AS (SELECT id, n, rep, CAST(floor(u * n) AS BIGINT) AS st, b, unnest(range(24)
 f AS (SELECT id, rep, (st + j) % n AS k FROM e WHERE b * 24 + j < n)
 SELECT id, CAST(rep AS INTEGER) AS rep, round(CASE WHEN stddev_pop(ret) > 1e-12 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END, 6) + 0.0 AS sharpe FROM f JOIN o USING (id, k) GROUP BY ALL"""
 QUERIES["rsm_bootstrap_interval"] = lambda spark, d: statistics.bootstrap_interval(statistics.block_bootstrap(streams(spark, d), 365, REPS, 24, 42, ("id",)), ("id",)).select("id", *[r(c).alias(c) for c in ("lo", "hi", "p5", "median")])
-SQL["rsm_bootstrap_interval"] = SQL["rsm_block_bootstrap"].replace("\nSELECT id, CAST", ", sh AS (SELECT id, CAST") + "), q AS (SELECT id, list_sort(list(sharpe)) AS s FROM sh GROUP BY id) SELECT id, s[1] AS lo, s[40] AS hi, s[3] AS p5, s[21] AS median FROM q"
+SQL["rsm_bootstrap_interval"] = SQL["rsm_block_bootstrap"].replace("\nSELECT id, CAST", ", sh AS (SELECT id, CAST") + "), q AS (SELECT id, list_sort(list(sharpe)) AS s FROM sh GROUP BY id) SELECT id, s[2] AS lo, s[40] AS hi, s[3] AS p5, s[21] AS median FROM q"
 QUERIES["rsm_monte_carlo"] = lambda spark, d: statistics.monte_carlo_summary(statistics.monte_carlo(streams(spark, d), 365, 200, by=("id",)), ("id",))
 QUERIES["rsm_shuffled_falls"] = lambda spark, d: statistics.shuffled_falls(streams(spark, d), 100, by=("id",))
 QUERIES["rsm_reality_check"] = lambda spark, d: statistics.reality_check(streams(spark, d), 200)
