@@ -145,3 +145,18 @@ def test_append_twice_adds_nothing(spark):
 def test_realised_gains():
     entry, gains = recursive.entry_prices(np.array([1.0, 2.0, 1.0, 0.0]), np.array([10.0, 20.0, 30.0, 15.0]))
     assert entry[1] == 15 and gains.tolist() == pytest.approx([0, 0, 1.0, 0.0])
+
+
+def test_search_beats_random_draws_and_repeats():
+    from tidemark.plans import validation
+
+    specs = {"x": {"min": -5, "max": 5, "default": 4.0}, "n": {"min": 1, "max": 50, "default": 40, "int": True}}
+    surface = lambda asked: [-((p["x"] - 1) ** 2) - ((p["n"] - 12) / 10) ** 2 for p in asked]
+    found = validation.search(surface, specs, 60, batch=4)
+    assert found[0][0] == {"x": 4.0, "n": 40.0} and all(p["n"] == int(p["n"]) for p, _ in found)
+    best = max(v for _, v in found)
+    rng = random.Random(0)
+    assert best >= max(surface([{"x": rng.uniform(-5, 5), "n": rng.randint(1, 50)} for _ in range(60)])) - 0.3
+    assert found == validation.search(surface, specs, 60, batch=4)
+    assert validation.search(lambda a: [1.0], {}, 5) == [({}, 1.0)]
+    assert validation.climb(surface, specs, found[0], 10, 1)[1] >= found[0][1]

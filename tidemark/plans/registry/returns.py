@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import maths
-from tidemark.operators import aggregates, joins, portfolio, statistics
+from tidemark.operators import aggregates, joins, portfolio, sleeves, statistics
 from tidemark.operators import windows as w
-from tidemark.plans import backtest, expr
+from tidemark.plans import backtest, expr, validation
 from tidemark.plans.registry.alignment import STREAMS, streams
 from tidemark.plans.registry.base import BARS_1D, BARS_LI, DAY, day, over, r
 from tidemark.sources import panels
@@ -384,3 +384,63 @@ QUERIES["snk_downsample"] = lambda spark, d: statistics.equity_curve(streams(spa
 SQL["snk_downsample"] = f"WITH {STREAMS}, e AS (SELECT id, ts, exp(sum(ln(1 + ret)) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS eq, row_number() OVER (PARTITION BY id ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM streams) SELECT id AS symbol, {DAY}, round(eq, 6) AS eq FROM e WHERE k % CAST(ceil(n / 50.0) AS BIGINT) = 0 OR k = n - 1"
 QUERIES["set_purge_embargo"] = lambda spark, d: statistics.purged(panels.bars_1d(spark, d), 500, 700, 30, 20).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("i").alias("checksum"))
 SQL["set_purge_embargo"] = f"WITH {BARS_1D} SELECT symbol, count(*) AS n, CAST(sum(i) AS BIGINT) AS checksum FROM bars_1d WHERE i < 470 OR i > 720 GROUP BY symbol"
+
+
+def blend(spark: SparkSession, d: str) -> DataFrame:
+    daily = panels.bars_1d(spark, d).withColumn("value", 1 + F.col("v") / 4)
+    return sleeves.blend(daily, "value", n_trend=30, n_long=40).select("symbol", day(), r("wa").alias("wa"), r("wb").alias("wb"), r("ret").alias("ret"))
+
+
+QUERIES["slv_blend"] = blend
+QUERIES["slv_trend_leg"] = lambda spark, d: blend(spark, d).select("symbol", "day", "wb")
+SQL["slv_trend_leg"] = f"WITH {BARS_1D} SELECT symbol, {DAY}, CASE WHEN i > 42 THEN coalesce(CAST(c >= {_avg(30)} AS DOUBLE), 0) ELSE 0 END AS wb FROM bars_1d"
+QUERIES["dly_funding"] = lambda spark, d: sleeves.with_daily_funding(panels.bars_1h(spark, d), panels.stamps(spark, d)).groupBy("symbol", day()).agg(r(F.max("funding"), 8).alias("funding"), F.count("*").alias("n"))
+SQL["dly_funding"] = "WITH b AS (SELECT DISTINCT event_type AS symbol, date_trunc('hour', ts) AS ts FROM events), f AS (SELECT CAST(ts AS DATE) AS d, sum(value / 1e6) AS funding FROM events WHERE event_type = 'error' GROUP BY ALL) SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, round(coalesce(max(funding), 0), 8) + 0.0 AS funding, count(*) AS n FROM b LEFT JOIN f ON d = CAST(ts AS DATE) GROUP BY ALL"
+QUERIES["prt_beta_hedged"] = lambda spark, d: sleeves.hedged(streams(spark, d), joins.mean_of_present(streams(spark, d))).select("id", day(), r("beta", 5).alias("beta"), r("ret").alias("ret"))
+SQL["prt_beta_hedged"] = f"""WITH {STREAMS}, mk AS (SELECT ts, avg(ret) AS m FROM streams GROUP BY ts), j AS (SELECT id AS symbol, ts, ret, m FROM streams JOIN mk USING (ts)),
+b AS (SELECT *, least(greatest(coalesce(CASE WHEN count(ret) OVER {over(60, 1)} >= 2 AND abs(var_pop(m) OVER {over(60, 1)}) >= 1e-12 THEN covar_pop(ret, m) OVER {over(60, 1)} / var_pop(m) OVER {over(60, 1)} END, 1), 0), 3) AS beta FROM j)
+SELECT symbol AS id, {DAY}, round(beta, 5) + 0.0 AS beta, round(ret - beta * m - abs(beta - coalesce(lag(beta) OVER (PARTITION BY symbol ORDER BY ts), 0)) * 7e-4, 6) + 0.0 AS ret FROM b"""
+
+
+def network(spark: SparkSession, d: str) -> DataFrame:
+    panel = joins.intersection(streams(spark, d), "id").withColumnRenamed("id", "symbol")
+    return sleeves.network_scores(panel).select("symbol", day(), r(F.col("score") * 100, 5).alias("score"))
+
+
+QUERIES["prt_network_momentum"] = network
+SQL["prt_network_momentum"] = f"""WITH {STREAMS}, {SHARED}, rt AS (SELECT ts, id AS leader, ret AS x, lag(ret) OVER (PARTITION BY id ORDER BY ts) AS x1 FROM sh), bo AS (SELECT ts, id AS symbol, leader, ret AS y, x, x1 FROM sh JOIN rt USING (ts) WHERE id <> leader),
+le AS (SELECT *, CASE WHEN count(x1) OVER p > 30 AND stddev_pop(x1) OVER p > 1e-12 AND stddev_pop(y) OVER p > 1e-12 THEN corr(x1, y) OVER p ELSE 0 END AS led FROM bo WINDOW p AS (PARTITION BY symbol, leader ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+SELECT symbol, {DAY}, round(sum(led * x) * 100, 5) + 0.0 AS score FROM le GROUP BY symbol, ts"""
+
+
+def gauntlet(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates are (symbol, length) of the trend grid: a screen, then the deflated ratio of those that pass it."""
+    runs = grid_runs(spark, d).select(F.concat_ws("|", "symbol", F.col("config").cast("string")).alias("candidate"), "ts", "ret", F.lit(0.0).alias("turnover")).where("ret <> 0")
+    only = lambda df: runs.join(df, "candidate", "left_semi")
+    stages = [
+        validation.Stage("S2", ("train_sharpe", "train_max_dd"), lambda df: validation.screen(only(df), 365), {"train_sharpe": -5.0, "train_max_dd": -0.97}),
+        validation.Stage("S5", ("dsr",), lambda df: validation.deflated(only(df), 40, 365), {"dsr": 0.5}),
+    ]
+    out = validation.gauntlet(runs.select("candidate").distinct(), stages)
+    return out.select("candidate", "failed_stage", r("train_sharpe").alias("train_sharpe"), r("dsr").alias("dsr"))
+
+
+QUERIES["vld_gauntlet"] = gauntlet
+SQL["vld_gauntlet"] = f"""WITH {GRID_SQL}, streams AS (SELECT symbol || '|' || config AS id, ts, ret FROM runs WHERE ret <> 0), {MOMENTS},
+l AS (SELECT id, sum(ln(1 + ret)) OVER w AS l, ts FROM streams WINDOW w AS (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING)), dd AS (SELECT id, min(x) AS dd FROM (SELECT id, exp(l - max(l) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1 AS x FROM l) GROUP BY id),
+s AS (SELECT *, mean / sd * sqrt(365) AS sharpe, (mean / sd - {BEST_SQL}) * sqrt(n - 1) / sqrt(1 - skew * mean / sd + (kurt - 1) / 4 * (mean / sd) ** 2) AS z FROM mo JOIN dd USING (id)),
+p AS (SELECT *, sharpe >= -5 AND dd >= -0.97 AS ok, CASE WHEN n >= 10 THEN {_cdf_sql("z")} ELSE 0 END AS dsr FROM s)
+SELECT id AS candidate, CASE WHEN NOT ok THEN 'S2' WHEN dsr < 0.5 THEN 'S5' END AS failed_stage, round(sharpe, 6) + 0.0 AS train_sharpe, CASE WHEN ok THEN round(dsr, 6) END AS dsr FROM p"""
+
+
+def stability(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the trend grid as neighbours of the second one."""
+    s = grid_runs(spark, d).groupBy(F.col("symbol").alias("candidate"), "config").agg(aggregates.sharpe(F.col("ret"), 365).alias("sharpe"))
+    base = s.where(f"config = {GRID[1]}").select("candidate", F.col("sharpe").alias("base"))
+    return validation.stability(s.where(f"config <> {GRID[1]}"), base).select("candidate", r("stability").alias("stability"))
+
+
+QUERIES["vld_stability"] = stability
+SQL["vld_stability"] = f"""WITH {GRID_SQL}, s AS (SELECT symbol AS candidate, config, {_sharpe_sql("ret")} AS sharpe FROM runs GROUP BY ALL), b AS (SELECT candidate, sharpe AS base FROM s WHERE config = {GRID[1]}),
+k AS (SELECT candidate, avg(CASE WHEN CASE WHEN base > 1e-9 THEN sharpe >= 0.7 * base ELSE sharpe >= base - 0.1 END THEN 1.0 ELSE 0.0 END) AS near, sqrt(avg((sharpe - base) ** 2)) AS rms, any_value(base) AS base FROM s JOIN b USING (candidate) WHERE config <> {GRID[1]} GROUP BY candidate)
+SELECT candidate, round(0.6 * near + 0.4 * greatest(0, 1 - rms / greatest(0.25, abs(base))), 6) AS stability FROM k"""
