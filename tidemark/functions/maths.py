@@ -94,6 +94,11 @@ def subsets(spark: SparkSession, n: int, k: int, most: int = 20_000) -> DataFram
     return spark.createDataFrame(rows, "combo int, member int")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever zone the session has."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def round_down(quantity: Column, step: float) -> Column:
     return F.floor(quantity / step + 1e-9) * step
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.maths import normal_cdf, normal_quantile
+from tidemark.functions.maths import micros, normal_cdf, normal_quantile
 from tidemark.functions.nulls import EPS
 
 EULER = 0.5772156649015329
@@ -204,7 +204,7 @@ def live_metrics(snapshots: DataFrame, by: tuple[str, ...] = ("id",), least: int
     w = Window.partitionBy(*by).orderBy("ts")
     own = snapshots.withColumn("ret", F.col("equity") / F.lag("equity").over(w) - 1)
     own = own.withColumn("dd", F.col("equity") / F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    seconds = lambda c: micros(c) / 1e6
     own = own.withColumn("span", seconds(F.lead("ts").over(w)) - seconds(F.col("ts")))
     n = F.count("ret")
     sd = F.stddev_pop("ret")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.maths import micros
 from tidemark.functions.nulls import EPS, safe_div
 
 BY = ("symbol",)
@@ -172,7 +173,7 @@ def rebased(x: Column) -> Column:
 
 def drawdown_within(x: Column, days: int) -> Column:
     """Fall from the greatest value of the last `days` days."""
-    w = Window.partitionBy(*BY).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-days * 86_400_000_000, 0)
+    w = Window.partitionBy(*BY).orderBy(micros(F.col("ts"))).rangeBetween(-days * 86_400_000_000, 0)
     return x / F.max(x).over(w) - 1
 
 

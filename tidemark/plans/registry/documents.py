@@ -110,7 +110,7 @@ QUERIES["str_stage_name"] = lambda spark, d: candidates(spark, d).select("id", d
 SQL["str_stage_name"] = f"WITH {CANDIDATES} SELECT id, CASE WHEN failed_stage IN ('S2', 'S3') THEN 'early' WHEN failed_stage IN ('S4', 'S5') THEN 'middle' WHEN failed_stage LIKE 'S%' THEN 'late' ELSE 'other' END AS stage FROM c"
 QUERIES["str_money"] = lambda spark, d: panels.table(spark, d, "orders").select("o_orderkey", maths.money(F.floor("o_totalprice") * F.lit(100) + 7).alias("money"), r(maths.round_down(F.col("o_totalprice"), 0.25), 2).alias("step"))
 SQL["str_money"] = "SELECT o_orderkey, CASE WHEN (floor(o_totalprice) * 100 + 7) >= 1e6 THEN printf('$%.1fM', (floor(o_totalprice) * 100 + 7) / 1e6) WHEN (floor(o_totalprice) * 100 + 7) >= 1e3 THEN printf('$%.1fk', (floor(o_totalprice) * 100 + 7) / 1e3) ELSE printf('$%.0f', (floor(o_totalprice) * 100 + 7)) END AS money, round(floor(o_totalprice / 0.25 + 1e-9) * 0.25, 2) AS step FROM orders"
-QUERIES["src_millis"] = lambda spark, d: panels.table(spark, d, "events").select("event_id", files.millis(F.unix_micros(F.col("ts").cast("timestamp"))).alias("ms"))
+QUERIES["src_millis"] = lambda spark, d: panels.table(spark, d, "events").select("event_id", files.millis(maths.micros(F.col("ts"))).alias("ms"))
 SQL["src_millis"] = "SELECT event_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM events"
 QUERIES["src_months"] = lambda spark, d: files.months(spark, "1995-01-15", "1996-03-02").select(F.date_format("month", "yyyy-MM").alias("month"))
 SQL["src_months"] = "SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-03-02', INTERVAL 1 MONTH)) AS m)"

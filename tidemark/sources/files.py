@@ -17,7 +17,7 @@ def millis(x: Column) -> Column:
 
 
 def timestamp(x: Column) -> Column:
-    return F.timestamp_millis(millis(x)).cast("timestamp_ntz")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=millis(x) / F.lit(1000))
 
 
 def read_candles(spark: SparkSession, path: str, symbol: str, start: str | None = None, end: str | None = None) -> DataFrame:

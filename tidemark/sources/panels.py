@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.maths import micros
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,7 +61,7 @@ def upsample(own: DataFrame, bucket: Column, per_bucket: int) -> DataFrame:
 def gaps_and_outliers(own: DataFrame, seconds: int, jump: float = 0.35) -> DataFrame:
     """By symbol: bars, gaps of over 1.5 bar lengths, and closes that move by over `jump`."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    step = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(w).cast("timestamp"))
+    step = (micros(F.col("ts")) - micros(F.lag("ts").over(w))) / 1e6
     move = F.abs(F.col("c") / F.lag("c").over(w) - 1)
     marked = own.select("symbol", (step > 1.5 * seconds).alias("gap"), (move > jump).alias("jump"))
     return marked.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if("gap").alias("gaps"), F.count_if("jump").alias("outliers"))
