@@ -6,9 +6,10 @@ priority queue, the node with the nearest centre first, and so puts the leaves i
 calibrated: `TRIALS` sampled vectors are compared with all rows, and visits widen until these trials would have found
 `RECALL` of their true neighbours; where that takes all leaves, the search is exact.
 
-Rows and visits meet in a grouping by leaf; a leaf of over `CHUNK` rows is dealt into several groups by a hash, each of
-which all its visits reach. A group finds candidates by one matrix product and scores these again row by row, in a way
-that gives equal vectors equal scores; so ties go to the smaller id.
+Rows and visits meet in groups of neighbouring leaves, of about `CHUNK` rows; a leaf of more is dealt into several groups
+by a hash, each of which all its visits reach. A query comes to a group once, with the leaves that it visits there, and
+leaves with its k nearest of them: for each leaf candidates are found by one matrix product and scored again row by row,
+in a way that gives equal vectors equal scores; so ties go to the smaller id.
 
 Nulls and odd rows: a vector that is null, zero, of another length than most or that holds null or a number not finite
 takes no part, nor does a null id; queries of one id are one, with the smallest vector, and never find rows of that id; a
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLE, BRANCHES, LEAF, LEAVES, CHUNK = 1_600_000, 8, 200, 4096, 4096
+SAMPLE, BRANCHES, LEAF, LEAVES, CHUNK = 1_600_000, 8, 200, 4096, 8192
 TRIALS, RECALL, SEED = 96, 0.97, 11
 
 
@@ -177,36 +178,59 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id"
         visits = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) if len(needed) else tree.leaves
 
     sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    parts = {leaf: -(-m // CHUNK) for leaf, m in sizes.items()}
-    chunks = spark.createDataFrame(list(parts.items()), "leaf int, chunks int") if parts else spark.createDataFrame([], "leaf int, chunks int")
+    groups: dict[int, tuple[int, int]] = {}  # by leaf: its first group, and the number of its groups
+    last, room = 0, CHUNK
+    for leaf in sorted(sizes):
+        n_groups = -(-sizes[leaf] // CHUNK)
+        if sizes[leaf] > room:
+            last, room = last + 1, CHUNK
+        groups[leaf] = (last, n_groups)
+        room -= sizes[leaf]
+        if n_groups > 1:
+            last, room = last + n_groups, CHUNK
+    dealing = spark.createDataFrame([(leaf, *g) for leaf, g in groups.items()], "leaf int, first int, parts int")
     queries = index.where("q").groupBy("id").agg(F.min("x").alias("x"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, leaf, chunk = [], [], []
+            at, group, leaves = [], [], []
             for i, u in enumerate(unit(rows_of(batch.column(1), width))):
+                own: dict[int, list[int]] = {}
                 for v in shared.value.visits(u, visits):
-                    for c in range(parts.get(v, 0)):
-                        at.append(i)
-                        leaf.append(v)
-                        chunk.append(c)
-            own = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32())], ["id", "x", "leaf", "chunk"])
-
-    asked_at = queries.mapInArrow(walk, "id long, x array<double>, leaf int, chunk int")
-    dealt = index.join(F.broadcast(chunks), "leaf").select("id", "x", "leaf", F.pmod(F.xxhash64("id", F.lit(SEED)), "chunks").cast("int").alias("chunk"))
+                    first, n_parts = groups.get(v, (0, 0))
+                    for g in range(first, first + n_parts):
+                        own.setdefault(g, []).append(v)
+                at += [i] * len(own)
+                group += own
+                leaves += own.values()
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["id", "x", "g", "leaves"])
+
+    asked_at = queries.mapInArrow(walk, "id long, x array<double>, g int, leaves array<int>")
+    dealt = index.join(F.broadcast(dealing), "leaf").select("id", "x", "leaf", (F.col("first") + F.pmod(F.xxhash64("id", F.lit(SEED)), "parts")).cast("int").alias("g"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns: tuple[list, list, list] = ([], [], [])
+        best: dict[int, list[tuple[float, int]]] = {}
         if left.num_rows and right.num_rows:
-            ids, x = left.column("id").to_numpy(), rows_of(left.column("x").combine_chunks(), width)
-            own = right.column("id").to_numpy()
-            for q, places, s in nearest(rows_of(right.column("x").combine_chunks(), width), own, x, ids, k):
-                for values, value in zip(columns, ([int(own[q])] * len(places), ids[places].tolist(), s.tolist()), strict=True):
-                    values += value
+            ids, leaf, x = left.column("id").to_numpy(), left.column("leaf").to_numpy(), rows_of(left.column("x").combine_chunks(), width)
+            asked_ids, asked = right.column("id").to_numpy(), rows_of(right.column("x").combine_chunks(), width)
+            by_leaf: dict[int, list[int]] = {}
+            for i, leaves in enumerate(right.column("leaves").to_pylist()):
+                for v in leaves:
+                    by_leaf.setdefault(v, []).append(i)
+            for v, own in by_leaf.items():
+                rows = np.flatnonzero(leaf == v)
+                if len(rows):
+                    for q, places, s in nearest(asked[own], asked_ids[own], x[rows], ids[rows], k):
+                        found = best.setdefault(int(asked_ids[own[q]]), [])
+                        found += zip((-s).tolist(), ids[rows[places]].tolist(), strict=True)
+                        found.sort()
+                        del found[k:]
+        flat = [(q, i, -s) for q, found in best.items() for s, i in found]
+        columns = list(zip(*flat, strict=True)) or [[]] * 3
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    found = dealt.groupBy("leaf", "chunk").cogroup(asked_at.groupBy("leaf", "chunk")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = dealt.groupBy("g").cogroup(asked_at.groupBy("g")).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
