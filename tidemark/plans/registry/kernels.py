@@ -20,17 +20,22 @@ SQL: dict[str, str] = {}
 NUDGE = 2e-9
 
 
-def _panel(name: str, maker: Callable, cte: str, label: Column, sql_label: str) -> None:
-    QUERIES[f"agg_{name}"] = lambda spark, d: maker(spark, d).select("symbol", label, F.col("i").cast("int").alias("i"), *[r(F.col(c) + NUDGE).alias(c) for c in "ohlcv"])
+def _panel(name: str, maker: Callable, cte: str, label: Callable[[], Column], sql_label: str) -> None:
+    QUERIES[f"agg_{name}"] = lambda spark, d: maker(spark, d).select("symbol", label(), F.col("i").cast("int").alias("i"), *[r(F.col(c) + NUDGE).alias(c) for c in "ohlcv"])
     rounded = ", ".join(f"round({c} + {NUDGE}, 6) AS {c}" for c in "ohlcv")
     SQL[f"agg_{name}"] = f"WITH {cte} SELECT symbol, {sql_label}, CAST(i AS INTEGER) AS i, {rounded} FROM {name}"
 
 
-_panel("bars_1d", panels.bars_1d, BARS_1D, day(), DAY)
-_panel("bars_1h", panels.bars_1h, BARS_1H, hour(), HOUR)
-_panel("bars_li", panels.bars_li, BARS_LI, day(), DAY)
+_panel("bars_1d", panels.bars_1d, BARS_1D, day, DAY)
+_panel("bars_1h", panels.bars_1h, BARS_1H, hour, HOUR)
+_panel("bars_li", panels.bars_li, BARS_LI, day, DAY)
+
+
+
+def close() -> Column:
+    return F.col("c")
+
 
-C = F.col("c")
 TR_SQL = "greatest(h - l, abs(h - lag(c) OVER s), abs(l - lag(c) OVER s))"
 
 
@@ -48,18 +53,18 @@ def _full(n: int, value: str, x: str = "c") -> str:
     return f"CASE WHEN count({x}) OVER {over(n)} = {n} THEN {value} END"
 
 
-_column("win_sma", lambda: w.sma(C, 20), _full(20, f"avg(c) OVER {over(20)}"))
-_column("win_wma", lambda: w.wma(C, 10), _full(10, "(" + " + ".join(f"lag(c, {j}) OVER s * {10 - j}" for j in range(1, 10)) + " + c * 10) / 55.0"))
-_column("win_stdev", lambda: w.stdev(C, 20), _full(20, f"stddev_pop(c) OVER {over(20)}"), digits=4)
+_column("win_sma", lambda: w.sma(close(), 20), _full(20, f"avg(c) OVER {over(20)}"))
+_column("win_wma", lambda: w.wma(close(), 10), _full(10, "(" + " + ".join(f"lag(c, {j}) OVER s * {10 - j}" for j in range(1, 10)) + " + c * 10) / 55.0"))
+_column("win_stdev", lambda: w.stdev(close(), 20), _full(20, f"stddev_pop(c) OVER {over(20)}"), digits=4)
 _column("win_highest", lambda: w.highest(F.col("h"), 20), _full(20, f"max(h) OVER {over(20)}", "h"))
 _column("win_lowest", lambda: w.lowest(F.col("l"), 20), _full(20, f"min(l) OVER {over(20)}", "l"))
-_column("win_lag", lambda: w.lag(C, 5), "lag(c, 5) OVER s")
-_column("win_roc", lambda: w.roc(C, 10), "CASE WHEN lag(c, 10) OVER s <> 0 THEN c / lag(c, 10) OVER s - 1 END")
-_column("win_zscore", lambda: w.zscore(C, 20), _full(20, f"CASE WHEN stddev_pop(c) OVER {over(20)} > 1e-12 THEN (c - avg(c) OVER {over(20)}) / stddev_pop(c) OVER {over(20)} END"))
-_column("win_slope", lambda: w.slope(C, 15), _full(15, f"CASE WHEN c <> 0 THEN regr_slope(c, CAST(i AS DOUBLE)) OVER {over(15)} / abs(c) END"))
-_column("win_pctrank", lambda: w.pctrank(C, 20), _full(20, f"len(list_filter(list(c) OVER {over(20)}, lambda v: v <= c)) / 20.0"))
-_column("win_median", lambda: w.median(C, 20), _full(20, f"quantile_cont(c, 0.5) OVER {over(20)}"))
-_column("win_effratio", lambda: w.effratio(C, 10), f"CASE WHEN lag(c, 10) OVER s IS NOT NULL THEN CASE WHEN sum(m) OVER {over(10)} > 1e-12 THEN abs(c - lag(c, 10) OVER s) / sum(m) OVER {over(10)} ELSE 0 END END", ", b AS (SELECT *, abs(c - lag(c) OVER (PARTITION BY symbol ORDER BY ts)) AS m FROM bars_1d)")
+_column("win_lag", lambda: w.lag(close(), 5), "lag(c, 5) OVER s")
+_column("win_roc", lambda: w.roc(close(), 10), "CASE WHEN lag(c, 10) OVER s <> 0 THEN c / lag(c, 10) OVER s - 1 END")
+_column("win_zscore", lambda: w.zscore(close(), 20), _full(20, f"CASE WHEN stddev_pop(c) OVER {over(20)} > 1e-12 THEN (c - avg(c) OVER {over(20)}) / stddev_pop(c) OVER {over(20)} END"))
+_column("win_slope", lambda: w.slope(close(), 15), _full(15, f"CASE WHEN c <> 0 THEN regr_slope(c, CAST(i AS DOUBLE)) OVER {over(15)} / abs(c) END"))
+_column("win_pctrank", lambda: w.pctrank(close(), 20), _full(20, f"len(list_filter(list(c) OVER {over(20)}, lambda v: v <= c)) / 20.0"))
+_column("win_median", lambda: w.median(close(), 20), _full(20, f"quantile_cont(c, 0.5) OVER {over(20)}"))
+_column("win_effratio", lambda: w.effratio(close(), 10), f"CASE WHEN lag(c, 10) OVER s IS NOT NULL THEN CASE WHEN sum(m) OVER {over(10)} > 1e-12 THEN abs(c - lag(c, 10) OVER s) / sum(m) OVER {over(10)} ELSE 0 END END", ", b AS (SELECT *, abs(c - lag(c) OVER (PARTITION BY symbol ORDER BY ts)) AS m FROM bars_1d)")
 _column("win_true_range", lambda: w.true_range(), TR_SQL)
 _kernel(
     "win_choppiness", lambda b: b.withColumn("tr", w.true_range()).withColumn("x", w.choppiness(14)),
@@ -68,14 +73,14 @@ _kernel(
 )
 _column("win_rangepos", lambda: w.rangepos(20), _full(20, f"CASE WHEN max(h) OVER {over(20)} - min(l) OVER {over(20)} > 1e-12 THEN (c - min(l) OVER {over(20)}) / (max(h) OVER {over(20)} - min(l) OVER {over(20)}) END", "l"))
 _column("win_forward_return", lambda: w.forward_return(5), "lead(c, 5) OVER s / c - 1")
-_column("win_past_zscore", lambda: w.past_zscore(C, 60), f"CASE WHEN count(c) OVER {over(60, 1)} >= 20 THEN (c - avg(c) OVER {over(60, 1)}) / greatest(stddev_pop(c) OVER {over(60, 1)}, 1e-6) ELSE 0 END", digits=4)
+_column("win_past_zscore", lambda: w.past_zscore(close(), 60), f"CASE WHEN count(c) OVER {over(60, 1)} >= 20 THEN (c - avg(c) OVER {over(60, 1)}) / greatest(stddev_pop(c) OVER {over(60, 1)}, 1e-6) ELSE 0 END", digits=4)
 
 RET = ", b AS (SELECT *, c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret, ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY ts)) AS lret FROM bars_1d)"
 
 
 def _with_ret(b: DataFrame) -> DataFrame:
     was = F.lag("c").over(w.order())
-    return b.withColumns({"ret": C / was - 1, "lret": F.ln(C / was)})
+    return b.withColumns({"ret": close() / was - 1, "lret": F.ln(close() / was)})
 
 
 _kernel("win_realised_vol", lambda b: _with_ret(b).withColumn("x", w.realised_vol(F.col("ret"), 30)), f"CASE WHEN count(ret) OVER {over(31)} > 5 THEN stddev_pop(ret) OVER {over(31)} * sqrt(365) * 100 END", RET, 4)
@@ -83,10 +88,10 @@ _kernel("win_log_vol", lambda b: _with_ret(b).withColumn("x", w.log_vol(F.col("l
 _kernel("win_sigma", lambda b: _with_ret(b).withColumn("x", w.sigma_and_volume(F.col("ret"), 20)[0]), f"CASE WHEN count(ret) OVER {over(20)} >= 10 THEN stddev_pop(ret) OVER {over(20)} END", RET)
 _kernel("win_adv", lambda b: _with_ret(b).withColumn("x", w.sigma_and_volume(F.col("ret"), 20)[1] / 1e6), f"CASE WHEN count(v * c) OVER {over(20)} >= 5 THEN avg(v * c) OVER {over(20)} / 1e6 END", RET)
 _kernel("win_equity", lambda b: _with_ret(b).withColumn("x", F.ln(w.equity(F.col("ret") / 100))), "sum(ln(1 + greatest(coalesce(ret / 100, 0), -0.95))) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)", RET)
-_column("win_drawdown", lambda: w.drawdown(C), "c / max(c) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1")
-_column("win_rebased", lambda: w.rebased(C), "c / first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
-_column("win_drawdown_within", lambda: w.drawdown_within(C, 30), "c / max(c) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) - 1")
-_kernel("win_carried", lambda b: b.withColumn("y", F.when(F.col("i") % 7 == 0, C)).withColumn("x", w.lag(w.carried(F.col("y")), 1)), "lag(x0) OVER s", ", b0 AS (SELECT *, CASE WHEN i % 7 = 0 THEN c END AS y FROM bars_1d), b AS (SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x0 FROM b0)")
+_column("win_drawdown", lambda: w.drawdown(close()), "c / max(c) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1")
+_column("win_rebased", lambda: w.rebased(close()), "c / first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+_column("win_drawdown_within", lambda: w.drawdown_within(close(), 30), "c / max(c) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) - 1")
+_kernel("win_carried", lambda b: b.withColumn("y", F.when(F.col("i") % 7 == 0, close())).withColumn("x", w.lag(w.carried(F.col("y")), 1)), "lag(x0) OVER s", ", b0 AS (SELECT *, CASE WHEN i % 7 = 0 THEN c END AS y FROM bars_1d), b AS (SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS x0 FROM b0)")
 _kernel("rnk_average_rank", lambda b: b.withColumn("x", w.average_rank(F.col("v"))), "rank() OVER (PARTITION BY symbol ORDER BY v) + (count(*) OVER (PARTITION BY symbol, v) - 1) / 2.0")
 
 MARKET = ", m AS (SELECT *, c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars_1d), b AS (SELECT *, avg(ret) OVER (PARTITION BY ts) AS mkt FROM m)"
