@@ -54,16 +54,29 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
     return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def partition_sums(df: DataFrame, parts: Callable[[pa.RecordBatch], np.ndarray], width: int, groups: int = 16) -> np.ndarray:
+def wider(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def partition_sums(df: DataFrame, parts: Callable[[pa.RecordBatch], np.ndarray], width: int, groups: int = 16, wide: bool = False) -> np.ndarray:
     """Sum of parts(batch), vectors of `width` doubles, over all batches of all partitions.
 
     Each partition sends one vector to one of `groups` groups, which are summed by tasks; the driver adds up `groups` rows.
+    wide: of short rows, many to a batch.
     """
     from pyspark import TaskContext
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
-        for batch in batches:
+        for batch in wider(batches) if wide else batches:
             if batch.num_rows:
                 total += parts(batch)
         context = TaskContext.get()

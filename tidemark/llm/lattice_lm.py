@@ -31,17 +31,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partition_sums
+from .common import cut, partition_sums, wider
 
 #: Most groups: the largest by training documents, and the rest as one.
 GROUPS = 5
 #: Most words whose scores are sent to every task, and distinct words that a task counts before it sends them on.
-HOT, COUNTED = 250_000, 300_000
+HOT, COUNTED = 300_000, 500_000
 #: Pseudo-counts of the vocabulary's own weights, of a word's end after a piece, and of all words against the text's own.
 PRIOR, STOP_PRIOR, CACHE = 500.0, 4.0, 2000.0
 #: Chance to stop before anything is known, and the share of unseen words' mass that follows the words of all groups.
 STOP, SHARED = 0.4, 0.3
 MARK, TINY = "▁", 1e-300
+#: Longest word, with its mark, of which many are scored together.
+LONG = 40
 
 
 class Lattice:
@@ -50,20 +52,31 @@ class Lattice:
     def __init__(self, pieces: list[str], weights: np.ndarray, stops: np.ndarray) -> None:
         """weights and stops: a row for each model."""
         self.index = {p: i for i, p in enumerate(pieces)}
-        self.longest: dict[str, int] = {}
-        for p in pieces:
-            self.longest[p[0]] = max(self.longest.get(p[0], 1), len(p))
+        # by character: the piece that ends there, or -1, and what may follow
+        self.first: dict[str, tuple[int, dict]] = {}
+        for i, piece in enumerate(pieces):
+            node = self.first
+            for c in piece[:-1]:
+                node = node.setdefault(c, (-1, {}))[1]
+            node[piece[-1]] = (i, node.get(piece[-1], (-1, {}))[1])
         self.spelling = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
         self.on = [(w * (1 - s)).tolist() for w, s in zip(weights, stops, strict=True)]
         self.end = [(w * s).tolist() for w, s in zip(weights, stops, strict=True)]
         self.p = [w.tolist() for w in weights]
+        self._tables: tuple[np.ndarray, np.ndarray] | None = None
 
     def edges(self, text: str) -> list[list[tuple[int, int]]]:
         """By start: (end, piece); a character that is no piece is spelt by its bytes, as piece -1."""
-        n, get, out = len(text), self.index.get, []
-        for i in range(n):
-            own = [(j, k) for j in range(i + 1, min(n, i + self.longest.get(text[i], 1)) + 1) if (k := get(text[i:j])) is not None]
-            out.append(own if own and own[0][0] == i + 1 else [(i + 1, -1), *own])
+        out = []
+        for a in range(len(text)):
+            own, node = [], self.first
+            for b in range(a, len(text)):
+                if (e := node.get(text[b])) is None:
+                    break
+                k, node = e
+                if k >= 0:
+                    own.append((b + 1, k))
+            out.append(own if own and own[0][0] == a + 1 else [(a + 1, -1), *own])
         return out
 
     def spelt(self, model: int, char: str) -> float:
@@ -99,11 +112,110 @@ class Lattice:
                     ended += a * end[k]
         return reach, scales, math.log(max(ended, TINY)) + shift
 
-    def logs(self, word: str) -> list[float]:
-        """log10 of the word's probability in each model."""
-        text = MARK + word
-        edges = self.edges(text)
-        return [self.forward(m, text, edges)[2] / math.log(10) for m in range(len(self.p))]
+    def logs(self, words: list[str]) -> np.ndarray:
+        """log10 of the words' probabilities: a row for each model."""
+        out = np.zeros((len(self.p), len(words)))
+        for own, ids, odd in self.alike(words):
+            if odd:
+                text = MARK + words[own[0]]
+                edges = self.edges(text)
+                out[:, own[0]] = [self.forward(m, text, edges)[2] / math.log(10) for m in range(len(self.p))]
+            else:
+                _, ended = self.reached(ids)
+                out[:, own] = np.log10(np.maximum(ended, TINY))
+        return out
+
+    def alike(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, bool]]:
+        """Words of one length together: their places and, by start and length, their pieces (the number of all for none).
+
+        Words over LONG and those with a character that is no piece come alone, marked as odd.
+        """
+        first, none = self.first, len(self.index)
+        by_size: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        for i, word in enumerate(words):
+            text = MARK + word
+            n = len(text)
+            if n > LONG or any(c not in first or first[c][0] < 0 for c in text):
+                yield [i], np.zeros(0), True
+                continue
+            own, at, found = by_size.setdefault(n, ([], [], []))
+            base = len(own) * n * n
+            for a in range(n):
+                node, row = first, base + a * n - a
+                for b in range(a, n):
+                    if (e := node.get(text[b])) is None:
+                        break
+                    k, node = e
+                    if k >= 0:
+                        at.append(row + b)
+                        found.append(k)
+            own.append(i)
+        for n, (own, at, found) in by_size.items():
+            if own:
+                ids = np.full(len(own) * n * n, none, dtype=np.int32)
+                ids[at] = found
+                yield own, ids.reshape(len(own), n, n), False
+
+    def reached(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of one length, by model: the chance to reach each place and go on, and to end."""
+        on, end = self.tables()
+        words, n, _ = ids.shape
+        reach, ended = np.zeros((n, len(on), words)), np.zeros((len(on), words))
+        reach[0] = 1.0
+        none = on.shape[1] - 1
+        for a in range(n):
+            for size in range(1, n - a + 1):
+                k = ids[:, a, size - 1]
+                if (k == none).all():
+                    continue
+                if a + size < n:
+                    reach[a + size] += reach[a] * on[:, k]
+                else:
+                    ended += reach[a] * end[:, k]
+        return reach, ended
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Chances to go on and to end after each piece, with 0 for no piece."""
+        if self._tables is None:
+            self._tables = tuple(np.hstack((np.array(x), np.zeros((len(x), 1)))) for x in (self.on, self.end))
+        return self._tables
+
+    def uses(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece under the first model, and those that end a word, for each row of word weights."""
+        k = len(self.index)
+        out = np.zeros((len(weights), 2, k + 1))
+        on, end = (x[0] for x in self.tables())
+
+        def add(piece: np.ndarray, times: np.ndarray, ends: bool, own) -> None:
+            for g, w in enumerate(weights[:, own]):
+                if w.any():
+                    count = np.bincount(piece, times * w, k + 1)
+                    out[g, 0] += count
+                    if ends:
+                        out[g, 1] += count
+
+        for own, ids, odd in self.alike(words):
+            if odd:
+                for piece, times, ends in self.expected(words[own[0]]):
+                    add(np.array([piece]), np.array([times]), ends, own)
+                continue
+            reach, ended = (x[..., 0, :] for x in self.reached(ids))
+            n = ids.shape[1]
+            after = np.zeros((n + 1, len(own)))
+            pieces, times, last_pieces, last_times = [], [], [], []
+            for a in range(n - 1, -1, -1):
+                for size in range(1, n - a + 1):
+                    own_ids = ids[:, a, size - 1]
+                    if (own_ids == k).all():
+                        continue
+                    step = on[own_ids] * after[a + size] if a + size < n else end[own_ids]
+                    after[a] += step
+                    (pieces if a + size < n else last_pieces).append(own_ids)
+                    (times if a + size < n else last_times).append(reach[a] * step / np.maximum(ended, TINY))
+            for p, t, ends in ((pieces, times, False), (last_pieces, last_times, True)):
+                if p:
+                    add(np.concatenate(p), np.concatenate(t), ends, np.tile(own, len(p)))
+        return out[:, :, :k]
 
     def expected(self, word: str, model: int = 0) -> list[tuple[int, float, bool]]:
         """(piece, expected uses, whether it ends the word) over all segmentations of the word."""
@@ -164,27 +276,24 @@ def groups_of(docs: DataFrame, train: Column, group: str | None) -> list[str]:
 def word_table(docs: DataFrame, train: Column, number: Column, k: int, text: str) -> DataFrame:
     """(word, n, c0, ...): every distinct word, how often all documents have it, and the training documents of each group."""
     own = docs.select(F.when(train, number).otherwise(k).cast("int").alias("g"), F.col(text).alias("text"))
-    names = ["word", "n", *[f"c{i}" for i in range(k)]]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter] = [Counter() for _ in range(k + 1)]
 
-        def out() -> pa.RecordBatch:
-            words = list(set().union(*seen))
-            counts = np.array([[s[w] for w in words] for s in seen], dtype=np.int64).reshape(k + 1, len(words))
-            for s in seen:
-                s.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts.sum(axis=0)), *map(pa.array, counts[:k])], names)
+        def out() -> Iterator[pa.RecordBatch]:
+            for g, own in enumerate(seen):
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([g] * len(own), pa.int8()), pa.array(list(own.values()), pa.int64())], ["word", "g", "n"])
+                own.clear()
 
         for batch in batches:
             for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[g].update((x or "").encode("utf-8", "surrogatepass").lower().split())
-                if sum(map(len, seen)) > COUNTED:
-                    yield out()
-        yield out()
+            if sum(map(len, seen)) > COUNTED:
+                yield from out()
+        yield from out()
 
-    kinds = "word binary, n long, " + ", ".join(f"{c} long" for c in names[2:])
-    return own.mapInArrow(count, kinds).groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    counts = [F.sum(F.when(F.col("g") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(k)]
+    return own.mapInArrow(count, "word binary, g byte, n long").groupBy("word").agg(F.sum("n").alias("n"), *counts)
 
 
 def fit(words: DataFrame, vocabulary_path: str, k: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -197,18 +306,12 @@ def fit(words: DataFrame, vocabulary_path: str, k: int) -> tuple[list[str], np.n
     shared = words.sparkSession.sparkContext.broadcast((pieces, own[None], np.full((1, len(pieces)), STOP)))
 
     def expected(batch: pa.RecordBatch) -> np.ndarray:
-        lattice, both = _lattice(shared.value), np.zeros((k, 2, len(pieces)))
-        for w, *c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            for piece, times, ends in lattice.expected(w.decode("utf-8", "surrogatepass")):
-                for g in range(k):
-                    if c[g]:
-                        both[g, 0, piece] += times
-                        if ends:
-                            both[g, 1, piece] += times
-        return both.ravel()
+        lattice = _lattice(shared.value)
+        own = np.array([np.asarray(c) > 0 for c in batch.columns[1:]], dtype=np.float64)
+        return lattice.uses([w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()], own).ravel()
 
     learnt = words.where(" or ".join(f"c{i} > 0" for i in range(k))).select("word", *[f"c{i}" for i in range(k)])
-    counts = partition_sums(learnt, expected, 2 * k * len(pieces), 8).reshape(k, 2, len(pieces))
+    counts = partition_sums(learnt, expected, 2 * k * len(pieces), 8, True).reshape(k, 2, len(pieces))
     weights = np.array([normalised(pieces, c + PRIOR * own) for c, _ in counts])
     stops = np.array([(e + STOP_PRIOR * STOP) / (c + STOP_PRIOR) for c, e in counts])
     return pieces, weights, np.clip(stops, 1e-6, 1 - 1e-6)
@@ -233,10 +336,10 @@ def word_chances(words: DataFrame, shared, totals: list[int], kinds: list[int],
     names = ["word", "c", *[f"p{i}" for i in range(k)]]
 
     def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wider(batches):
             own = batch.column(0).to_pylist()
             lattice = _lattice(shared.value)
-            logs = np.array([lattice.logs(w.decode("utf-8", "surrogatepass")) for w in own]).reshape(len(own), k).T
+            logs = lattice.logs([w.decode("utf-8", "surrogatepass") for w in own])
             counts = np.array([np.asarray(batch.column(1 + i), dtype=np.float64) for i in range(k)]).reshape(k, len(own))
             c = counts.sum(axis=0)
             n, v = (np.array(x, dtype=np.float64)[:, None] for x in (totals, kinds))
@@ -288,25 +391,29 @@ def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | Non
     names = ["word", "id", "key", "times", "copies", "tokens", "known", "base", *[f"s{i}" for i in range(k)]]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, counts, p = _frequent(frequent.value)
-        log_base = np.log10((counts + 1) / size)
+        place, counts, chances, first, later = _frequent(frequent.value)
+        log_base, is_known = np.log10((counts + 1) / size), counts > 0
+        end_base = math.log10((n_docs + 1) / size)
         for batch in batches:
-            word, at, times, row = [], [], [], []
-            ids, own = batch.column(0), []
+            word, times, row, own = [], [], [], []
+            ids, get = batch.column(0), place.get
             for i, x in enumerate(batch.column(1).to_pylist()):
                 data = (x or "").encode("utf-8", "surrogatepass")
-                used = Counter(data.lower().split())
-                places = [place.get(w, -1) for w in used]
-                hot_at = np.array(places, dtype=np.int64)
-                m = np.fromiter(used.values(), dtype=np.int64, count=len(used))
-                is_hot = hot_at >= 0
-                h, hm = hot_at[is_hot], m[is_hot]
-                tokens = int(m.sum())
-                s = _rising(CACHE * p[:, h], hm) + tokens * go_on + stop - (math.lgamma(tokens + CACHE) - math.lgamma(CACHE)) / math.log(10)
-                key = xxhash.xxh64_intdigest(data) - (1 << 63)
-                own.append((key, tokens + 1, int(hm[counts[h] > 0].sum()) + (n_docs > 0), float((hm * log_base[h]).sum()) + math.log10((n_docs + 1) / size), *s))
-                for w, q, t in zip(used, places, used.values(), strict=True):
-                    if q < 0:
+                used = data.lower().split()
+                at = np.array([get(w, -1) for w in used], dtype=np.int64)
+                tokens = len(used)
+                h = at[at >= 0]
+                base_score, known = float(log_base[h].sum()) + end_base, int(is_known[h].sum()) + (n_docs > 0)
+                h, hm = np.unique(h, return_counts=True)
+                s = first[:, h].sum(axis=1)
+                many = hm > 1
+                if many.any():
+                    r = h[many]
+                    s = s + (log_gamma(CACHE * chances[:, r] + hm[many]) - later[:, r]).sum(axis=1) / math.log(10)
+                s = s + (tokens * go_on + stop - (math.lgamma(tokens + CACHE) - math.lgamma(CACHE)) / math.log(10))
+                own.append((xxhash.xxh64_intdigest(data) - (1 << 63), tokens + 1, known, base_score, *s))
+                if len(h) < tokens:
+                    for w, t in Counter([used[j] for j in np.flatnonzero(at < 0).tolist()]).items():
                         word.append(w)
                         times.append(t)
                         row.append(i)
@@ -352,24 +459,22 @@ def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | Non
     )
 
 
-_PLACES: list[tuple[object, dict[bytes, int]]] = []
+_PLACES: list[tuple[object, tuple]] = []
 
 
-def _frequent(shared: tuple) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """The places of the frequent words, made once in a worker, with their counts and chances."""
+def _frequent(shared: tuple) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the frequent words, made once in a worker, their counts and chances, and logarithms of these."""
     words, counts, p = shared
     if not _PLACES or _PLACES[0][0] is not words:
-        _PLACES[:] = [(words, {w: i for i, w in enumerate(words)})]
-    return _PLACES[0][1], counts, p
-
-
-def _rising(a: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """For each row of a, the sum over columns of log10(a (a + 1) ... (a + m - 1)), m by column."""
-    out = np.log10(a).sum(axis=1)
-    few = np.minimum(m, 16)
-    for j in range(1, int(few.max(initial=1))):
-        out += np.log10(a[:, few > j] + j).sum(axis=1)
-    for i in np.flatnonzero(m > 16):
-        for r in range(len(a)):
-            out[r] += (math.lgamma(a[r, i] + m[i]) - math.lgamma(a[r, i] + 16)) / math.log(10)
-    return out
+        own = ({w: i for i, w in enumerate(words)}, counts, p, np.log10(CACHE * p), log_gamma(CACHE * p + 1))
+        _PLACES[:] = [(words, own)]
+    return _PLACES[0][1]
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma for x > 0, by Stirling's series at x + 8."""
+    below = x * (x + 1) * (x + 2) * (x + 3)
+    above = (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    y = x + 8
+    r = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - np.log(below) - np.log(above)
