@@ -75,9 +75,14 @@ def risk_parity(cov: np.ndarray, rounds: int = 5000, tolerance: float = 1e-9) ->
 def book_weights(streams: DataFrame, scheme: str = "erc") -> DataFrame:
     """id, weight, risk: equal, inverse volatility or equal risk, over the times that all streams share.
 
-    The covariances are one aggregation; a book has few streams, so that the fixed point runs on the driver.
+    The covariances are one aggregation; a book has few streams, so that the fixed point runs on the driver. Where the
+    streams share fewer than two times, equal risk has nothing to go by and weighs them equally.
     """
     shared = joins.intersection(streams, "id")
+    if scheme == "erc" and shared.select("ts").distinct().limit(2).count() < 2:
+        ids = streams.select("id").distinct()
+        share = F.lit(1.0) / F.count("*").over(Window.partitionBy(F.lit(1)))
+        return ids.select("id", share.alias("weight"), share.alias("risk"))
     cov = aggregates.covariances(shared).toPandas()
     ids = sorted({*cov["a"], *cov["b"]})
     at = {s: i for i, s in enumerate(ids)}
