@@ -129,7 +129,7 @@ def reality_check(streams: DataFrame, reps: int = 1000, mean_block: float = 10,
     """One row: p of the best mean among streams (id, ts, ret) against none, plain and studentised (SPA).
 
     Replicates resample the times of all streams alike. The matrix of a batch of candidates is one group; replicates are
-    dealt to tasks.
+    dealt to tasks. Without a time that all streams share, both are 1.
     """
     shared = streams.groupBy("ts").pivot("id").agg(F.first("ret")).dropna().orderBy("ts")
     names = [c for c in shared.columns if c != "ts"]
@@ -142,6 +142,9 @@ def reality_check(streams: DataFrame, reps: int = 1000, mean_block: float = 10,
             out = []
             for m, rep in zip(pdf["m"], pdf["rep"], strict=True):
                 x = np.array([np.asarray(r, dtype=np.float64) for r in m])
+                if not len(x):
+                    out.append((True, True))
+                    continue
                 n, mean, sd = len(x), x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
                 again = x[stationary_indices(n, mean_block, np.random.default_rng([seed, int(rep)]))].mean(axis=0)
                 kept = np.where(mean * math.sqrt(n) / sd >= -math.sqrt(2 * math.log(math.log(max(n, 3)))), mean, 0.0)
