@@ -337,6 +337,16 @@ def test_scores_and_counts(spark, odd, none):
     assert lattice_lm.score(none, train, path, "lang").count() == 0
 
 
+def test_scores_of_long_unseen_words_have_no_floor(spark):
+    rows = [(0, "some words to learn from", "en", True)] + [(n, "xq7z" * (n // 4), "en", False) for n in (400, 5000, 10000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, learnt boolean")
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.score(docs, F.col("learnt"), tokenizer_path("piece_bpe_32k.model"), "lang").collect()}
+    a_char = (got[400] - got[5000]) / 4600
+    assert a_char > 0.5 and (got[5000] - got[10000]) / 5000 == pytest.approx(a_char, rel=1e-3)
+    rare = lattice_lm.Lattice(["▁", "b"], np.array([[0.5, 1e-12]]), np.array([[0.5, 0.5]]))
+    assert rare.logs(["b" * 38])[0, 0] == pytest.approx(39 * np.log10(0.5) + np.log10(0.5) - 38 * 12)
+
+
 # ------------------------------------------------------------------ media
 def test_media_round_trip(odd, none):
     out = media.read_back(media.with_media(odd)).collect()

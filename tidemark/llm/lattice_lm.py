@@ -42,6 +42,8 @@ PRIOR, STOP_PRIOR, CACHE = 500.0, 4.0, 2000.0
 #: Chance to stop before anything is known, and the share of unseen words' mass that follows the words of all groups.
 STOP, SHARED = 0.4, 0.3
 MARK, TINY = "▁", 1e-300
+#: Below this, chances in plain doubles are worked out again with scales.
+FAINT = 1e-280
 #: Longest word, with its mark, of which many are scored together.
 LONG = 40
 
@@ -59,6 +61,7 @@ class Lattice:
             for c in piece[:-1]:
                 node = node.setdefault(c, (-1, {}))[1]
             node[piece[-1]] = (i, node.get(piece[-1], (-1, {}))[1])
+        self.longest = max(map(len, pieces), default=1)
         self.spelling = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
         self.on = [(w * (1 - s)).tolist() for w, s in zip(weights, stops, strict=True)]
         self.end = [(w * s).tolist() for w, s in zip(weights, stops, strict=True)]
@@ -93,7 +96,7 @@ class Lattice:
         reach[0] = 1.0
         for i in range(n):
             if (a := reach[i]) < 1e-100:  # long words: all that is still to come is scaled up
-                for j in range(i, n):
+                for j in range(i, min(n, i + self.longest)):  # nothing further on has been reached
                     reach[j] *= 1e100
                 ended *= 1e100
                 shift -= 100 * math.log(10)
@@ -117,12 +120,15 @@ class Lattice:
         out = np.zeros((len(self.p), len(words)))
         for own, ids, odd in self.alike(words):
             if odd:
-                text = MARK + words[own[0]]
-                edges = self.edges(text)
-                out[:, own[0]] = [self.forward(m, text, edges)[2] / math.log(10) for m in range(len(self.p))]
+                scaled = own
             else:
                 _, ended = self.reached(ids)
                 out[:, own] = np.log10(np.maximum(ended, TINY))
+                scaled = [own[i] for i in np.flatnonzero((ended < FAINT).any(axis=0))]
+            for i in scaled:
+                text = MARK + words[i]
+                edges = self.edges(text)
+                out[:, i] = [self.forward(m, text, edges)[2] / math.log(10) for m in range(len(self.p))]
         return out
 
     def alike(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, bool]]:
@@ -328,12 +334,12 @@ def _lattice(model: tuple) -> Lattice:
 
 
 def word_chances(words: DataFrame, shared, totals: list[int], kinds: list[int], discount: float) -> DataFrame:
-    """(word, c, p0, ...): the words' training counts and their chances among a group's words.
+    """(word, c, l0, ...): the words' training counts and the log10 of their chances among a group's words.
 
     totals, kinds: all and distinct training words of each group.
     """
     k, everything = len(totals), max(sum(totals), 1)
-    names = ["word", "c", *[f"p{i}" for i in range(k)]]
+    names = ["word", "c", *[f"l{i}" for i in range(k)]]
 
     def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wider(batches):
@@ -345,11 +351,13 @@ def word_chances(words: DataFrame, shared, totals: list[int], kinds: list[int],
             n, v = (np.array(x, dtype=np.float64)[:, None] for x in (totals, kinds))
             seen = np.maximum(counts - discount, 0) / np.maximum(n, 1)
             rest = np.where(n > 0, discount * v / np.maximum(n, 1), 1.0)
-            p = seen + rest * (SHARED * c / everything + (1 - SHARED) * 10.0 ** np.maximum(logs, -290.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.astype(np.int64)), *map(pa.array, p)], names)
+            with np.errstate(divide="ignore"):  # an unseen word has the lattice's share only
+                whole = np.log(seen + rest * (SHARED * c / everything))
+            logs = np.logaddexp(whole, np.log(rest * (1 - SHARED)) + logs * math.log(10)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.astype(np.int64)), *map(pa.array, logs)], names)
 
     own = words.select("word", *[f"c{i}" for i in range(k)])
-    return own.mapInArrow(chances, "word binary, c long, " + ", ".join(f"p{i} double" for i in range(k)))
+    return own.mapInArrow(chances, "word binary, c long, " + ", ".join(f"l{i} double" for i in range(k)))
 
 
 def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,9 +388,9 @@ def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | Non
             break
         least = r["step"]
     hot = word_chances(words.where(step >= least), model, totals, kinds, discount).toArrow()
-    chances = np.array([hot.column(f"p{i}").to_numpy() for i in range(k)]).reshape(k, hot.num_rows)
-    frequent = spark.sparkContext.broadcast((hot.column("word").to_pylist(), hot.column("c").to_numpy(), chances))
-    del hot, chances
+    logs = np.array([hot.column(f"l{i}").to_numpy() for i in range(k)]).reshape(k, hot.num_rows)
+    frequent = spark.sparkContext.broadcast((hot.column("word").to_pylist(), hot.column("c").to_numpy(), logs))
+    del hot, logs
     rare_words = word_chances(words.where(step < least), model, totals, kinds, discount)
     size = n + v + 1
     p_end = (n_docs + 0.5) / (n + 1)
@@ -438,9 +446,9 @@ def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | Non
     joined = rows.join(rare_words, "word", "left")
     times = F.col("times")
 
-    def more(p: Column) -> Column:
-        """log10 of the rising factorial of CACHE * p."""
-        one = F.log10(CACHE * p)
+    def more(log: Column) -> Column:
+        """log10 of the rising factorial of CACHE * p, by log10 of p: p itself may be 0 in a double."""
+        one, p = math.log10(CACHE) + log, F.pow(F.lit(10.0), log)
         return F.when(times == 1, one).when(times > 1, F.aggregate(F.sequence(F.lit(1).cast("long"), times - 1), one, lambda a, j: a + F.log10(CACHE * p + j))).otherwise(0.0)
 
     own_base = F.when(times > 0, times * F.log10((F.col("c") + 1) / F.lit(float(size)))).otherwise(0.0)
@@ -448,7 +456,7 @@ def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | Non
         *[F.sum(x).alias(x) for x in ("copies", "tokens")],
         F.sum(F.col("known") + F.when(F.col("c") > 0, times).otherwise(0)).alias("known"),
         F.sum(F.col("base") + own_base).alias("base"),
-        *[F.sum(F.col(f"s{i}") + more(F.col(f"p{i}"))).alias(f"s{i}") for i in range(k)],
+        *[F.sum(F.col(f"s{i}") + more(F.col(f"l{i}"))).alias(f"s{i}") for i in range(k)],
     )
     each = [F.col(f"s{i}") / F.col("copies") + prior[i] for i in range(k)]
     largest = F.greatest(*each, F.lit(-1e300))
@@ -464,9 +472,10 @@ _PLACES: list[tuple[object, tuple]] = []
 
 def _frequent(shared: tuple) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The places of the frequent words, made once in a worker, their counts and chances, and logarithms of these."""
-    words, counts, p = shared
+    words, counts, logs = shared
     if not _PLACES or _PLACES[0][0] is not words:
-        own = ({w: i for i, w in enumerate(words)}, counts, p, np.log10(CACHE * p), log_gamma(CACHE * p + 1))
+        p = 10.0**logs
+        own = ({w: i for i, w in enumerate(words)}, counts, p, math.log10(CACHE) + logs, log_gamma(CACHE * p + 1))
         _PLACES[:] = [(words, own)]
     return _PLACES[0][1]
 
