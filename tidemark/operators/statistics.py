@@ -155,28 +155,32 @@ def reality_check(streams: DataFrame, reps: int = 1000, mean_block: float = 10,
 
 
 def block_ratios(returns: DataFrame, blocks: int, per_year: float, by: tuple[str, ...] = ("config",)) -> DataFrame:
-    """(by, block, value): ratio of each contiguous block; the last takes the remainder."""
+    """(by, block, value): ratio of each contiguous block; the last takes the remainder. Under `blocks` rows, each is a block."""
     own = numbered(returns, by)
-    block = F.least(F.floor(F.col("k") / F.floor(F.col("n") / blocks)), F.lit(blocks - 1)).cast("int")
+    block = F.least(F.floor(F.col("k") / F.greatest(F.floor(F.col("n") / blocks), F.lit(1))), F.lit(blocks - 1)).cast("int")
     return own.groupBy(*by, block.alias("block")).agg(aggregates.sharpe(F.col("ret"), per_year).alias("value"))
 
 
-def overfitting(matrix: DataFrame, spark: SparkSession, most: int = 1000) -> DataFrame:
-    """One row: the share of splits of blocks into halves whose best configuration is in the lower half outside.
+def overfitting(matrix: DataFrame, spark: SparkSession, most: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+    """By group the share of splits of blocks into halves whose best configuration is in the lower half outside.
 
-    matrix: config, block (from 0), value. An odd last block is left out; over `most` splits every so many are taken.
+    matrix: by, config, block (from 0), value. An odd last block is left out; over `most` splits every so many are taken.
+    Groups may differ in their number of blocks; those with fewer than two have no splits, and NULL.
     """
-    n = matrix.agg(F.max("block")).first()[0] + 1
-    n -= n % 2
-    splits = list(combinations(range(n), n // 2))
-    splits = splits[:: -(-len(splits) // most)]
-    rows = spark.createDataFrame([(i, b) for i, own in enumerate(splits) for b in own], "split int, b int").groupBy("split").agg(F.collect_set("b").alias("inside"))
-    own = matrix.where(F.col("block") < n).crossJoin(F.broadcast(rows)).withColumn("is_in", F.array_contains("inside", F.col("block")))
-    means = own.groupBy("split", "config").agg(F.avg(F.when(F.col("is_in"), F.col("value"))).alias("ins"), F.avg(F.when(~F.col("is_in"), F.col("value"))).alias("oos"))
-    best = means.groupBy("split").agg(F.max_by("oos", F.struct("ins", -F.col("config"))).alias("chosen"))
-    ranked = means.join(best, "split").groupBy("split").agg(F.count_if(F.col("oos") > F.col("chosen")).alias("better"), F.count_if(F.col("oos") == F.col("chosen")).alias("equal"), F.count("*").alias("configs"))
+    sizes = matrix.groupBy(*by).agg((F.max("block") + 1).alias("n")).select(*by, (F.col("n") - F.col("n") % 2).alias("n"))
+    rows = []
+    for n in sorted(r["n"] for r in sizes.where("n > 0").select("n").distinct().collect()):
+        splits = list(combinations(range(n), n // 2))
+        rows += [(n, i, list(own)) for i, own in enumerate(splits[:: -(-len(splits) // most)])]
+    splits = F.broadcast(spark.createDataFrame(rows, "n int, split int, inside array<int>"))
+    sized = matrix.join(sizes, list(by)) if by else matrix.crossJoin(sizes)
+    own = sized.where(F.col("block") < F.col("n")).join(splits, "n").withColumn("is_in", F.array_contains("inside", F.col("block")))
+    means = own.groupBy(*by, "split", "config").agg(F.avg(F.when(F.col("is_in"), F.col("value"))).alias("ins"), F.avg(F.when(~F.col("is_in"), F.col("value"))).alias("oos"))
+    best = means.groupBy(*by, "split").agg(F.max_by("oos", F.struct("ins", -F.col("config"))).alias("chosen"))
+    ranked = means.join(best, [*by, "split"]).groupBy(*by, "split").agg(F.count_if(F.col("oos") > F.col("chosen")).alias("better"), F.count_if(F.col("oos") == F.col("chosen")).alias("equal"), F.count("*").alias("configs"))
     omega = 1 - (F.col("better") + (F.col("equal") - 1) / 2) / (F.col("configs") - 1)
-    return ranked.withColumn("lam", logit(omega)).agg(F.avg((F.col("lam") <= 0).cast("double")).alias("pbo"), F.count("*").alias("splits"), aggregates.quantile(F.col("lam"), 0.5, "upper_median").alias("median_logit"))
+    out = ranked.withColumn("lam", logit(omega)).groupBy(*by).agg(F.avg((F.col("lam") <= 0).cast("double")).alias("pbo"), F.count("*").alias("splits"), aggregates.quantile(F.col("lam"), 0.5, "upper_median").alias("median_logit"))
+    return sizes.select(*by).join(out, list(by), "left").fillna(0, ["splits"]) if by else out
 
 
 def purged(train: DataFrame, start: int, end: int, window: int, embargo: int, i: str = "i") -> DataFrame:

@@ -288,11 +288,11 @@ def _sharpe_sql(x: str) -> str:
     return f"CASE WHEN stddev_pop({x}) > 1e-12 THEN avg({x}) / stddev_pop({x}) * sqrt(365) ELSE 0 END"
 
 
-QUERIES["vld_block_ratios"] = lambda spark, d: statistics.block_ratios(grid_runs(spark, d).where("symbol = '1-URGENT'"), 8, 365).select("config", "block", r("value").alias("value"))
+QUERIES["vld_block_ratios"] = lambda spark, d: statistics.block_ratios(grid_runs(spark, d), 8, 365, ("symbol", "config")).select("symbol", "config", "block", r("value").alias("value"))
 BLOCKS = f"""{GRID_SQL}, k AS (SELECT config, ret, row_number() OVER (PARTITION BY config ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY config) AS n FROM runs WHERE symbol = '1-URGENT'),
 bl AS (SELECT config, CAST(least(k // (n // 8), 7) AS INTEGER) AS block, {_sharpe_sql("ret")} AS value FROM k GROUP BY ALL)"""
 SQL["vld_block_ratios"] = f"WITH {BLOCKS} SELECT config, block, round(value, 6) + 0.0 AS value FROM bl"
-QUERIES["vld_overfitting"] = lambda spark, d: statistics.overfitting(statistics.block_ratios(grid_runs(spark, d).where("symbol = '1-URGENT'"), 8, 365), spark).select(r("pbo").alias("pbo"), "splits", r("median_logit").alias("median_logit"))
+QUERIES["vld_overfitting"] = lambda spark, d: statistics.overfitting(statistics.block_ratios(grid_runs(spark, d), 8, 365, ("symbol", "config")), spark, by=("symbol",)).select("symbol", r("pbo").alias("pbo"), "splits", r("median_logit").alias("median_logit"))
 SQL["vld_overfitting"] = f"""WITH {BLOCKS}, masks AS (SELECT m FROM (SELECT unnest(range(256)) AS m) WHERE bit_count(m) = 4),
 me AS (SELECT m, config, avg(value) FILTER (WHERE (m >> block) & 1 = 1) AS ins, avg(value) FILTER (WHERE (m >> block) & 1 = 0) AS oos FROM masks, bl GROUP BY ALL),
 be AS (SELECT m, arg_max(oos, (ins, -config)) AS chosen FROM me GROUP BY m),
