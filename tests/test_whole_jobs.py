@@ -4,11 +4,13 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from test_oracle import plain
 
 from tidemark.operators import statistics
 from tidemark.plans import queries
+from tidemark.plans.registry import returns as registry
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +45,59 @@ def test_groups_of_few_blocks_stay(spark):
     for s in ("long", "short"):
         alone = statistics.overfitting(matrix.where(f"symbol = '{s}'").drop("symbol"), spark).first()
         assert alone.asDict() == {k: v for k, v in got[s].asDict().items() if k != "symbol"}
+
+
+@pytest.mark.parametrize(
+    ("name", "widened"),
+    [
+        ("rsm_block_bootstrap", [("range(40)", "range(1000)")]),
+        ("rsm_bootstrap_interval", [("range(40)", "range(1000)"), ("s[2]", "s[26]"), ("s[40]", "s[976]"), ("s[3]", "s[51]"), ("s[21]", "s[501]")]),
+        ("prt_capacity", [("[1e4, 1e6, 1e8]", "[1e4, 2.5e4, 5e4, 1e5, 2.5e5, 5e5, 1e6, 2.5e6, 5e6, 1e7, 2.5e7, 5e7, 1e8]")]),
+    ],
+)
+def test_counts_of_the_reference(spark, sf_dir, duck, name, widened):
+    sql = queries.ORACLE_SQL[name]
+    for a, b in widened:
+        assert a in sql
+        sql = sql.replace(a, b)
+    got, want = queries.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(sql).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
+@pytest.fixture
+def small(spark, monkeypatch):
+    """Three streams of 90 times in place of those of the tables, and as arrays."""
+    x = np.random.default_rng(4).normal(0.001, 0.02, (3, 90))
+    own = spark.createDataFrame([(f"s{i}", k, float(v)) for i, r in enumerate(x) for k, v in enumerate(r)], "id string, ts int, ret double")
+    monkeypatch.setattr(registry, "streams", lambda *_: own)
+    return x
+
+
+def test_monte_carlo_has_5000_paths(spark, small):
+    got = {r["id"]: r for r in queries.QUERIES["rsm_monte_carlo"](spark, "").collect()}
+    for i, x in enumerate(small):
+        runs = np.array([statistics.path_stats(x[statistics.stationary_indices(90, 15, np.random.default_rng([12345, rep]))], 365) for rep in range(5000)])
+        assert got[f"s{i}"]["p_loss"] == pytest.approx((runs[:, 0] < 1).mean(), abs=1e-9)
+        assert got[f"s{i}"]["max_dd_p5"] == pytest.approx(np.sort(runs[:, 1])[round(0.05 * 4999)])
+
+
+def test_falls_are_held_against_500_shuffles(spark, small):
+    got = {r["id"]: r["share"] for r in queries.QUERIES["rsm_shuffled_falls"](spark, "").collect()}
+    for i, x in enumerate(small):
+        falls = [statistics.path_stats(x[np.random.default_rng([7, rep]).permutation(90)], 365)[1] for rep in range(500)]
+        assert got[f"s{i}"] == pytest.approx((np.array(falls) <= statistics.path_stats(x, 365)[1]).mean(), abs=1e-9)
+
+
+def test_reality_check_has_1000_replicates(spark, small):
+    got = queries.QUERIES["rsm_reality_check"](spark, "").first()
+    x = small.T
+    n, mean, sd = len(x), x.mean(axis=0), x.std(axis=0)
+    kept = np.where(mean * np.sqrt(n) / sd >= -np.sqrt(2 * np.log(np.log(n))), mean, 0.0)
+    again = np.array([x[statistics.stationary_indices(n, 10, np.random.default_rng([99, rep]))].mean(axis=0) for rep in range(1000)])
+    assert got["p_reality"] == pytest.approx(((again - mean).max(axis=1) >= mean.max()).mean(), abs=1e-9)
+    assert got["p_spa"] == pytest.approx((((again - kept) / sd).max(axis=1) >= max(0, (mean / sd).max())).mean(), abs=1e-9)
+
+
+def test_permutation_has_200_markets(spark, sf_dir):
+    p = np.array([r["p"] for r in queries.QUERIES["rsm_permutation"](spark, sf_dir).collect()])
+    assert len(p) == 5 and np.abs(p * 201 - (p * 201).round()).max() < 1e-3 and np.abs(p * 21 - (p * 21).round()).max() > 1e-3

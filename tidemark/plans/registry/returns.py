@@ -240,25 +240,26 @@ SQL["mth_uniform"] = "WITH " + DRAW.format(seed=42, draw="n_nationkey::BIGINT",
 QUERIES["mth_normal"] = lambda spark, d: panels.table(spark, d, "customer").select("c_custkey", r(maths.normal_cdf(F.col("c_acctbal") / 3000), 9).alias("cdf"), r(maths.normal_quantile(F.least(F.lit(0.999), F.lit(0.5) + F.abs("c_acctbal") / 20500)), 6).alias("q"), r(maths.logit(F.abs("c_acctbal") / 10000), 6).alias("logit"))
 SQL["mth_normal"] = f"SELECT c_custkey, round({_cdf_sql('(c_acctbal / 3000)')}, 9) AS cdf, round({_quantile_sql('least(0.999, 0.5 + abs(c_acctbal) / 20500)')}, 6) + 0.0 AS q, round(ln(least(greatest(abs(c_acctbal) / 10000, 1e-9), 1 - 1e-9) / (1 - least(greatest(abs(c_acctbal) / 10000, 1e-9), 1 - 1e-9))), 6) + 0.0 AS logit FROM customer"
 
+# replicates in the SQL; the queries have the operators' own counts
 REPS = 40
-QUERIES["rsm_block_bootstrap"] = lambda spark, d: statistics.block_bootstrap(streams(spark, d), 365, REPS, 24, 42, ("id",)).select("id", "rep", r("sharpe").alias("sharpe"))
+QUERIES["rsm_block_bootstrap"] = lambda spark, d: statistics.block_bootstrap(streams(spark, d), 365, by=("id",)).select("id", "rep", r("sharpe").alias("sharpe"))
 SQL["rsm_block_bootstrap"] = f"""WITH {STREAMS}, o AS (SELECT id, ret, row_number() OVER (PARTITION BY id ORDER BY ts) - 1 AS k FROM streams), z AS (SELECT id, count(*) AS n, CAST(ceil(count(*) / 24.0) AS BIGINT) AS nb FROM o GROUP BY id HAVING count(*) >= 72),
 d AS (SELECT id, n, nb, rep, unnest(range(nb)) AS b FROM (SELECT *, unnest(range({REPS})) AS rep FROM z)), {DRAW.format(seed=42, draw="(rep * nb + b)", table="d")},
 e AS (SELECT id, n, rep, CAST(floor(u * n) AS BIGINT) AS st, b, unnest(range(24)) AS j FROM u),
 f AS (SELECT id, rep, (st + j) % n AS k FROM e WHERE b * 24 + j < n)
 SELECT id, CAST(rep AS INTEGER) AS rep, round(CASE WHEN stddev_pop(ret) > 1e-12 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END, 6) + 0.0 AS sharpe FROM f JOIN o USING (id, k) GROUP BY ALL"""
-QUERIES["rsm_bootstrap_interval"] = lambda spark, d: statistics.bootstrap_interval(statistics.block_bootstrap(streams(spark, d), 365, REPS, 24, 42, ("id",)), ("id",)).select("id", *[r(c).alias(c) for c in ("lo", "hi", "p5", "median")])
+QUERIES["rsm_bootstrap_interval"] = lambda spark, d: statistics.bootstrap_interval(statistics.block_bootstrap(streams(spark, d), 365, by=("id",)), ("id",)).select("id", *[r(c).alias(c) for c in ("lo", "hi", "p5", "median")])
 SQL["rsm_bootstrap_interval"] = SQL["rsm_block_bootstrap"].replace("\nSELECT id, CAST", ", sh AS (SELECT id, CAST") + "), q AS (SELECT id, list_sort(list(sharpe)) AS s FROM sh GROUP BY id) SELECT id, s[2] AS lo, s[40] AS hi, s[3] AS p5, s[21] AS median FROM q"
-QUERIES["rsm_monte_carlo"] = lambda spark, d: statistics.monte_carlo_summary(statistics.monte_carlo(streams(spark, d), 365, 200, by=("id",)), ("id",))
-QUERIES["rsm_shuffled_falls"] = lambda spark, d: statistics.shuffled_falls(streams(spark, d), 100, by=("id",))
-QUERIES["rsm_reality_check"] = lambda spark, d: statistics.reality_check(streams(spark, d), 200)
+QUERIES["rsm_monte_carlo"] = lambda spark, d: statistics.monte_carlo_summary(statistics.monte_carlo(streams(spark, d), 365, by=("id",)), ("id",))
+QUERIES["rsm_shuffled_falls"] = lambda spark, d: statistics.shuffled_falls(streams(spark, d), by=("id",))
+QUERIES["rsm_reality_check"] = lambda spark, d: statistics.reality_check(streams(spark, d))
 
 
 def permutation(spark: SparkSession, d: str) -> DataFrame:
     """Chance that shuffled markets do as well, for the momentum document."""
     b = panels.bars_1d(spark, d)
     seen = run_doc(spark, d, "momentum").groupBy("symbol").agg(aggregates.sharpe(F.col("ret"), 365).alias("observed"))
-    many = statistics.permuted_markets(b, 20).withColumn("symbol", F.concat_ws("|", "symbol", "perm")).drop("perm")
+    many = statistics.permuted_markets(b, 200).withColumn("symbol", F.concat_ws("|", "symbol", "perm")).drop("perm")
     runs = backtest.returns(backtest.long_flat(expr.evaluate(many, DOCS["momentum"])), COST)
     sharpes = runs.groupBy("symbol").agg(aggregates.sharpe(F.col("ret"), 365).alias("sharpe")).withColumn("symbol", F.substring_index("symbol", "|", 1))
     return statistics.permutation_p(sharpes, seen).select("symbol", r("p").alias("p"))
@@ -367,9 +368,13 @@ SQL["prt_diversification"] = f"WITH {STREAMS}, {SHARED}, v AS (SELECT stddev_pop
 QUERIES["prt_marginal"] = lambda spark, d: portfolio.marginal_ratio(streams(spark, d), "5-LOW", 365).select(*[r(c).alias(c) for c in ("with_it", "without", "marginal", "max_corr")])
 
 
+#: Account sizes of a capacity curve.
+AUM = [1e4, 2.5e4, 5e4, 1e5, 2.5e5, 5e5, 1e6, 2.5e6, 5e6, 1e7, 2.5e7, 5e7, 1e8]
+
+
 def capacity(spark: SparkSession, d: str) -> DataFrame:
     run = run_doc(spark, d, "momentum").withColumn("ret", F.col("ret") / 50)
-    return portfolio.capacity(run, [1e4, 1e6, 1e8], 365, vol_rows=20, volume_rows=60).select("symbol", "aum", *[r(c, 5).alias(c) for c in ("net_sharpe", "participation")])
+    return portfolio.capacity(run, AUM, 365, vol_rows=20, volume_rows=60).select("symbol", "aum", *[r(c, 5).alias(c) for c in ("net_sharpe", "participation")])
 
 
 QUERIES["prt_capacity"] = capacity
