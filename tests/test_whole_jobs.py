@@ -52,6 +52,7 @@ def test_groups_of_few_blocks_stay(spark):
     [
         ("rsm_block_bootstrap", [("range(40)", "range(1000)")]),
         ("rsm_bootstrap_interval", [("range(40)", "range(1000)"), ("s[2]", "s[26]"), ("s[40]", "s[976]"), ("s[3]", "s[51]"), ("s[21]", "s[501]")]),
+        ("agg_kill_bars", [("LIMIT 3", "LIMIT 8")]),
         ("prt_capacity", [("[1e4, 1e6, 1e8]", "[1e4, 2.5e4, 5e4, 1e5, 2.5e5, 5e5, 1e6, 2.5e6, 5e6, 1e7, 2.5e7, 5e7, 1e8]")]),
     ],
 )
