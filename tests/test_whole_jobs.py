@@ -102,3 +102,16 @@ def test_reality_check_has_1000_replicates(spark, small):
 def test_permutation_has_200_markets(spark, sf_dir):
     p = np.array([r["p"] for r in queries.QUERIES["rsm_permutation"](spark, sf_dir).collect()])
     assert len(p) == 5 and np.abs(p * 201 - (p * 201).round()).max() < 1e-3 and np.abs(p * 21 - (p * 21).round()).max() > 1e-3
+
+
+def test_reality_check_gathers_no_matrix(spark, small):
+    assert "collect_list" not in queries.QUERIES["rsm_reality_check"](spark, "")._jdf.queryExecution().toString()
+
+
+def test_reality_check_of_streams_that_share_some_times(spark):
+    x = np.random.default_rng(8).normal(0.001, 0.02, (2, 60))
+    own = [(f"s{i}", k, None if (i, k) == (1, 7) else float(v)) for i, r in enumerate(x) for k, v in enumerate(r)] + [("s0", 99, 0.5)]
+    few = [(i, k, v) for i, k, v in own if k not in (7, 99)]
+    make = lambda rows: spark.createDataFrame(rows, "id string, ts int, ret double")
+    assert statistics.reality_check(make(own)).first() == statistics.reality_check(make(few)).first()
+    assert statistics.reality_check(make([("a", 0, 0.1), ("b", 1, 0.1)])).first().asDict() == {"p_reality": 1.0, "p_spa": 1.0}

@@ -128,30 +128,34 @@ def permutation_p(sharpes: DataFrame, observed: DataFrame, by: tuple[str, ...] =
 def reality_check(streams: DataFrame, reps: int = 1000, mean_block: float = 10, seed: int = 99) -> DataFrame:
     """One row: p of the best mean among streams (id, ts, ret) against none, plain and studentised (SPA).
 
-    Replicates resample the times of all streams alike. The matrix of a batch of candidates is one group; replicates are
-    dealt to tasks. Without a time that all streams share, both are 1.
+    Replicates resample the times of all streams alike: (rep, place, how often) as rows, joined by place with the returns.
+    Without a time that all streams share, both are 1.
     """
-    shared = streams.groupBy("ts").pivot("id").agg(F.first("ret")).dropna().orderBy("ts")
-    names = [c for c in shared.columns if c != "ts"]
-    rows = shared.select(F.array(*[F.col(f"`{c}`") for c in names]).alias("r"), "ts")
-    table = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "r"))), lambda x: x["r"]).alias("m"))
-    reps_df = table.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition("rep")
-
-    def run(batches):
+    own = streams.groupBy("id", "ts").agg(F.first("ret").alias("ret"))
+    known = own.dropna(subset=["ret"])
+    ids = own.agg(F.count_distinct("id").alias("ids"))
+    times = known.groupBy("ts").agg(F.count("*").alias("m")).join(F.broadcast(ids), F.col("m") == F.col("ids")).select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("k"))
+    shared = known.join(times, "ts").select("id", "k", "ret")
+    x = F.col("ret")
+    stats = shared.groupBy("id").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.greatest(F.stddev_pop(x), F.lit(1e-12)).alias("sd"))
+    hopeless = -F.sqrt(2 * F.log(F.log(F.greatest(F.col("n"), F.lit(3)))))
+    stats = stats.withColumn("kept", F.when(F.col("mean") * F.sqrt("n") / F.col("sd") >= hopeless, F.col("mean")).otherwise(0.0))
+
+    def draw(batches):
         for pdf in batches:
-            out = []
-            for m, rep in zip(pdf["m"], pdf["rep"], strict=True):
-                x = np.array([np.asarray(r, dtype=np.float64) for r in m])
-                if not len(x):
-                    out.append((True, True))
-                    continue
-                n, mean, sd = len(x), x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
-                again = x[stationary_indices(n, mean_block, np.random.default_rng([seed, int(rep)]))].mean(axis=0)
-                kept = np.where(mean * math.sqrt(n) / sd >= -math.sqrt(2 * math.log(math.log(max(n, 3)))), mean, 0.0)
-                out.append((bool((again - mean).max() >= mean.max()), bool(((again - kept) / sd).max() >= max(0.0, (mean / sd).max()))))
-            yield pd.DataFrame(out, columns=["plain", "studentised"])
-
-    return reps_df.mapInPandas(run, "plain boolean, studentised boolean").agg(F.avg(F.col("plain").cast("double")).alias("p_reality"), F.avg(F.col("studentised").cast("double")).alias("p_spa"))
+            for rep, n in pdf.itertuples(index=False):
+                if n:
+                    k, m = np.unique(stationary_indices(n, mean_block, np.random.default_rng([seed, rep])), return_counts=True)
+                    yield pd.DataFrame({"rep": rep, "k": k, "m": m})
+
+    numbers = streams.sparkSession.range(reps).crossJoin(F.broadcast(times.agg(F.count("*").alias("length"))))
+    drawn = numbers.mapInPandas(draw, "rep long, k int, m long")
+    again = drawn.join(shared, "k").groupBy("rep", "id").agg((F.sum(F.col("m") * x) / F.sum("m")).alias("again")).join(stats, "id")
+    plain = F.max(F.col("again") - F.col("mean")) >= F.max("mean")
+    studentised = F.max((F.col("again") - F.col("kept")) / F.col("sd")) >= F.greatest(F.lit(0.0), F.max(F.col("mean") / F.col("sd")))
+    by_rep = again.groupBy("rep").agg(plain.alias("plain"), studentised.alias("studentised"))
+    share = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(1.0))
+    return by_rep.agg(share("plain").alias("p_reality"), share("studentised").alias("p_spa"))
 
 
 def block_ratios(returns: DataFrame, blocks: int, per_year: float, by: tuple[str, ...] = ("config",)) -> DataFrame:
