@@ -36,7 +36,8 @@ def block_bootstrap(returns: DataFrame, per_year: float, reps: int = 1000, block
     drawn = drawn.withColumn("start", F.floor(uniform(F.lit(seed), F.col("rep") * blocks + F.col("b")) * F.col("n")))
     drawn = drawn.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("j") < F.col("n"))
     placed = drawn.select(*by, "rep", ((F.col("start") + F.col("j")) % F.col("n")).cast("int").alias("k"))
-    return placed.join(own.select(*by, "k", "ret"), [*by, "k"]).groupBy(*by, "rep").agg(aggregates.sharpe(F.col("ret"), per_year).alias("sharpe"))
+    # draws are made of few rows, so that their size looks like one to broadcast
+    return placed.hint("merge").join(own.select(*by, "k", "ret"), [*by, "k"]).groupBy(*by, "rep").agg(aggregates.sharpe(F.col("ret"), per_year).alias("sharpe"))
 
 
 def bootstrap_interval(sharpes: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
