@@ -43,6 +43,22 @@ def test_one_of_each_keeps_one_row_of_repeated_rows(spark):
     assert out == sorted([(1, "a b c d e f"), (None, "q r s t"), (5, "")], key=str)
 
 
+def test_stages_on_odd_rows_extra_columns_and_empty_tables(spark, sf_dir):
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, None, None, None, None), (None, "q r s t", "en", None, 7), (5, "", "en", "s", 0), (6, "long " * 5000, "fr", "t", 25000)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    more = own.withColumns({c: F.lit(1) for c in ("stage_key", "kept", "size", "y", "m", "i", "fp", "score", "piece", "length", "hash", "salt")})
+    for docs in (own, more, own.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf_dir)
+            assert out.count() >= (1 if docs is not None and k in (2, 3, 4) and not docs.isEmpty() else 0)
+            if k < 4:
+                assert out.columns == docs.columns
+            if docs.isEmpty():
+                assert out.isEmpty()
+    texts = [r["text"] for r in stages.mixed(own).collect()]
+    assert all(t in {r[1] for r in rows} or t for t in texts)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_with_sql(spark, sf_dir, name):
     import glob

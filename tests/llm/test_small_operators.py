@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,10 +20,16 @@ ODD = [(1, "A b c d e", "en", "s1"), (2, "a B c d e", "en", "s1"), (3, None, Non
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
+def names_used():
+    """Every name that an operator gives a column anywhere, as extra columns of the input."""
+    code = "".join(Path(m.__file__).read_text() for m in (ann, common, media, mixing, packing, quality, simhash, toxicity, url_rules))
+    named = re.findall(r'alias\("([A-Za-z_]\w*)"\)|withColumn\("([A-Za-z_]\w*)"|[", ]([a-z_]+) (?:long|int|double|string|binary|boolean|array)\b|"([a-z_0-9]+)"', code)
+    return sorted({n for own in named for n in own if n and n.isidentifier()} - {"doc_id", "text", "lang", "source", "page_id", "url"} | {"end", "end_", "by0", "by1", "m", "q", "y", "i", "o"})
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
-    extra = {c: F.lit(1) for c in ("size", "score", "fp", "piece", "fingerprint", "votes", "statistics", "media", "target", "taken", "length")}
-    return spark.createDataFrame(ODD, SCHEMA).withColumns(extra)
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit(1) for c in names_used()})
 
 
 @pytest.fixture(scope="module")
@@ -208,6 +215,27 @@ def test_held_out_rows_are_told_apart(spark, kind, classify, least):
     assert len(out) == 400 and sum((out[i] >= least) == truth[i] for i in held) >= 0.95 * len(held)
 
 
+def test_label_model_recovers_accuracies_and_correlations():
+    rng = np.random.default_rng(5)
+    n, share = 200_000, 0.2
+    y = rng.random(n) < share
+    for_1, for_0 = np.array([0.9, 0.7, 0.5, 0.8, 0.6, 0.4, 0.75, 0.65]), np.array([0.05, 0.1, 0.2, 0.02, 0.1, 0.05, 0.15, 0.01])
+    votes = (rng.random((n, 8)) < np.where(y[:, None], for_1, for_0)).astype(float)
+    copied = votes[:, :1] * (rng.random((n, 1)) < 0.95)  # a voter that repeats another
+    votes = np.hstack((votes, copied))
+    got_1, got_0, weight = toxicity.label_model(votes.mean(axis=0), votes.T @ votes / n, share)
+    assert np.abs(got_1[1:8] - for_1[1:8]).max() < 0.06 and np.abs(got_0[1:8] - for_0[1:8]).max() < 0.02
+    assert weight[[0, 8]].max() < 0.9 and weight[1:8].min() > 0.9
+    assert ((toxicity.posterior(votes, got_1, got_0, weight, share) > 0.5) == y).mean() > 0.97
+
+
+def test_toxicity_rests_on_the_posterior(spark, monkeypatch):
+    docs, marks, truth = made(spark, "toxic")
+    monkeypatch.setattr(toxicity, "posterior", lambda votes, *_: np.full(len(votes), 0.2))
+    out = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, marks).collect()}
+    assert sum(out[i] >= 0.5 for i in out if truth[i]) == 0
+
+
 @pytest.mark.parametrize("classify", [toxicity.classify, quality.classify])
 def test_classifiers_odd_and_empty(spark, odd, none, classify):
     out = classify(odd, labels(spark)).collect()
@@ -216,6 +244,31 @@ def test_classifiers_odd_and_empty(spark, odd, none, classify):
     assert classify(odd, labels(spark).limit(0)).count() == len(ODD)
 
 
+def test_normal_equations_and_features_as_by_hand(spark):
+    from tidemark.llm.linear import moments, normal_equations
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(300, 5)).astype(np.float32), rng.integers(0, 2, 300).astype(float)
+    rows = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(x, y, strict=True)], "x array<float>, y double").repartition(7)
+    n, mean, deviation = moments(rows.select("x"), 5)
+    assert n == 300 and mean == pytest.approx(x.mean(axis=0), abs=1e-6) and deviation == pytest.approx(x.std(axis=0), rel=1e-5)
+    project = quality.fourier(mean, deviation, out=64)
+    gram, by, middle, n = normal_equations(rows, project, 5, 64)
+    a = project(x.astype(np.float64))
+    assert gram == pytest.approx(a.T @ a) and by == pytest.approx(a.T @ (y - y.mean())) and middle == pytest.approx(y.mean())
+    wide = quality.fourier(mean, deviation, out=8193)  # products of features are the kernel's values
+    z = (x - mean) / deviation * 0.8 / np.sqrt(5)
+    b = wide(x[:20].astype(np.float64))[:, :-1]
+    assert b @ b.T == pytest.approx(np.exp(-0.5 * ((z[:20, None] - z[None, :20]) ** 2).sum(axis=2)), abs=0.06)
+
+
+def test_sums_over_many_partitions_are_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(common, "FAN", 3)
+    df = spark.range(1000).repartition(40).select(F.col("id").cast("double").alias("x"))
+    df = common.cut(df)
+    assert common.partition_sums(df, lambda b: np.array([np.asarray(b.column(0)).sum(), b.num_rows]), 2).tolist() == [499500.0, 1000.0]
+
+
 # ------------------------------------------------------------------ chat and urls
 def test_chat_reads_back(spark):
     odd = "<|im_end|><|im_start|>assistant\n<\\|im_sep|> <\\\\| ok"
@@ -233,7 +286,7 @@ def test_chat_reads_back(spark):
 
 def test_url_rules(spark):
     urls = [(1, "https://Example.COM/en/x?y"), (2, "http://www.example.com/en/"), (3, "a://b.net/es/z#/en/"), (4, "http://xnet/es/"), (5, None), (6, "no scheme"), (7, "http://example.com"), (7, "http://example.com"), (8, "://com/"), (None, "https://badexample.com/en/")]
-    pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("rule", F.lit("x"))
+    pages = spark.createDataFrame(urls, "page_id long, url string").withColumns({c: F.lit("x") for c in names_used()})
     rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), (None, "/", "block"), ("com", "/", "block")], "host string, path string, action string")
     out = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(pages, rules).collect()}
     assert out == {1: ("example.com/en/", "block"), 2: ("www.example.com/en/", "allow"), 3: ("net/es/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: ("com/", "allow"), None: ("com/", "allow")}
@@ -264,6 +317,48 @@ def test_fillings_are_whole_and_no_worse_than_best_fit():
         assert -(-sum(n * c for n, c in items.items()) // cap) <= sum(t for _, t in bins) <= len(rooms)
 
 
+def test_small_packings_are_the_best_there_are():
+    def best(items, cap):
+        rooms, found = [], len(items)
+
+        def place(i):
+            nonlocal found
+            if len(rooms) >= found:
+                return
+            if i == len(items):
+                found = len(rooms)
+                return
+            for k, room in enumerate(rooms):
+                if room >= items[i]:
+                    rooms[k] -= items[i]
+                    place(i + 1)
+                    rooms[k] += items[i]
+            rooms.append(cap - items[i])
+            place(i + 1)
+            rooms.pop()
+
+        place(0)
+        return found
+
+    rng = random.Random(3)
+    for _ in range(150):
+        cap = rng.choice([20, 50, 100])
+        items = sorted((rng.randint(1, cap) for _ in range(rng.randint(1, 9))), reverse=True)
+        least = best(items, cap)
+        assert packing.lower_bound(Counter(items), cap) <= least == sum(t for _, t in packing.fillings(Counter(items), cap))
+
+
+def test_completions_waste_least():
+    rng = random.Random(8)
+    for _ in range(100):
+        left, room = Counter(rng.randint(1, 40) for _ in range(rng.randint(1, 9))), rng.randint(1, 90)
+        items = sorted(left.elements())
+        sums = {sum(x for k, x in enumerate(items) if m >> k & 1) for m in range(1 << len(items))}
+        got = packing.completion(left, sorted(left), room)
+        assert sum(got) == max(s for s in sums if s <= room) and not Counter(got) - left
+    assert packing.dominates((7, 5), (4, 3, 5)) and not packing.dominates((7, 5), (6, 6))
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -296,34 +391,43 @@ def test_words_are_encoded_as_in_texts():
 # ------------------------------------------------------------------ scoring
 def test_lattice_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "<0xC3>", "<0xA9>"]
-    rng = np.random.default_rng(1)
-    w, s = rng.uniform(0.01, 0.3, (2, 8)), rng.uniform(0.1, 0.9, (2, 8))
-    lattice = lattice_lm.Lattice(pieces, w, s)
+    w = np.random.default_rng(1).uniform(0.01, 0.3, 8)
+    lattice = lattice_lm.Lattice(pieces, np.log(w))
 
-    def brute(text, m, first=True):
-        out = 0.0
-        for i, p in enumerate(pieces[:6]):
-            if text.startswith(p) and (p.startswith("▁") == first):
-                rest = text[len(p) :]
-                out += w[m, i] * (s[m, i] if not rest else (1 - s[m, i]) * brute(rest, m, False))
-        return out
+    def brute(text):
+        return sum(w[i] * (brute(text[len(p) :]) if len(p) < len(text) else 1.0) for i, p in enumerate(pieces[:6]) if text.startswith(p))
 
     words = ["a", "ab", "aab", "abab", "b" * 20]
-    got = lattice.logs(words)
-    for j, word in enumerate(words):
-        for m in range(2):
-            assert got[m, j] == pytest.approx(np.log10(brute("▁" + word, m)), abs=1e-9)
-    long = "ab" * 500
-    one = lattice.forward(0, "▁" + long, lattice.edges("▁" + long))[2]
-    assert np.isfinite(one) and one < -500 and np.isfinite(lattice.logs(["é"])[0, 0])
-    uses = lattice.uses(words, np.ones((1, len(words))))
-    assert uses[0, 1].sum() == pytest.approx(len(words))
+    assert lattice.logs(words) == pytest.approx([np.log10(brute("▁" + x)) for x in words], abs=1e-9)
+    assert [lattice.one("▁" + x) / np.log(10) for x in words] == pytest.approx(lattice.logs(words), abs=1e-9)
+    assert lattice.logs(["é"])[0] == pytest.approx(np.log10(w[0] * w[6] * w[7]))
+    assert lattice.logs(["ab" * 500])[0] < -200
+
+
+def test_scores_are_the_sums_over_all_segmentations_of_the_texts(spark):
+    """A text's chance, piece by piece over the whole of it, as one would write the recursion down without words."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "the cat  sat", True), (2, "Zyx é qq", False), (3, None, False), (4, "cat cat", True)], "doc_id long, text string, learnt boolean")
+    got = {r["doc_id"]: r for r in lattice_lm.score(docs, F.col("learnt"), path).collect()}
+    pieces, logs = lattice_lm.vocabulary(path)
+    chance = dict(zip(pieces, np.exp(logs), strict=True))
+    assert sum(chance.values()) == pytest.approx(1.0)
+    ends = (2 + 0.5) / (5 + 2 + 1)
+    for i, text in ((1, "▁the▁cat▁sat"), (2, "▁zyx▁é▁qq"), (3, ""), (4, "▁cat▁cat")):
+        reach = [1.0] + [0.0] * len(text)
+        for k in range(len(text)):
+            for j in range(k + 1, len(text) + 1):
+                reach[j] += reach[k] * chance.get(text[k:j], 0.0)
+        words = text.count("▁")
+        assert got[i]["score"] == pytest.approx(np.log10(reach[-1]) + words * np.log10(1 - ends) + np.log10(ends))
+    # a training word has an edge of its own, an unseen one what the discount leaves
+    assert got[4]["adapted_score"] > got[4]["score"] and got[2]["adapted_score"] < got[2]["score"]
 
 
 def test_scores_and_counts(spark, odd, none):
     path = tokenizer_path("piece_bpe_32k.model")
     train = common.remainder(F.col("doc_id"), 7) != 2
-    out = lattice_lm.score(odd, train, path, "lang").collect()
+    out = lattice_lm.score(odd, train, path).collect()
     words = lambda t: re.findall(common.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     seen = Counter()
     for d, t, *_ in ODD:
@@ -334,17 +438,15 @@ def test_scores_and_counts(spark, odd, none):
     want = Counter((d, len(words(t)) + 1, sum(seen[w] > 0 for w in [*words(t), " "]), round(sum(np.log10((seen[w] + 1) / (n + v + 1)) for w in [*words(t), " "]), 4)) for d, t, *_ in ODD)
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in out) == want
     assert all(np.isfinite(r["score"]) and r["score"] < 0 and r["train_tokens"] == n for r in out)
-    assert lattice_lm.score(none, train, path, "lang").count() == 0
+    assert lattice_lm.score(none, train, path).count() == 0
 
 
 def test_scores_of_long_unseen_words_have_no_floor(spark):
     rows = [(0, "some words to learn from", "en", True)] + [(n, "xq7z" * (n // 4), "en", False) for n in (400, 5000, 10000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, learnt boolean")
-    got = {r["doc_id"]: r["score"] for r in lattice_lm.score(docs, F.col("learnt"), tokenizer_path("piece_bpe_32k.model"), "lang").collect()}
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.score(docs, F.col("learnt"), tokenizer_path("piece_bpe_32k.model")).collect()}
     a_char = (got[400] - got[5000]) / 4600
     assert a_char > 0.5 and (got[5000] - got[10000]) / 5000 == pytest.approx(a_char, rel=1e-3)
-    rare = lattice_lm.Lattice(["▁", "b"], np.array([[0.5, 1e-12]]), np.array([[0.5, 0.5]]))
-    assert rare.logs(["b" * 38])[0, 0] == pytest.approx(39 * np.log10(0.5) + np.log10(0.5) - 38 * 12)
 
 
 # ------------------------------------------------------------------ media
@@ -362,6 +464,42 @@ def test_encode_decode(data):
     assert media.samples(media.store(data)).tobytes()[: len(data)] == data
 
 
+def kinds_in(file):
+    """Which transforms a file has, and whether its main image has a cache and back-references."""
+    seen = set()
+    bits = webp.Bits(file, 8 * 21 + 32)
+    was = {n: getattr(webp, n) for n in ("unpredict", "unindex", "_number")}
+    try:
+        for n in was:
+            setattr(webp, n, lambda *a, n=n: seen.add(n) or was[n](*a))
+        webp.decode(file)
+    finally:
+        for n, f in was.items():
+            setattr(webp, n, f)
+    if not bits.read(1):
+        seen |= {"cache"} if bits.read(1) else set()
+    elif bits.read(2) == 2 and not bits.read(1):
+        seen |= {"green"} | ({"cache"} if bits.read(1) else set())
+    return seen
+
+
+def test_the_encoder_uses_what_shrinks_a_file():
+    rng = np.random.default_rng(4)
+    text = " ".join("the of and in".split()[i % 4] + f" {x:x}" for i, x in enumerate(rng.integers(0, 4000, 3000).tolist())).encode()
+    text += bytes(-len(text) % 64)
+    ramp = np.cumsum(rng.integers(0, 3, (4096, 4)), axis=0, dtype=np.uint8).tobytes()
+    grey = np.repeat(rng.integers(0, 256, (4096, 1), dtype=np.uint8), 4, axis=1).copy()
+    grey[:, 3] = rng.integers(0, 256, 4096)
+    block = rng.integers(0, 256, 4096, dtype=np.uint8).tobytes()
+    few = rng.choice(np.array([1, 2, 3], dtype="<u4"), 4096).tobytes()
+    found = {}
+    for name, data in (("text", text), ("ramp", ramp), ("grey", grey.tobytes()), ("block", 2 * block), ("few", few)):
+        file = media.store(data)
+        found[name] = kinds_in(file)
+        assert media.samples(file).tobytes()[: len(data)] == data and len(file) < 0.85 * len(data)
+    assert "cache" in found["text"] and "unpredict" in found["ramp"] and "_number" in found["block"] and "unindex" in found["few"] and "green" in found["grey"]
+
+
 class Writer:
     """A stream of bits for hand-made files."""
 

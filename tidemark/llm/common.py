@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,17 +21,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in spark.checkpoint.dir.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; where none is set, as in tests, a new temporary one.
+    A local session, whose executors are the driver itself, may leave it unset: it then has a folder of its own. On a
+    cluster an unset one is an error, since a folder of one machine would lose what another needs.
     """
+    sc = spark.sparkContext
+    if folder := sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    from tempfile import mkdtemp
+
+    sc.setCheckpointDir(mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the shared checkpoint folder, so that lost executors cost no recomputation."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def others(df: DataFrame, *replaced: str) -> list[str]:
+    """The columns of df but for those named, in upper or lower case."""
+    names = {c.lower() for c in replaced}
+    return [c for c in df.columns if c.lower() not in names]
+
+
+def packed_up(columns: list[str]) -> Column:
+    """Columns as one struct named `kept`, in which no name of theirs can clash with one of an operator's own.
+
+    With a field more, so that it has one if there are no columns.
+    """
+    more = "end"
+    while more in {c.lower() for c in columns}:
+        more += "_"
+    return F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(None).cast("boolean").alias(more)).alias("kept")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(f"kept.`{c}`").alias(c) for c in columns]
+
+
+def hot(counted: DataFrame, rows: int, n: str = "n") -> DataFrame:
+    """Of keys and how many rows have them, those so frequent that they would hold up a task of a shuffle.
+
+    At most 10,000 keys can have over a ten-thousandth of all rows: what joins with them can be broadcast.
+    """
+    return counted.where(F.col(n) > max(500, rows // 10_000))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -48,7 +92,7 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
     Of an id that is labelled repeatedly, y is the mean. At most `most` ids, those with the smallest hash: a uniform sample
     of a fixed greatest size, small enough to broadcast.
     """
-    own = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("double").alias("y"))
+    own = labels.select("doc_id", F.col(label).cast("double").alias("y"))
     own = own.where(F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0) & (remainder(F.col("doc_id"), 5) != 0))
     own = own.groupBy("doc_id").agg(F.avg("y").alias("y"))
     return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -66,11 +110,15 @@ def wider(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.Re
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def partition_sums(df: DataFrame, parts: Callable[[pa.RecordBatch], np.ndarray], width: int, groups: int = 16, wide: bool = False) -> np.ndarray:
+#: Vectors that a task of partition_sums adds up.
+FAN = 64
+
+
+def partition_sums(df: DataFrame, parts: Callable[[pa.RecordBatch], np.ndarray], width: int, wide: bool = False) -> np.ndarray:
     """Sum of parts(batch), vectors of `width` doubles, over all batches of all partitions.
 
-    Each partition sends one vector to one of `groups` groups, which are summed by tasks; the driver adds up `groups` rows.
-    wide: of short rows, many to a batch.
+    Each partition makes one vector; these are added up as a tree, `FAN` by one task, so that no task holds more, however
+    many partitions there are; the driver gets one vector. df: read without a shuffle. wide: of short rows, many to a batch.
     """
     from pyspark import TaskContext
 
@@ -81,17 +129,20 @@ def partition_sums(df: DataFrame, parts: Callable[[pa.RecordBatch], np.ndarray],
                 total += parts(batch)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        yield pa.RecordBatch.from_arrays([pa.array([part % groups], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([part // FAN], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "v"])
 
-    def added(pdf):
+    def added(own: pa.Table) -> pa.Table:
         total = np.zeros(width)
-        for v in pdf["v"]:
-            total += np.frombuffer(v)
-        return pdf.head(1).assign(v=total.tobytes())
-
-    summed = df.mapInArrow(partial, "g int, v binary").groupBy("g").applyInPandas(added, "g int, v binary")
+        for v in own.column("v"):
+            total += np.frombuffer(v.as_buffer())
+        return pa.table({"g": pa.array([own.column("g")[0].as_py() // FAN], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    partitions = max(1, df.rdd.getNumPartitions())
+    summed = df.mapInArrow(partial, "g int, v binary")
+    for _ in range(max(1, math.ceil(math.log(partitions, FAN)))):
+        summed = summed.groupBy("g").applyInArrow(added, "g int, v binary")
     total = np.zeros(width)
-    for row in sorted(summed.collect(), key=lambda r: r["g"]):
+    for row in summed.collect():
         total += np.frombuffer(row["v"])
     return total
 

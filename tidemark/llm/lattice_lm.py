@@ -1,22 +1,20 @@
 """Language-model scores by the likelihood of a subword lattice.
 
-A text is a run of words and an end. A word's probability is that of all its segmentations into pieces of an existing
-vocabulary, summed by a forward recursion: a first piece that carries the mark of a word's start, then further pieces, and
-after each piece a choice to stop. The vocabulary's own scores weight the segmentations; expected counts over all distinct
-training words under these weights, one expectation step, then give each group of documents its weights and each piece's
-chance to end a word, the vocabulary itself staying as it is. A word of the training documents is one more edge, over the
-whole word, with its discounted share of the group's words; what the discount leaves goes to the lattice.
-
-A text's probability is marginal over the groups, too (a training document's group is a column such as its language; a
-scored one's is summed out), and the words of a text weigh in with `CACHE` pseudo-counts against those that the text has
-used before, as in a Dirichlet-multinomial, which doesn't depend on their order.
-
-Words: every distinct word is counted and scored once. Those of the frequent end, at most `HOT`, go to the tasks, so that
-a document's sums need a join for its rare words only.
+A text is a run of words, each with a mark before it, and an end. Its probability is that of all ways to segment it into
+pieces of an existing vocabulary, each piece drawn by the vocabulary's own score: scores that are logarithms of chances
+count as they stand; ranks, of a vocabulary of merges, become chances by Zipf's law, 1 / (`RANK` + rank). No piece goes on
+beyond a word, so that the sum over all segmentations is a product over the words, each by a forward recursion in
+logarithms. The end is one more piece, with the share that ends have among the tokens of the training documents. The
+vocabulary is not trained: the score learns nothing else from the corpus. Two further numbers do: the base score, from the
+training documents' words alone, and the adapted score, in which a training word is one more edge of the lattice, over
+the whole word, with its discounted share of the training words; what the discount leaves goes to the pieces.
+
+Words: every distinct word is counted and its lattice summed once. The most frequent, at most `HOT`, go to the tasks, so
+that a document's sums need a join for its rare words only; a rare word has under 1 / `HOT` of all words.
 
 Nulls and odd rows: a null text is empty: the end alone; a null id is hashed as empty text; repeated rows are kept, each
-with its own score; a null group is one with the rarest; an empty table gives an empty result. Characters that no piece
-holds are spelt by byte pieces. Columns of the input other than those named are not kept.
+with its own score; an empty table gives an empty result. Characters that no piece holds are spelt by byte pieces. Columns
+of the input other than those named are not kept.
 """
 
 from __future__ import annotations
@@ -31,28 +29,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partition_sums, wider
+from .common import cut, wider
 
-#: Most groups: the largest by training documents, and the rest as one.
-GROUPS = 5
 #: Most words whose scores are sent to every task, and distinct words that a task counts before it sends them on.
 HOT, COUNTED = 300_000, 500_000
-#: Pseudo-counts of the vocabulary's own weights, of a word's end after a piece, and of all words against the text's own.
-PRIOR, STOP_PRIOR, CACHE = 500.0, 4.0, 2000.0
-#: Chance to stop before anything is known, and the share of unseen words' mass that follows the words of all groups.
-STOP, SHARED = 0.4, 0.3
-MARK, TINY = "▁", 1e-300
-#: Below this, chances in plain doubles are worked out again with scales.
-FAINT = 1e-280
+#: What is added to ranks, and the chance of a byte that the vocabulary has no piece for.
+RANK, NO_BYTE = 50.0, 1e-6
+MARK = "▁"
 #: Longest word, with its mark, of which many are scored together.
 LONG = 40
 
 
 class Lattice:
-    """Pieces with a probability each, and the chance that a word ends after each, in several models."""
+    """Pieces with the natural logarithm of a chance each."""
 
-    def __init__(self, pieces: list[str], weights: np.ndarray, stops: np.ndarray) -> None:
-        """weights and stops: a row for each model."""
+    def __init__(self, pieces: list[str], logs: np.ndarray) -> None:
         self.index = {p: i for i, p in enumerate(pieces)}
         # by character: the piece that ends there, or -1, and what may follow
         self.first: dict[str, tuple[int, dict]] = {}
@@ -61,88 +52,43 @@ class Lattice:
             for c in piece[:-1]:
                 node = node.setdefault(c, (-1, {}))[1]
             node[piece[-1]] = (i, node.get(piece[-1], (-1, {}))[1])
-        self.longest = max(map(len, pieces), default=1)
-        self.spelling = [self.index.get(f"<0x{b:02X}>") for b in range(256)]
-        self.on = [(w * (1 - s)).tolist() for w, s in zip(weights, stops, strict=True)]
-        self.end = [(w * s).tolist() for w, s in zip(weights, stops, strict=True)]
-        self.p = [w.tolist() for w in weights]
-        self._tables: tuple[np.ndarray, np.ndarray] | None = None
-
-    def edges(self, text: str) -> list[list[tuple[int, int]]]:
-        """By start: (end, piece); a character that is no piece is spelt by its bytes, as piece -1."""
-        out = []
-        for a in range(len(text)):
-            own, node = [], self.first
-            for b in range(a, len(text)):
-                if (e := node.get(text[b])) is None:
+        self.log = logs.tolist()
+        self.table = np.append(logs, -np.inf)  # the last: no piece
+        self.spelling = [self.log[k] if (k := self.index.get(f"<0x{b:02X}>")) is not None else math.log(NO_BYTE) for b in range(256)]
+
+    def one(self, text: str) -> float:
+        """ln of the chances of all segmentations of a text of any length, by the forward recursion."""
+        n, first, log = len(text), self.first, self.log
+        into: list[list[float]] = [[] for _ in range(n + 1)]  # by place: the logarithms of the ways to get there
+        into[0].append(0.0)
+        reached = 0.0
+        for i in range(n):
+            most = max(into[i])
+            reached = most + math.log(sum(math.exp(x - most) for x in into[i]))
+            into[i] = []
+            node, single = first, False
+            for j in range(i, n):
+                if (e := node.get(text[j])) is None:
                     break
                 k, node = e
                 if k >= 0:
-                    own.append((b + 1, k))
-            out.append(own if own and own[0][0] == a + 1 else [(a + 1, -1), *own])
-        return out
-
-    def spelt(self, model: int, char: str) -> float:
-        out = 1.0
-        for b in char.encode("utf-8", "surrogatepass"):
-            k = self.spelling[b]
-            out *= self.p[model][k] if k is not None else 1e-6
-        return out
-
-    def forward(self, model: int, text: str, edges: list[list[tuple[int, int]]]) -> tuple[list[float], list[float], float]:
-        """The chance to reach each place and go on there, the logarithm of its scale, and the natural log of P(text)."""
-        n, on, end = len(text), self.on[model], self.end[model]
-        reach, scales, ended, shift = [0.0] * (n + 1), [0.0] * (n + 1), 0.0, 0.0
-        reach[0] = 1.0
-        for i in range(n):
-            if (a := reach[i]) < 1e-100:  # long words: all that is still to come is scaled up
-                for j in range(i, min(n, i + self.longest)):  # nothing further on has been reached
-                    reach[j] *= 1e100
-                ended *= 1e100
-                shift -= 100 * math.log(10)
-                a = reach[i]
-            scales[i] = shift
-            for j, k in edges[i]:
-                if k < 0:
-                    q = a * self.spelt(model, text[i])
-                    if j < n:
-                        reach[j] += q * (1 - STOP)
-                    else:
-                        ended += q * STOP
-                elif j < n:
-                    reach[j] += a * on[k]
-                else:
-                    ended += a * end[k]
-        return reach, scales, math.log(max(ended, TINY)) + shift
+                    into[j + 1].append(reached + log[k])
+                    single = single or j == i
+            if not single:
+                into[i + 1].append(reached + sum(self.spelling[b] for b in text[i].encode("utf-8", "surrogatepass")))
+        most = max(into[n])
+        return most + math.log(sum(math.exp(x - most) for x in into[n]))
 
     def logs(self, words: list[str]) -> np.ndarray:
-        """log10 of the words' probabilities: a row for each model."""
-        out = np.zeros((len(self.p), len(words)))
-        for own, ids, odd in self.alike(words):
-            if odd:
-                scaled = own
-            else:
-                _, ended = self.reached(ids)
-                out[:, own] = np.log10(np.maximum(ended, TINY))
-                scaled = [own[i] for i in np.flatnonzero((ended < FAINT).any(axis=0))]
-            for i in scaled:
-                text = MARK + words[i]
-                edges = self.edges(text)
-                out[:, i] = [self.forward(m, text, edges)[2] / math.log(10) for m in range(len(self.p))]
-        return out
-
-    def alike(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, bool]]:
-        """Words of one length together: their places and, by start and length, their pieces (the number of all for none).
-
-        Words over LONG and those with a character that is no piece come alone, marked as odd.
-        """
+        """log10 of the words' chances. Words of one length are summed together, place by place, in logarithms."""
         first, none = self.first, len(self.index)
+        out = np.zeros(len(words))
         by_size: dict[int, tuple[list[int], list[int], list[int]]] = {}
         for i, word in enumerate(words):
             text = MARK + word
             n = len(text)
             if n > LONG or any(c not in first or first[c][0] < 0 for c in text):
-                yield [i], np.zeros(0), True
+                out[i] = self.one(text)
                 continue
             own, at, found = by_size.setdefault(n, ([], [], []))
             base = len(own) * n * n
@@ -157,229 +103,102 @@ class Lattice:
                         found.append(k)
             own.append(i)
         for n, (own, at, found) in by_size.items():
-            if own:
-                ids = np.full(len(own) * n * n, none, dtype=np.int32)
-                ids[at] = found
-                yield own, ids.reshape(len(own), n, n), False
-
-    def reached(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of words of one length, by model: the chance to reach each place and go on, and to end."""
-        on, end = self.tables()
-        words, n, _ = ids.shape
-        reach, ended = np.zeros((n, len(on), words)), np.zeros((len(on), words))
-        reach[0] = 1.0
-        none = on.shape[1] - 1
-        for a in range(n):
-            for size in range(1, n - a + 1):
-                k = ids[:, a, size - 1]
-                if (k == none).all():
-                    continue
-                if a + size < n:
-                    reach[a + size] += reach[a] * on[:, k]
-                else:
-                    ended += reach[a] * end[:, k]
-        return reach, ended
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Chances to go on and to end after each piece, with 0 for no piece."""
-        if self._tables is None:
-            self._tables = tuple(np.hstack((np.array(x), np.zeros((len(x), 1)))) for x in (self.on, self.end))
-        return self._tables
-
-    def uses(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece under the first model, and those that end a word, for each row of word weights."""
-        k = len(self.index)
-        out = np.zeros((len(weights), 2, k + 1))
-        on, end = (x[0] for x in self.tables())
-
-        def add(piece: np.ndarray, times: np.ndarray, ends: bool, own) -> None:
-            for g, w in enumerate(weights[:, own]):
-                if w.any():
-                    count = np.bincount(piece, times * w, k + 1)
-                    out[g, 0] += count
-                    if ends:
-                        out[g, 1] += count
-
-        for own, ids, odd in self.alike(words):
-            if odd:
-                for piece, times, ends in self.expected(words[own[0]]):
-                    add(np.array([piece]), np.array([times]), ends, own)
-                continue
-            reach, ended = (x[..., 0, :] for x in self.reached(ids))
-            n = ids.shape[1]
-            after = np.zeros((n + 1, len(own)))
-            pieces, times, last_pieces, last_times = [], [], [], []
-            for a in range(n - 1, -1, -1):
+            ids = np.full(len(own) * n * n, none, dtype=np.int32)
+            ids[at] = found
+            ids = ids.reshape(len(own), n, n)
+            reach = np.full((n + 1, len(own)), -np.inf)
+            reach[0] = 0.0
+            for a in range(n):
                 for size in range(1, n - a + 1):
-                    own_ids = ids[:, a, size - 1]
-                    if (own_ids == k).all():
-                        continue
-                    step = on[own_ids] * after[a + size] if a + size < n else end[own_ids]
-                    after[a] += step
-                    (pieces if a + size < n else last_pieces).append(own_ids)
-                    (times if a + size < n else last_times).append(reach[a] * step / np.maximum(ended, TINY))
-            for p, t, ends in ((pieces, times, False), (last_pieces, last_times, True)):
-                if p:
-                    add(np.concatenate(p), np.concatenate(t), ends, np.tile(own, len(p)))
-        return out[:, :, :k]
-
-    def expected(self, word: str, model: int = 0) -> list[tuple[int, float, bool]]:
-        """(piece, expected uses, whether it ends the word) over all segmentations of the word."""
-        text = MARK + word
-        n, on, end, edges = len(text), self.on[model], self.end[model], self.edges(text)
-        reach, scales, total = self.forward(model, text, edges)
-        spell = lambda i: self.spelt(model, text[i])
-        if not scales[-2]:  # nothing was scaled: plain numbers do
-            after, scale = [0.0] * n + [1.0], 1.0 / math.exp(total)
-            for i in range(n - 1, -1, -1):
-                after[i] = sum((on[k] * after[j] if j < n else end[k]) if k >= 0 else spell(i) * ((1 - STOP) * after[j] if j < n else STOP) for j, k in edges[i])
-            return [(k, reach[i] * scale * (on[k] * after[j] if j < n else end[k]), j == n) for i in range(n) for j, k in edges[i] if k >= 0]
-        logs = [0.0] * (n + 1)
-        log = lambda x: math.log(max(x, TINY))
-        step = lambda i, j, k: log((on[k] if j < n else end[k]) if k >= 0 else spell(i) * ((1 - STOP) if j < n else STOP)) + logs[j]
-        for i in range(n - 1, -1, -1):
-            each = [step(i, j, k) for j, k in edges[i]]
-            logs[i] = max(each) + math.log(sum(math.exp(x - max(each)) for x in each))
-        return [(k, math.exp(min(0.0, log(reach[i]) + scales[i] + step(i, j, k) - total)), j == n) for i in range(n) for j, k in edges[i] if k >= 0]
+                    k = ids[:, a, size - 1]
+                    if (use := np.flatnonzero(k != none)).size:
+                        reach[a + size, use] = np.logaddexp(reach[a + size, use], reach[a, use] + self.table[k[use]])
+            out[own] = reach[n]
+        return out / math.log(10)
 
 
 def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
-    """The pieces of a vocabulary and the weights that its own scores give them.
+    """The pieces of a vocabulary and the natural logarithms of the chances that its own scores give them, 1 in all.
 
-    Scores that are logarithms count as such; ranks (whole numbers downwards, as of merges) weigh by Zipf's law.
+    A byte piece without a score of its own has that of the rarest piece.
     """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces, weights = [], []
-    for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or MARK in piece[1:]:
-            continue
-        score = model.get_score(i)
-        pieces.append(piece)
-        weights.append(1e-6 if model.is_byte(i) else 1.0 / (50.0 - score) if score == int(score) else math.exp(score))
-    return pieces, np.array(weights)
-
-
-def normalised(pieces: list[str], counts: np.ndarray) -> np.ndarray:
-    """Shares among the pieces that start a word, and among the others."""
-    first = np.array([p.startswith(MARK) for p in pieces])
-    out = counts.copy()
-    for own in (first, ~first):
-        out[own] /= out[own].sum()
-    return out
-
-
-def groups_of(docs: DataFrame, train: Column, group: str | None) -> list[str]:
-    """The groups that are learnt apart: the largest by training documents, but for one that takes all others."""
-    if group is None:
-        return []
-    most = docs.where(train & F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n"))
-    return [r["g"] for r in most.orderBy(F.desc("n"), "g").limit(GROUPS - 1).collect()]
-
-
-def word_table(docs: DataFrame, train: Column, number: Column, k: int, text: str) -> DataFrame:
-    """(word, n, c0, ...): every distinct word, how often all documents have it, and the training documents of each group."""
-    own = docs.select(F.when(train, number).otherwise(k).cast("int").alias("g"), F.col(text).alias("text"))
+    kept = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or MARK in model.id_to_piece(i)[1:])]
+    scores = np.array([model.get_score(i) for i in kept], dtype=np.float64)
+    byte = np.array([model.is_byte(i) for i in kept])
+    ranks = bool((scores == np.round(scores)).all())
+    logs = -np.log(RANK - scores) if ranks else scores
+    if byte.any() and not byte.all():
+        logs = np.where(byte, logs[~byte].min(), logs)
+    return [model.id_to_piece(i) for i in kept], logs - np.logaddexp.reduce(logs)
+
+
+def word_table(docs: DataFrame, train: Column, text: str) -> DataFrame:
+    """(word, n, c): every distinct word, how often all documents have it, and the training documents."""
+    own = docs.select(F.coalesce(train, F.lit(False)).alias("train"), F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[Counter] = [Counter() for _ in range(k + 1)]
+        seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for g, own in enumerate(seen):
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([g] * len(own), pa.int8()), pa.array(list(own.values()), pa.int64())], ["word", "g", "n"])
+            for learnt, own in seen.items():
+                n = pa.array(list(own.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), n, n if learnt else pa.array(np.zeros(len(own), dtype=np.int64))], ["word", "n", "c"])
                 own.clear()
 
         for batch in batches:
-            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[g].update((x or "").encode("utf-8", "surrogatepass").lower().split())
-            if sum(map(len, seen)) > COUNTED:
+            for learnt, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[learnt].update((x or "").encode("utf-8", "surrogatepass").lower().split())
+            if sum(map(len, seen.values())) > COUNTED:
                 yield from out()
         yield from out()
 
-    counts = [F.sum(F.when(F.col("g") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(k)]
-    return own.mapInArrow(count, "word binary, g byte, n long").groupBy("word").agg(F.sum("n").alias("n"), *counts)
-
-
-def fit(words: DataFrame, vocabulary_path: str, k: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Pieces, and for each group their probabilities and their chances to end a word.
-
-    Every distinct training word counts once for each group that has it: the lattice is for words not seen before.
-    """
-    pieces, own = vocabulary(vocabulary_path)
-    own = normalised(pieces, own)
-    shared = words.sparkSession.sparkContext.broadcast((pieces, own[None], np.full((1, len(pieces)), STOP)))
-
-    def expected(batch: pa.RecordBatch) -> np.ndarray:
-        lattice = _lattice(shared.value)
-        own = np.array([np.asarray(c) > 0 for c in batch.columns[1:]], dtype=np.float64)
-        return lattice.uses([w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()], own).ravel()
-
-    learnt = words.where(" or ".join(f"c{i} > 0" for i in range(k))).select("word", *[f"c{i}" for i in range(k)])
-    counts = partition_sums(learnt, expected, 2 * k * len(pieces), 8, True).reshape(k, 2, len(pieces))
-    weights = np.array([normalised(pieces, c + PRIOR * own) for c, _ in counts])
-    stops = np.array([(e + STOP_PRIOR * STOP) / (c + STOP_PRIOR) for c, e in counts])
-    return pieces, weights, np.clip(stops, 1e-6, 1 - 1e-6)
+    return own.mapInArrow(count, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
 _MADE: list[tuple[object, Lattice]] = []
 
 
 def _lattice(model: tuple) -> Lattice:
-    """The lattice of a model, made once in a worker."""
+    """The lattice of a vocabulary, made once in a worker."""
     if not _MADE or _MADE[0][0] is not model:
         _MADE[:] = [(model, Lattice(*model))]
     return _MADE[0][1]
 
 
-def word_chances(words: DataFrame, shared, totals: list[int], kinds: list[int], discount: float) -> DataFrame:
-    """(word, c, l0, ...): the words' training counts and the log10 of their chances among a group's words.
+def word_chances(words: DataFrame, shared, total: int, kinds: int, discount: float) -> DataFrame:
+    """(word, c, piece, edge): the words' training counts, and log10 of their chances without and with an edge of their own.
 
-    totals, kinds: all and distinct training words of each group.
+    total, kinds: all and distinct training words.
     """
-    k, everything = len(totals), max(sum(totals), 1)
-    names = ["word", "c", *[f"l{i}" for i in range(k)]]
 
     def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wider(batches):
-            own = batch.column(0).to_pylist()
-            lattice = _lattice(shared.value)
-            logs = lattice.logs([w.decode("utf-8", "surrogatepass") for w in own])
-            counts = np.array([np.asarray(batch.column(1 + i), dtype=np.float64) for i in range(k)]).reshape(k, len(own))
-            c = counts.sum(axis=0)
-            n, v = (np.array(x, dtype=np.float64)[:, None] for x in (totals, kinds))
-            seen = np.maximum(counts - discount, 0) / np.maximum(n, 1)
-            rest = np.where(n > 0, discount * v / np.maximum(n, 1), 1.0)
-            with np.errstate(divide="ignore"):  # an unseen word has the lattice's share only
-                whole = np.log(seen + rest * (SHARED * c / everything))
-            logs = np.logaddexp(whole, np.log(rest * (1 - SHARED)) + logs * math.log(10)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.astype(np.int64)), *map(pa.array, logs)], names)
-
-    own = words.select("word", *[f"c{i}" for i in range(k)])
-    return own.mapInArrow(chances, "word binary, c long, " + ", ".join(f"l{i} double" for i in range(k)))
-
-
-def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document.
+            logs = _lattice(shared.value).logs([w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()])
+            c = np.asarray(batch.column(1), dtype=np.float64)
+            rest = math.log10(discount * kinds / total) if total else 0.0
+            with np.errstate(divide="ignore"):  # an unseen word has the pieces' share only
+                whole = np.log(np.maximum(c - discount, 0) / max(total, 1))
+            edge = np.logaddexp(whole, (rest + logs) * math.log(10)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs), pa.array(edge)], ["word", "c", "piece", "edge"])
+
+    return words.select("word", "c").mapInArrow(chances, "word binary, c long, piece double, edge double")
+
+
+def score(docs: DataFrame, train: Column, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and adapted_score of every document.
 
     train: which documents are learnt from, an expression over columns other than the text.
     """
     spark = docs.sparkSession
-    named = groups_of(docs, train, group)
-    k = len(named) + 1
-    number = F.lit(len(named))
-    for i, g in enumerate(named):
-        number = F.when(F.col(group).cast("string") == g, i).otherwise(number)
-    words = cut(word_table(docs, train, number, k, text))
-    by_group = {r["g"]: r["n"] for r in docs.where(train).groupBy(number.alias("g")).agg(F.count("*").alias("n")).collect()}
-    n_docs = sum(by_group.values())
-    c = sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0"))
-    facts = words.agg(*[F.coalesce(f, F.lit(0)).alias(a) for i in range(k) for f, a in ((F.sum(f"c{i}"), f"n{i}"), (F.count_if(F.col(f"c{i}") > 0), f"v{i}"))], F.count_if(c > 0).alias("v"), F.count_if(c == 1).alias("once"), F.count_if(c == 2).alias("twice")).first()
-    totals, kinds = [facts[f"n{i}"] for i in range(k)], [facts[f"v{i}"] for i in range(k)]
-    n, v = sum(totals) + n_docs, facts["v"] + (n_docs > 0)
+    words = cut(word_table(docs, train, text))
+    n_docs = docs.where(train).count()
+    facts = words.agg(*[F.coalesce(f, F.lit(0)).alias(a) for f, a in ((F.sum("c"), "n"), (F.count_if(F.col("c") > 0), "v"), (F.count_if(F.col("c") == 1), "once"), (F.count_if(F.col("c") == 2), "twice"))]).first()
+    n, v = facts["n"] + n_docs, facts["v"] + (n_docs > 0)
     discount = min(0.95, max(0.3, facts["once"] / max(1, facts["once"] + 2 * facts["twice"])))
-    model = spark.sparkContext.broadcast(fit(words, vocabulary_path, k))
+    model = spark.sparkContext.broadcast(vocabulary(vocabulary_path))
     # how often a word must occur to be sent to every task: by a histogram of a bounded number of steps
     step = F.floor(F.log2("n") * 16).cast("int")
     least, sent = 1 << 30, 0
@@ -387,19 +206,18 @@ def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | Non
         if (sent := sent + r["m"]) > HOT:
             break
         least = r["step"]
-    hot = word_chances(words.where(step >= least), model, totals, kinds, discount).toArrow()
-    logs = np.array([hot.column(f"l{i}").to_numpy() for i in range(k)]).reshape(k, hot.num_rows)
-    frequent = spark.sparkContext.broadcast((hot.column("word").to_pylist(), hot.column("c").to_numpy(), logs))
-    del hot, logs
-    rare_words = word_chances(words.where(step < least), model, totals, kinds, discount)
+    chances = lambda own: word_chances(own, model, facts["n"], facts["v"], discount)
+    hot = chances(words.where(step >= least)).toArrow()
+    frequent = spark.sparkContext.broadcast((hot.column("word").to_pylist(), *(hot.column(x).to_numpy() for x in ("c", "piece", "edge"))))
+    del hot
+    rare_words = chances(words.where(step < least))
     size = n + v + 1
     p_end = (n_docs + 0.5) / (n + 1)
     go_on, stop = math.log10(1 - p_end), math.log10(p_end)
-    prior = [math.log10((by_group.get(i, 0) + 0.5) / (n_docs + 0.5 * k)) for i in range(k)]
-    names = ["word", "id", "key", "times", "copies", "tokens", "known", "base", *[f"s{i}" for i in range(k)]]
+    names = ["word", "id", "key", "times", "copies", "tokens", "known", "base", "piece_sum", "edge_sum"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, counts, chances, first, later = _frequent(frequent.value)
+        place, counts, piece, edge = _frequent(frequent.value)
         log_base, is_known = np.log10((counts + 1) / size), counts > 0
         end_base = math.log10((n_docs + 1) / size)
         for batch in batches:
@@ -409,25 +227,17 @@ def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | Non
                 data = (x or "").encode("utf-8", "surrogatepass")
                 used = data.lower().split()
                 at = np.array([get(w, -1) for w in used], dtype=np.int64)
-                tokens = len(used)
-                h = at[at >= 0]
-                base_score, known = float(log_base[h].sum()) + end_base, int(is_known[h].sum()) + (n_docs > 0)
-                h, hm = np.unique(h, return_counts=True)
-                s = first[:, h].sum(axis=1)
-                many = hm > 1
-                if many.any():
-                    r = h[many]
-                    s = s + (log_gamma(CACHE * chances[:, r] + hm[many]) - later[:, r]).sum(axis=1) / math.log(10)
-                s = s + (tokens * go_on + stop - (math.lgamma(tokens + CACHE) - math.lgamma(CACHE)) / math.log(10))
-                own.append((xxhash.xxh64_intdigest(data) - (1 << 63), tokens + 1, known, base_score, *s))
+                h, tokens = at[at >= 0], len(used)
+                ends = tokens * go_on + stop
+                own.append((xxhash.xxh64_intdigest(data) - (1 << 63), tokens + 1, int(is_known[h].sum()) + (n_docs > 0), float(log_base[h].sum()) + end_base, float(piece[h].sum()) + ends, float(edge[h].sum()) + ends))
                 if len(h) < tokens:
                     for w, t in Counter([used[j] for j in np.flatnonzero(at < 0).tolist()]).items():
                         word.append(w)
                         times.append(t)
                         row.append(i)
             at = np.array(row, dtype=np.int64)
-            m, none = len(own), np.zeros(len(row))
-            columns = list(zip(*own, strict=True)) if own else [[]] * (4 + k)
+            m, none = len(own), pa.nulls(len(row), pa.int64())
+            columns = list(zip(*own, strict=True)) if own else [[]] * 6
             key = np.array(columns[0], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -435,55 +245,36 @@ def score(docs: DataFrame, train: Column, vocabulary_path: str, group: str | Non
                     pa.concat_arrays([ids, ids.take(pa.array(at))]),
                     pa.array(np.concatenate((key, key[at]))),
                     pa.array(np.concatenate((np.zeros(m, dtype=np.int64), np.array(times, dtype=np.int64)))),
-                    *(pa.array(np.concatenate((np.array(x, dtype=np.int64), none.astype(np.int64)))) for x in ([1] * m, *columns[1:3])),
-                    *(pa.array(np.concatenate((np.array(x, dtype=np.float64), none))) for x in columns[3:]),
+                    *(pa.concat_arrays([pa.array(x, pa.int64()), none]) for x in ([1] * m, *columns[1:3])),
+                    *(pa.concat_arrays([pa.array(x, pa.float64()), none.cast(pa.float64())]) for x in columns[3:]),
                 ],
                 names,
             )
 
-    schema = "word binary, id long, key long, times long, copies long, tokens long, known long, base double, " + ", ".join(f"s{i} double" for i in range(k))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sums, schema)
-    joined = rows.join(rare_words, "word", "left")
-    times = F.col("times")
-
-    def more(log: Column) -> Column:
-        """log10 of the rising factorial of CACHE * p, by log10 of p: p itself may be 0 in a double."""
-        one, p = math.log10(CACHE) + log, F.pow(F.lit(10.0), log)
-        return F.when(times == 1, one).when(times > 1, F.aggregate(F.sequence(F.lit(1).cast("long"), times - 1), one, lambda a, j: a + F.log10(CACHE * p + j))).otherwise(0.0)
-
-    own_base = F.when(times > 0, times * F.log10((F.col("c") + 1) / F.lit(float(size)))).otherwise(0.0)
+    schema = "word binary, id long, key long, times long, copies long, tokens long, known long, base double, piece_sum double, edge_sum double"
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(sums, schema)
+    joined, times = rows.join(rare_words, "word", "left"), F.col("times")
+    part = lambda own, rare: F.sum(F.when(times > 0, times * rare).otherwise(F.col(own)))
     by_doc = joined.groupBy("id", "key").agg(
         *[F.sum(x).alias(x) for x in ("copies", "tokens")],
-        F.sum(F.col("known") + F.when(F.col("c") > 0, times).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + own_base).alias("base"),
-        *[F.sum(F.col(f"s{i}") + more(F.col(f"l{i}"))).alias(f"s{i}") for i in range(k)],
-    )
-    each = [F.col(f"s{i}") / F.col("copies") + prior[i] for i in range(k)]
-    largest = F.greatest(*each, F.lit(-1e300))
-    total = largest + F.log10(sum((F.pow(F.lit(10.0), e - largest) for e in each[1:]), F.pow(F.lit(10.0), each[0] - largest)))
+        part("known", (F.col("c") > 0).cast("long")).alias("known"),
+        part("base", F.log10((F.col("c") + 1) / F.lit(float(size)))).alias("base"),
+        part("piece_sum", F.col("piece")).alias("piece_sum"),
+        part("edge_sum", F.col("edge")).alias("edge_sum"),
+    )
     once = lambda c: (F.col(c) / F.col("copies")).cast("long")
+    each = lambda c: F.col(c) / F.col("copies")
     return by_doc.withColumn("copy", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select(
-        F.col("id").alias(doc_id), once("tokens").alias("n_tokens"), once("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), total.alias("score")
+        F.col("id").alias(doc_id), once("tokens").alias("n_tokens"), once("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("piece_sum").alias("score"), each("edge_sum").alias("adapted_score")
     )
 
 
 _PLACES: list[tuple[object, tuple]] = []
 
 
-def _frequent(shared: tuple) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The places of the frequent words, made once in a worker, their counts and chances, and logarithms of these."""
-    words, counts, logs = shared
+def _frequent(shared: tuple) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the frequent words, made once in a worker, their counts and the logarithms of their chances."""
+    words = shared[0]
     if not _PLACES or _PLACES[0][0] is not words:
-        p = 10.0**logs
-        own = ({w: i for i, w in enumerate(words)}, counts, p, math.log10(CACHE) + logs, log_gamma(CACHE * p + 1))
-        _PLACES[:] = [(words, own)]
+        _PLACES[:] = [(words, ({w: i for i, w in enumerate(words)}, *shared[1:]))]
     return _PLACES[0][1]
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln Gamma for x > 0, by Stirling's series at x + 8."""
-    below = x * (x + 1) * (x + 2) * (x + 3)
-    above = (x + 4) * (x + 5) * (x + 6) * (x + 7)
-    y = x + 8
-    r = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - np.log(below) - np.log(above)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import webp
+from .common import others
 
 UNIT = 64
 
@@ -51,7 +52,7 @@ def feature(x: np.ndarray) -> str:
 
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_bytes and media, the file, instead of the text."""
-    keep = [c for c in docs.columns if c not in (text, "n_bytes", "media")]
+    keep = others(docs, text, "n_bytes", "media", *NAMES)
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

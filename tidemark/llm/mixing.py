@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, word_count
+from .common import WORD, cut, others, packed_up, unpacked, word_count
 
 #: Words of a block, and words of a shard before there are `SHARDS` in all.
 BLOCK, SHARD = 16, 32_768
@@ -112,12 +112,12 @@ def mix(docs: DataFrame, sized: Column | None = None, doc_id: str = "doc_id", so
     sized: the expression of a document's size; its words, if None. The driver gets one row for each source and shard.
     """
     sized = word_count(F.col(text)) if sized is None else sized
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "mix_place", "mix_of", "mix_no", "mix_shard", "mix_hash")]
-    rows = docs.select(*kept, F.coalesce(sized, F.lit(0)).cast("long").alias("size"))
-    slim = cut(rows.select(F.col(doc_id).alias("i"), F.col(source).cast("string").alias("mix_of"), "size"))
+    columns = others(docs, "size", "source_size", "target", "taken", "mix_place")
+    rows = docs.select(packed_up(columns), F.col(doc_id).alias("i"), F.col(source).cast("string").alias("o"), F.coalesce(sized, F.lit(0)).cast("long").alias("size"))
+    slim = cut(rows.select("i", "o", "size"))
     spark = docs.sparkSession
-    found = slim.groupBy("mix_of").agg(F.sum("size").alias("n")).collect()
-    found = sorted(((r["mix_of"], r["n"] or 0) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
+    found = slim.groupBy("o").agg(F.sum("size").alias("n")).collect()
+    found = sorted(((r["o"], r["n"] or 0) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
     total = sum(n for _, n in found)
     by = [weights[k % len(weights)] for k in range(len(found))]
     targets = fill(by, [float(MOST * n) for _, n in found], float(total))
@@ -125,12 +125,12 @@ def mix(docs: DataFrame, sized: Column | None = None, doc_id: str = "doc_id", so
     kinds = spark.createDataFrame([(s, k, n, t, c) for k, ((s, n), t, c) in enumerate(zip(found, targets, shards, strict=True))], "mix_of string, mix_no int, source_size long, target double, mix_shards int")
     hashed = lambda c: F.xxhash64(F.lit(seed), c)
 
-    def dealt(df: DataFrame, of: Column, i: str) -> DataFrame:
-        own = df.withColumn("mix_of_", of.cast("string")).withColumn("mix_hash", hashed(F.col(i)))
-        own = own.join(F.broadcast(kinds), F.col("mix_of_").eqNullSafe(F.col("mix_of")), "inner").drop("mix_of_", "mix_of")
+    def dealt(df: DataFrame) -> DataFrame:
+        own = df.withColumn("mix_hash", hashed(F.col("i")))
+        own = own.join(F.broadcast(kinds), F.col("o").eqNullSafe(F.col("mix_of")), "inner").drop("mix_of")
         return own.withColumn("mix_shard", F.pmod(F.shiftright("mix_hash", 8), F.col("mix_shards")).cast("int"))
 
-    sizes = dealt(slim.withColumnRenamed("mix_of", "o"), F.col("o"), "i").groupBy("mix_no", "mix_shard").agg(F.sum("size").alias("n")).collect()
+    sizes = dealt(slim).groupBy("mix_no", "mix_shard").agg(F.sum("size").alias("n")).collect()
     each: dict[int, list[tuple[int, int]]] = {}
     for r in sorted(sizes):
         each.setdefault(r["mix_no"], []).append((r["mix_shard"], r["n"]))
@@ -146,13 +146,14 @@ def mix(docs: DataFrame, sized: Column | None = None, doc_id: str = "doc_id", so
         got = most if full[k] else apportion([float(n) for _, n in own], most, rest[k])
         quotas += [(k, s, max(1, -(-n // BLOCK)), q) for (s, n), q in zip(own, got, strict=True)]
     quota = spark.createDataFrame(quotas, "mix_no int, mix_shard int, m long, q long")
-    order = Window.partitionBy("mix_no", "mix_shard").orderBy("mix_hash", F.col(doc_id), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt(rows, F.col(source), doc_id).withColumn("mix_start", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    order = Window.partitionBy("mix_no", "mix_shard").orderBy("mix_hash", "i", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of one id and size are told apart by all that they hold, so that a rerun lays them alike
+    placed = dealt(rows).withColumn("tie", F.xxhash64(F.to_json("kept") if "map<" in rows.schema["kept"].dataType.simpleString() else F.col("kept"))).withColumn("mix_start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     placed = placed.join(F.broadcast(quota), ["mix_no", "mix_shard"], "inner")
     turn = F.pmod(F.xxhash64(F.lit(seed), "mix_no", "mix_shard"), F.col("m"))
     place = F.struct(F.col("mix_start").alias("start"), F.col("m").alias("blocks"), F.col("q").alias("quota"), turn.alias("turn"), F.col("mix_no").alias("source_no"), F.col("mix_shard").alias("shard"))
-    placed = placed.select(*kept, "size", "source_size", "target", place.alias("mix_place"))
-    return placed.select(*kept, "size", "source_size", "target", _taken(F.col("mix_place"), F.col("size")).alias("taken"), "mix_place")
+    placed = placed.select("kept", "size", "source_size", "target", place.alias("mix_place"))
+    return placed.select(*unpacked(columns), "size", "source_size", "target", _taken(F.col("mix_place"), F.col("size")).alias("taken"), "mix_place")
 
 
 def texts(mixed: DataFrame, text: str = "text") -> DataFrame:

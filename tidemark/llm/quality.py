@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, matrix, training_labels
+from .common import cut, matrix, others, packed_up, training_labels, unpacked
 from .linear import isotonic, moments, normal_equations
 
 LABELLED, FEATURES, RIDGE, BINS, SEED = 60_000, 192, 1e-3, 512, 5
@@ -77,10 +77,10 @@ def fourier(mean: np.ndarray, deviation: np.ndarray, seed: int = SEED, out: int
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without their text, with score: the chance that the label is 1. labels: doc_id and the label."""
-    keep = [c for c in docs.columns if c not in (text, "score", "statistics")]
-    measured = cut(with_statistics(docs.select(*keep, text), text))
+    keep = others(docs, text, "score")
+    measured = cut(with_statistics(docs.select(F.col(doc_id).alias("i"), packed_up(keep), F.col(text).cast("string").alias("text"))))
     sample = training_labels(labels, label, LABELLED).select(F.col("doc_id").alias("label_id"), "y")
-    learnt = cut(measured.join(F.broadcast(sample), F.col(doc_id) == F.col("label_id")).select("statistics", "y", (F.pmod(F.xxhash64("label_id"), F.lit(5)) == 0).alias("curve")))
+    learnt = cut(measured.join(F.broadcast(sample), F.col("i") == F.col("label_id")).select("statistics", "y", (F.pmod(F.xxhash64("label_id"), F.lit(5)) == 0).alias("curve")))
     _, mean, deviation = moments(measured.select("statistics"), WIDTH)
     project = fourier(mean, deviation)
     gram, by, middle, n = normal_equations(learnt.where("not curve").select("statistics", "y"), project, WIDTH, FEATURES)
@@ -103,9 +103,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(len(keep)), WIDTH)
+            x = matrix(batch.column(1), WIDTH)
             s = np.interp(raw(x), knots, heights) if n else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(s, 0.0, 1.0))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(s, 0.0, 1.0))], ["kept", "score"])
 
-    own = measured.select(*keep, "statistics")
-    return own.mapInArrow(scored, own.drop("statistics").schema.add("score", "double"))
+    own = measured.select("kept", "statistics")
+    return own.mapInArrow(scored, own.drop("statistics").schema.add("score", "double")).select(*unpacked(keep), "score")

@@ -6,8 +6,9 @@ its UTF-8 bytes with seed 42; a bit is 1 if it is set in over half of the hashes
 Links: of k blocks of a fingerprint's bits, two fingerprints within the radius agree in at least k - radius. Each choice
 of k - radius blocks is a table, each value of their bits a shard. A shard's fingerprints are dealt into chunks of at
 most `CHUNK`; every chunk becomes a BK-tree, whose children are keyed by their integer distance to the parent, and each
-chunk of the shard searches it, following only edges within the radius. The trees meet their queries in a join on the
-shard's key: together they grow with the corpus, so that they are not broadcast. k follows the number of fingerprints, so
+chunk of the shard searches it, following only edges within the radius. The shards' trees are broadcast while they hold at
+most `BROADCAST` fingerprints, counted beforehand; since they grow with the corpus, larger ones meet their queries by a
+shuffle on the shard's key, with the same links. k follows the number of fingerprints, so
 that shards stay small; every choice of k finds all links.
 
 Components: by alternating star contractions of the links, each round a few groupings, until nothing changes.
@@ -28,11 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot, others, packed_up, unpacked
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Most fingerprints of a BK-tree, and the mean size of a shard that the number of blocks is chosen for.
 CHUNK, SHARD = 512, 64
+#: Most fingerprints of trees that are broadcast, eight bytes each; beyond, trees and queries meet by a shuffle.
+BROADCAST = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -128,7 +131,9 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     chunked = keyed.join(dense, ["t", "v"]).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     parts = chunked.groupBy("t", "v", "c").agg(F.collect_list("fp").alias("own"))
     other = parts.select("t", "v", F.col("c").alias("d"), F.col("own").alias("tree"))
-    pairs = parts.join(other, ["t", "v"]).where(F.col("c") <= F.col("d")).select("own", "tree", (F.col("c") == F.col("d")).alias("same"))
+    held = dense.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
+    trees = F.broadcast(other) if held <= BROADCAST else other.hint("merge")
+    pairs = parts.join(trees, ["t", "v"]).where(F.col("c") <= F.col("d")).select("own", "tree", (F.col("c") == F.col("d")).alias("same"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,11 +192,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows without their text, with fp (signed), fingerprint (16 hex digits) and component_id."""
-    keep = [c for c in docs.columns if c not in (text, "fp", "fingerprint", "component_id")]
+    keep = others(docs, text, "fp", "fingerprint", "component_id")
     hashed = cut(with_fingerprints(docs, text, keep))
-    fps = cut(hashed.groupBy("fp").agg(F.min(doc_id).alias("least")))
+    fps = cut(hashed.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count("*").alias("n")))
     found = cut(components(links(fps, fps.count(), radius)))
     named = fps.join(found.union(found.select(F.col("root"), F.col("root")).distinct()), F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least").alias("component"))
     linked = found.union(found.select(F.col("root"), F.col("root")).distinct()).join(named, "root").select(F.col("node").alias("fp"), "component")
-    by_fp = fps.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return hashed.join(by_fp, "fp").select(*keep, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = cut(fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id")))
+    # rows of frequent fingerprints meet their component by a broadcast of at most 10,000, the others by a shuffle
+    rows = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = F.broadcast(hot(by_fp, rows).select("fp", F.col("component_id").alias("component"), F.lit(True).alias("frequent")))
+    marked = hashed.select("fp", packed_up(keep)).join(often, "fp", "left")
+    one = marked.where("frequent").select("fp", "kept", F.col("component").alias("component_id"))
+    two = marked.where("frequent is null").select("fp", "kept").join(by_fp.select("fp", "component_id"), "fp")
+    return one.unionByName(two).select(*unpacked(keep), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

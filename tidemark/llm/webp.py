@@ -1,13 +1,16 @@
 """Lossless WebP images, read and written as arrays of pixels (alpha, red, green, blue in one number, 0xAARRGGBB).
 
 decode() reads any such file: prefix codes, one set or several by an entropy image, back-references, colour cache, and the
-four transforms, which it inverts. encode() writes literals under one prefix code for all four channels.
+four transforms, which it inverts. encode() writes back-references to repeated runs, hits of the colour cache and literals,
+after a palette, subtracted green or a prediction where that makes a file smaller; it tries no cross-colour factors, which
+take longer to find than they could save on bytes of text.
 """
 
 from __future__ import annotations
 
 import heapq
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -37,7 +40,10 @@ class Bits:
     """A stream read from its lowest bits on."""
 
     def __init__(self, data: bytes, at: int = 0) -> None:
-        self.data, self.at = data + bytes(16), at
+        self.data, self.at = data + bytes(72), at
+
+    def peek(self, at: int, n: int) -> int:
+        return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & (1 << n) - 1
 
     def read(self, n: int) -> int:
         at = self.at
@@ -45,45 +51,45 @@ class Bits:
         return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & (1 << n) - 1
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+#: Numbers of 15 bits, turned round.
+TURNED = [int(f"{x:015b}"[::-1], 2) for x in range(1 << 15)]
 
 
 def canonical(lengths) -> dict[int, tuple[int, int]]:
     """Of each symbol with a length its code, as read from the stream, and the length."""
-    out, code, last = {}, 0, 0
-    for n, symbol in sorted((n, s) for s, n in enumerate(lengths) if n):
+    out, code, last, turned = {}, 0, 0, TURNED
+    for n, symbol in sorted([(n, s) for s, n in enumerate(lengths) if n]):
         code <<= n - last
-        out[symbol] = (_reversed(code, n), n)
+        out[symbol] = (turned[code] >> 15 - n, n)
         code, last = code + 1, n
     return out
 
 
 @lru_cache(64)
-def _table(lengths: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    """The longest length; by the next so many bits the symbol and its length. One symbol alone takes no bits."""
+def _table(lengths: bytes) -> tuple[int, list[int]]:
+    """The longest length; by the next so many bits 16 times the symbol and its length. One symbol alone takes no bits."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) < 2:
-        return 0, np.array(used or [0], dtype=np.int32), np.zeros(1, dtype=np.int32)
+        return 0, [16 * (used or [0])[0]]
     most = max(lengths)
-    symbols, sizes = np.zeros(1 << most, dtype=np.int32), np.zeros(1 << most, dtype=np.int32)
-    for s, (code, n) in canonical(lengths).items():
-        symbols[code :: 1 << n], sizes[code :: 1 << n] = s, n
-    if not sizes.all():
+    if sum(1 << most - lengths[s] for s in used) != 1 << most:
         raise ValueError("a prefix code is not complete")
-    return most, symbols, sizes
+    table = [0] * (1 << most)
+    for s, (code, n) in canonical(lengths).items():
+        table[code :: 1 << n] = [16 * s + n] * (1 << most - n)
+    return most, table
 
 
 class Code:
     def __init__(self, lengths: bytes) -> None:
-        self.lengths = lengths
-        self.most, self.symbols, self.sizes = _table(lengths)
+        self.most, self.table = _table(lengths)
+        self.mask = (1 << self.most) - 1
 
     def read(self, bits: Bits) -> int:
         at = bits.at
-        window = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & (1 << self.most) - 1
-        bits.at = at + int(self.sizes[window])
-        return int(self.symbols[window])
+        v = self.table[int.from_bytes(bits.data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & self.mask]
+        bits.at = at + (v & 15)
+        return v >> 4
 
 
 def _read_code(bits: Bits, size: int) -> Code:
@@ -99,20 +105,31 @@ def _read_code(bits: Bits, size: int) -> Code:
         own[k] = bits.read(3)
     code = Code(bytes(own))
     tokens = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    at, last, table, mask = 0, 8, code.table, code.mask
+    place, held, span = bits.at, 0, 0
     while at < size and tokens:
+        if held < 32:  # as many bits as the next tokens may need
+            span, held = bits.peek(place, 512), 512
         tokens -= 1
-        t = code.read(bits)
+        v = table[span & mask]
+        t, n = v >> 4, v & 15
         if t < 16:
             lengths[at] = t
             last = t or last
             at += 1
-            continue
-        value, n = (last, 3 + bits.read(2)) if t == 16 else (0, 3 + bits.read(3)) if t == 17 else (0, 11 + bits.read(7))
-        if at + n > size:
-            raise ValueError("a prefix code has too many lengths")
-        lengths[at : at + n] = bytes([value]) * n
-        at += n
+        else:
+            more = span >> n
+            value, run = (last, 3 + (more & 3)) if t == 16 else (0, 3 + (more & 7)) if t == 17 else (0, 11 + (more & 127))
+            n += 2 if t == 16 else 3 if t == 17 else 7
+            if at + run > size:
+                raise ValueError("a prefix code has too many lengths")
+            if value:
+                lengths[at : at + run] = bytes([value]) * run
+            at += run
+        span >>= n
+        held -= n
+        place += n
+    bits.at = place
     return Code(bytes(lengths))
 
 
@@ -124,46 +141,6 @@ def _number(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << more) + bits.read(more) + 1
 
 
-def _literals(bits: Bits, codes: list[Code], n: int) -> np.ndarray | None:
-    """n pixels of literals, or None (and nothing read) if other symbols are among them.
-
-    For every bit of the stream it looks up where a symbol that begins there ends, follows the chain of pixels through
-    these, and takes the symbols at its links.
-    """
-    first = bits.at >> 3
-    raw = np.frombuffer(bits.data, dtype=np.uint8)[first:].astype(np.int32)
-    three = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    window = (three[:, None] >> np.arange(8, dtype=np.int32)).ravel()
-    m = len(window)
-    where = np.arange(m, dtype=np.int32)
-    seen: dict[bytes, np.ndarray] = {}
-    after = []
-    for c in codes[:4]:
-        if c.lengths not in seen:
-            seen[c.lengths] = np.minimum(where + c.sizes[window & (1 << c.most) - 1], m - 1)
-        after.append(seen[c.lengths])
-    jump = after[3][after[2][after[1][after[0]]]]
-    at, places = bits.at & 7, np.empty(n, dtype=np.int64)
-    if at == jump[at]:  # pixels of no bits: one colour
-        places[:] = at
-    else:
-        step = jump.tolist() if n > m >> 6 else jump
-        for i in range(n):
-            places[i] = at
-            at = step[at]
-    if at >= m - 1:
-        raise ValueError("the stream ends too early")
-    symbols = []
-    for c, ends in zip(codes[:4], after, strict=True):
-        symbols.append(c.symbols[window[places] & (1 << c.most) - 1])
-        places = ends[places]
-    green, red, blue, alpha = symbols
-    if (green > 255).any():
-        return None
-    bits.at = 8 * first + (int(places[-1]) if n else at)
-    return (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
-
-
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """The pixels of one entropy-coded image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -174,49 +151,67 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = (_pixels(bits, across, -(-height >> tile), False) >> 8 & 0xFFFF).tolist()
         groups = max(which) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [[_read_code(bits, s) for s in sizes] for _ in range(groups)]
-    n = width * height
-    if groups == 1 and not cache_bits and n:
-        begin = bits.at
-        if (found := _literals(bits, codes[0], n)) is not None:
-            return found
-        bits.at = begin
-    out = np.zeros(n, dtype=np.uint32)
-    cache, cached, at = [0] * (1 << cache_bits), 0, 0
-
-    def remember(upto: int) -> None:
-        nonlocal cached
-        if cache_bits:
-            for p in out[cached:upto].tolist():
-                cache[(MULTIPLIER * p & 0xFFFFFFFF) >> 32 - cache_bits] = p
-        cached = upto
-
-    while at < n:
-        own = codes[which[(at // width >> tile) * across + (at % width >> tile)]] if which else codes[0]
-        s = own[0].read(bits)
-        if s < 256:
-            red, blue, alpha = own[1].read(bits), own[2].read(bits), own[3].read(bits)
-            out[at] = alpha << 24 | red << 16 | s << 8 | blue
-            at += 1
-        elif s < 280:
-            length = _number(bits, s - 256)
-            d = _number(bits, own[4].read(bits))
-            if d > len(NEAR):
-                d -= len(NEAR)
+    codes = []
+    for _ in range(groups):
+        own: list[Code] = []
+        begin = 0
+        for k, s in enumerate(sizes):
+            if 2 <= k <= 3 and (size := bits.at - begin) and bits.peek(begin, size) == bits.peek(bits.at, size):
+                begin, bits.at = bits.at, bits.at + size  # stated as the one before
+                own.append(own[-1])
             else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
-            if d > at or at + length > n:
-                raise ValueError("a back-reference leaves the image")
-            for a in range(at, at + length, d):  # a run of d pixels again and again
-                k = min(d, at + length - a)
-                out[a : a + k] = out[a - d : a - d + k]
-            at += length
-        else:
-            remember(at)
-            out[at] = cache[s - 280]
-            at += 1
-    return out
+                begin = bits.at
+                own.append(_read_code(bits, s))
+        codes.append(own)
+    n, first = width * height, bits.at >> 3
+    raw = np.frombuffer(bits.data, dtype=np.uint8)[first:].astype(np.int32)
+    window = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()  # by byte: it and the two after it
+    at, out, cache, shift = bits.at & 7, [], [0] * (1 << cache_bits), 32 - cache_bits
+    green, red, blue, alpha, distance = codes[0]
+    g, gm, r, rm, b, bm, a, am = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
+    add = out.append
+    try:
+        while (done := len(out)) < n:
+            if which:
+                green, red, blue, alpha, distance = codes[which[(done // width >> tile) * across + (done % width >> tile)]]
+                g, gm, r, rm, b, bm, a, am = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
+            v = g[window[at >> 3] >> (at & 7) & gm]
+            at += v & 15
+            if v < 4096:  # a literal: green, and three more
+                x = r[window[at >> 3] >> (at & 7) & rm]
+                at += x & 15
+                y = b[window[at >> 3] >> (at & 7) & bm]
+                at += y & 15
+                z = a[window[at >> 3] >> (at & 7) & am]
+                at += z & 15
+                p = z >> 4 << 24 | x >> 4 << 16 | v >> 4 << 8 | y >> 4
+                add(p)
+                if cache_bits:
+                    cache[(MULTIPLIER * p & 0xFFFFFFFF) >> shift] = p
+            elif v >= 4480:
+                add(cache[(v >> 4) - 280])
+            else:
+                bits.at = 8 * first + at
+                length = _number(bits, (v >> 4) - 256)
+                d = _number(bits, distance.read(bits))
+                at = bits.at - 8 * first
+                if d > len(NEAR):
+                    d -= len(NEAR)
+                else:
+                    across_, down = NEAR[d - 1]
+                    d = max(1, across_ + down * width)
+                if d > done or done + length > n:
+                    raise ValueError("a back-reference leaves the image")
+                own = out[done - d : min(done, done - d + length)]
+                own = (own * -(-length // len(own)))[:length]
+                out += own
+                if cache_bits:
+                    for p in own:
+                        cache[(MULTIPLIER * p & 0xFFFFFFFF) >> shift] = p
+    except IndexError:
+        raise ValueError("the stream ends too early") from None
+    bits.at = 8 * first + at
+    return np.array(out, dtype=np.uint32)
 
 
 def _channels(pixels: np.ndarray) -> list[np.ndarray]:
@@ -276,7 +271,21 @@ def _sum(a: int, b: int) -> int:
     return ((a & 0xFF00FF00) + (b & 0xFF00FF00) & 0xFF00FF00) | ((a & 0x00FF00FF) + (b & 0x00FF00FF) & 0x00FF00FF)
 
 
+def _bytes(pixels: np.ndarray, width: int) -> np.ndarray:
+    """Rows of pixels of four samples."""
+    return np.ascontiguousarray(pixels, dtype="<u4").view(np.uint8).reshape(-1, width, 4)
+
+
 def unpredict(pixels: np.ndarray, width: int, modes: np.ndarray, tile: int) -> np.ndarray:
+    kind = set((modes >> 8 & 0xF).tolist())
+    if kind <= {1} or kind <= {2}:  # every pixel from its left or its upper one: sums along rows and columns
+        own = _bytes(pixels, width).copy()
+        own[0, 0, 3] -= 1  # plus 255
+        edge, rest = (1, 0) if kind <= {2} else (0, 1)
+        line = own[:1] if edge else own[:, :1]
+        np.cumsum(line, axis=edge, dtype=np.uint8, out=line)
+        np.cumsum(own, axis=rest, dtype=np.uint8, out=own)
+        return own.view("<u4").ravel().astype(np.uint32)
     across, own, kinds = -(-width >> tile), pixels.tolist(), (modes >> 8 & 0xF).tolist()
     for i in range(len(own)):
         y, x = divmod(i, width)
@@ -380,74 +389,213 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> list[int]:
 #: A complete code for code lengths: six rare ones of 5 bits, the others of 4.
 _TOKEN_LENGTHS = bytes(5 if t in (1, 2, 12, 13, 14, 15) else 4 for t in range(19))
 _TOKENS = canonical(_TOKEN_LENGTHS)
+#: The bits that state it, after those that say that no simple code follows and how many lengths do.
+_STATED = (15 << 1 | sum(_TOKEN_LENGTHS[k] << 5 + 3 * i for i, k in enumerate(CODE_LENGTH_ORDER)), 5 + 3 * 19)
 
 
 def _code_bits(lengths: list[int]) -> tuple[int, int]:
-    """The bits that state a code of up to 256 symbols, for any alphabet that has these, and their number."""
+    """The bits that state a code, for any alphabet that has its symbols, and their number."""
     used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 1:
-        s = used[0] if used else 0
-        return (0b101 | s << 3, 11)  # a simple code of one symbol in 8 bits
-    parts: list[tuple[int, int]] = [(0, 1), (15, 4), *[(_TOKEN_LENGTHS[k], 3) for k in CODE_LENGTH_ORDER]]
+    if len(used) <= 1 and (s := used[0] if used else 0) < 256:
+        return 0b101 | s << 3, 11  # a simple code of one symbol in 8 bits
     tokens: list[tuple[int, int, int]] = []
-    at, last = 0, 8
-    while at <= used[-1]:
-        n, run = lengths[at], 1
-        while at + run <= used[-1] and lengths[at + run] == n:
-            run += 1
-        if not n and run >= 3:
-            run = min(run, 138)
-            tokens.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
-        elif n and n == last and run >= 3:
-            run = min(run, 6)
-            tokens.append((16, run - 3, 2))
-        else:
-            run = 1
-            tokens.append((n, 0, 0))
-        last = n or last
-        at += run
+    last = 8
+    for n, own in groupby(lengths[: used[-1] + 1]):
+        run = len(list(own))
+        while run:
+            if not n and run >= 3:
+                k = min(run, 138)
+                tokens.append((18, k - 11, 7) if k >= 11 else (17, k - 3, 3))
+            elif n and n == last and run >= 3:
+                k = min(run, 6)
+                tokens.append((16, k - 3, 2))
+            else:
+                k = 1
+                tokens.append((n, 0, 0))
+            last = n or last
+            run -= k
     if len(tokens) < 2:
         tokens.append((0, 0, 0))
-    parts += [(1, 1), (3, 3), (len(tokens) - 2, 8)]
-    for t, more, size in tokens:
-        parts += [_TOKENS[t], (more, size)]
-    bits = size = 0
-    for value, n in parts:
-        bits |= value << size
-        size += n
+    bits, size = _STATED
+    bits |= (1 | 5 << 1 | len(tokens) - 2 << 4) << size
+    size += 16
+    for t, more, n in tokens:
+        code, k = _TOKENS[t]
+        bits |= (code | more << k) << size
+        size += k + n
     return bits, size
 
 
-def encode(samples: bytes, width: int, height: int) -> bytes:
-    """A file of 4 samples a pixel, in the order green, red, blue, alpha, under one prefix code."""
-    data = np.frombuffer(samples, dtype=np.uint8)
-    lengths = code_lengths(np.bincount(data, minlength=256))
-    stated, n = _code_bits(lengths)
-    head, size = 0x2F | width - 1 << 8 | height - 1 << 22 | 1 << 36, 40  # signature, sides, alpha is used, version 0
-    size += 3  # no transform, no colour cache, one set of codes
-    for _ in range(4):
-        head |= stated << size
+def _fields(bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number's bits as fields of 32."""
+    words = -(-size // 32)
+    sizes = np.full(words, 32, dtype=np.uint64)
+    sizes[-1] = size - 32 * (words - 1)
+    return np.frombuffer(bits.to_bytes(4 * words, "little"), dtype="<u4").astype(np.uint64), sizes
+
+
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lengths or distances, from 1 on: prefix symbols, extra bits, and their number."""
+    x = v.astype(np.int64) - 1
+    more = np.maximum(np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 2, 0)
+    symbol = np.where(x < 4, x, 2 * more + 2 + (x >> more & 1))
+    more = np.where(x < 4, 0, more)
+    return symbol, x & (1 << more) - 1, more
+
+
+def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, lengths and distances of runs that repeat earlier pixels, none overlapping, of COPIED pixels or more.
+
+    A run is where the nearest earlier pixel of the same colour is equally far for each of its pixels.
+    """
+    n = len(pixels)
+    order = np.argsort(pixels, kind="stable")
+    same = np.flatnonzero(pixels[order[1:]] == pixels[order[:-1]]) + 1
+    far = np.zeros(n + 1, dtype=np.int64)
+    far[order[same]] = order[same] - order[same - 1]
+    edges = np.concatenate(([0], np.flatnonzero(far[1:] != far[:-1]) + 1))
+    size = np.diff(np.append(edges, n + 1))
+    keep = (size >= COPIED) & (far[edges] > 0)
+    begin, size = edges[keep], size[keep]
+    times = -(-size // 4096)  # the longest that a length can say
+    part = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+    begin, left = np.repeat(begin, times) + 4096 * part, np.repeat(size, times) - 4096 * part
+    return begin, np.minimum(left, 4096), far[begin]
+
+
+#: Shortest run that is written as a back-reference, and the longest code of a symbol that is written.
+COPIED, LONGEST = 3, 12
+
+
+def _coded(pixels: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.ndarray]:
+    """An image as fields of bits: values and sizes. Back-references, cache hits and literals, whichever saves more."""
+    n = len(pixels)
+    begin, length, far = _copies(pixels) if main else (np.zeros(0, dtype=np.int64),) * 3
+    cache_bits, hit = 0, np.zeros(n, dtype=bool)
+    covered = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(covered, begin, 1)
+    np.add.at(covered, begin + length, -1)
+    free = covered.cumsum()[:n] == 0
+    if main and n >= 16:
+        cache_bits = min(10, max(1, int(n).bit_length() - 4))
+        slot = (pixels.astype(np.uint64) * np.uint64(MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
+        order = np.argsort(slot, kind="stable")
+        before, after = order[:-1], order[1:]
+        hit[after[(slot[after] == slot[before]) & (pixels[after] == pixels[before])]] = True
+        hit &= free
+        if 20 * np.count_nonzero(hit) < n:
+            cache_bits, hit = 0, np.zeros(n, dtype=bool)
+    kind = np.where(free, 0, -1).astype(np.int8)
+    kind[hit], kind[begin] = 1, 2
+    at = np.flatnonzero(kind >= 0)
+    kind = kind[at]
+    fields, sizes = np.zeros((len(at), 4), dtype=np.uint64), np.zeros((len(at), 4), dtype=np.uint64)
+    lit, own = kind == 0, _bytes(pixels, n)[0]  # blue, green, red, alpha
+    text = own[at[lit]]
+    symbols = np.zeros(len(at), dtype=np.int64)
+    symbols[lit] = text[:, 1]
+    if cache_bits:
+        symbols[kind == 1] = 280 + slot[at[kind == 1]].astype(np.int64)
+    size_symbol, size_more, size_bits = _prefix(length)
+    place = np.where(far == width, 1, np.where(far == 1, 2, far + len(NEAR)))
+    far_symbol, far_more, far_bits = _prefix(place)
+    symbols[kind == 2] = 256 + size_symbol
+    first = code_lengths(np.bincount(symbols, minlength=280 + (1 << cache_bits if cache_bits else 0)), LONGEST)
+    other = code_lengths(np.bincount(text[:, [2, 0, 3]].ravel(), minlength=256), LONGEST)
+    last = code_lengths(np.bincount(far_symbol, minlength=40), LONGEST)
+    values, bits = _codes(first)
+    fields[:, 0], sizes[:, 0] = values[symbols], bits[symbols]
+    values, bits = _codes(other)
+    for k, c in enumerate((2, 0, 3)):
+        fields[lit, k + 1], sizes[lit, k + 1] = values[text[:, c]], bits[text[:, c]]
+    values, bits = _codes(last)
+    for k, (v, m) in enumerate(((size_more, size_bits), (values[far_symbol], bits[far_symbol]), (far_more, far_bits))):
+        fields[kind == 2, k + 1], sizes[kind == 2, k + 1] = v, m
+    head, size = (1 | cache_bits << 1, 5) if cache_bits else (0, 1)
+    size += main  # one set of codes
+    stated = _code_bits(other)
+    for more, n in (_code_bits(first), stated, stated, stated, _code_bits(last)):
+        head |= more << size
         size += n
-    head |= 1 << size  # distances: a simple code of one symbol, 0
-    size += 4
-    code, bits = np.zeros(256, dtype=np.uint64), np.zeros(256, dtype=np.uint64)
+    top = _fields(head, size)
+    return np.concatenate((top[0], fields.ravel())), np.concatenate((top[1], sizes.ravel()))
+
+
+def _codes(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    code, bits = np.zeros(len(lengths), dtype=np.uint64), np.zeros(len(lengths), dtype=np.uint64)
     own = canonical(lengths)
     if len(own) > 1:
         for s, (c, k) in own.items():
             code[s], bits[s] = c, k
-    codes, steps = code[data].reshape(-1, 4), bits[data].reshape(-1, 4).cumsum(axis=1)
-    value = codes[:, 0] | codes[:, 1] << steps[:, 0] | codes[:, 2] << steps[:, 1] | codes[:, 3] << steps[:, 2]
-    ends = steps[:, 3].cumsum() + np.uint64(size)
-    begins = ends - steps[:, 3]
-    total = int(ends[-1])
+    return code, bits
+
+
+def _written(value: np.ndarray, size: np.ndarray) -> bytes:
+    """Fields of bits, each under 64 long, one after another."""
+    ends = size.cumsum()
+    begins, total = ends - size, int(ends[-1])
     words = np.zeros((total >> 6) + 2, dtype=np.uint64)
-    top = np.frombuffer(head.to_bytes(8 * (-(-size >> 6)), "little"), dtype="<u8")
-    words[: len(top)] = top
-    if len(own) > 1:
-        at, shift = (begins >> np.uint64(6)).astype(np.int64), begins & np.uint64(63)
-        firsts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        words[at[firsts]] |= np.bitwise_or.reduceat(value << shift, firsts)
-        words[at[firsts] + 1] |= np.bitwise_or.reduceat(value >> np.uint64(1) >> np.uint64(63) - shift, firsts)
-    body = words.astype("<u8").tobytes()[: (total + 7) >> 3]
+    at, shift = (begins >> np.uint64(6)).astype(np.int64), begins & np.uint64(63)
+    firsts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    words[at[firsts]] |= np.bitwise_or.reduceat(value << shift, firsts)
+    words[at[firsts] + 1] |= np.bitwise_or.reduceat(value >> np.uint64(1) >> np.uint64(63) - shift, firsts)
+    return words.astype("<u8").tobytes()[: (total + 7) >> 3]
+
+
+def _cost(samples: np.ndarray) -> float:
+    """Bits of the samples under a code of their own, by their entropy."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    counts = counts[counts > 0]
+    return float(counts.sum() * np.log2(counts.sum()) - (counts * np.log2(counts)).sum())
+
+
+def _transformed(pixels: np.ndarray, width: int, height: int) -> tuple[np.ndarray, int, list[tuple[np.ndarray, np.ndarray]]]:
+    """The pixels to write, their width, and the fields of the transform that leads back.
+
+    A palette where few colours fill the image; else what makes the samples cheapest by their entropy: nothing, subtracted
+    green, or a prediction from the left or from above.
+    """
+    colours = np.unique(pixels)
+    if len(colours) <= 256 and len(pixels) >= 4 * len(colours):
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        per, bits = 1 << packed, 8 >> packed
+        index = np.searchsorted(colours, pixels).reshape(height, width)
+        index = np.pad(index, ((0, 0), (0, -width % per))).reshape(height, -1, per)
+        own = ((index << np.arange(per) * bits).sum(axis=2) << 8 | 0xFF000000).astype(np.uint32)
+        steps = np.diff(_bytes(colours.astype(np.uint32), len(colours)), axis=1, prepend=np.zeros((1, 1, 4), dtype=np.uint8))
+        stated = _coded(steps.astype(np.uint8).view("<u4").ravel(), len(colours), False)
+        return own.ravel(), own.shape[1], [_fields(1 | 3 << 1 | len(colours) - 1 << 3, 11), stated]
+    own = _bytes(pixels, width)
+    green = own.copy()
+    green[:, :, [0, 2]] -= own[:, :, 1:2]
+    best, steps = _cost(own) * 0.98, []  # a transform has to save a little
+    chosen = own
+    if (cost := _cost(green)) < best:
+        best, chosen, steps = cost, green, [_fields(1 | 2 << 1, 3)]
+    for mode in (1, 2):
+        rest = own.copy()
+        rest[0, 0, 3] += 1  # minus 255
+        if mode == 1:
+            rest[:, 1:] -= own[:, :-1]
+            rest[1:, 0] -= own[:-1, 0]
+        else:
+            rest[1:] -= own[:-1]
+            rest[0, 1:] -= own[0, :-1]
+        if (cost := _cost(rest)) < best:
+            best, chosen = cost, rest
+            tiles = np.full(-(-width >> 9) * -(-height >> 9), mode << 8, dtype=np.uint32)
+            steps = [_fields(1 | 7 << 3, 6), _coded(tiles, -(-width >> 9), False)]
+    return np.ascontiguousarray(chosen).view("<u4").ravel().astype(np.uint32), width, steps
+
+
+def encode(samples: bytes, width: int, height: int) -> bytes:
+    """A file of 4 samples a pixel, in the order green, red, blue, alpha."""
+    data = np.frombuffer(samples, dtype=np.uint8).reshape(-1, 4)
+    pixels = np.ascontiguousarray(data[:, [2, 0, 1, 3]]).view("<u4").ravel()
+    # signature, sides, alpha is used, version 0
+    fields = [_fields(0x2F | width - 1 << 8 | height - 1 << 22 | 1 << 36, 40)]
+    own, across, steps = _transformed(pixels, width, height)
+    fields += [*steps, _fields(0, 1), _coded(own, across, True)]
+    body = _written(np.concatenate([v for v, _ in fields]), np.concatenate([n for _, n in fields]))
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + bytes(len(body) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
