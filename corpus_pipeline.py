@@ -6,13 +6,12 @@ pieces and their sequences.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import stages
-from tidemark.llm.common import table
+from tidemark.llm.common import shared_folder, table
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -44,7 +43,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared checkpoint folder as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    shared = shared_folder(spark)
     for name, stage in STAGES:
         path = f"{shared}/{name}-{uuid.uuid4().hex}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
