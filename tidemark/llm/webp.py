@@ -8,7 +8,6 @@ take longer to find than they could save on bytes of text.
 
 from __future__ import annotations
 
-import heapq
 from functools import lru_cache
 from itertools import groupby
 
@@ -164,8 +163,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 own.append(_read_code(bits, s))
         codes.append(own)
     n, first = width * height, bits.at >> 3
-    raw = np.frombuffer(bits.data, dtype=np.uint8)[first:].astype(np.int32)
-    window = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16).tolist()  # by byte: it and the two after it
+    window = np.ndarray(len(bits.data) - first - 8, dtype="<u8", buffer=bits.data, offset=first, strides=(1,)).tolist()  # by byte: eight from it on
     at, out, cache, shift = bits.at & 7, [], [0] * (1 << cache_bits), 32 - cache_bits
     green, red, blue, alpha, distance = codes[0]
     g, gm, r, rm, b, bm, a, am = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
@@ -175,15 +173,18 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             if which:
                 green, red, blue, alpha, distance = codes[which[(done // width >> tile) * across + (done % width >> tile)]]
                 g, gm, r, rm, b, bm, a, am = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
-            v = g[window[at >> 3] >> (at & 7) & gm]
-            at += v & 15
+            q = window[at >> 3] >> (at & 7)  # 57 bits at least: more than four of these codes, but for the longest
+            v = g[q & gm]
+            at += (k := v & 15)
             if v < 4096:  # a literal: green, and three more
-                x = r[window[at >> 3] >> (at & 7) & rm]
-                at += x & 15
-                y = b[window[at >> 3] >> (at & 7) & bm]
-                at += y & 15
-                z = a[window[at >> 3] >> (at & 7) & am]
-                at += z & 15
+                q >>= k
+                x = r[q & rm]
+                q >>= (k := x & 15)
+                y = b[q & bm]
+                k += (h := y & 15)
+                q = q >> h if k < 27 else window[at + k >> 3] >> (at + k & 7)
+                z = a[q & am]
+                at += k + (z & 15)
                 p = z >> 4 << 24 | x >> 4 << 16 | v >> 4 << 8 | y >> 4
                 add(p)
                 if cache_bits:
@@ -361,29 +362,38 @@ def decode(file: bytes) -> np.ndarray:
 
 def code_lengths(counts: np.ndarray, most: int = 15) -> list[int]:
     """Lengths of a prefix code for the counts, at most `most`: Huffman's, with flatter counts if those are too long."""
-    used = np.flatnonzero(counts).tolist()
+    used = np.flatnonzero(counts)
     lengths = [0] * len(counts)
-    weights = counts[used].tolist()
-    while len(used) > 1:
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(used) - 1)
-        for node in range(len(used), 2 * len(used) - 1):
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = node
-            heapq.heapreplace(heap, (a + b, node))
-        depth = [0] * len(parent)
-        for node in range(len(parent) - 2, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if max(depth[: len(used)]) <= most:
-            for s, d in zip(used, depth, strict=False):
+    if len(used) < 2:
+        if len(used):
+            lengths[int(used[0])] = 1
+        return lengths
+    weights = counts[used]
+    while True:
+        order = np.argsort(weights, kind="stable")
+        leaves, joined = [*weights[order].tolist(), 1 << 62], []  # both rise, so that the two least stand in front
+        n, i, j = len(used), 0, 0
+        parent = [0] * (2 * n - 1)
+        joined = [1 << 62] * n
+        for k in range(n - 1):
+            if leaves[i] <= joined[j]:
+                w, a, i = leaves[i], i, i + 1
+            else:
+                w, a, j = joined[j], n + j, j + 1
+            if leaves[i] <= joined[j]:
+                w, b, i = w + leaves[i], i, i + 1
+            else:
+                w, b, j = w + joined[j], n + j, j + 1
+            joined[k] = w
+            parent[a] = parent[b] = n + k
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            for s, d in zip(used[order].tolist(), depth, strict=False):
                 lengths[s] = d
             return lengths
-        weights = [(w >> 2) + 1 for w in weights]
-    if used:
-        lengths[used[0]] = 1
-    return lengths
+        weights = (weights >> 2) + 1
 
 
 #: A complete code for code lengths: six rare ones of 5 bits, the others of 4.
@@ -464,7 +474,7 @@ def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Shortest run that is written as a back-reference, and the longest code of a symbol that is written.
-COPIED, LONGEST = 3, 12
+COPIED, LONGEST = 3, 11
 
 
 def _coded(pixels: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -472,13 +482,14 @@ def _coded(pixels: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.n
     n = len(pixels)
     begin, length, far = _copies(pixels) if main else (np.zeros(0, dtype=np.int64),) * 3
     cache_bits, hit = 0, np.zeros(n, dtype=bool)
-    covered = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(covered, begin, 1)
-    np.add.at(covered, begin + length, -1)
-    free = covered.cumsum()[:n] == 0
+    free = np.ones(n, dtype=bool)
+    if len(begin):
+        covered = np.bincount(begin, minlength=n + 1) - np.bincount(begin + length, minlength=n + 1)
+        free = covered.cumsum()[:n] == 0
     if main and n >= 16:
         cache_bits = min(10, max(1, int(n).bit_length() - 4))
         slot = (pixels.astype(np.uint64) * np.uint64(MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
+        slot = slot.astype(np.uint16)
         order = np.argsort(slot, kind="stable")
         before, after = order[:-1], order[1:]
         hit[after[(slot[after] == slot[before]) & (pixels[after] == pixels[before])]] = True
@@ -496,38 +507,48 @@ def _coded(pixels: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.n
     symbols[lit] = text[:, 1]
     if cache_bits:
         symbols[kind == 1] = 280 + slot[at[kind == 1]].astype(np.int64)
-    size_symbol, size_more, size_bits = _prefix(length)
-    place = np.where(far == width, 1, np.where(far == 1, 2, far + len(NEAR)))
-    far_symbol, far_more, far_bits = _prefix(place)
-    symbols[kind == 2] = 256 + size_symbol
+    if len(begin):
+        size_symbol, size_more, size_bits = _prefix(length)
+        far_symbol, far_more, far_bits = _prefix(np.where(far == width, 1, np.where(far == 1, 2, far + len(NEAR))))
+        symbols[kind == 2] = 256 + size_symbol
     first = code_lengths(np.bincount(symbols, minlength=280 + (1 << cache_bits if cache_bits else 0)), LONGEST)
     other = code_lengths(np.bincount(text[:, [2, 0, 3]].ravel(), minlength=256), LONGEST)
-    last = code_lengths(np.bincount(far_symbol, minlength=40), LONGEST)
+    last = code_lengths(np.bincount(far_symbol, minlength=40), LONGEST) if len(begin) else [0] * 40
     values, bits = _codes(first)
     fields[:, 0], sizes[:, 0] = values[symbols], bits[symbols]
     values, bits = _codes(other)
     for k, c in enumerate((2, 0, 3)):
         fields[lit, k + 1], sizes[lit, k + 1] = values[text[:, c]], bits[text[:, c]]
-    values, bits = _codes(last)
-    for k, (v, m) in enumerate(((size_more, size_bits), (values[far_symbol], bits[far_symbol]), (far_more, far_bits))):
-        fields[kind == 2, k + 1], sizes[kind == 2, k + 1] = v, m
+    if len(begin):
+        values, bits = _codes(last)
+        for k, (v, m) in enumerate(((size_more, size_bits), (values[far_symbol], bits[far_symbol]), (far_more, far_bits))):
+            fields[kind == 2, k + 1], sizes[kind == 2, k + 1] = v, m
     head, size = (1 | cache_bits << 1, 5) if cache_bits else (0, 1)
     size += main  # one set of codes
     stated = _code_bits(other)
     for more, n in (_code_bits(first), stated, stated, stated, _code_bits(last)):
         head |= more << size
         size += n
-    top = _fields(head, size)
-    return np.concatenate((top[0], fields.ravel())), np.concatenate((top[1], sizes.ravel()))
+    top, steps = _fields(head, size), sizes.cumsum(axis=1)
+    values = fields[:, 0] | fields[:, 1] << steps[:, 0] | fields[:, 2] << steps[:, 1] | fields[:, 3] << steps[:, 2]
+    return np.concatenate((top[0], values)), np.concatenate((top[1], steps[:, 3]))
 
 
 def _codes(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    code, bits = np.zeros(len(lengths), dtype=np.uint64), np.zeros(len(lengths), dtype=np.uint64)
-    own = canonical(lengths)
-    if len(own) > 1:
-        for s, (c, k) in own.items():
-            code[s], bits[s] = c, k
-    return code, bits
+    """By symbol its code and the number of its bits; none for a symbol alone. Codes as of canonical()."""
+    bits = np.array(lengths, dtype=np.int64)
+    order = np.argsort(bits, kind="stable")[np.count_nonzero(bits == 0) :]
+    code = np.zeros(len(bits), dtype=np.uint64)
+    if len(order) < 2:
+        return code, np.zeros(len(bits), dtype=np.uint64)
+    own = bits[order]
+    # a code's place among all of 15 bits is the sum of what the codes before it take up
+    place = np.concatenate(([0], (1 << 15 - own).cumsum()[:-1]))
+    code[order] = _TURNED[place]
+    return code, bits.astype(np.uint64)
+
+
+_TURNED = np.array(TURNED, dtype=np.uint64)
 
 
 def _written(value: np.ndarray, size: np.ndarray) -> bytes:
@@ -555,8 +576,8 @@ def _transformed(pixels: np.ndarray, width: int, height: int) -> tuple[np.ndarra
     A palette where few colours fill the image; else what makes the samples cheapest by their entropy: nothing, subtracted
     green, or a prediction from the left or from above.
     """
-    colours = np.unique(pixels)
-    if len(colours) <= 256 and len(pixels) >= 4 * len(colours):
+    start = np.sort(pixels[:1024])
+    if np.count_nonzero(start[1:] != start[:-1]) < min(256, len(pixels) // 4) and len(colours := np.unique(pixels)) <= min(256, len(pixels) // 4):
         packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
         per, bits = 1 << packed, 8 >> packed
         index = np.searchsorted(colours, pixels).reshape(height, width)
@@ -566,6 +587,8 @@ def _transformed(pixels: np.ndarray, width: int, height: int) -> tuple[np.ndarra
         stated = _coded(steps.astype(np.uint8).view("<u4").ravel(), len(colours), False)
         return own.ravel(), own.shape[1], [_fields(1 | 3 << 1 | len(colours) - 1 << 3, 11), stated]
     own = _bytes(pixels, width)
+    if own.max() < 128:  # text in ASCII, whose samples have no gradients
+        return pixels, width, []
     green = own.copy()
     green[:, :, [0, 2]] -= own[:, :, 1:2]
     best, steps = _cost(own) * 0.98, []  # a transform has to save a little
