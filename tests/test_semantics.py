@@ -160,3 +160,35 @@ def test_search_beats_random_draws_and_repeats():
     assert found == validation.search(surface, specs, 60, batch=4)
     assert validation.search(lambda a: [1.0], {}, 5) == [({}, 1.0)]
     assert validation.climb(surface, specs, found[0], 10, 1)[1] >= found[0][1]
+
+
+def test_risk_parity_meets_its_condition():
+    import numpy as np
+
+    from tidemark.operators.portfolio import risk_parity
+
+    rng = np.random.default_rng(2)
+    for k in (2, 5, 12):
+        a = rng.normal(size=(k, 3 * k)) * rng.uniform(0.001, 0.1, (k, 1))
+        x, risk = risk_parity(np.cov(a))
+        assert x.min() > 0 and abs(x.sum() - 1) < 1e-12 and np.abs(risk - 1 / k).max() < 1e-6
+
+
+def test_parzen_search_finds_a_peak():
+    from tidemark.plans import validation
+
+    specs = {"a": {"min": 0, "max": 10, "default": 1}, "n": {"min": 1, "max": 30, "default": 2, "int": True}}
+    peak = lambda many: [-((p["a"] - 7) ** 2) - (p["n"] - 20) ** 2 / 9 for p in many]
+    runs = validation.search(peak, specs, 80, batch=4)
+    assert len(runs) == 80 and runs[0][0] == {"a": 1.0, "n": 2.0} and runs == validation.search(peak, specs, 80, batch=4)
+    assert max(v for _, v in runs) > -1.5 and all(p["n"] == round(p["n"]) and 0 <= p["a"] <= 10 for p, _ in runs)
+    assert validation.climb(peak, specs, max(runs, key=lambda p: p[1]), 5, 1)[1] >= max(v for _, v in runs)
+
+
+def test_forward_sums_are_one_pass(spark):
+    from tidemark.operators import joins
+
+    bars = spark.createDataFrame([("a", t) for t in (10, 20, 30)] + [("b", 15)], "symbol string, ts int")
+    stamps = spark.createDataFrame([("a", 5, 1.0), ("a", 10, 2.0), ("a", 11, 4.0), ("a", 20, 8.0), ("a", 31, 16.0), ("b", 16, 1.0)], "symbol string, ts int, x double")
+    got = {(r["symbol"], r["ts"]): r["x"] for r in joins.asof_forward_sum(bars, stamps, "x", ["symbol"]).collect()}
+    assert got == {("a", 10): 3.0, ("a", 20): 12.0, ("a", 30): 0.0, ("b", 15): 0.0}

@@ -38,8 +38,9 @@ def asof_forward_sum(bars: DataFrame, stamps: DataFrame, value: str, by: list[st
     by = by or []
     left = bars.select(*by, "ts", F.lit(None).cast("double").alias(value), F.col("ts").alias("_bar"))
     right = stamps.select(*by, "ts", F.col(value).cast("double").alias(value), F.lit(None).cast(bars.schema["ts"].dataType).alias("_bar"))
-    w = Window.partitionBy(*by).orderBy("ts", F.col("_bar").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    at = left.unionByName(right).withColumn("_bar", F.first("_bar", ignorenulls=True).over(w)).where(F.col(value).isNotNull() & F.col("_bar").isNotNull())
+    # backwards in time a bar comes before the stamps of its ts, and the last bar seen is the next one: one pass
+    w = Window.partitionBy(*by).orderBy(F.desc("ts"), F.col("_bar").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    at = left.unionByName(right).withColumn("_bar", F.last("_bar", ignorenulls=True).over(w)).where(F.col(value).isNotNull() & F.col("_bar").isNotNull())
     sums = at.groupBy(*by, F.col("_bar").alias("ts")).agg(F.sum(value).alias(value))
     return bars.join(sums, [*by, "ts"], "left").fillna(0.0, [value])
 

@@ -44,7 +44,7 @@ SQL["agg_coverage"] = "SELECT o_orderpriority AS symbol, '1d' AS tf, count(DISTI
 QUERIES["agg_recipes"] = lambda spark, d: aggregates.recipe_rollup(candidates(spark, d).withColumns({"success": F.col("failed_stage").isNull(), "score": F.col("composite")}), "family").select("family", "attempts", "successes", r("score_sum", 4).alias("score_sum"), r("score_mean").alias("score_mean"), r("posterior_mean").alias("posterior_mean"))
 SQL["agg_recipes"] = f"WITH {CANDIDATES} SELECT family, count(*) AS attempts, count(*) FILTER (WHERE failed_stage IS NULL) AS successes, round(sum(composite), 4) AS score_sum, round(avg(composite), 6) AS score_mean, round((count(*) FILTER (WHERE failed_stage IS NULL) + 1) / (count(*) + 2.0), 6) AS posterior_mean FROM c GROUP BY family"
 QUERIES["agg_kill_bars"] = lambda spark, d: candidates(spark, d).where("failed_stage is not null").groupBy("failed_stage").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "failed_stage").limit(8)
-SQL["agg_kill_bars"] = f"WITH {CANDIDATES} SELECT failed_stage, count(*) AS n FROM c WHERE failed_stage IS NOT NULL GROUP BY failed_stage ORDER BY n DESC, failed_stage LIMIT 3"
+SQL["agg_kill_bars"] = f"WITH {CANDIDATES} SELECT failed_stage, count(*) AS n FROM c WHERE failed_stage IS NOT NULL GROUP BY failed_stage ORDER BY n DESC, failed_stage LIMIT 8"
 
 
 def live(spark: SparkSession, d: str) -> DataFrame:

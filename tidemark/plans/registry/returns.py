@@ -240,8 +240,7 @@ SQL["mth_uniform"] = "WITH " + DRAW.format(seed=42, draw="n_nationkey::BIGINT",
 QUERIES["mth_normal"] = lambda spark, d: panels.table(spark, d, "customer").select("c_custkey", r(maths.normal_cdf(F.col("c_acctbal") / 3000), 9).alias("cdf"), r(maths.normal_quantile(F.least(F.lit(0.999), F.lit(0.5) + F.abs("c_acctbal") / 20500)), 6).alias("q"), r(maths.logit(F.abs("c_acctbal") / 10000), 6).alias("logit"))
 SQL["mth_normal"] = f"SELECT c_custkey, round({_cdf_sql('(c_acctbal / 3000)')}, 9) AS cdf, round({_quantile_sql('least(0.999, 0.5 + abs(c_acctbal) / 20500)')}, 6) + 0.0 AS q, round(ln(least(greatest(abs(c_acctbal) / 10000, 1e-9), 1 - 1e-9) / (1 - least(greatest(abs(c_acctbal) / 10000, 1e-9), 1 - 1e-9))), 6) + 0.0 AS logit FROM customer"
 
-# replicates in the SQL; the queries have the operators' own counts
-REPS = 40
+REPS = 1000
 QUERIES["rsm_block_bootstrap"] = lambda spark, d: statistics.block_bootstrap(streams(spark, d), 365, by=("id",)).select("id", "rep", r("sharpe").alias("sharpe"))
 SQL["rsm_block_bootstrap"] = f"""WITH {STREAMS}, o AS (SELECT id, ret, row_number() OVER (PARTITION BY id ORDER BY ts) - 1 AS k FROM streams), z AS (SELECT id, count(*) AS n, CAST(ceil(count(*) / 24.0) AS BIGINT) AS nb FROM o GROUP BY id HAVING count(*) >= 72),
 d AS (SELECT id, n, nb, rep, unnest(range(nb)) AS b FROM (SELECT *, unnest(range({REPS})) AS rep FROM z)), {DRAW.format(seed=42, draw="(rep * nb + b)", table="d")},
@@ -249,7 +248,7 @@ e AS (SELECT id, n, rep, CAST(floor(u * n) AS BIGINT) AS st, b, unnest(range(24)
 f AS (SELECT id, rep, (st + j) % n AS k FROM e WHERE b * 24 + j < n)
 SELECT id, CAST(rep AS INTEGER) AS rep, round(CASE WHEN stddev_pop(ret) > 1e-12 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END, 6) + 0.0 AS sharpe FROM f JOIN o USING (id, k) GROUP BY ALL"""
 QUERIES["rsm_bootstrap_interval"] = lambda spark, d: statistics.bootstrap_interval(statistics.block_bootstrap(streams(spark, d), 365, by=("id",)), ("id",)).select("id", *[r(c).alias(c) for c in ("lo", "hi", "p5", "median")])
-SQL["rsm_bootstrap_interval"] = SQL["rsm_block_bootstrap"].replace("\nSELECT id, CAST", ", sh AS (SELECT id, CAST") + "), q AS (SELECT id, list_sort(list(sharpe)) AS s FROM sh GROUP BY id) SELECT id, s[2] AS lo, s[40] AS hi, s[3] AS p5, s[21] AS median FROM q"
+SQL["rsm_bootstrap_interval"] = SQL["rsm_block_bootstrap"].replace("\nSELECT id, CAST", ", sh AS (SELECT id, CAST") + "), q AS (SELECT id, list_sort(list(sharpe)) AS s FROM sh GROUP BY id) SELECT id, s[26] AS lo, s[976] AS hi, s[51] AS p5, s[501] AS median FROM q"
 QUERIES["rsm_monte_carlo"] = lambda spark, d: statistics.monte_carlo_summary(statistics.monte_carlo(streams(spark, d), 365, by=("id",)), ("id",))
 QUERIES["rsm_shuffled_falls"] = lambda spark, d: statistics.shuffled_falls(streams(spark, d), by=("id",))
 QUERIES["rsm_reality_check"] = lambda spark, d: statistics.reality_check(streams(spark, d))
@@ -290,16 +289,16 @@ def _sharpe_sql(x: str) -> str:
 
 
 QUERIES["vld_block_ratios"] = lambda spark, d: statistics.block_ratios(grid_runs(spark, d), 8, 365, ("symbol", "config")).select("symbol", "config", "block", r("value").alias("value"))
-BLOCKS = f"""{GRID_SQL}, k AS (SELECT config, ret, row_number() OVER (PARTITION BY config ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY config) AS n FROM runs WHERE symbol = '1-URGENT'),
-bl AS (SELECT config, CAST(least(k // (n // 8), 7) AS INTEGER) AS block, {_sharpe_sql("ret")} AS value FROM k GROUP BY ALL)"""
-SQL["vld_block_ratios"] = f"WITH {BLOCKS} SELECT config, block, round(value, 6) + 0.0 AS value FROM bl"
+BLOCKS = f"""{GRID_SQL}, k AS (SELECT symbol, config, ret, row_number() OVER (PARTITION BY symbol, config ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY symbol, config) AS n FROM runs),
+bl AS (SELECT symbol, config, CAST(least(k // greatest(n // 8, 1), 7) AS INTEGER) AS block, {_sharpe_sql("ret")} AS value FROM k GROUP BY ALL)"""
+SQL["vld_block_ratios"] = f"WITH {BLOCKS} SELECT symbol, config, block, round(value, 6) + 0.0 AS value FROM bl"
 QUERIES["vld_overfitting"] = lambda spark, d: statistics.overfitting(statistics.block_ratios(grid_runs(spark, d), 8, 365, ("symbol", "config")), spark, by=("symbol",)).select("symbol", r("pbo").alias("pbo"), "splits", r("median_logit").alias("median_logit"))
 SQL["vld_overfitting"] = f"""WITH {BLOCKS}, masks AS (SELECT m FROM (SELECT unnest(range(256)) AS m) WHERE bit_count(m) = 4),
-me AS (SELECT m, config, avg(value) FILTER (WHERE (m >> block) & 1 = 1) AS ins, avg(value) FILTER (WHERE (m >> block) & 1 = 0) AS oos FROM masks, bl GROUP BY ALL),
-be AS (SELECT m, arg_max(oos, (ins, -config)) AS chosen FROM me GROUP BY m),
-ra AS (SELECT m, count(*) FILTER (WHERE oos > chosen) AS better, count(*) FILTER (WHERE oos = chosen) AS equal, count(*) AS n FROM me JOIN be USING (m) GROUP BY m),
-la AS (SELECT ln(o / (1 - o)) AS lam FROM (SELECT least(greatest(1 - (better + (equal - 1) / 2.0) / (n - 1), 1e-9), 1 - 1e-9) AS o FROM ra))
-SELECT round(avg(CASE WHEN lam <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS splits, round(list_sort(list(lam))[CAST(count(*) // 2 + 1 AS BIGINT)], 6) + 0.0 AS median_logit FROM la"""
+me AS (SELECT symbol, m, config, avg(value) FILTER (WHERE (m >> block) & 1 = 1) AS ins, avg(value) FILTER (WHERE (m >> block) & 1 = 0) AS oos FROM masks, bl GROUP BY ALL),
+be AS (SELECT symbol, m, arg_max(oos, (ins, -config)) AS chosen FROM me GROUP BY symbol, m),
+ra AS (SELECT symbol, m, count(*) FILTER (WHERE oos > chosen) AS better, count(*) FILTER (WHERE oos = chosen) AS equal, count(*) AS n FROM me JOIN be USING (symbol, m) GROUP BY symbol, m),
+la AS (SELECT symbol, ln(o / (1 - o)) AS lam FROM (SELECT symbol, least(greatest(1 - (better + (equal - 1) / 2.0) / (n - 1), 1e-9), 1 - 1e-9) AS o FROM ra))
+SELECT symbol, round(avg(CASE WHEN lam <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS splits, round(list_sort(list(lam))[CAST(count(*) // 2 + 1 AS BIGINT)], 6) + 0.0 AS median_logit FROM la GROUP BY symbol"""
 
 
 def walk(spark: SparkSession, d: str) -> DataFrame:
@@ -344,6 +343,15 @@ QUERIES["prt_timing_sleeve"] = lambda spark, d: portfolio.timing_sleeve(panels.b
 SQL["prt_timing_sleeve"] = f"""WITH {BARS_1D}, a AS (SELECT *, CASE WHEN i >= 41 THEN CAST(CASE WHEN count(v) OVER {over(40, 1)} >= 20 THEN (v - avg(v) OVER {over(40, 1)}) / greatest(stddev_pop(v) OVER {over(40, 1)}, 1e-6) ELSE 0 END > 0.5 AS DOUBLE) ELSE 0 END AS w FROM bars_1d)
 SELECT symbol, {DAY}, w, round(coalesce(lag(w) OVER s, 0) * coalesce(c / lag(c) OVER s - 1, 0) - abs(coalesce(lag(w) OVER s, 0) - coalesce(lag(w, 2) OVER s, 0)) * 7e-4, 6) + 0.0 AS ret FROM a WINDOW s AS (PARTITION BY symbol ORDER BY ts)"""
 QUERIES["prt_book_erc"] = lambda spark, d: portfolio.book_weights(streams(spark, d)).select("id", r("weight").alias("weight"), r("risk").alias("risk"))
+SQL["prt_book_erc"] = f"""WITH RECURSIVE {STREAMS}, {SHARED}, cv AS (SELECT x.id AS a, y.id AS b, covar_pop(x.ret, y.ret) AS c FROM sh x JOIN sh y ON x.ts = y.ts GROUP BY ALL),
+al AS (SELECT DISTINCT id FROM streams), few AS (SELECT count(DISTINCT ts) < 2 AS few FROM sh),
+it AS (SELECT 0 AS k, list(id ORDER BY id) AS ids, list(x ORDER BY id) AS x FROM (SELECT id, 1 / stddev_pop(ret) AS x FROM sh GROUP BY id HAVING (SELECT NOT few FROM few))
+  UNION ALL SELECT k + 1, ids, list(x * sqrt(mean / risk) ORDER BY id) FROM (SELECT *, avg(risk) OVER () AS mean FROM (
+    SELECT k, ids, id, x, x * sum(c * y) AS risk FROM (SELECT k, ids, unnest(ids) AS id, unnest(x) AS x, x AS own FROM it WHERE k < 200 AND len(ids) > 0) p
+    JOIN (SELECT a, b, c FROM cv) ON a = id, LATERAL (SELECT own[list_position(ids, b)] AS y) GROUP BY k, ids, id, x)) GROUP BY k, ids),
+la AS (SELECT unnest(ids) AS id, unnest(x) AS x FROM it WHERE k = 200), ri AS (SELECT p.id, p.x, p.x * sum(c * q.x) AS risk FROM la p JOIN cv ON a = p.id JOIN la q ON q.id = b GROUP BY p.id, p.x)
+SELECT id, round(x / sum(x) OVER (), 6) AS weight, round(risk / sum(risk) OVER (), 6) AS risk FROM ri
+UNION ALL SELECT id, round(1 / (count(*) OVER ())::DOUBLE, 6), round(1 / (count(*) OVER ())::DOUBLE, 6) FROM al WHERE (SELECT few FROM few)"""
 QUERIES["prt_book_inverse_vol"] = lambda spark, d: portfolio.book_weights(streams(spark, d), "invvol").select("id", r("weight").alias("weight"))
 SQL["prt_book_inverse_vol"] = f"WITH {STREAMS}, {SHARED}, v AS (SELECT id, 1 / stddev_pop(ret) AS x FROM sh GROUP BY id) SELECT id, round(x / sum(x) OVER (), 6) AS weight FROM v"
 
@@ -364,8 +372,13 @@ def diversification(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["prt_diversification"] = diversification
-SQL["prt_diversification"] = f"WITH {STREAMS}, {SHARED}, v AS (SELECT stddev_pop(ret) AS sd FROM sh GROUP BY id), b AS (SELECT avg(ret) AS ret FROM sh GROUP BY ts) SELECT round((SELECT avg(sd) FROM v) / stddev_pop(ret), 6) AS ratio FROM b"
+SQL["prt_diversification"] = f"WITH {STREAMS}, {SHARED}, v AS (SELECT stddev_pop(ret) AS sd FROM sh GROUP BY id), b AS (SELECT avg(ret) AS ret FROM sh GROUP BY ts) SELECT round(CASE WHEN stddev_pop(ret) > 0 THEN (SELECT avg(sd) FROM v) / stddev_pop(ret) ELSE 1 END, 6) AS ratio FROM b"
 QUERIES["prt_marginal"] = lambda spark, d: portfolio.marginal_ratio(streams(spark, d), "5-LOW", 365).select(*[r(c).alias(c) for c in ("with_it", "without", "marginal", "max_corr")])
+SQL["prt_marginal"] = f"""WITH {STREAMS}, {SHARED}, rest AS (SELECT * FROM streams WHERE id <> '5-LOW'), rsh AS (SELECT * FROM rest WHERE ts IN (SELECT ts FROM rest GROUP BY ts HAVING count(DISTINCT id) = (SELECT count(DISTINCT id) FROM rest))),
+wi AS (SELECT CASE WHEN stddev_pop(ret) > 1e-15 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END AS s FROM (SELECT ts, avg(ret) AS ret FROM sh GROUP BY ts)),
+wo AS (SELECT CASE WHEN stddev_pop(ret) > 1e-15 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END AS s FROM (SELECT ts, avg(ret) AS ret FROM rsh GROUP BY ts)),
+ne AS (SELECT max(c) AS c FROM (SELECT corr(x.ret, y.ret) AS c FROM streams x JOIN streams y ON x.ts = y.ts WHERE x.id = '5-LOW' AND y.id <> '5-LOW' GROUP BY y.id HAVING count(*) > 2))
+SELECT round(wi.s, 6) + 0.0 AS with_it, round(wo.s, 6) + 0.0 AS without, round(wi.s - wo.s, 6) + 0.0 AS marginal, round(ne.c, 6) + 0.0 AS max_corr FROM wi, wo, ne"""
 
 
 #: Account sizes of a capacity curve.
@@ -380,7 +393,7 @@ def capacity(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["prt_capacity"] = capacity
 SQL["prt_capacity"] = f"""WITH {BARS_1D}, {_stages("momentum")}, {RETURNS_SQL}, a AS (SELECT *, c / lag(c) OVER s - 1 AS rr FROM x WINDOW s AS (PARTITION BY symbol ORDER BY ts)),
 b AS (SELECT *, CASE WHEN count(rr) OVER {over(20)} >= 10 THEN stddev_pop(rr) OVER {over(20)} END AS sg, CASE WHEN count(v * c) OVER {over(60)} >= 15 THEN avg(v * c) OVER {over(60)} END AS adv FROM a),
-k AS (SELECT *, unnest([1e4, 1e6, 1e8])::DOUBLE AS aum FROM b), p2 AS (SELECT *, CASE WHEN turn > 0 AND sg > 0 AND adv > 0 THEN turn * aum / adv END AS shr FROM k),
+k AS (SELECT *, unnest([1e4, 2.5e4, 5e4, 1e5, 2.5e5, 5e5, 1e6, 2.5e6, 5e6, 1e7, 2.5e7, 5e7, 1e8])::DOUBLE AS aum FROM b), p2 AS (SELECT *, CASE WHEN turn > 0 AND sg > 0 AND adv > 0 THEN turn * aum / adv END AS shr FROM k),
 f AS (SELECT symbol, aum, shr, ret / 50 - coalesce(turn * 0.7 * sg * sqrt(shr), 0) AS net FROM p2)
 SELECT symbol, aum, round({_sharpe_sql("net")}, 5) + 0.0 AS net_sharpe, round(coalesce(avg(shr), 0), 5) AS participation FROM f GROUP BY ALL"""
 QUERIES["vld_stress"] = lambda spark, d: statistics.stress(run_doc(spark, d, "momentum")).select("symbol", "ramp", r("sharpe").alias("sharpe"))

@@ -7,10 +7,10 @@ floors. Stages go from cheap to dear, each over a semi-join with the survivors,
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,49 +95,67 @@ def stability(neighbours: DataFrame, base: DataFrame, key: str = "candidate", go
     return base.join(out.select(key, (0.6 * F.col("near") + 0.4 * smooth).alias("stability")), key, "left").select(key, F.coalesce("stability", F.lit(1.0)).alias("stability"))
 
 
-def _draw(rng: random.Random, spec: dict, middle: float, width: float) -> float:
-    for _ in range(20):
-        if spec["min"] <= (x := rng.gauss(middle, width)) <= spec["max"]:
-            break
-    x = min(spec["max"], max(spec["min"], x))
-    return float(round(x)) if spec.get("int") else x
+def _valid(x: float, spec: dict) -> float:
+    x = min(max(x, spec["min"]), spec["max"])
+    return float(round(x)) if spec.get("int") else float(x)
 
 
-def search(evaluate: Callable[[list[dict]], list[float]], specs: dict[str, dict], trials: int, seed: int = 11, startup: int = 10, batch: int = 1, gamma: float = 0.25, tries: int = 24, width: float = 0.2) -> list[tuple[dict, float]]:
-    """Tree-structured Parzen search: (parameters, objective) of all trials, in order; the first are the defaults.
+class Parzen:
+    """A mixture over one parameter: a normal at each trial, as wide as the gaps to its neighbours, and a flat part.
 
-    evaluate: objectives of several parameter sets at once, as one Spark job; batch: sets asked for at a time.
+    As in Bergstra et al. (2011), Algorithms for hyper-parameter optimization, section 4.
+    """
+
+    def __init__(self, trials: list[float], spec: dict) -> None:
+        self.low, self.span = float(spec["min"]), max(float(spec["max"] - spec["min"]), 1e-9)
+        self.at = np.sort((np.array(trials) - self.low) / self.span)
+        gaps = np.diff(np.concatenate(([0.0], self.at, [1.0])))
+        self.wide = np.clip(np.maximum(gaps[:-1], gaps[1:]), 1 / (1 + len(trials)), 1.0)
+
+    def sample(self, rng: np.random.Generator) -> float:
+        k = rng.integers(len(self.at) + 1)
+        x = rng.random() if k == len(self.at) else rng.normal(self.at[k], self.wide[k])
+        return self.low + self.span * abs((x + 1) % 2 - 1) if 0 > x or x > 1 else self.low + self.span * x
+
+    def log(self, x: float) -> float:
+        z = ((x - self.low) / self.span - self.at) / self.wide
+        return math.log((1.0 + (np.exp(-0.5 * z * z) / (self.wide * math.sqrt(2 * math.pi))).sum()) / (len(self.at) + 1))
+
+
+def search(evaluate: Callable[[list[dict]], list[float]], specs: dict[str, dict], trials: int, seed: int = 11, startup: int = 12, batch: int = 1, best: float = 0.2, options: int = 32) -> list[tuple[dict, float]]:
+    """Parzen search: (parameters, objective) of all trials, in order; the first are the defaults, then uniform ones.
+
+    Each further one is, of `options` drawn from the mixture over the best share of trials, that where this mixture is
+    highest over that of the others. evaluate: objectives of several sets at once, as one Spark job; batch: sets asked for
+    at a time.
     """
-    rng, seen = random.Random(seed), []
     if not specs:
         return [({}, evaluate([{}])[0])]
-    widths = {k: max((s["max"] - s["min"]) * width, 0.5 if s.get("int") else 1e-6) for k, s in specs.items()}
-    prior = {k: float(s["default"]) for k, s in specs.items()}
-
-    def density(x: float, centres: list[float], h: float) -> float:
-        return max(1e-12, sum(math.exp(-0.5 * ((x - c) / h) ** 2) for c in centres) / (len(centres) * h))
-
-    def ask() -> dict:
-        if len(seen) < startup:
-            return {k: _draw(rng, s, prior[k], 0.35 * (s["max"] - s["min"])) if rng.random() < 0.5 else _draw(rng, s, rng.uniform(s["min"], s["max"]), 1e-9) for k, s in specs.items()}
-        ranked = sorted(seen, key=lambda p: -p[1])
-        cut = max(1, int(gamma * len(ranked)))
-        good, bad = ([p for p, _ in part] for part in (ranked[:cut], ranked[cut:]))
-        at = {k: ([prior[k], *(p[k] for p in good)], [p[k] for p in bad] or [prior[k]]) for k in specs}
-        options = [{k: _draw(rng, s, rng.choice(at[k][0]), widths[k]) for k, s in specs.items()} for _ in range(tries)]
-        return max(options, key=lambda o: sum(math.log(density(o[k], at[k][0], widths[k]) / density(o[k], at[k][1], widths[k])) for k in specs))
-
+    rng = np.random.default_rng(seed)
+    seen: list[tuple[dict, float]] = []
     while len(seen) < trials:
-        asked = [prior] if not seen else [ask() for _ in range(min(batch, trials - len(seen)))]
+        n = min(batch, trials - len(seen))
+        if not seen:
+            asked = [{k: float(s["default"]) for k, s in specs.items()}]
+        elif len(seen) < startup:
+            asked = [{k: _valid(rng.uniform(s["min"], s["max"]), s) for k, s in specs.items()} for _ in range(n)]
+        else:
+            order = sorted(range(len(seen)), key=lambda i: -seen[i][1])
+            first = math.ceil(best * len(seen))
+            near, far = ({k: Parzen([seen[i][0][k] for i in part], s) for k, s in specs.items()} for part in (order[:first], order[first:]))
+            asked = []
+            for _ in range(n):
+                drawn = [{k: _valid(near[k].sample(rng), s) for k, s in specs.items()} for _ in range(options)]
+                asked.append(max(drawn, key=lambda o: sum(near[k].log(o[k]) - far[k].log(o[k]) for k in specs)))
         seen += zip(asked, evaluate(asked), strict=True)
     return seen
 
 
 def climb(evaluate: Callable[[list[dict]], list[float]], specs: dict[str, dict], start: tuple[dict, float], steps: int, seed: int, share: float = 0.15) -> tuple[dict, float]:
     """Hill climb from the best of a search: the best of changed copies, if it is better, each step one job."""
-    rng, best = random.Random(seed), start
+    rng, best = np.random.default_rng(seed), start
     for _ in range(steps):
-        near = [{k: _draw(rng, s, best[0][k], share * (s["max"] - s["min"])) for k, s in specs.items()} for _ in range(8)]
+        near = [{k: _valid(rng.normal(best[0][k], share * (s["max"] - s["min"])), s) for k, s in specs.items()} for _ in range(8)]
         top = max(zip(near, evaluate(near), strict=True), key=lambda p: p[1])
         best = top if top[1] > best[1] else best
     return best
