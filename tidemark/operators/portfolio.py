@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.nulls import EPS
-from tidemark.operators import aggregates, joins
+from tidemark.operators import aggregates, joins, statistics
 from tidemark.operators import windows as w
 
 #: Cost of borrowed money a year.
@@ -207,3 +207,77 @@ def daily_stats(returns: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFr
     out = own.groupBy(*by).agg(F.exp(F.sum(F.log1p("ret"))).alias("multiple"), F.count("*").alias("n"), F.least(F.min("_d"), F.lit(0.0)).alias("max_dd"), aggregates.sharpe(F.col("ret"), 365).alias("sharpe"), F.avg((F.col("ret") > 0).cast("double")).alias("positive_days"))
     out = out.withColumn("cagr", F.pow("multiple", 365 / F.col("n")) - 1)
     return out.withColumn("calmar", F.when(F.col("max_dd") < -EPS, F.col("cagr") / F.abs("max_dd")).otherwise(0.0))
+
+
+def sleeve_walk_forward(
+    daily: DataFrame, wants: dict[int, tuple[Column, int]], train_days: int, step_days: int, purge: int, cost: float = 7e-4, target: float | None = None, most: float = 1.0, least: int = 120
+) -> tuple[DataFrame, DataFrame]:
+    """Windows (symbol, window, config, train_sharpe, lev, n, ret), and their test rows (symbol, window, i, ts, ret), which pool into one stream.
+
+    daily: symbol, ts, i, c. wants: by configuration the weight wanted at a close, and the first row that may have one. A
+    window trains on train_days before its start but for the last `purge` rows, takes the configuration with the best ratio
+    there (of equal ones the first) and trades it until the next start. Its run begins flat at its first training row; with
+    a target, one leverage brings the run to that volatility. Windows with fewer than `least` rows to train on or under 7
+    to trade are left out. A bar meets the windows that it is in, not all; symbols and windows are groups.
+    """
+    o = w.order()
+    r = F.coalesce(F.col("c") / F.lag("c").over(o) - 1, F.lit(0.0))
+    wide = daily.select("symbol", "ts", "i", r.alias("r"), *[F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"want{k}") for k, (x, _) in wants.items()])
+    wide = wide.select("symbol", "ts", "i", "r", *[F.struct(F.lit(k).alias("config"), F.lit(warm).alias("warm"), F.lag(f"want{k}").over(o).alias("one"), F.lag(f"want{k}", 2).over(o).alias("two")).alias(f"run{k}") for k, (_, warm) in wants.items()])
+    days = lambda n: F.expr(f"interval {n} days")
+    span = daily.groupBy("symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).where(F.col("last") >= F.col("first") + days(train_days))
+    starts = span.select("symbol", F.posexplode(F.sequence(F.col("first") + days(train_days), F.col("last"), days(step_days))).alias("window", "test_start"))
+    starts = starts.select("symbol", "window", "test_start", (F.col("test_start") - days(train_days)).alias("from"), (F.col("test_start") + days(step_days)).alias("to"))
+    inside = wide.join(starts, "symbol").where((F.col("ts") >= F.col("from")) & (F.col("ts") < F.col("to")))
+    bounds = inside.groupBy("symbol", "window").agg(F.min("i").alias("a"), F.min(F.when(F.col("ts") >= F.col("test_start"), F.col("i"))).alias("s"), F.max("i").alias("e"))
+    bounds = bounds.where((F.col("e") > F.col("s") + 5) & (F.col("s") - 1 - purge - F.col("a") >= least))
+    runs = inside.join(bounds, ["symbol", "window"]).select("symbol", "window", "ts", "i", "r", "a", "s", "e", F.explode(F.array(*[f"run{k}" for k in wants])).alias("run"))
+    start = F.greatest(F.col("run.warm"), F.col("a"))
+    held, before = F.when(F.col("i") - 1 >= start, F.col("run.one")).otherwise(0.0), F.when(F.col("i") - 2 >= start, F.col("run.two")).otherwise(0.0)
+    runs = runs.select("symbol", "window", "ts", "i", "a", "s", "e", "run.config", (F.col("i") > start).alias("live"), F.when(F.col("i") > start, held * F.col("r") - F.abs(held - before) * cost).otherwise(0.0).alias("out"))
+    train = (F.col("i") > F.col("a")) & (F.col("i") <= F.col("s") - 1 - purge)
+    vol = F.coalesce(F.stddev_pop(F.when(F.col("live"), F.col("out"))), F.lit(0.0)) * math.sqrt(365)
+    lev = F.lit(1.0) if target is None else F.when(vol > 1e-9, F.least(F.lit(most), target / vol)).otherwise(1.0)
+    judged = runs.groupBy("symbol", "window", "config").agg(aggregates.sharpe(F.when(train, F.col("out")), 365).alias("train_sharpe"), lev.alias("lev"))
+    best = F.row_number().over(Window.partitionBy("symbol", "window").orderBy(F.desc("train_sharpe"), "config"))
+    chosen = judged.withColumn("_r", best).where("_r = 1").drop("_r")
+    tested = runs.where(F.col("i") >= F.col("s")).join(chosen, ["symbol", "window", "config"])
+    scaled = F.col("out") if target is None else F.greatest(F.lit(-0.95), F.col("out") * F.col("lev"))
+    tested = tested.select("symbol", "window", "config", "train_sharpe", "lev", "i", "ts", scaled.alias("ret"))
+    windows = tested.groupBy("symbol", "window", "config", "train_sharpe", "lev").agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"))
+    return windows, tested.select("symbol", "window", "i", "ts", "ret")
+
+
+def pooled_stats(stream: DataFrame, month: int = 30) -> DataFrame:
+    """By symbol of a pooled stream (symbol, i, ret): ratio, deepest fall, share of months of `month` rows that gain, worst month."""
+    o = Window.partitionBy("symbol").orderBy("i")
+    own = stream.withColumn("_k", F.row_number().over(o) - 1).withColumn("_l", F.sum(F.log1p("ret")).over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("_d", F.exp(F.col("_l") - F.greatest(F.max("_l").over(o.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))) - 1)
+    months = own.groupBy("symbol", F.floor(F.col("_k") / month).alias("_m")).agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("g"))
+    months = months.groupBy("symbol").agg(F.avg((F.col("g") > 0).cast("double")).alias("positive_months"), F.least(F.min("g"), F.lit(0.0)).alias("worst_month"))
+    return own.groupBy("symbol").agg(aggregates.sharpe(F.col("ret"), 365).alias("sharpe"), F.least(F.min("_d"), F.lit(0.0)).alias("max_dd"), F.count("*").alias("n")).join(months, "symbol")
+
+
+def significant(streams: DataFrame, per_year: float, reps: int = 1000, least_low: float = 0.0, least_p5: float = 0.0) -> DataFrame:
+    """Gate A by stream (id): whether the bootstrap's interval of the ratio lies above the floor, and its 5 % point too."""
+    found = statistics.bootstrap_interval(statistics.block_bootstrap(streams, per_year, reps, by=("id",)), ("id",))
+    alone = streams.groupBy("id").agg(aggregates.sharpe(F.col("ret"), per_year).alias("sharpe"))
+    out = alone.join(found.select("id", "lo", "p5"), "id", "left")
+    return out.withColumn("passes", F.coalesce((F.col("lo") > least_low) & (F.col("p5") >= least_p5), F.lit(False)))
+
+
+def admitted(marginal: DataFrame, least: float = 0.05, most: float = 0.6) -> DataFrame:
+    """Gate B of marginal_ratio()'s row: no near-duplicate of a member, and a lift of the book."""
+    near, lift = F.coalesce(F.col("max_corr"), F.lit(0.0)) >= most, F.col("marginal") >= least
+    return marginal.withColumn("admits", ~near & lift).withColumn("reason", F.when(near, "near-duplicate").when(lift, "lifts the book").otherwise("not accretive"))
+
+
+def book_gate(streams: DataFrame, per_year: float, reps: int = 1000, least_sharpe: float = 1.0, least_p5: float = 1.0, most_corr: float = 0.5, scheme: str = "erc") -> DataFrame:
+    """Gate C, one row: the book's ratio, its bootstrap's 5 % point, the mean correlation within, and whether all pass."""
+    weights = book_weights(streams, scheme)
+    book = book_returns(streams, weights).withColumn("id", F.lit("book"))
+    stats = book.agg(aggregates.sharpe(F.col("ret"), per_year, 1e-15).alias("sharpe"))
+    low = statistics.bootstrap_interval(statistics.block_bootstrap(book, per_year, reps, by=("id",)), ("id",)).agg(F.coalesce(F.max("p5"), F.lit(-9.0)).alias("p5"))
+    corr = aggregates.mean_abs_correlation(joins.intersection(streams, "id")).select(F.coalesce(F.max("mean_abs_corr"), F.lit(0.0)).alias("mean_abs_corr"))
+    out = stats.crossJoin(low).crossJoin(corr)
+    return out.withColumn("passes", (F.col("sharpe") >= least_sharpe) & (F.col("p5") >= least_p5) & (F.col("mean_abs_corr") <= most_corr))

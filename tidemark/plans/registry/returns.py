@@ -462,3 +462,58 @@ QUERIES["vld_stability"] = stability
 SQL["vld_stability"] = f"""WITH {GRID_SQL}, s AS (SELECT symbol AS candidate, config, {_sharpe_sql("ret")} AS sharpe FROM runs GROUP BY ALL), b AS (SELECT candidate, sharpe AS base FROM s WHERE config = {GRID[1]}),
 k AS (SELECT candidate, avg(CASE WHEN CASE WHEN base > 1e-9 THEN sharpe >= 0.7 * base ELSE sharpe >= base - 0.1 END THEN 1.0 ELSE 0.0 END) AS near, sqrt(avg((sharpe - base) ** 2)) AS rms, any_value(base) AS base FROM s JOIN b USING (candidate) WHERE config <> {GRID[1]} GROUP BY candidate)
 SELECT candidate, round(0.6 * near + 0.4 * greatest(0, 1 - rms / greatest(0.25, abs(base))), 6) AS stability FROM k"""
+
+
+def _z_past(n: int) -> str:
+    return f"CASE WHEN count(v) OVER {over(n, 1)} >= 20 THEN (v - avg(v) OVER {over(n, 1)}) / greatest(stddev_pop(v) OVER {over(n, 1)}, 1e-6) ELSE 0 END"
+
+
+ZS, EDGES, LENGTHS = (60, 120, 250), (0.0, 0.5, 1.0), (100, 150, 200, 250)
+#: By query: what is wanted by configuration (as a column, as SQL, first row), days of training and of a step, rows purged, target.
+WALKS: dict[str, tuple[Callable, dict[int, tuple[str, int]], int, int, int, float | None]] = {
+    "wfd_trend": (lambda k: F.col("c") > w.sma(F.col("c"), LENGTHS[k]), {k: (f"c > {_avg(n)}", n + 1) for k, n in enumerate(LENGTHS)}, 540, 90, 5, None),
+    "wfd_timing": (lambda k: w.past_zscore(F.col("v"), ZS[k // 3]) > EDGES[k % 3], {k: (f"{_z_past(ZS[k // 3])} > {EDGES[k % 3]}", ZS[k // 3] + 2) for k in range(9)}, 360, 120, 20, 0.4),
+    "wfd_implied": (lambda k: w.past_zscore(F.col("v"), ZS[k // 3]) < -EDGES[k % 3], {k: (f"{_z_past(ZS[k // 3])} < -{EDGES[k % 3]}", max(ZS[k // 3] + 1, 22)) for k in range(9)}, 360, 120, 25, 0.4),
+}
+
+
+def walked(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
+    want, grid, train, step, purge, target = WALKS[name]
+    # daily returns of the orders' bars are far above a market's: prices are drawn together
+    daily = panels.bars_1d(spark, d).withColumn("c", F.exp(F.ln("c") / 50))
+    return portfolio.sleeve_walk_forward(daily, {k: (want(k), warm) for k, (_, warm) in grid.items()}, train, step, purge, target=target, most=3.0)
+
+
+def _walk_sql(name: str) -> str:
+    _, grid, train, step, purge, target = WALKS[name]
+    lev = "1.0" if target is None else f"CASE WHEN coalesce(stddev_pop(q) FILTER (WHERE live), 0) * sqrt(365) > 1e-9 THEN least(3.0, {target} / (stddev_pop(q) FILTER (WHERE live) * sqrt(365))) ELSE 1 END"
+    runs = " UNION ALL ".join(f"SELECT symbol, ts, i, r, {k} AS config, {warm} AS warm, coalesce(CAST(lag(w{k}) OVER s AS DOUBLE), 0) AS one, coalesce(CAST(lag(w{k}, 2) OVER s AS DOUBLE), 0) AS two FROM b1 WINDOW s AS (PARTITION BY symbol ORDER BY ts)" for k, (_, warm) in grid.items())
+    return f"""{BARS_1D}, b0 AS (SELECT symbol, ts, i, v, exp(ln(c) / 50) AS c FROM bars_1d),
+b1 AS (SELECT symbol, ts, i, coalesce(c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0) AS r, {", ".join(f"coalesce({x}, false) AS w{k}" for k, (x, _) in grid.items())} FROM b0), ru AS ({runs}),
+st AS (SELECT symbol, ts0 + INTERVAL {train} DAY + INTERVAL {step} DAY * k AS t, k FROM (SELECT symbol, min(ts) AS ts0, max(ts) AS ts1, unnest(range(200)) AS k FROM b0 GROUP BY symbol) WHERE ts0 + INTERVAL {train} DAY + INTERVAL {step} DAY * k <= ts1),
+bo AS (SELECT symbol, k, min(i) AS a, min(i) FILTER (WHERE ts >= t) AS s, max(i) AS e FROM b1 JOIN st USING (symbol) WHERE ts >= t - INTERVAL {train} DAY AND ts < t + INTERVAL {step} DAY GROUP BY ALL HAVING max(i) > min(i) FILTER (WHERE ts >= t) + 5 AND min(i) FILTER (WHERE ts >= t) - 1 - {purge} - min(i) >= 120),
+o0 AS (SELECT *, CASE WHEN i - 1 >= greatest(warm, a) THEN one ELSE 0 END AS held, CASE WHEN i - 2 >= greatest(warm, a) THEN two ELSE 0 END AS was, i > greatest(warm, a) AS live FROM ru JOIN bo USING (symbol) WHERE i BETWEEN a AND e),
+ou AS (SELECT *, CASE WHEN live THEN held * r - abs(held - was) * 7e-4 ELSE 0 END AS q FROM o0),
+ju AS (SELECT symbol, k, config, {_sharpe_sql(f"CASE WHEN i > a AND i <= s - 1 - {purge} THEN q END")} AS train_sharpe, {lev} AS lev FROM ou GROUP BY ALL),
+ch AS (SELECT * FROM ju QUALIFY row_number() OVER (PARTITION BY symbol, k ORDER BY round(train_sharpe, 12) DESC, config) = 1),
+te AS (SELECT symbol, k, config, train_sharpe, lev, i, {"q" if target is None else "greatest(-0.95, q * lev)"} AS ret FROM ou JOIN ch USING (symbol, k, config) WHERE i >= s)"""
+
+
+for _name in WALKS:
+    QUERIES[_name] = lambda spark, d, name=_name: walked(spark, d, name)[0].select("symbol", F.col("window").cast("int").alias("window"), F.col("config").cast("int").alias("config"), r("train_sharpe", 5).alias("train_sharpe"), r("lev", 5).alias("lev"), "n", r("ret").alias("ret"))
+    SQL[_name] = f"WITH {_walk_sql(_name)} SELECT symbol, CAST(k AS INTEGER) AS \"window\", CAST(config AS INTEGER) AS config, round(any_value(train_sharpe), 5) + 0.0 AS train_sharpe, round(any_value(lev), 5) AS lev, count(*) AS n, round(exp(sum(ln(1 + ret))) - 1, 6) + 0.0 AS ret FROM te GROUP BY symbol, k, config"
+QUERIES["wfd_pooled"] = lambda spark, d: portfolio.pooled_stats(walked(spark, d, "wfd_trend")[1]).select("symbol", "n", *[r(c).alias(c) for c in ("sharpe", "max_dd", "positive_months", "worst_month")])
+SQL["wfd_pooled"] = f"""WITH {_walk_sql("wfd_trend")}, p AS (SELECT symbol, i, ret, row_number() OVER s - 1 AS k, sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS l FROM te WINDOW s AS (PARTITION BY symbol ORDER BY i)),
+dd AS (SELECT *, exp(l - greatest(max(l) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING), 0)) - 1 AS d FROM p), m AS (SELECT symbol, k // 30 AS m, exp(sum(ln(1 + ret))) - 1 AS g FROM p GROUP BY ALL),
+mm AS (SELECT symbol, avg(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END) AS positive_months, least(min(g), 0) AS worst_month FROM m GROUP BY symbol)
+SELECT symbol, count(*) AS n, round({_sharpe_sql("ret")}, 6) + 0.0 AS sharpe, round(least(min(d), 0), 6) + 0.0 AS max_dd, round(any_value(positive_months), 6) AS positive_months, round(any_value(worst_month), 6) + 0.0 AS worst_month FROM dd JOIN mm USING (symbol) GROUP BY symbol"""
+QUERIES["prt_gate_a"] = lambda spark, d: portfolio.significant(streams(spark, d), 365).select("id", r("sharpe").alias("sharpe"), r("lo").alias("lo"), r("p5").alias("p5"), "passes")
+SQL["prt_gate_a"] = f"""WITH {STREAMS}, al AS (SELECT id, {_sharpe_sql("ret")} AS sharpe FROM streams GROUP BY id), bi AS ({SQL["rsm_bootstrap_interval"]})
+SELECT id, round(sharpe, 6) + 0.0 AS sharpe, lo, p5, coalesce(lo > 0 AND p5 >= 0, false) AS passes FROM al LEFT JOIN bi USING (id)"""
+QUERIES["prt_gate_b"] = lambda spark, d: portfolio.admitted(portfolio.marginal_ratio(streams(spark, d), "5-LOW", 365)).select(r("marginal").alias("marginal"), r("max_corr").alias("max_corr"), "admits", "reason")
+SQL["prt_gate_b"] = f"SELECT marginal, max_corr, coalesce(max_corr, 0) < 0.6 AND marginal >= 0.05 AS admits, CASE WHEN coalesce(max_corr, 0) >= 0.6 THEN 'near-duplicate' WHEN marginal >= 0.05 THEN 'lifts the book' ELSE 'not accretive' END AS reason FROM ({SQL['prt_marginal']})"
+QUERIES["prt_gate_c"] = lambda spark, d: portfolio.book_gate(streams(spark, d), 365, scheme="equal").select(*[r(c).alias(c) for c in ("sharpe", "p5", "mean_abs_corr")], "passes")
+SQL["prt_gate_c"] = f"""WITH bo AS (WITH {STREAMS}, {SHARED} SELECT ts, avg(ret) AS ret FROM sh GROUP BY ts), ma AS ({SQL["agg_mean_abs_correlation"]}),
+lo AS (SELECT max(p5) AS p5 FROM ({SQL["rsm_bootstrap_interval"].replace("WITH " + STREAMS, "WITH streams AS (SELECT 'book' AS id, ts, ret FROM bo)", 1)})),
+st AS (SELECT CASE WHEN stddev_pop(ret) > 1e-15 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END AS sharpe FROM bo)
+SELECT round(sharpe, 6) + 0.0 AS sharpe, coalesce(p5, -9) AS p5, coalesce(mean_abs_corr, 0) AS mean_abs_corr, sharpe >= 1 AND coalesce(p5, -9) >= 1 AND coalesce(mean_abs_corr, 0) <= 0.5 AS passes FROM st, lo, ma"""
