@@ -217,3 +217,29 @@ def live_metrics(snapshots: DataFrame, by: tuple[str, ...] = ("id",), least: int
         F.when(days >= 14, F.pow(total, 365 / days) - 1).alias("cagr"),
         F.coalesce(F.sum(F.when(F.col("weight") != 0, F.col("span"))) / F.sum("span"), F.lit(0.0)).alias("time_in_market"),
     )
+
+
+def daily_returns(snapshots: DataFrame, by: tuple[str, ...] = ("id",), value: str = "equity", least_days: int = 6) -> DataFrame:
+    """(by, ts, ret) of the last value of each UTC day against that of the day before it that has any, where that is above 0.
+
+    Keys with under 3 rows or `least_days` days are left out. The last of a day merges before the shuffle.
+    """
+    days = snapshots.groupBy(*by, F.date_trunc("day", "ts").alias("day")).agg(F.max_by(value, "ts").alias("last"), F.count("*").alias("rows"))
+    all_days = Window.partitionBy(*by)
+    days = days.withColumns({"n": F.count("*").over(all_days), "all_rows": F.sum("rows").over(all_days), "was": F.lag("last").over(all_days.orderBy("day"))})
+    return days.where((F.col("n") >= least_days) & (F.col("all_rows") >= 3) & (F.col("was") > 0)).select(*by, F.col("day").alias("ts"), (F.col("last") / F.col("was") - 1).alias("ret"))
+
+
+def worst_fall(curves: DataFrame, by: tuple[str, ...] = ("id",), value: str = "equity", least: int = 5) -> DataFrame:
+    """(by, depth, peak, trough): the deepest fall of a curve below its highest value so far, and the times where it began and ended.
+
+    Of equal falls the first, of equal peaks the first; a curve that never falls has depth 0 and no times. Curves of under
+    `least` rows are left out.
+    """
+    so_far = Window.partitionBy(*by).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    own = curves.select(*by, "ts", F.col(value).alias("x"), F.max(value).over(so_far).alias("top"))
+    own = own.withColumn("since", F.min("ts").over(Window.partitionBy(*by, "top").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("fall", F.col("x") / F.col("top") - 1)
+    worst = own.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("fall", "ts", "since")).alias("w")).where(F.col("n") >= least)
+    fell = F.col("w.fall") < 0
+    return worst.select(*by, F.least(F.col("w.fall"), F.lit(0.0)).alias("depth"), F.when(fell, F.col("w.since")).alias("peak"), F.when(fell, F.col("w.ts")).alias("trough"))

@@ -57,6 +57,23 @@ SQL["agg_live_metrics"] = """WITH e AS (SELECT event_type AS id, date_trunc('hou
 m AS (SELECT *, equity / lag(equity) OVER s - 1 AS ret, equity / max(equity) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd, epoch(lead(ts) OVER s) - epoch(ts) AS span FROM e WINDOW s AS (PARTITION BY id ORDER BY ts))
 SELECT id, round(arg_max(equity, ts) / arg_min(equity, ts) - 1, 6) + 0.0 AS total_return, round(min(dd), 6) + 0.0 AS max_dd, round(CASE WHEN count(ret) >= 48 AND stddev_pop(ret) > 1e-12 THEN avg(ret) / stddev_pop(ret) * sqrt(365 * 24) END, 6) + 0.0 AS sharpe,
   round(CASE WHEN (epoch(max(ts)) - epoch(min(ts))) / 86400.0 >= 14 THEN (arg_max(equity, ts) / arg_min(equity, ts)) ** (365 / ((epoch(max(ts)) - epoch(min(ts))) / 86400.0)) - 1 END, 6) + 0.0 AS cagr, round(coalesce(sum(CASE WHEN weight <> 0 THEN span END) / sum(span), 0), 6) AS time_in_market FROM m GROUP BY id"""
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """An equity for each event, as of an account that is marked at odd times."""
+    return panels.table(spark, d, "events").select(F.col("event_type").alias("id"), "ts", (100 + F.col("value")).alias("equity"), "event_id").groupBy("id", "ts").agg(F.max_by("equity", "event_id").alias("equity"))
+
+
+SNAPSHOTS = "snaps AS (SELECT event_type AS id, ts, arg_max(100 + value, event_id) AS equity FROM events GROUP BY ALL)"
+QUERIES["win_daily_returns"] = lambda spark, d: aggregates.daily_returns(snapshots(spark, d)).select("id", F.date_format("ts", "yyyy-MM-dd").alias("day"), r("ret").alias("ret"))
+SQL["win_daily_returns"] = f"""WITH {SNAPSHOTS}, d AS (SELECT id, CAST(ts AS DATE) AS day, arg_max(equity, ts) AS e, count(*) AS k FROM snaps GROUP BY ALL),
+w AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, sum(k) OVER (PARTITION BY id) AS ks, lag(e) OVER (PARTITION BY id ORDER BY day) AS was FROM d)
+SELECT id, strftime(day, '%Y-%m-%d') AS day, round(e / was - 1, 6) + 0.0 AS ret FROM w WHERE n >= 6 AND ks >= 3 AND was > 0"""
+QUERIES["win_worst_fall"] = lambda spark, d: aggregates.worst_fall(snapshots(spark, d)).select("id", r("depth").alias("depth"), F.date_format("peak", "yyyy-MM-dd HH:mm:ss").alias("peak"), F.date_format("trough", "yyyy-MM-dd HH:mm:ss").alias("trough"))
+SQL["win_worst_fall"] = f"""WITH {SNAPSHOTS}, t AS (SELECT *, max(equity) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS top FROM snaps), p AS (SELECT *, min(ts) OVER (PARTITION BY id, top ORDER BY ts ROWS UNBOUNDED PRECEDING) AS since, equity / top - 1 AS fall FROM t),
+w AS (SELECT id FROM p GROUP BY id HAVING count(*) >= 5),
+x AS (SELECT id, fall, since, ts FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY fall, ts) = 1)
+SELECT id, round(least(fall, 0), 6) + 0.0 AS depth, CASE WHEN fall < 0 THEN strftime(since, '%Y-%m-%d %H:%M:%S') END AS peak, CASE WHEN fall < 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS trough FROM x WHERE id IN (SELECT id FROM w)"""
+
+
 QUERIES["top_leaderboard"] = lambda spark, d: documents.leaderboard(candidates(spark, d), "composite", 25).select("id", "family", r("composite", 7).alias("composite"))
 SQL["top_leaderboard"] = f"WITH {CANDIDATES} SELECT id, family, round(composite, 7) AS composite FROM c WHERE composite IS NOT NULL AND stage NOT IN ('failed', 'archived') ORDER BY c.composite DESC, id LIMIT 25"
 QUERIES["doc_newest"] = lambda spark, d: documents.newest(candidates(spark, d), "created", 30).select("id", "name")
