@@ -461,7 +461,23 @@ def test_media_round_trip(odd, none):
 
 @pytest.mark.parametrize("data", [bytes(64), b"a" * 64, os.urandom(64), os.urandom(6400), bytes(range(256)) * 4, bytes(60) + b"\1\2\3\4", os.urandom(64) * 17_000])
 def test_encode_decode(data):
-    assert media.samples(media.store(data)).tobytes()[: len(data)] == data
+    assert next(media.samples([media.store(data)])).tobytes()[: len(data)] == data
+
+
+def test_files_read_side_by_side():
+    rng = np.random.default_rng(11)
+    block = rng.integers(0, 256, 256, dtype=np.uint8).tobytes()
+    words = "the of and in a to is was".split()
+    data = []
+    for i in range(600):
+        text = " ".join(words[k] for k in rng.integers(0, len(words), rng.integers(0, 300))).encode()
+        data.append((text, text + 2 * block, rng.integers(0, 256, 64 * (i % 7), dtype=np.uint8).tobytes(), bytes(i))[i % 4])
+    data += [b"abc " * 20_000, os.urandom(64_000), text * 400]
+    data = [d + bytes(-len(d) % 64 if d else 64) for d in data]
+    files = [media.store(d) for d in data]
+    assert [x.tobytes()[: len(d)] for x, d in zip(media.samples(files), data, strict=True)] == data
+    with pytest.raises(ValueError):
+        list(media.samples([f[: max(40, len(f) // 2)] for f in files if len(f) > 400][:64]))
 
 
 def kinds_in(file):
@@ -496,7 +512,7 @@ def test_the_encoder_uses_what_shrinks_a_file():
     for name, data in (("text", text), ("ramp", ramp), ("grey", grey.tobytes()), ("block", 2 * block), ("few", few)):
         file = media.store(data)
         found[name] = kinds_in(file)
-        assert media.samples(file).tobytes()[: len(data)] == data and len(file) < 0.85 * len(data)
+        assert next(media.samples([file])).tobytes()[: len(data)] == data and len(file) < 0.85 * len(data)
     assert "cache" in found["text"] and "unpredict" in found["ramp"] and "_number" in found["block"] and "unindex" in found["few"] and "green" in found["grey"]
 
 

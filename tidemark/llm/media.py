@@ -33,10 +33,10 @@ def store(payload: bytes) -> bytes:
     return webp.encode(payload + bytes(4 * (width * height - pixels)), width, height)
 
 
-def samples(file: bytes) -> np.ndarray:
-    """The samples of a file in the order of the payload."""
-    pixels = webp.decode(file).ravel()
-    return np.stack([(pixels >> s).astype(np.uint8) for s in (8, 16, 0, 24)], axis=1).ravel()
+def samples(files: list[bytes]) -> Iterator[np.ndarray]:
+    """The samples of each file in the order of the payload."""
+    for pixels in webp.decode_all(files):
+        yield np.ascontiguousarray(pixels, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].ravel()
 
 
 def feature(x: np.ndarray) -> str:
@@ -72,8 +72,9 @@ def read_back(stored: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for n, file in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
-                x = samples(file)[: n + (-n % UNIT if n else UNIT)]
+            files = batch.column(len(keep)).to_pylist()
+            for n, file, x in zip(batch.column(at).to_pylist(), files, samples(files), strict=True):
+                x = x[: n + (-n % UNIT if n else UNIT)]
                 data = x.tobytes()
                 rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature(x)))
             columns = list(zip(*rows, strict=True)) or [[]] * 6

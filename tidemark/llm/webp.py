@@ -8,8 +8,9 @@ take longer to find than they could save on bytes of text.
 
 from __future__ import annotations
 
-from functools import lru_cache
-from itertools import groupby
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -64,26 +65,34 @@ def canonical(lengths) -> dict[int, tuple[int, int]]:
     return out
 
 
+#: By the number of bits, all numbers of so many bits turned round.
+_ORDERS = [np.array(TURNED, dtype=np.int64)[np.arange(1 << n) << 15 - n] for n in range(16)]
+
+
 @lru_cache(64)
-def _table(lengths: bytes) -> tuple[int, list[int]]:
+def _table(lengths: bytes) -> tuple[int, np.ndarray]:
     """The longest length; by the next so many bits 16 times the symbol and its length. One symbol alone takes no bits."""
-    used = [s for s, n in enumerate(lengths) if n]
+    bits = np.frombuffer(lengths, dtype=np.uint8).astype(np.int64)
+    used = np.flatnonzero(bits)
     if len(used) < 2:
-        return 0, [16 * (used or [0])[0]]
-    most = max(lengths)
-    if sum(1 << most - lengths[s] for s in used) != 1 << most:
+        return 0, np.array([16 * used[0] if len(used) else 0], dtype=np.int64)
+    own = used[np.argsort(bits[used], kind="stable")]
+    most = int(bits[own[-1]])
+    share = 1 << most - bits[own]
+    if share.sum() != 1 << most:
         raise ValueError("a prefix code is not complete")
-    table = [0] * (1 << most)
-    for s, (code, n) in canonical(lengths).items():
-        table[code :: 1 << n] = [16 * s + n] * (1 << most - n)
-    return most, table
+    return most, np.repeat(16 * own + bits[own], share)[_ORDERS[most]]
 
 
 class Code:
     def __init__(self, lengths: bytes) -> None:
-        self.most, self.table = _table(lengths)
+        self.most, self.numbers = _table(lengths)
         self.mask = (1 << self.most) - 1
 
+    @cached_property
+    def table(self) -> list[int]:
+        return self.numbers.tolist()
+
     def read(self, bits: Bits) -> int:
         at = bits.at
         v = self.table[int.from_bytes(bits.data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & self.mask]
@@ -140,8 +149,21 @@ def _number(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << more) + bits.read(more) + 1
 
 
-def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """The pixels of one entropy-coded image."""
+@dataclass
+class Coded:
+    """An entropy-coded image whose codes have been read; its pixels begin at bits.at."""
+
+    bits: Bits
+    width: int
+    n: int
+    cache_bits: int
+    codes: list[list[Code]]  # green, red, blue, alpha and distance of each set
+    which: list[int] | None  # the set of each tile, if there are several
+    tile: int
+    across: int
+
+
+def _head(bits: Bits, width: int, height: int, main: bool) -> Coded:
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups, tile, which, across = 1, 0, None, 0
     if main and bits.read(1):
@@ -162,57 +184,192 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 begin = bits.at
                 own.append(_read_code(bits, s))
         codes.append(own)
-    n, first = width * height, bits.at >> 3
-    window = np.ndarray(len(bits.data) - first - 8, dtype="<u8", buffer=bits.data, offset=first, strides=(1,)).tolist()  # by byte: eight from it on
-    at, out, cache, shift = bits.at & 7, [], [0] * (1 << cache_bits), 32 - cache_bits
-    green, red, blue, alpha, distance = codes[0]
+    return Coded(bits, width, width * height, cache_bits, codes, which, tile, across)
+
+
+def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """The pixels of one entropy-coded image."""
+    own = _head(bits, width, height, main)
+    return np.array(_rest(own, [], [0] * (1 << own.cache_bits)), dtype=np.uint32)
+
+
+#: Bytes of a stream that are read at once as numbers.
+BLOCK = 1 << 16
+
+
+def _rest(coded: Coded, out: list[int], cache: list[int]) -> list[int]:
+    """The pixels of an image from the one after out on; out and the cache are those so far."""
+    bits, n, width, which, cache_bits = coded.bits, coded.n, coded.width, coded.which, coded.cache_bits
+    tile, across, shift = coded.tile, coded.across, 32 - cache_bits
+    green, red, blue, alpha, distance = coded.codes[0]
     g, gm, r, rm, b, bm, a, am = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
-    add = out.append
-    try:
-        while (done := len(out)) < n:
-            if which:
-                green, red, blue, alpha, distance = codes[which[(done // width >> tile) * across + (done % width >> tile)]]
-                g, gm, r, rm, b, bm, a, am = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
-            q = window[at >> 3] >> (at & 7)  # 57 bits at least: more than four of these codes, but for the longest
-            v = g[q & gm]
-            at += (k := v & 15)
-            if v < 4096:  # a literal: green, and three more
-                q >>= k
-                x = r[q & rm]
-                q >>= (k := x & 15)
-                y = b[q & bm]
-                k += (h := y & 15)
-                q = q >> h if k < 27 else window[at + k >> 3] >> (at + k & 7)
-                z = a[q & am]
-                at += k + (z & 15)
-                p = z >> 4 << 24 | x >> 4 << 16 | v >> 4 << 8 | y >> 4
-                add(p)
-                if cache_bits:
-                    cache[(MULTIPLIER * p & 0xFFFFFFFF) >> shift] = p
-            elif v >= 4480:
-                add(cache[(v >> 4) - 280])
-            else:
-                bits.at = 8 * first + at
-                length = _number(bits, (v >> 4) - 256)
-                d = _number(bits, distance.read(bits))
-                at = bits.at - 8 * first
-                if d > len(NEAR):
-                    d -= len(NEAR)
-                else:
-                    across_, down = NEAR[d - 1]
-                    d = max(1, across_ + down * width)
-                if d > done or done + length > n:
-                    raise ValueError("a back-reference leaves the image")
-                own = out[done - d : min(done, done - d + length)]
-                own = (own * -(-length // len(own)))[:length]
-                out += own
-                if cache_bits:
-                    for p in own:
+    add, first, at = out.append, bits.at >> 3, bits.at & 7
+    while len(out) < n:
+        size = min(BLOCK, len(bits.data) - first - 8)
+        if size <= 0:
+            raise ValueError("the stream ends too early")
+        window = np.ndarray(size, dtype="<u8", buffer=bits.data, offset=first, strides=(1,)).tolist()  # by byte: eight from it on
+        try:
+            while (done := len(out)) < n:
+                if which:
+                    green, red, blue, alpha, distance = coded.codes[which[(done // width >> tile) * across + (done % width >> tile)]]
+                    g, gm, r, rm, b, bm, a, am = green.table, green.mask, red.table, red.mask, blue.table, blue.mask, alpha.table, alpha.mask
+                q = window[at >> 3] >> (at & 7)  # 57 bits at least: more than four of these codes, but for the longest
+                v = g[q & gm]
+                k = v & 15
+                if v < 4096:  # a literal: green, and three more
+                    q >>= k
+                    x = r[q & rm]
+                    q >>= (h := x & 15)
+                    k += h
+                    y = b[q & bm]
+                    k += (h := y & 15)
+                    q = q >> h if k < 42 else window[at + k >> 3] >> (at + k & 7)
+                    z = a[q & am]
+                    at += k + (z & 15)
+                    p = z >> 4 << 24 | x >> 4 << 16 | v >> 4 << 8 | y >> 4
+                    add(p)
+                    if cache_bits:
                         cache[(MULTIPLIER * p & 0xFFFFFFFF) >> shift] = p
-    except IndexError:
-        raise ValueError("the stream ends too early") from None
+                elif v >= 4480:
+                    at += k
+                    add(cache[(v >> 4) - 280])
+                else:
+                    bits.at = 8 * first + at + k
+                    length = _number(bits, (v >> 4) - 256)
+                    d = _number(bits, distance.read(bits))
+                    at = bits.at - 8 * first
+                    if d > len(NEAR):
+                        d -= len(NEAR)
+                    else:
+                        across_, down = NEAR[d - 1]
+                        d = max(1, across_ + down * width)
+                    if d > done or done + length > n:
+                        raise ValueError("a back-reference leaves the image")
+                    own = out[done - d : min(done, done - d + length)]
+                    own = (own * -(-length // len(own)))[:length]
+                    out += own
+                    if cache_bits:
+                        for p in own:
+                            cache[(MULTIPLIER * p & 0xFFFFFFFF) >> shift] = p
+        except IndexError:  # the block is read; the pixel begins again in the next one
+            first, at = first + (at >> 3), at & 7
+            continue
     bits.at = 8 * first + at
-    return np.array(out, dtype=np.uint32)
+    return out
+
+
+#: Images that are read side by side, and the fewest for which this is worth its while.
+TOGETHER, FEW = 512, 24
+_NEAR = np.array(NEAR, dtype=np.int64)
+
+
+def _numbers(q: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_number() of many: the numbers, and how many of the bits q each has taken."""
+    more = np.where(symbol < 4, 0, symbol - 2 >> 1)
+    return np.where(symbol < 4, symbol, (2 + (symbol & 1)) << more) + (q & (1 << more) - 1) + 1, more
+
+
+def _side_by_side(images: list[Coded]) -> list[np.ndarray]:
+    """The pixels of images of one set of codes each: a step reads the next pixel of every image that has one left."""
+    order = sorted(range(len(images)), key=lambda i: -images[i].n)
+    own = [images[i] for i in order]
+    n = np.array([c.n for c in own])
+    data = [c.bits.data[c.bits.at >> 3 :] for c in own]
+    starts = np.array([0, *[-(-len(d) // 8) for d in data]]).cumsum()
+    words = np.frombuffer(b"".join(d + bytes(-len(d) % 8) for d in data) + bytes(1024), dtype="<u8")
+    base = 64 * starts[:-1]
+    every = at = base + np.array([c.bits.at & 7 for c in own])
+    tables: dict[int, int] = {}
+    numbers, place = [], 0
+    for c in own:
+        for code in c.codes[0]:
+            if id(code.numbers) not in tables:
+                tables[id(code.numbers)] = place
+                numbers.append(code.numbers)
+                place += len(code.numbers)
+    table = np.concatenate(numbers).astype(np.uint16)  # as small as can be: it is read all over
+    begin = np.array([[tables[id(code.numbers)] for code in c.codes[0]] for c in own]).T.copy()
+    mask = np.array([[code.mask for code in c.codes[0]] for c in own]).T.copy()
+    shift = np.array([32 - c.cache_bits for c in own], dtype=np.int64)
+    sizes = 1 << 32 - shift
+    slots, cache = sizes.cumsum() - sizes, np.zeros(sizes.sum(), dtype=np.int64)
+    cached = bool((shift < 32).any())
+    ends = n.cumsum()
+    first, out = ends - n, np.zeros(ends[-1], dtype=np.int64)
+    left, far = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
+    width = np.array([c.width for c in own])
+    counts = (len(own) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")).tolist()  # images with a pixel at this step
+    m = step = copying = 0
+    for step, now in enumerate(counts):  # noqa: B007
+        if now < FEW:
+            break
+        if now != m:
+            m = now
+            (b0, b1, b2, b3, _), (m0, m1, m2, m3, _) = begin[:, :m], mask[:, :m]
+            at, left, far = at[:m], left[:m], far[:m]
+            start, slot, turn = first[:m], slots[:m], shift[:m]
+        i, s = at >> 6, (at & 63).astype(np.uint64)
+        q = (words[i] >> s | words[i + 1] << np.uint64(1) << np.uint64(63) - s).view(np.int64)
+        v = table[b0 + (q & m0)].astype(np.int64)
+        k = v & 15
+        x = table[b1 + (q >> k & m1)].astype(np.int64)
+        k = k + (x & 15)
+        y = table[b2 + (q >> k & m2)].astype(np.int64)
+        k += y & 15
+        z = table[b3 + (q >> k & m3)].astype(np.int64)
+        k += z & 15
+        p = z >> 4 << 24 | x >> 4 << 16 | v >> 4 << 8 | y >> 4
+        other = v >= 4096
+        if copying:
+            other |= left > 0
+        if len(other := np.flatnonzero(other)):
+            v, running = v[other], left[other] > 0
+            k[other] = np.where(running, 0, v & 15)
+            hits = other[~running & (v >= 4480)]
+            p[hits] = cache[slot[hits] + (v[~running & (v >= 4480)] >> 4) - 280]
+            if len(new := other[fresh := ~running & (v < 4480)]):
+                bits, taken = q[new], v[fresh] & 15
+                length, more = _numbers(bits >> taken, (v[fresh] >> 4) - 256)
+                taken = taken + more
+                symbol = table[begin[4][new] + (bits >> taken & mask[4][new])].astype(np.int64)
+                taken += symbol & 15
+                d, more = _numbers(bits >> taken, symbol >> 4)
+                near = _NEAR[np.minimum(d, len(NEAR)) - 1]
+                d = np.where(d > len(NEAR), d - len(NEAR), np.maximum(1, near[:, 0] + near[:, 1] * width[new]))
+                if (d > step).any() or (step + length > n[new]).any():
+                    raise ValueError("a back-reference leaves the image")
+                left[new], far[new], k[new] = length, d, taken + more
+                copying += len(new)
+            if copying:
+                copies = other[left[other] > 0]
+                p[copies] = out[start[copies] + step - far[copies]]
+                left[copies] -= 1
+                copying -= np.count_nonzero(left[copies] == 0)
+        at += k
+        out[start + step] = p
+        if cached:
+            cache[slot + ((MULTIPLIER * p & 0xFFFFFFFF) >> turn)] = p
+        if step % 64 == 0 and (at > 64 * starts[1 : m + 1]).any():
+            raise ValueError("the stream ends too early")
+    else:
+        step = len(counts)
+    if (every > 64 * starts[1:]).any():
+        raise ValueError("the stream ends too early")
+    done = []
+    for k, c in enumerate(own):
+        pixels = out[first[k] : ends[k]]
+        if c.n > step:  # of the few longest: what is left of a copy, then pixel by pixel
+            here, have = pixels[:step].tolist(), cache[slots[k] : slots[k] + sizes[k]].tolist()
+            if m:
+                for _ in range(int(left[k])):
+                    here.append(here[-int(far[k])])
+                    have[(MULTIPLIER * here[-1] & 0xFFFFFFFF) >> int(shift[k])] = here[-1]
+            c.bits.at = (c.bits.at & ~7) + int(at[k] - base[k])
+            pixels = np.array(_rest(c, here, have))
+        done.append(pixels.astype(np.uint32))
+    back = dict(zip(order, done, strict=True))
+    return [back[i] for i in range(len(images))]
 
 
 def _channels(pixels: np.ndarray) -> list[np.ndarray]:
@@ -323,8 +480,8 @@ def unindex(pixels: np.ndarray, width: int, height: int, palette: np.ndarray, pa
     return np.concatenate((palette, np.zeros(256, dtype=np.uint32)))[index]
 
 
-def decode(file: bytes) -> np.ndarray:
-    """The pixels of a file as rows."""
+def _steps(file: bytes) -> tuple[int, int, list[tuple], Coded]:
+    """Width, height, transforms and the coded image of a file."""
     if file[:4] != b"RIFF" or file[8:16] != b"WEBPVP8L" or file[20] != 0x2F:
         raise ValueError("not a lossless WebP file")
     bits = Bits(file, 8 * 21)
@@ -346,7 +503,11 @@ def decode(file: bytes) -> np.ndarray:
             packed = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             steps.append((kind, now, (own[0] << 24 | own[1] << 16 | own[2] << 8 | own[3]).astype(np.uint32), packed))
             now = -(-now >> packed)
-    pixels = _pixels(bits, now, height, True)
+    return width, height, steps, _head(bits, now, height, True)
+
+
+def _undone(pixels: np.ndarray, height: int, steps: list[tuple]) -> np.ndarray:
+    """Pixels as they were before the transforms."""
     for kind, w, data, tile in reversed(steps):
         if kind == 0:
             pixels = unpredict(pixels, w, data, tile)
@@ -357,7 +518,23 @@ def decode(file: bytes) -> np.ndarray:
             pixels = (alpha << 24 | (red + green & 0xFF) << 16 | green << 8 | blue + green & 0xFF).astype(np.uint32)
         else:
             pixels = unindex(pixels, w, height, data, tile)
-    return pixels.reshape(height, width)
+    return pixels.reshape(height, -1)
+
+
+def decode_all(files: list[bytes]) -> Iterator[np.ndarray]:
+    """The pixels of each file as rows."""
+    for begin in range(0, len(files), TOGETHER):
+        heads = [_steps(f) for f in files[begin : begin + TOGETHER]]
+        alone = {i for i, (*_, c) in enumerate(heads) if c.which}
+        together = iter(_side_by_side([c for i, (*_, c) in enumerate(heads) if i not in alone]) if len(alone) < len(heads) else [])
+        for i, (_, height, steps, c) in enumerate(heads):
+            pixels = np.array(_rest(c, [], [0] * (1 << c.cache_bits)), dtype=np.uint32) if i in alone else next(together)
+            yield _undone(pixels, height, steps)
+
+
+def decode(file: bytes) -> np.ndarray:
+    """The pixels of a file as rows."""
+    return next(decode_all([file]))
 
 
 def code_lengths(counts: np.ndarray, most: int = 15) -> list[int]:
@@ -403,37 +580,36 @@ _TOKENS = canonical(_TOKEN_LENGTHS)
 _STATED = (15 << 1 | sum(_TOKEN_LENGTHS[k] << 5 + 3 * i for i, k in enumerate(CODE_LENGTH_ORDER)), 5 + 3 * 19)
 
 
-def _code_bits(lengths: list[int]) -> tuple[int, int]:
-    """The bits that state a code, for any alphabet that has its symbols, and their number."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 1 and (s := used[0] if used else 0) < 256:
-        return 0b101 | s << 3, 11  # a simple code of one symbol in 8 bits
-    tokens: list[tuple[int, int, int]] = []
-    last = 8
-    for n, own in groupby(lengths[: used[-1] + 1]):
-        run = len(list(own))
-        while run:
-            if not n and run >= 3:
-                k = min(run, 138)
-                tokens.append((18, k - 11, 7) if k >= 11 else (17, k - 3, 3))
-            elif n and n == last and run >= 3:
-                k = min(run, 6)
-                tokens.append((16, k - 3, 2))
-            else:
-                k = 1
-                tokens.append((n, 0, 0))
-            last = n or last
-            run -= k
-    if len(tokens) < 2:
-        tokens.append((0, 0, 0))
-    bits, size = _STATED
-    bits |= (1 | 5 << 1 | len(tokens) - 2 << 4) << size
-    size += 16
-    for t, more, n in tokens:
-        code, k = _TOKENS[t]
-        bits |= (code | more << k) << size
-        size += k + n
-    return bits, size
+def _code_fields(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The fields of bits that state a code, for any alphabet that has its symbols."""
+    own = np.array(lengths, dtype=np.int64)
+    used = np.flatnonzero(own)
+    if len(used) <= 1 and (s := int(used[0]) if len(used) else 0) < 256:
+        return _fields(0b101 | s << 3, 11)  # a simple code of one symbol in 8 bits
+    own = own[: used[-1] + 1]
+    begins = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+    size = np.diff(np.append(begins, len(own)))
+    run = np.repeat(np.arange(len(begins)), size)
+    zero = own == 0
+    # a run's first length is said as it is, if it isn't 0; the rest is dealt into repetitions, and few left over said as they are
+    most = np.where(zero, 138, 6)
+    at, rest = np.arange(len(own)) - begins[run] - ~zero, size[run] - ~zero
+    last = at >= rest - rest % most
+    repeats = np.where(last, rest % most, most)
+    whole = (at < 0) | (repeats < 3)
+    said = np.flatnonzero(whole | (at % most == 0))
+    whole, zero, repeats, own = whole[said], zero[said], repeats[said], own[said]
+    token = np.where(whole, own, np.where(~zero, 16, np.where(repeats < 11, 17, 18)))
+    more = np.where(whole, 0, repeats - np.where(zero & (repeats >= 11), 11, 3)).astype(np.uint64)
+    if len(token) < 2:
+        token, more = np.append(token, 0), np.append(more, np.uint64(0))
+    bits, n = _STATED
+    top = _fields(bits | (1 | 5 << 1 | len(token) - 2 << 4) << n, n + 16)
+    return np.concatenate((top[0], _TOKEN[token] | more << _TOKEN_BITS[token])), np.concatenate((top[1], _TOKEN_BITS[token] + _MORE_BITS[token]))
+
+
+_TOKEN, _TOKEN_BITS = (np.array([_TOKENS[t][k] for t in range(19)], dtype=np.uint64) for k in (0, 1))
+_MORE_BITS = np.array([0] * 16 + [2, 3, 7], dtype=np.uint64)
 
 
 def _fields(bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -500,38 +676,44 @@ def _coded(pixels: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.n
     kind[hit], kind[begin] = 1, 2
     at = np.flatnonzero(kind >= 0)
     kind = kind[at]
-    fields, sizes = np.zeros((len(at), 4), dtype=np.uint64), np.zeros((len(at), 4), dtype=np.uint64)
-    lit, own = kind == 0, _bytes(pixels, n)[0]  # blue, green, red, alpha
+    lit, own = np.flatnonzero(kind == 0), _bytes(pixels, n)[0]  # blue, green, red, alpha
     text = own[at[lit]]
+    rest = [text[:, c] for c in (2, 0, 3)]
     symbols = np.zeros(len(at), dtype=np.int64)
     symbols[lit] = text[:, 1]
     if cache_bits:
-        symbols[kind == 1] = 280 + slot[at[kind == 1]].astype(np.int64)
+        hits = np.flatnonzero(kind == 1)
+        symbols[hits] = 280 + slot[at[hits]].astype(np.int64)
     if len(begin):
+        copies = np.flatnonzero(kind == 2)
         size_symbol, size_more, size_bits = _prefix(length)
         far_symbol, far_more, far_bits = _prefix(np.where(far == width, 1, np.where(far == 1, 2, far + len(NEAR))))
-        symbols[kind == 2] = 256 + size_symbol
+        symbols[copies] = 256 + size_symbol
     first = code_lengths(np.bincount(symbols, minlength=280 + (1 << cache_bits if cache_bits else 0)), LONGEST)
-    other = code_lengths(np.bincount(text[:, [2, 0, 3]].ravel(), minlength=256), LONGEST)
+    other = code_lengths(np.bincount(np.concatenate(rest), minlength=256), LONGEST)
     last = code_lengths(np.bincount(far_symbol, minlength=40), LONGEST) if len(begin) else [0] * 40
     values, bits = _codes(first)
-    fields[:, 0], sizes[:, 0] = values[symbols], bits[symbols]
+    said, sizes = values[symbols], bits[symbols]
     values, bits = _codes(other)
-    for k, c in enumerate((2, 0, 3)):
-        fields[lit, k + 1], sizes[lit, k + 1] = values[text[:, c]], bits[text[:, c]]
+    tail = [(values[c], bits[c]) for c in rest]
+    _append(said, sizes, lit, tail)
     if len(begin):
         values, bits = _codes(last)
-        for k, (v, m) in enumerate(((size_more, size_bits), (values[far_symbol], bits[far_symbol]), (far_more, far_bits))):
-            fields[kind == 2, k + 1], sizes[kind == 2, k + 1] = v, m
+        numbers = [x.astype(np.uint64) for x in (size_more, size_bits, far_more, far_bits)]
+        _append(said, sizes, copies, [(numbers[0], numbers[1]), (values[far_symbol], bits[far_symbol]), (numbers[2], numbers[3])])
     head, size = (1 | cache_bits << 1, 5) if cache_bits else (0, 1)
-    size += main  # one set of codes
-    stated = _code_bits(other)
-    for more, n in (_code_bits(first), stated, stated, stated, _code_bits(last)):
-        head |= more << size
-        size += n
-    top, steps = _fields(head, size), sizes.cumsum(axis=1)
-    values = fields[:, 0] | fields[:, 1] << steps[:, 0] | fields[:, 2] << steps[:, 1] | fields[:, 3] << steps[:, 2]
-    return np.concatenate((top[0], values)), np.concatenate((top[1], steps[:, 3]))
+    stated = _code_fields(other)
+    parts = [_fields(head, size + main), _code_fields(first), stated, stated, stated, _code_fields(last), (said, sizes)]  # one set of codes
+    return np.concatenate([v for v, _ in parts]), np.concatenate([k for _, k in parts])
+
+
+def _append(values: np.ndarray, sizes: np.ndarray, at: np.ndarray, fields: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Further fields behind those at some places."""
+    own, size = values[at], sizes[at]
+    for v, k in fields:
+        own |= v << size
+        size += k
+    values[at], sizes[at] = own, size
 
 
 def _codes(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -597,7 +779,7 @@ def _transformed(pixels: np.ndarray, width: int, height: int) -> tuple[np.ndarra
         best, chosen, steps = cost, green, [_fields(1 | 2 << 1, 3)]
     for mode in (1, 2):
         rest = own.copy()
-        rest[0, 0, 3] += 1  # minus 255
+        rest[:1, :1, 3] += 1  # minus 255
         if mode == 1:
             rest[:, 1:] -= own[:, :-1]
             rest[1:, 0] -= own[:-1, 0]
