@@ -11,10 +11,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates
+from tidemark.plans import backtest
 
 # The floors of each stage.
 FLOORS = {
@@ -60,6 +61,49 @@ def gauntlet(candidates: DataFrame, stages: list[Stage], key: str = "candidate")
     return out.select(key, failed.alias("failed_stage"), reason.alias("reason"), *[f for s in stages for f in s.figures])
 
 
+def replay(signals: DataFrame, windows: DataFrame, cost: float, runway: int = 1000, least: int = 48) -> DataFrame:
+    """Runs of long entries and exits that begin flat `runway` rows before each window (window, start, end): symbol, window, ts, dir, turnover, ret, live.
+
+    live: within the window. Conditions are those of the whole history, so that their averages are warm; windows with at most
+    `least` rows of a symbol are left out. windows is a table of a few rows, which a bar meets by its time.
+    """
+    windows = F.broadcast(windows)
+    hit = signals.select("symbol", "ts", "i").join(windows, (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    bounds = hit.groupBy("symbol", "window").agg(F.min("i").alias("_a"), F.max("i").alias("_b")).where(F.col("_b") - F.col("_a") >= least)
+    own = signals.join(F.broadcast(bounds), "symbol").where(F.col("i").between(F.greatest(F.lit(1), F.col("_a") - runway), F.col("_b")))
+    by = ("symbol", "window")
+    run = backtest.returns(backtest.long_flat(own, by), cost, by=by)
+    return run.select(*by, "ts", "dir", "turnover", "ret", (F.col("i") >= F.col("_a")).alias("live"))
+
+
+def crisis(runs: DataFrame, floor: float = FLOORS["crisis_max_dd"]) -> DataFrame:
+    """By symbol and window of replay(): return, deepest fall below the start or a later top, and whether it stays above the floor."""
+    o = Window.partitionBy("symbol", "window").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    own = runs.where("live").withColumn("_l", F.sum(F.log1p("ret")).over(o))
+    own = own.withColumn("_d", F.exp(F.col("_l") - F.greatest(F.lit(0.0), F.max("_l").over(o))) - 1)
+    out = own.groupBy("symbol", "window").agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"), F.least(F.min("_d"), F.lit(0.0)).alias("max_dd"))
+    return out.withColumn("survives", F.col("max_dd") > floor)
+
+
+def sealed(runs: DataFrame, per_year: float, least_trades: float = FLOORS["sealed_trades"], least_sharpe: float = FLOORS["sealed_sharpe"], worst: float = FLOORS["sealed_max_dd"]) -> DataFrame:
+    """Trades, ratio, return and deepest fall of the equal-weight portfolio of replay()'s live rows after the seal, and the reason if it fails.
+
+    A time counts by all symbols that have sealed rows, also those without a bar at it. One row, also where nothing is sealed.
+    """
+    o = Window.partitionBy("symbol", "window").orderBy("ts")
+    entered = (F.col("dir") != 0) & (F.coalesce(F.lag("dir").over(o), F.lit(0)) != F.col("dir"))
+    own = runs.withColumn("_entry", entered.cast("int")).where("live")
+    n = own.agg(F.count_distinct("symbol").alias("_n"), F.coalesce(F.sum("_entry"), F.lit(0)).alias("trades"))
+    port = own.groupBy("ts").agg(F.sum("ret").alias("_s")).crossJoin(F.broadcast(n)).select("ts", (F.col("_s") / F.col("_n")).alias("ret"))
+    path = Window.partitionBy(F.lit(1)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # one row a time of the calendar
+    port = port.withColumn("_l", F.sum(F.log1p("ret")).over(path))
+    port = port.withColumn("_d", F.exp(F.col("_l") - F.greatest(F.lit(0.0), F.max("_l").over(path))) - 1)
+    out = port.agg(F.count("*").alias("_times"), aggregates.sharpe(F.col("ret"), per_year).alias("sharpe"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"), F.least(F.min("_d"), F.lit(0.0)).alias("max_dd"))
+    out = out.crossJoin(F.broadcast(n.select("trades")))
+    reason = F.when(F.col("_times") == 0, "no data").when(F.col("trades") < least_trades, "trades").when(F.col("sharpe") < least_sharpe, "sharpe").when(F.col("ret") <= 0, "return").when(F.col("max_dd") < worst, "fall")
+    return out.select("trades", "sharpe", "ret", "max_dd", reason.alias("reason"))
+
+
 def composite(port_sharpe: Column, full_sharpe: Column, sealed_sharpe: Column | None = None) -> Column:
     out = 0.5 * F.coalesce(port_sharpe, F.lit(0.0)) + 0.2 * F.coalesce(full_sharpe, F.lit(0.0))
     return out if sealed_sharpe is None else out + 0.3 * F.coalesce(sealed_sharpe, F.lit(0.0))

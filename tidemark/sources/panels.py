@@ -65,3 +65,8 @@ def gaps_and_outliers(own: DataFrame, seconds: int, jump: float = 0.35) -> DataF
     move = F.abs(F.col("c") / F.lag("c").over(w) - 1)
     marked = own.select("symbol", (step > 1.5 * seconds).alias("gap"), (move > jump).alias("jump"))
     return marked.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if("gap").alias("gaps"), F.count_if("jump").alias("outliers"))
+
+
+def has_data(x: Column) -> Column:
+    """Whether a group has any finite value other than 0; false for one without values."""
+    return F.coalesce(F.bool_or((x != 0) & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
