@@ -281,3 +281,46 @@ def book_gate(streams: DataFrame, per_year: float, reps: int = 1000, least_sharp
     corr = aggregates.mean_abs_correlation(joins.intersection(streams, "id")).select(F.coalesce(F.max("mean_abs_corr"), F.lit(0.0)).alias("mean_abs_corr"))
     out = stats.crossJoin(low).crossJoin(corr)
     return out.withColumn("passes", (F.col("sharpe") >= least_sharpe) & (F.col("p5") >= least_p5) & (F.col("mean_abs_corr") <= most_corr))
+
+
+def panel_walk_forward(
+    panel: DataFrame, score: str, trials: list[tuple[int, int]], warm: int, purge: int, train_days: int = 360, step_days: int = 30, cost: float = 13e-4, target: float = 0.4, most: float = 3.0, least: int = 146
+) -> tuple[DataFrame, DataFrame]:
+    """Windows (window, config, train_sharpe, lev, n, ret) of a ranked panel, and their test rows (window, i, ts, ret), which pool into one stream.
+
+    panel: symbol, ts, c and a score known at the close; i counts its times. trials: by configuration how many of the best
+    scores are held, and for how many times. A run begins flat at its window's first time, at `warm` at the earliest, and
+    rebalances from there on. The configuration with the best ratio over the training times but for the last `purge` trades
+    until the next window; one leverage brings its run to the target volatility. Windows with fewer than `least` times to
+    train on or 9 or fewer to trade are left out. Ranks don't depend on windows and trials, so that they are made once; runs
+    are groups of (window, config, symbol). A symbol without a row at a rebalancing time keeps its weight: align panels first.
+    """
+    o = w.order()
+    valid = F.col(score).isNotNull() & ~F.isnan(score)
+    times = panel.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)  # one row a time of the calendar
+    own = panel.select("symbol", "ts", F.coalesce(F.col("c") / F.lag("c").over(o) - 1, F.lit(0.0)).alias("r"), F.when(valid, F.col(score)).alias("x"))
+    rank = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc_nulls_last("x"), "symbol"))
+    own = own.withColumns({"rank": F.when(F.col("x").isNotNull(), rank), "valid": F.count("x").over(Window.partitionBy("ts"))}).join(times, "ts")
+    days = lambda n: F.expr(f"interval {n} days")
+    span = times.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).where(F.col("first") + days(train_days + step_days) <= F.col("last"))
+    starts = span.select(F.posexplode(F.sequence(F.col("first") + days(train_days), F.col("last") - days(step_days), days(step_days))).alias("window", "t"))
+    near = times.join(F.broadcast(starts), (F.col("ts") >= F.col("t") - days(train_days)) & (F.col("ts") < F.col("t") + days(step_days)))
+    bounds = near.groupBy("window").agg(F.min("i").alias("a"), F.min(F.when(F.col("ts") >= F.col("t"), F.col("i"))).alias("s"), F.max("i").alias("e"))
+    bounds = bounds.where((F.col("e") > F.col("s") + 8) & (F.col("s") - 1 - purge - F.col("a") >= least)).withColumn("start", F.greatest(F.lit(warm), "a"))
+    grid = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(k).alias("k"), F.lit(every).alias("every")) for c, (k, every) in enumerate(trials)])
+    runs = own.join(F.broadcast(bounds), F.col("i").between(F.col("a"), F.col("e"))).withColumn("trial", F.explode(grid)).select("*", "trial.*")
+    pick = F.when(F.col("rank") <= F.col("k"), 1 / F.least("k", "valid")).otherwise(0.0)
+    decided = F.when((F.col("i") >= F.col("start")) & ((F.col("i") - F.col("start")) % F.col("every") == 0), pick)
+    path = Window.partitionBy("window", "config", "symbol").orderBy("i")
+    runs = runs.withColumn("d", decided).withColumn("w", F.coalesce(F.last("d", ignorenulls=True).over(path.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    held, before = F.coalesce(F.lag("w").over(path), F.lit(0.0)), F.coalesce(F.lag("w", 2).over(path), F.lit(0.0))
+    runs = runs.select("window", "config", "i", "ts", "a", "s", "start", F.when(F.col("i") > F.col("start"), held * F.col("r") - F.abs(held - before) * cost).otherwise(0.0).alias("x"))
+    book = runs.groupBy("window", "config", "i", "ts", "a", "s", "start").agg(F.sum("x").alias("raw"))
+    train = (F.col("i") > F.col("a")) & (F.col("i") <= F.col("s") - 1 - purge)
+    vol = F.coalesce(F.stddev_pop(F.when(F.col("i") > F.col("start"), F.col("raw"))), F.lit(0.0)) * math.sqrt(365)
+    judged = book.groupBy("window", "config").agg(aggregates.sharpe(F.when(train, F.col("raw")), 365).alias("train_sharpe"), F.when(vol > 1e-9, F.least(F.lit(most), target / vol)).otherwise(1.0).alias("lev"))
+    best = F.row_number().over(Window.partitionBy("window").orderBy(F.desc(F.round("train_sharpe", 12)), "config"))
+    chosen = judged.withColumn("_r", best).where("_r = 1").drop("_r")
+    tested = book.where(F.col("i") >= F.col("s")).join(chosen, ["window", "config"]).select("window", "config", "train_sharpe", "lev", "i", "ts", F.greatest(F.lit(-0.95), F.col("raw") * F.col("lev")).alias("ret"))
+    windows = tested.groupBy("window", "config", "train_sharpe", "lev").agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("ret"))
+    return windows, tested.select("window", "i", "ts", "ret")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import lifecycle
+from tidemark.operators import lifecycle, portfolio
 from tidemark.operators import windows as w
 from tidemark.plans import expr, validation
 from tidemark.plans.registry.base import BARS_1D, DAY, day, r
@@ -211,3 +211,33 @@ _F = validation.FLOORS
 SQL["vld_sealed"] = f"""WITH {_replay_sql(SEAL, 100)}, po AS (SELECT ts, sum(ret) / (SELECT count(DISTINCT symbol) FROM lv) AS ret FROM lv GROUP BY ts), l AS (SELECT *, sum(ln(1 + ret)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS l FROM po),
 f AS (SELECT *, exp(l - greatest(0, max(l) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING))) - 1 AS dd FROM l), y AS (SELECT count(*) AS n, (SELECT CAST(count(*) FILTER (WHERE entry) AS BIGINT) FROM lv) AS trades, {_sharpe_sql("ret")} AS sharpe, exp(sum(ln(1 + ret))) - 1 AS ret, least(min(dd), 0) AS max_dd FROM f)
 SELECT trades, round(sharpe, 6) + 0.0 AS sharpe, round(ret, 6) + 0.0 AS ret, round(max_dd, 6) + 0.0 AS max_dd, CASE WHEN n = 0 THEN 'no data' WHEN trades < {_F["sealed_trades"]} THEN 'trades' WHEN sharpe < {_F["sealed_sharpe"]} THEN 'sharpe' WHEN ret <= 0 THEN 'return' WHEN max_dd < {_F["sealed_max_dd"]} THEN 'fall' END AS reason FROM y"""
+
+TRIALS = [(1, 1), (1, 5), (2, 5), (2, 10), (3, 20)]
+
+
+def walked_panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The best 10-row changes of damped prices, walked forward over numbers held and rebalancing times."""
+    b = panels.bars_1d(spark, d).withColumn("c", F.exp(F.ln("c") / 50))
+    return portfolio.panel_walk_forward(b.withColumn("score", w.roc(F.col("c"), 10)), "score", TRIALS, 11, 12)
+
+
+_RUN = "(PARTITION BY k, config, symbol ORDER BY i)"
+WALKED = f"""{BARS_1D}, b0 AS (SELECT symbol, ts, exp(ln(c) / 50) AS c FROM bars_1d), b1 AS (SELECT symbol, ts, coalesce(c / lag(c) OVER s - 1, 0) AS r, c / lag(c, 10) OVER s - 1 AS x FROM b0 WINDOW s AS (PARTITION BY symbol ORDER BY ts)),
+ti AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT DISTINCT ts FROM b0)),
+b2 AS (SELECT *, CASE WHEN x IS NOT NULL THEN row_number() OVER (PARTITION BY ts ORDER BY x DESC NULLS LAST, symbol) END AS rk, count(x) OVER (PARTITION BY ts) AS nv FROM b1 JOIN ti USING (ts)),
+st AS (SELECT k, t0 + INTERVAL 360 DAY + INTERVAL 30 DAY * k AS t FROM (SELECT min(ts) AS t0, max(ts) AS t1, unnest(range(200)) AS k FROM ti) WHERE t0 + INTERVAL 390 DAY + INTERVAL 30 DAY * k <= t1),
+bo AS (SELECT k, min(i) AS a, min(i) FILTER (WHERE ts >= t) AS s, max(i) AS e, greatest(11, min(i)) AS i0 FROM ti JOIN st ON ts >= t - INTERVAL 360 DAY AND ts < t + INTERVAL 30 DAY GROUP BY k HAVING max(i) > min(i) FILTER (WHERE ts >= t) + 8 AND min(i) FILTER (WHERE ts >= t) - 13 - min(i) >= 146),
+gr AS (SELECT * FROM (VALUES {", ".join(f"({c}, {k}, {n})" for c, (k, n) in enumerate(TRIALS))}) AS g(config, top, every)),
+w0 AS (SELECT *, CASE WHEN i >= i0 AND (i - i0) % every = 0 THEN CASE WHEN rk <= top THEN 1.0::DOUBLE / least(top, nv) ELSE 0 END END AS d FROM b2 JOIN bo ON i BETWEEN a AND e CROSS JOIN gr),
+w1 AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY k, config, symbol ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS w FROM w0),
+w2 AS (SELECT k, config, i, a, s, i0, CASE WHEN i > i0 THEN coalesce(lag(w) OVER s0, 0) * r - abs(coalesce(lag(w) OVER s0, 0) - coalesce(lag(w, 2) OVER s0, 0)) * 13e-4 ELSE 0 END AS x FROM w1 WINDOW s0 AS {_RUN}),
+bk AS (SELECT k, config, i, a, s, i0, sum(x) AS raw FROM w2 GROUP BY ALL),
+ju AS (SELECT k, config, {_sharpe_sql("CASE WHEN i > a AND i <= s - 13 THEN raw END")} AS train_sharpe, CASE WHEN stddev_pop(CASE WHEN i > i0 THEN raw END) * sqrt(365) > 1e-9 THEN least(3.0, 0.4 / (stddev_pop(CASE WHEN i > i0 THEN raw END) * sqrt(365))) ELSE 1 END AS lev FROM bk GROUP BY ALL),
+ch AS (SELECT * FROM ju QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(train_sharpe, 12) DESC, config) = 1),
+te AS (SELECT k, config, train_sharpe, lev, i, greatest(-0.95, raw * lev) AS ret FROM bk JOIN ch USING (k, config) WHERE i >= s)"""
+QUERIES["prt_panel_walk_forward"] = lambda spark, d: walked_panel(spark, d)[0].select(F.col("window").cast("int").alias("window"), "config", r("train_sharpe", 5).alias("train_sharpe"), r("lev", 5).alias("lev"), "n", r("ret").alias("ret"))
+SQL["prt_panel_walk_forward"] = f'WITH {WALKED} SELECT CAST(k AS INTEGER) AS "window", config, round(any_value(train_sharpe), 5) + 0.0 AS train_sharpe, round(any_value(lev), 5) + 0.0 AS lev, count(*) AS n, round(exp(sum(ln(1 + ret))) - 1, 6) + 0.0 AS ret FROM te GROUP BY k, config'
+QUERIES["prt_panel_pooled"] = lambda spark, d: portfolio.pooled_stats(walked_panel(spark, d)[1].withColumn("symbol", F.lit("book"))).select("n", *[r(c).alias(c) for c in ("sharpe", "max_dd", "positive_months", "worst_month")])
+SQL["prt_panel_pooled"] = f"""WITH {WALKED}, p AS (SELECT i, ret, row_number() OVER (ORDER BY i) - 1 AS n, sum(ln(1 + ret)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS l FROM te), dd AS (SELECT *, exp(l - greatest(max(l) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 0)) - 1 AS d FROM p),
+mo AS (SELECT n // 30 AS m, exp(sum(ln(1 + ret))) - 1 AS g FROM p GROUP BY ALL)
+SELECT count(*) AS n, round({_sharpe_sql("ret")}, 6) + 0.0 AS sharpe, round(least(min(d), 0), 6) + 0.0 AS max_dd, round((SELECT avg(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END) FROM mo), 6) AS positive_months, round((SELECT least(min(g), 0) FROM mo), 6) + 0.0 AS worst_month FROM dd"""
