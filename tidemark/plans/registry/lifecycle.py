@@ -174,8 +174,8 @@ SQL["agg_trend_vs_hold"] = f"""WITH {BARS_1D}, m AS (SELECT symbol, ts, i, c, av
 e1 AS (SELECT symbol, ts, e1 AS eq FROM n), e2 AS (SELECT symbol, ts, e2 AS eq FROM n), a AS ({_STAT.format("e1")}), b AS ({_STAT.format("e2")}) SELECT symbol, {_FIGURES} FROM a JOIN b USING (symbol)"""
 QUERIES["bmk_hold"] = lambda spark, d: lifecycle.benchmark(panels.bars_1d(spark, d), now(), years=4, most=60).select("symbol", day(), r("c", 4).alias("c"))
 SQL["bmk_hold"] = f"WITH {BARS_1D}, k AS (SELECT symbol, ts, c, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars_1d WHERE c > 0 AND ts >= TIMESTAMP '{NOW}' - INTERVAL {365 * 4} DAY) SELECT symbol, {DAY}, round(c, 4) AS c FROM k WHERE n >= 50 AND (k % greatest(1, CAST(ceil(n / 60.0) AS BIGINT)) = 0 OR k = n - 1)"
-QUERIES["opt_run_options"] = lambda spark, d: lifecycle.run_options(panels.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "1d").alias("tf")), {"1-URGENT": 1.5, "2-HIGH": 2.0}, {"1d": 365.0}).select("o_orderkey", "fee_bps", "slip_bps", "per_year")
-SQL["opt_run_options"] = "SELECT o_orderkey, 5.0::DOUBLE AS fee_bps, CASE o_orderpriority WHEN '1-URGENT' THEN 1.5 WHEN '2-HIGH' THEN 2.0 ELSE 4.0 END::DOUBLE AS slip_bps, CASE WHEN o_orderkey % 2 = 0 THEN 365 ELSE 8760 END::DOUBLE AS per_year FROM orders"
+QUERIES["run_options"] = lambda spark, d: lifecycle.run_options(panels.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "1d").alias("tf")), {"1-URGENT": 1.5, "2-HIGH": 2.0}, {"1d": 365.0}).select("o_orderkey", "fee_bps", "slip_bps", "per_year")
+SQL["run_options"] = "SELECT o_orderkey, 5.0::DOUBLE AS fee_bps, CASE o_orderpriority WHEN '1-URGENT' THEN 1.5 WHEN '2-HIGH' THEN 2.0 ELSE 4.0 END::DOUBLE AS slip_bps, CASE WHEN o_orderkey % 2 = 0 THEN 365 ELSE 8760 END::DOUBLE AS per_year FROM orders"
 QUERIES["prt_hold"] = lambda spark, d: lifecycle.hold_stream(panels.bars_1d(spark, d), F.col("v") / 1e4, 20).select("symbol", day(), r("ret").alias("ret"))
 SQL["prt_hold"] = f"WITH {BARS_1D} SELECT symbol, {DAY}, round(CASE WHEN i > 20 THEN c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1 - v / 1e4 ELSE 0 END, 6) + 0.0 AS ret FROM bars_1d"
 QUERIES["gen_payload"] = lambda spark, d: lifecycle.payload(panels.bars_1d(spark, d).withColumn("m", w.sma(F.col("c"), 20)), ("m",)).select("symbol", F.size("points").alias("n"), F.date_format(F.col("points")[0]["ts"], "yyyy-MM-dd").alias("first_day"), r(F.aggregate("points", F.lit(0.0), lambda a, x: a + x["c"]) / F.size("points"), 4).alias("mean"), r(F.element_at("points", -1)["m"], 4).alias("last"))
