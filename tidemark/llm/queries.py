@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lattice_lm, media, mixing, packing, quality, simhash, toxicity, url_rules
+from . import ann, chat, exact, lattice_lm, lexical, media, mixing, packing, quality, resampling, simhash, toxicity, url_rules
 from .common import remainder, table, word_count
 
 
@@ -93,6 +93,27 @@ def op10_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "adapted_score")
 
 
+def op11_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of those equal to it.
+
+    Documents whose id has an even crc32 are the history that the index is built of, the others arrive later; the result is
+    of all.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.dedup(docs, remainder(F.col("doc_id"), 2)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, and its rank if it is drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents nearest to each item of the benchmark."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_bk_tree": op2_simhash_bk_tree,
@@ -104,6 +125,9 @@ QUERIES = {
     "op8_toxicity_voters": op8_toxicity_voters,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lattice_likelihood": op10_lattice_likelihood,
+    "op11_perfect_hash_dedup": op11_perfect_hash_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_impact_search": op13_impact_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -136,5 +160,50 @@ best AS (
   SELECT k, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
   FROM keyed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY k)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM keyed LEFT JOIN best USING (k)
+""",
+    "op11_perfect_hash_dedup": r"""
+WITH told AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+led AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept FROM told WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, kept, text_sha256 FROM led
+""",
+    "op12_importance_resampling": r"""
+WITH RECURSIVE crc(n, k, c) AS (
+  SELECT n, 0, n FROM range(256) AS r(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc WHERE k < 8),
+codes AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE k = 8),
+said AS (
+  SELECT true AS own, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL SELECT false, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+bytes AS (SELECT word, [('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(encode(word)), '..')] AS b FROM (SELECT DISTINCT word FROM said)),
+placed AS (
+  SELECT word, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM bytes, codes),
+counted AS (SELECT own, doc_id, bucket, count(*) AS n FROM said JOIN placed USING (word) GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (WHERE own), 0)::BIGINT AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0)::BIGINT AS t FROM counted),
+each AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE own), 0)::BIGINT AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0)::BIGINT AS t FROM counted GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((each.t + 1)::DOUBLE * (totals.s + 10000)::DOUBLE) / ((each.s + 1)::DOUBLE * (totals.t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM each, totals),
+weighed AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counted JOIN gains USING (bucket) WHERE own GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= n * 10 // 100 THEN r END AS rank FROM ordered
+""",
+    "op13_impact_search": r"""
+WITH said AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM said GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+posted AS (SELECT doc_id, term, count(*) AS tf FROM said WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posted, totals GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN posted USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ordered WHERE rank <= 10
 """,
 }
