@@ -182,6 +182,63 @@ def test_search_of_nothing_and_of_few(spark):
     assert [(r["rank"], r["vec_id"]) for r in few] == [(1, 1), (2, 1)]
 
 
+def brute(rows, k=5):
+    """The k nearest of every row whose id is divisible by 50, in the order of rows: (query_id, [(vec_id, score)])."""
+    out = []
+    for n, (i, q) in enumerate(rows):
+        if i % 50 == 0:
+            near = [(-float(ann.scores(np.array(q), np.array([x]))[0]), j, m) for m, (j, x) in enumerate(rows) if m != n and len(x) == len(q)]
+            out.append((i, [(j, -s) for s, j, _ in sorted(near)[:k]]))
+    return out
+
+
+def lists(out):
+    """The lists of an answer, by query id; several queries of an id have as many rows of each rank."""
+    by = {}
+    for r in out:
+        by.setdefault(r["query_id"], {}).setdefault(r["rank"], []).append((r["vec_id"], r["score"]))
+    return by
+
+
+def test_no_query_gets_fewer_neighbours_than_there_are(spark):
+    rng = np.random.default_rng(1)
+    x = [[float(v) for v in r] for r in rng.normal(size=(900, 8)) + np.array([4.0] + [0.0] * 7)]
+    far = [(950, [-9.0, 0.1] + [0.0] * 6), (951, [-9.0, 0.11] + [0.0] * 6), (952, [-9.0, 0.12] + [0.0] * 6)]
+    rows = list(enumerate(x)) + far + [(1000, [1.0, 2.0]), (1001, [2.0, 1.0]), (1050, [1.0, 1.0, 1.0])]
+    by = lists(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
+    want = dict(brute(rows))
+    assert 1050 not in by and not want.pop(1050)  # nobody else of its length
+    assert {q: len(r) for q, r in by.items()} == {q: len(v) for q, v in want.items()}
+    assert [by[950][k][0][0] for k in (1, 2)] == [951, 952] and by[1000] == {1: [(1001, want[1000][0][1])]}
+
+
+def test_rows_of_one_id_have_lists_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 40 * 25, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(120, 4)))]
+    by = lists(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
+    want = {}
+    for q, found in brute(rows):
+        for k, v in enumerate(found, 1):
+            want.setdefault(q, {}).setdefault(k, []).append(v)
+    assert {q: {k: sorted(v) for k, v in r.items()} for q, r in by.items()} == {q: {k: sorted(v) for k, v in r.items()} for q, r in want.items()}
+
+
+def test_search_through_several_levels(spark, monkeypatch):
+    for name, value in (("LEAF", 8), ("LEAVES", 6), ("SPLIT", 16), ("MEET", 50), ("CHUNK", 32)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 6)) * 3
+    x = centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 6))
+    x[200:500] = x[200]  # a leaf that no tree divides
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 50 == 0).collect()
+    by, want = lists(out), dict(brute(rows))
+    assert set(by) == set(want) and all(sorted(r) == [1, 2, 3, 4, 5] for r in by.values())
+    hit = sum(len({r[k][0][0] for k in r} & {v for v, _ in want[q]}) for q, r in by.items())
+    assert hit >= 0.9 * 5 * len(want)
+    assert [by[250][k][0][0] for k in range(1, 6)] == [200, 201, 202, 203, 204]
+
+
 # ------------------------------------------------------------------ classifiers
 def test_isotonic_is_the_nearest_rising_curve():
     from tidemark.llm.linear import isotonic

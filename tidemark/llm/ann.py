@@ -1,25 +1,33 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a uniform sample of at most `SAMPLE` numbers (rows times dimensions) and has at most `LEAVES`
-leaves, so that it can be sent to every task; every row is then put into its leaf. A query walks the tree through a
-priority queue, the node with the nearest centre first, and so puts the leaves in order. How many of them it visits is
-calibrated: `TRIALS` sampled vectors are compared with all rows, and visits widen until these trials would have found
-`RECALL` of their true neighbours; where that takes all leaves, the search is exact.
+The tree's top is fitted on a uniform sample of at most `SAMPLE` numbers (rows times dimensions) and has at most `LEAVES`
+leaves, so that it can be sent to every task. While leaves hold over `SPLIT` rows and the rows outnumber what such a top
+can divide into leaves of `LEAF`, each of them gets a tree of its own, fitted in a task on a bounded sample of its rows and
+met there by its rows and queries; so the rows of a leaf, and a query's work, don't grow with the table.
+
+A query walks a tree through a priority queue, the node with the nearest centre first, and so reaches leaves in order. It
+widens its visits until the way to the next leaf is farther than to its first one by a margin, and until the leaves that it
+visits hold more than k rows (all of them, where there are fewer): so no query gets less than k neighbours while there are
+k. The margin of each level is calibrated: `TRIALS` sampled vectors that no tree is fitted on are compared with all rows,
+and the margin is the least by which they would have found `RECALL` of their true neighbours.
 
 Rows and visits meet in groups of neighbouring leaves, of about `CHUNK` rows; a leaf of more is dealt into several groups
 by a hash, each of which all its visits reach. A query comes to a group once, with the leaves that it visits there, and
 leaves with its k nearest of them: for each leaf candidates are found by one matrix product and scored again row by row,
 in a way that gives equal vectors equal scores; so ties go to the smaller id.
 
-Nulls and odd rows: a vector that is null, zero, of another length than most or that holds null or a number not finite
-takes no part, nor does a null id; queries of one id are one, with the smallest vector, and never find rows of that id; a
-repeated row is found repeatedly; an empty table gives an empty result. Only the named columns are read.
+Nulls and odd rows: a vector that is null, zero or that holds null or a number not finite takes no part, nor does a null
+id; only vectors of one length are compared, each length is searched apart; every query row has a list of its own, in which
+other rows of its id may be; a repeated row is found repeatedly; an empty table gives an empty result. Only the named
+columns are read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLE, BRANCHES, LEAF, LEAVES, CHUNK = 1_600_000, 8, 200, 4096, 8192
+#: Rows of a leaf that gets a tree of its own, and rows that meet a copy of it at once.
+SPLIT, MEET = 8 * LEAF, 16_384
 TRIALS, RECALL, SEED = 96, 0.97, 11
 
 
@@ -99,138 +109,248 @@ class Tree:
             todo += [(c, own[best == k]) for k, c in enumerate(self.children[node]) if (best == k).any()]
         return out
 
-    def visits(self, x: np.ndarray, most: int) -> list[int]:
-        """The first leaves, `most` of them, best bin first."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
-            _, node = heapq.heappop(heap)
+    def ways(self, x: np.ndarray) -> Iterator[tuple[int, float]]:
+        """The leaves, best bin first, each with how far the way there has led so far: never less than before."""
+        heap, far = [(0.0, 0)], -math.inf
+        while heap:
+            cost, node = heapq.heappop(heap)
+            if node:
+                far = max(far, cost)
             if not self.children[node]:
-                out.append(self.leaf[node])
+                yield self.leaf[node], far
                 continue
             for c, near in zip(self.children[node], self.nearness(self.children[node], x).tolist(), strict=True):
                 heapq.heappush(heap, (-near, c))
+
+    def visits(self, x: np.ndarray, margin: float, sizes: np.ndarray, least: int) -> list[int]:
+        """The first leaves up to the margin, and on until they hold `least` rows; leaves without rows don't count."""
+        out, held, first = [], 0, None
+        for leaf, far in self.ways(x):
+            if not sizes[leaf]:
+                continue
+            first = far if first is None else first
+            if held >= least and far - first > margin:
+                break
+            out.append(leaf)
+            held += int(sizes[leaf])
         return out
 
+    def need(self, x: np.ndarray, leaf: int, sizes: np.ndarray) -> float:
+        """The margin at which a leaf is visited."""
+        first = None
+        for now, far in self.ways(x):
+            if sizes[now]:
+                first = far if first is None else first
+                if now == leaf:
+                    return far - first
+        return math.inf
+
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosines of the vector q with the rows of x, each row by the same operations."""
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def nearest(queries: np.ndarray, own_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its number, and places in x and scores of its k nearest rows, nearest first, by smaller id."""
+def nearest(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query, whose own row has the number own, its place, and places in x and scores of its k nearest rows, by smaller id."""
     units = unit(x)
     for at in range(0, len(queries), 256):
         near = unit(queries[at : at + 256]) @ units.T
-        near[own_ids[at : at + 256, None] == ids[None, :]] = -np.inf
+        near[own[at : at + 256, None] == uids[None, :]] = -np.inf
         bound = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
         for i in range(len(near)):
             found = np.flatnonzero(near[i] >= max(bound[i] - 1e-9, -2.0))
             exact = scores(queries[at + i], x[found])
-            order = np.lexsort((ids[found], -exact))[:k]
+            order = np.lexsort((uids[found], ids[found], -exact))[:k]
             yield at + i, found[order], exact[order]
 
 
-def usable(vector: Column, width: int | None = None) -> Column:
+def usable(vector: Column) -> Column:
     """Whether a vector takes part."""
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    own = vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda v: v != 0), F.lit(False))
-    return own if width is None else own & (F.size(vector) == width)
+    return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda v: v != 0), F.lit(False))
+
+
+def margin(needs: list[float], share: float) -> float:
+    """The least margin that reaches a share of what is needed."""
+    return float(np.sort(needs)[min(len(needs) - 1, math.ceil(share * len(needs)))]) if needs else math.inf
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank from 1, vec_id and score of each query's k nearest rows found. is_query: an expression over rows."""
-    spark = rows.sparkSession
-    base = rows.where(F.col(vec_id).isNotNull() & usable(F.col(vector)))
-    common = base.groupBy(F.size(vector).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "n").first()
-    width = common["n"] if common else 1
-    asked = is_query.alias("q")
-    base = base.where(F.size(vector) == width).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(asked, F.lit(False)).alias("q"))
-    n = common["m"] if common else 0
-    sample = base.orderBy(F.xxhash64("id"), "id", "x").limit(max(TRIALS, SAMPLE // width)).select("id", "x").toArrow()
-    points = rows_of(sample.column("x").combine_chunks(), width) if sample.num_rows else np.zeros((0, width))
-    leaves = min(LEAVES, max(1, n // LEAF))
-    tree = Tree(unit(points), max(4, -(-len(points) // leaves)))
-    shared = spark.sparkContext.broadcast(tree)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf = shared.value.assign(unit(rows_of(batch.column(1), width)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["id", "x", "q", "leaf"])
-
-    index = cut(base.mapInArrow(place, "id long, x array<double>, q boolean, leaf int"))
-
-    trials, trial_ids = points[:TRIALS], np.asarray(sample.column("id").to_numpy())[:TRIALS]
-
-    def true_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x, leaf = batch.column(0).to_numpy(), rows_of(batch.column(1), width), batch.column(3).to_numpy()
-            found = [(t, s, int(ids[p]), int(leaf[p])) for t, places, own in nearest(trials, trial_ids, x, ids, k) for p, s in zip(places, own.tolist(), strict=True)]
-            columns = list(zip(*found, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.int32()), strict=True)], ["t", "score", "id", "leaf"])
-
-    visits = tree.leaves
-    if len(trials) and tree.leaves > 1:
-        best = Window.partitionBy("t").orderBy(F.desc("score"), "id")
-        truth = index.mapInArrow(true_ones, "t int, score double, id long, leaf int").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).collect()
-        order = [{leaf: i for i, leaf in enumerate(tree.visits(u, tree.leaves))} for u in unit(trials)]
-        needed = np.sort([order[r["t"]][r["leaf"]] + 1 for r in truth])
-        visits = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) if len(needed) else tree.leaves
-
-    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    groups: dict[int, tuple[int, int]] = {}  # by leaf: its first group, and the number of its groups
-    last, room = 0, CHUNK
-    for leaf in sorted(sizes):
-        n_groups = -(-sizes[leaf] // CHUNK)
-        if sizes[leaf] > room:
-            last, room = last + 1, CHUNK
-        groups[leaf] = (last, n_groups)
-        room -= sizes[leaf]
-        if n_groups > 1:
-            last, room = last + n_groups, CHUNK
-    dealing = spark.createDataFrame([(leaf, *g) for leaf, g in groups.items()], "leaf int, first int, parts int")
-    queries = index.where("q").groupBy("id").agg(F.min("x").alias("x"))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, group, leaves = [], [], []
-            for i, u in enumerate(unit(rows_of(batch.column(1), width))):
-                own: dict[int, list[int]] = {}
-                for v in shared.value.visits(u, visits):
-                    first, n_parts = groups.get(v, (0, 0))
-                    for g in range(first, first + n_parts):
-                        own.setdefault(g, []).append(v)
-                at += [i] * len(own)
-                group += own
-                leaves += own.values()
-            kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["id", "x", "g", "leaves"])
-
-    asked_at = queries.mapInArrow(walk, "id long, x array<double>, g int, leaves array<int>")
-    dealt = index.join(F.broadcast(dealing), "leaf").select("id", "x", "leaf", (F.col("first") + F.pmod(F.xxhash64("id", F.lit(SEED)), "parts")).cast("int").alias("g"))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        best: dict[int, list[tuple[float, int]]] = {}
-        if left.num_rows and right.num_rows:
-            ids, leaf, x = left.column("id").to_numpy(), left.column("leaf").to_numpy(), rows_of(left.column("x").combine_chunks(), width)
-            asked_ids, asked = right.column("id").to_numpy(), rows_of(right.column("x").combine_chunks(), width)
-            by_leaf: dict[int, list[int]] = {}
-            for i, leaves in enumerate(right.column("leaves").to_pylist()):
-                for v in leaves:
-                    by_leaf.setdefault(v, []).append(i)
-            for v, own in by_leaf.items():
-                rows = np.flatnonzero(leaf == v)
-                if len(rows):
-                    for q, places, s in nearest(asked[own], asked_ids[own], x[rows], ids[rows], k):
-                        found = best.setdefault(int(asked_ids[own[q]]), [])
-                        found += zip((-s).tolist(), ids[rows[places]].tolist(), strict=True)
-                        found.sort()
-                        del found[k:]
-        flat = [(q, i, -s) for q, found in best.items() for s, i in found]
-        columns = list(zip(*flat, strict=True)) or [[]] * 3
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    found = dealt.groupBy("g").cogroup(asked_at.groupBy("g")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    own = rows.where(F.col(vec_id).isNotNull() & usable(F.col(vector)))
+    own = cut(own.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("uid")))
+    widths = own.groupBy(F.size("x").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect()
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in widths:
+        found = found.unionByName(Search(own.where(F.size("x") == r["width"]), r["n"], r["width"], k).run())
+    return found
+
+
+class Search:
+    """One search over rows (id, x, q, uid) of one width. Leaves are numbers, `LEAVES` times their parent's plus their own."""
+
+    def __init__(self, rows: DataFrame, n: int, width: int, k: int) -> None:
+        self.rows, self.n, self.width, self.k, self.spark = rows, n, width, k, rows.sparkSession
+        self.vectors = lambda column: rows_of(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, width)
+
+    def run(self) -> DataFrame:
+        levels = next((k for k in range(1, 5) if self.n <= LEAF * LEAVES**k), 5)
+        self.share = RECALL ** (1 / levels)  # what is missed on one level is missed for good
+        sample = self.rows.orderBy(F.xxhash64("uid"), "uid").limit(max(2 * TRIALS, SAMPLE // self.width)).select("uid", "x").toArrow()
+        points, uids = self.vectors(sample.column("x")), np.asarray(sample.column("uid").to_numpy())
+        self.trials, self.trial_uids = points[:TRIALS], uids[:TRIALS]
+        fitted = points[TRIALS:] if len(points) > 4 * TRIALS else points
+        leaves = min(LEAVES, max(1, self.n // LEAF))
+        top = Tree(unit(fitted), max(4, -(-len(fitted) // leaves)))
+        index = cut(self.placed(top))
+        truth = self.truth(index)
+        sizes = np.zeros(top.leaves, dtype=np.int64)
+        for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+            sizes[r["leaf"]] = r["n"]
+        far = margin([top.need(unit(self.trials[r["t"]]), r["leaf"], sizes) for r in truth.collect()], self.share)
+        asked = self.visited(index, top, far, sizes)
+        for _ in range(levels - 1):
+            index, asked, truth = self.split(index, asked, truth)
+        return self.met(index, asked)
+
+    def placed(self, top: Tree) -> DataFrame:
+        shared, vectors = self.spark.sparkContext.broadcast(top), self.vectors
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf = shared.value.assign(unit(vectors(batch.column(1)))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*ROWS, "leaf"])
+
+        return self.rows.select(*ROWS).mapInArrow(place, f"{KINDS}, leaf long")
+
+    def truth(self, index: DataFrame) -> DataFrame:
+        """The true neighbours of the trials: t, uid and leaf."""
+        trials, own, vectors, k = self.trials, self.trial_uids, self.vectors, self.k
+
+        def true_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, x, uids, leaf = batch.column(0).to_numpy(), vectors(batch.column(1)), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+                found = [(t, s, int(ids[p]), int(uids[p]), int(leaf[p])) for t, places, near in nearest(trials, own, x, ids, uids, k) for p, s in zip(places, near.tolist(), strict=True)]
+                columns = list(zip(*found, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["t", "score", "id", "uid", "leaf"])
+
+        best = Window.partitionBy("t").orderBy(F.desc("score"), "id", "uid")
+        found = index.mapInArrow(true_ones, "t int, score double, id long, uid long, leaf long").withColumn("r", F.row_number().over(best))
+        return cut(found.where(F.col("r") <= k).select("t", "uid", "leaf"))
+
+    def visited(self, index: DataFrame, top: Tree, far: float, sizes: np.ndarray) -> DataFrame:
+        """(id, x, q, uid, leaf): a row for each leaf that a query visits."""
+        shared, vectors, least = self.spark.sparkContext.broadcast((top, far, sizes)), self.vectors, self.k + 1
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, margin, held = shared.value
+            for batch in batches:
+                yield with_leaves(batch, [tree.visits(u, margin, held, least) for u in unit(vectors(batch.column(1)))])
+
+        return index.where("q").select(*ROWS).mapInArrow(walk, f"{KINDS}, leaf long")
+
+    def beside(self, rows: DataFrame, trees: DataFrame, answer: Callable[[pa.Table, pa.Table], pa.Table], kinds: str) -> DataFrame:
+        """answer(rows of a leaf, its tree), the rows dealt into parts of about MEET rows, each with a copy of the tree."""
+        parts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts")).join(trees.select("leaf"), "leaf", "left_semi")
+        dealt = rows.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.col("parts")).cast("int")).drop("parts")
+        copies = trees.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return dealt.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(answer, kinds)
+
+    def split(self, index: DataFrame, asked: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The next level: leaves of over SPLIT rows divided by a tree of their own; the others go on as their only child."""
+        vectors, k, most = self.vectors, self.k, max(2, SAMPLE // self.width)
+        large = index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+        rank = F.pmod(F.xxhash64("uid", F.lit(SEED + 1)), F.lit(1 << 30)) / float(1 << 30)
+        outside = F.broadcast(self.spark.createDataFrame([(int(u),) for u in self.trial_uids], "uid long"))
+        sampled = index.join(large, "leaf").where(rank * F.col("n") < most).join(outside, "uid", "left_anti").select("leaf", "n", "x")
+
+        def fit(own: pa.Table) -> pa.Table:
+            leaves = min(LEAVES, max(2, own.column("n")[0].as_py() // LEAF))
+            tree = Tree(unit(vectors(own.column("x"))), max(4, -(-own.num_rows // leaves)))
+            return pa.table({"leaf": own.column("leaf").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+        trees = cut(sampled.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary"))
+        kinds = f"{KINDS}, leaf long"
+
+        def place(own: pa.Table, tree: pa.Table) -> pa.Table:
+            leaf = pickle.loads(tree.column("tree")[0].as_py()).assign(unit(vectors(own.column("x")))).astype(np.int64)  # noqa: S301
+            return own.select(ROWS).append_column("leaf", pa.array(own.column("leaf").to_numpy() * LEAVES + leaf))
+
+        only = lambda df: df.join(trees.select("leaf"), "leaf", "left_anti").withColumn("leaf", F.col("leaf") * LEAVES)
+        new = cut(self.beside(index, trees, place, kinds).unionByName(only(index)))
+        held = new.groupBy("leaf").agg(F.count("*").alias("n")).groupBy(F.floor(F.col("leaf") / LEAVES).alias("leaf")).agg(F.collect_list(F.struct(F.pmod("leaf", F.lit(LEAVES)).alias("own"), "n")).alias("held"))
+        known = trees.join(held, "leaf")
+
+        def with_sizes(tree: pa.Table) -> tuple[Tree, np.ndarray]:
+            own = pickle.loads(tree.column("tree")[0].as_py())  # noqa: S301
+            sizes = np.zeros(own.leaves, dtype=np.int64)
+            for h in tree.column("held")[0].as_py():
+                sizes[h["own"]] = h["n"]
+            return own, sizes
+
+        trials = self.trials
+
+        def need(own: pa.Table, tree: pa.Table) -> pa.Table:
+            t, sizes = with_sizes(tree)
+            needs = [t.need(unit(trials[i]), leaf % LEAVES, sizes) for i, leaf in zip(own.column("t").to_pylist(), own.column("new").to_pylist(), strict=True)]
+            return pa.table({"need": pa.array(needs, pa.float64())})
+
+        now = cut(truth.join(new.select("uid", F.col("leaf").alias("new")), "uid"))
+        far = margin([r["need"] for r in self.beside(now, known, need, "need double").collect()], self.share)
+
+        def walk(own: pa.Table, tree: pa.Table) -> pa.Table:
+            t, sizes = with_sizes(tree)
+            leaves = [t.visits(u, far, sizes, k + 1) for u in unit(vectors(own.column("x")))]
+            parents = own.column("leaf").to_pylist()
+            return pa.Table.from_batches([with_leaves(own.select(ROWS).combine_chunks().to_batches()[0], [[p * LEAVES + v for v in vs] for p, vs in zip(parents, leaves, strict=True)])])
+
+        return new, self.beside(asked, known, walk, kinds).unionByName(only(asked)), now.select("t", "uid", F.col("new").alias("leaf"))
+
+    def met(self, index: DataFrame, asked: DataFrame) -> DataFrame:
+        """The k nearest of each query among the rows of the leaves that it visits."""
+        along = Window.partitionBy("parent").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = cut(index.groupBy("leaf").agg(F.count("*").alias("n")).withColumn("parent", F.floor(F.col("leaf") / LEAVES)))
+        dealing = sizes.withColumn("g", F.floor(F.coalesce(F.sum("n").over(along), F.lit(0)) / CHUNK)).withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
+        ways = F.broadcast if sizes.count() <= 1 << 20 else lambda df: df
+        dealt = index.join(ways(dealing.select(*[F.col(c).alias(c) for c in dealing.columns])), "leaf").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.col("parts")).cast("int"))
+        at = asked.join(ways(dealing), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        at = at.groupBy("parent", "g", "part", "uid").agg(F.first("id").alias("id"), F.first("x").alias("x"), F.collect_list("leaf").alias("leaves"))
+        vectors, k = self.vectors, self.k
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            best: dict[int, list[tuple[float, int, int]]] = {}
+            if left.num_rows and right.num_rows:
+                ids, uids, leaf, x = left.column("id").to_numpy(), left.column("uid").to_numpy(), left.column("leaf").to_numpy(), vectors(left.column("x"))
+                asked_uids, asked = right.column("uid").to_numpy(), vectors(right.column("x"))
+                by_leaf: dict[int, list[int]] = {}
+                for i, leaves in enumerate(right.column("leaves").to_pylist()):
+                    for v in leaves:
+                        by_leaf.setdefault(v, []).append(i)
+                for v, own in by_leaf.items():
+                    rows = np.flatnonzero(leaf == v)
+                    if len(rows):
+                        for q, places, s in nearest(asked[own], asked_uids[own], x[rows], ids[rows], uids[rows], k):
+                            found = best.setdefault(own[q], [])
+                            found += zip((-s).tolist(), ids[rows[places]].tolist(), uids[rows[places]].tolist(), strict=True)
+                            found.sort()
+                            del found[k:]
+            flat = [(q, -s, i, u) for q, found in best.items() for s, i, u in found]
+            columns = [np.array(c) for c in zip(*flat, strict=True)] or [np.zeros(0, dtype=np.int64)] * 4
+            at = columns[0].astype(np.int64)
+            return pa.table({"query": right.column("uid").take(at), "query_id": right.column("id").take(at), "vec_id": pa.array(columns[2], pa.int64()), "uid": pa.array(columns[3], pa.int64()), "score": pa.array(columns[1], pa.float64())})
+
+        keys = ("parent", "g", "part")
+        found = dealt.groupBy(*keys).cogroup(at.groupBy(*keys)).applyInArrow(meet, "query long, query_id long, vec_id long, uid long, score double")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+ROWS, KINDS = ["id", "x", "q", "uid"], "id long, x array<double>, q boolean, uid long"
+
+
+def with_leaves(batch: pa.RecordBatch, leaves: list[list[int]]) -> pa.RecordBatch:
+    """Each row once for each of its leaves."""
+    at = pa.array(np.repeat(np.arange(len(leaves)), [len(v) for v in leaves]))
+    return pa.RecordBatch.from_arrays([*batch.take(at).columns, pa.array([x for v in leaves for x in v], pa.int64())], [*ROWS, "leaf"])
