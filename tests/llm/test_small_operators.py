@@ -224,11 +224,11 @@ def test_rows_of_one_id_have_lists_of_their_own(spark):
 
 
 def test_search_through_several_levels(spark, monkeypatch):
-    for name, value in (("LEAF", 8), ("LEAVES", 6), ("SPLIT", 16), ("MEET", 50), ("CHUNK", 32)):
+    for name, value in (("LEAF", 25), ("LEAVES", 6), ("SPLIT", 50), ("MEET", 90), ("CHUNK", 100)):
         monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(30, 6)) * 3
-    x = centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 6))
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 6))
     x[200:500] = x[200]  # a leaf that no tree divides
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 50 == 0).collect()

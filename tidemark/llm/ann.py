@@ -53,24 +53,27 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Tree:
     """children by node; a node's centre; leaves by node, -1 for the others."""
 
-    def __init__(self, points: np.ndarray, size: int, branches: int = BRANCHES) -> None:
-        """points: unit vectors; size: the most points of a leaf that can be split."""
+    def __init__(self, points: np.ndarray, size: int, most: int, branches: int = BRANCHES) -> None:
+        """points: unit vectors; size: the most points of a leaf that can be split, but there are `most` leaves at most."""
         rng = np.random.default_rng(SEED)
         self.centres: list[np.ndarray] = [points.mean(axis=0) if len(points) else np.zeros(points.shape[1])]
         self.children: list[list[int]] = [[]]
-        todo = [(0, points)]
-        while todo:
-            node, own = todo.pop()
+        todo, ends = [(-len(points), 0, points)], 1
+        while todo and ends < most:
+            _, node, own = heapq.heappop(todo)  # the largest first
             if len(own) <= size:
-                continue
-            group, centres = self._split(own, min(branches, max(2, len(own) // size + 1)), rng)
+                break
+            group, centres = self._split(own, min(branches, max(2, len(own) // size + 1), most - ends + 1), rng)
             if len(centres) < 2:
                 continue
+            ends += len(centres) - 1
             for g, c in enumerate(centres):
-                self.children[node].append(len(self.centres))
+                child = len(self.centres)
+                self.children[node].append(child)
                 self.centres.append(c)
                 self.children.append([])
-                todo.append((self.children[node][-1], own[group == g]))
+                part = own[group == g]
+                heapq.heappush(todo, (-len(part), child, part))
         self.leaf = [-1] * len(self.centres)
         for number, node in enumerate(n for n, c in enumerate(self.children) if not c):
             self.leaf[node] = number
@@ -202,7 +205,7 @@ class Search:
         self.trials, self.trial_uids = points[:TRIALS], uids[:TRIALS]
         fitted = points[TRIALS:] if len(points) > 4 * TRIALS else points
         leaves = min(LEAVES, max(1, self.n // LEAF))
-        top = Tree(unit(fitted), max(4, -(-len(fitted) // leaves)))
+        top = Tree(unit(fitted), max(4, -(-len(fitted) // leaves)), LEAVES)
         index = cut(self.placed(top))
         truth = self.truth(index)
         sizes = np.zeros(top.leaves, dtype=np.int64)
@@ -267,7 +270,7 @@ class Search:
 
         def fit(own: pa.Table) -> pa.Table:
             leaves = min(LEAVES, max(2, own.column("n")[0].as_py() // LEAF))
-            tree = Tree(unit(vectors(own.column("x"))), max(4, -(-own.num_rows // leaves)))
+            tree = Tree(unit(vectors(own.column("x"))), max(4, -(-own.num_rows // leaves)), LEAVES)
             return pa.table({"leaf": own.column("leaf").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
         trees = cut(sampled.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary"))
@@ -279,7 +282,7 @@ class Search:
 
         only = lambda df: df.join(trees.select("leaf"), "leaf", "left_anti").withColumn("leaf", F.col("leaf") * LEAVES)
         new = cut(self.beside(index, trees, place, kinds).unionByName(only(index)))
-        held = new.groupBy("leaf").agg(F.count("*").alias("n")).groupBy(F.floor(F.col("leaf") / LEAVES).alias("leaf")).agg(F.collect_list(F.struct(F.pmod("leaf", F.lit(LEAVES)).alias("own"), "n")).alias("held"))
+        held = new.groupBy("leaf").agg(F.count("*").alias("n")).groupBy(F.call_function("div", F.col("leaf"), F.lit(LEAVES).cast("long")).alias("leaf")).agg(F.collect_list(F.struct(F.pmod("leaf", F.lit(LEAVES)).alias("own"), "n")).alias("held"))
         known = trees.join(held, "leaf")
 
         def with_sizes(tree: pa.Table) -> tuple[Tree, np.ndarray]:
@@ -310,7 +313,7 @@ class Search:
     def met(self, index: DataFrame, asked: DataFrame) -> DataFrame:
         """The k nearest of each query among the rows of the leaves that it visits."""
         along = Window.partitionBy("parent").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = cut(index.groupBy("leaf").agg(F.count("*").alias("n")).withColumn("parent", F.floor(F.col("leaf") / LEAVES)))
+        sizes = cut(index.groupBy("leaf").agg(F.count("*").alias("n")).withColumn("parent", F.call_function("div", F.col("leaf"), F.lit(LEAVES).cast("long"))))
         dealing = sizes.withColumn("g", F.floor(F.coalesce(F.sum("n").over(along), F.lit(0)) / CHUNK)).withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
         ways = F.broadcast if sizes.count() <= 1 << 20 else lambda df: df
         dealt = index.join(ways(dealing.select(*[F.col(c).alias(c) for c in dealing.columns])), "leaf").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.col("parts")).cast("int"))
