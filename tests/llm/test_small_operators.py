@@ -341,6 +341,37 @@ def test_chat_reads_back(spark):
     assert chat.digests(chat.formatted(turns.limit(0))).count() == 0
 
 
+def test_spans_are_the_texts_to_learn_in_code_points_and_bytes(spark):
+    rows = [(1, k, role, f"é{k}☃ <|x") for k, role in enumerate(["user", "assistant", "assistant", "tool", "assistant", "user"])]
+    r = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    texts = [f"é{k}☃ <\\|x" for k in (1, 2, 4)]
+    assert [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]] == texts
+    assert [r["formatted"].encode()[s["first"] : s["first"] + s["bytes"]].decode() for s in r["loss_spans"]] == texts
+
+
+@pytest.mark.parametrize("roles", [("assistant",), ("user", "assistant")])
+def test_long_conversations_take_time_in_proportion(spark, roles):
+    import time
+
+    n = 16_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(*map(F.lit, roles)), (F.col("id") % len(roles) + 1).cast("int")).alias("role"), F.concat(F.lit("text é "), F.col("id")).alias("text"))
+    chat.digests(chat.formatted(turns.limit(10))).collect()
+    began = time.perf_counter()
+    r = chat.digests(chat.formatted(turns)).first()
+    assert time.perf_counter() - began < 15  # a few seconds; a fold over the turns took over a minute
+    said = "".join(f"{roles[k % len(roles)]}\ntext é {k}\n" for k in range(n))
+    assert r["n_turns"] == n and r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert r["loss_sha256"] == hashlib.sha256("".join(f"text é {k}" for k in range(n) if roles[k % len(roles)] == "assistant").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", ["op5_chat_format", "op6_url_rules"])
+def test_native_plans_have_no_python(spark, sf_dir, name):
+    from tidemark.llm import queries
+
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def test_url_rules(spark):
     urls = [(1, "https://Example.COM/en/x?y"), (2, "http://www.example.com/en/"), (3, "a://b.net/es/z#/en/"), (4, "http://xnet/es/"), (5, None), (6, "no scheme"), (7, "http://example.com"), (7, "http://example.com"), (8, "://com/"), (None, "https://badexample.com/en/")]
     pages = spark.createDataFrame(urls, "page_id long, url string").withColumns({c: F.lit("x") for c in names_used()})

@@ -12,7 +12,9 @@ are read. A conversation is one row of the result, so it has to fit into a row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, SEP = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
@@ -35,40 +37,42 @@ def _role_back(role: Column) -> Column:
     return unescaped(F.array_join(parts, "\\"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, also where body has it inside a function of an array's elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
-    """conv_id, formatted, and loss_spans: array of (start, length) in code points of `formatted` that the loss covers.
+    """conv_id, formatted, and loss_spans: the parts of `formatted` that the loss covers, without template marks.
 
-    The spans are the escaped texts of the role `learn`, without template marks.
+    A span has start and length in code points, and first and bytes in bytes of UTF-8: the escaped texts of the role
+    `learn`. Where a text lies is a running sum over its conversation's turns; all work grows with a conversation's length.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    own = turns.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text")).alias("t"))
-    sorted_turns = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-
-    def merge(runs: Column, t: Column) -> Column:
-        new = F.array(F.struct(t["role"].alias("role"), F.array(escaped(t["text"])).alias("texts")))
-        last = F.try_element_at(runs, F.lit(-1))
-        grown = F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escaped(t["text"]))).alias("texts")))
-        same = (F.size(runs) > 0) & (last["role"] == t["role"])
-        return F.when(same, F.concat(F.slice(runs, 1, F.size(runs) - 1), grown)).otherwise(F.concat(runs, new))
-
-    runs = F.aggregate("ts", F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)"), merge)
-    head = lambda r: F.concat(F.lit(START), _role(r["role"]), F.lit("\n"))
-    blocks = F.transform("runs", lambda r: F.concat(head(r), F.array_join(r["texts"], SEP), F.lit(END + "\n")))
-
-    def walk(acc: Column, r: Column) -> Column:
-        """acc: the place reached, and the spans so far."""
-        begin = acc["at"] + F.length(head(r))
-        inner = F.aggregate(
-            r["texts"],
-            F.struct(begin.cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans")),
-            lambda a, x: F.struct((a["at"] + F.length(x) + len(SEP)).cast("long").alias("at"), F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(x).cast("long").alias("length")))).alias("spans")),
-        )
-        spans = F.when(r["role"] == learn, F.concat(acc["spans"], inner["spans"])).otherwise(acc["spans"])
-        return F.struct((inner["at"] - len(SEP) + len(END) + 1).cast("long").alias("at"), spans.alias("spans"))
-
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
-    with_runs = sorted_turns.select("conv_id", runs.alias("runs"))
-    return with_runs.select("conv_id", F.array_join(blocks, "").alias("formatted"), F.aggregate("runs", none, walk)["spans"].alias("loss_spans"))
+    own = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
+    along = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumns({"k": F.row_number().over(along), "opens": F.coalesce(F.lag("role").over(along) != F.col("role"), F.lit(True)), "closes": F.coalesce(F.lead("role").over(along) != F.col("role"), F.lit(True))})
+    head = lambda r: F.concat(F.lit(START), _role(r), F.lit("\n"))
+    own = own.withColumns({"text": escaped(F.col("text")), "mark": F.when(F.col("opens"), head(F.col("role"))).otherwise(SEP), "end": F.when(F.col("closes"), END + "\n").otherwise("")})
+
+    def place(size: Callable) -> Column:
+        return (F.coalesce(F.sum(size("mark") + size("text") + size("end")).over(before), F.lit(0)) + size("mark")).cast("long")
+
+    spans = F.struct(place(F.length).alias("start"), F.length("text").cast("long").alias("length"), place(F.octet_length).alias("first"), F.octet_length("text").cast("long").alias("bytes"))
+    collected = own.select("conv_id", F.struct("k", "role", "text", "opens", spans.alias("span")).alias("t")).groupBy("conv_id").agg(F.collect_list("t").alias("ts"))
+
+    def merged(ts: Column) -> Column:
+        """The runs of one role: their role and texts, each from its first turn to before the next run's."""
+        last = lambda firsts, j: F.coalesce(F.get(firsts, j + 1)["k"], F.size(ts) + 1)
+        run = lambda firsts: F.transform(firsts, lambda t, j: F.struct(t["role"].alias("role"), F.slice(ts, t["k"], last(firsts, j) - t["k"])["text"].alias("texts")))
+        return let(F.filter(ts, lambda t: t["opens"]), run)
+
+    def whole(ts: Column) -> Column:
+        blocks = F.transform(merged(ts), lambda r: F.concat(head(r["role"]), F.array_join(r["texts"], SEP), F.lit(END + "\n")))
+        return F.struct(F.array_join(blocks, "").alias("formatted"), F.filter(ts, lambda t: t["role"] == learn)["span"].alias("loss_spans"))
+
+    return collected.select("conv_id", let(F.array_sort("ts"), whole).alias("w")).select("conv_id", "w.formatted", "w.loss_spans")
 
 
 def parsed(text: Column) -> Column:
@@ -85,8 +89,9 @@ def parsed(text: Column) -> Column:
 
 
 def loss_text(text: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substr(text, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between: cut out of the bytes, whose places cost nothing to find."""
+    part = lambda data: F.transform(spans, lambda s: unescaped(F.decode(F.substring(data, (s["first"] + 1).cast("int"), s["bytes"].cast("int")), "UTF-8")))
+    return let(text.cast("binary"), lambda data: F.array_join(part(data), ""))
 
 
 def digests(conversations: DataFrame) -> DataFrame:
