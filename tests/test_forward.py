@@ -1,6 +1,7 @@
 """Forward steps: the stream equals the replay of a table, whatever order bars come in and wherever it stops."""
 
 import math
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -170,5 +171,5 @@ def test_core_of_coins_by_plain_loops():
 def test_nothing_and_rows_without_values(spark):
     none = spark.createDataFrame([], forward.FEED)
     assert forward.replayed(none).isEmpty()
-    rows = [("a", *PLANS[1], s, pd.Timestamp("2020-01-01"), None, None, c, None, None) for s, c in (("A", None), (None, 1.0), ("A", 2.0), ("A", 2.0))]
+    rows = [("a", *PLANS[1], s, datetime(2020, 1, 1), None, None, c, None, None) for s, c in (("A", None), (None, 1.0), ("A", 2.0), ("A", 2.0))]
     assert [r["ret"] for r in forward.replayed(spark.createDataFrame(rows, forward.FEED)).collect()] == [0.0]

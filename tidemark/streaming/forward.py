@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Bars of a symbol that an account remembers, the least change of weight that is traded, margin and yearly cost of borrowing.
 KEEP, BAND, MARGIN, BORROW = 3000, 0.02, 0.005, 0.10
+#: Bars of the cycle leg's average.
+LONG = 200
 #: Days and greatest falls of the limits.
 LIMITS = ((1, "daily", -0.05), (7, "weekly", -0.10), (30, "monthly", -0.20))
 DAY_MS = 86_400_000
@@ -83,7 +86,8 @@ class Account:
 
     def target(self, symbol: str, weight: float) -> float:
         p, bars = self.plan, self.bars[symbol]
-        c = [b[2] for b in bars]
+        need = {"trend": p["n"], "coins": max(p["n"], WARM + 2), "blend": max(p["n"], LONG + 1)}.get(p["kind"], 1)
+        c = [b[2] for b in bars[-need:]]
         if p["kind"] == "trend":
             return p["lever"] if c[-1] > _mean(c, p["n"]) else 0.0
         if p["kind"] == "coins":
@@ -95,20 +99,20 @@ class Account:
         if bars[-1][3] is None:
             return weight
         if p["kind"] == "implied":
-            x = [b[3] for b in bars if b[3] is not None]
-            if p["signal"].startswith("gap"):
-                x = [b[3] - b[4] for b in bars if b[3] is not None]
+            gap = float(p["signal"].startswith("gap"))
+            known = islice((b[3] - gap * b[4] for b in reversed(bars) if b[3] is not None), p["z_n"] + 1)
+            x = [*known][::-1]
             z = _past_z(x, p["z_n"])
             return float(z > p["edge"] if p["signal"].endswith("high") else z < -p["edge"])
         return self.blend(symbol, c)
 
-    def blend(self, symbol: str, c: list[float], n_long: int = 200, buy: float = 0.0, sell: float = 0.6, days: int = 90, sell_step: float = 0.06) -> float:
+    def blend(self, symbol: str, c: list[float], n_long: int = LONG, buy: float = 0.0, sell: float = 0.6, days: int = 90, sell_step: float = 0.06) -> float:
         """share of the cycle leg, which reads yesterday's valuation and long average, and the rest of the trend leg."""
         mode, leg, seen = self.legs.get(symbol, (0, 0.0, 0))
         n, i = self.plan["n"], seen
         if i > max(n, n_long) + 2:
-            known = [1 - 1 / b[3] for b in self.bars[symbol][:-1] if b[3] is not None and b[3] > 0]
-            value, up = known[-1] if known else 0.0, c[-1] >= _mean(c[:-1], n_long)
+            known = (1 - 1 / b[3] for b in islice(reversed(self.bars[symbol]), 1, None) if b[3] is not None and b[3] > 0)
+            value, up = next(known, 0.0), c[-1] >= _mean(c[:-1], n_long)
             step = 1 / max(1, round(days / 30 * 4))
             mode = -1 if value >= sell and leg > 0 else 1 if value <= buy and leg < 1 else mode
             if mode < 0:
@@ -267,12 +271,14 @@ def replayed(feed: DataFrame) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own, out = None, []
-        pdf = pdf.sort_values("ts", kind="stable")
-        for ts, rows in pdf.groupby("ts", sort=True):
-            bars = {r.symbol: tuple(_plain(getattr(r, c)) for c in BAR) for r in rows.itertuples(index=False)}
-            own = own or Account(tuple(_plain(rows.iloc[0][c]) for c in PLAN))
-            if (done := own.step(int(ts.value // 1_000_000), bars)) is not None:
+        rows = pdf.sort_values("ts", kind="stable").itertuples(index=False)
+        for ts, same in groupby(rows, lambda r: r.ts):
+            now = list(same)
+            own = own or Account(tuple(_plain(getattr(now[0], c)) for c in PLAN))
+            if (done := own.step(int(ts.value // 1_000_000), {r.symbol: tuple(_plain(getattr(r, c)) for c in BAR) for r in now})) is not None:
                 out.append((key[0], ts, *done))
+            if own.halted:
+                break
         return pd.DataFrame(out, columns=COLUMNS)
 
     return _ready(feed).groupBy("candidate").applyInPandas(run, STEPS)
