@@ -6,8 +6,10 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_oracle import plain
 
+from tidemark.functions import maths
 from tidemark.operators import statistics
 from tidemark.plans import queries
 from tidemark.plans.registry import returns as registry
@@ -72,29 +74,78 @@ def small(spark, monkeypatch):
     return x
 
 
+def places(n, mean, rep, seed):
+    """A stationary resample, place by place, from the generator's draws one by one."""
+    u = lambda d: float(maths.uniforms(seed, np.array([d]))[0])
+    out = []
+    for i in range(n):
+        d = 2 * (rep * n + i)
+        out.append(int(u(d + 1) * n) if i == 0 or u(d) < 1 / mean else (out[-1] + 1) % n)
+    return out
+
+
+def falls_and_more(x, per_year=365):
+    eq, top, fall = 1.0, 1.0, 0.0
+    for r in x:
+        eq *= 1 + r
+        top = max(top, eq)
+        fall = min(fall, eq / top - 1)
+    return eq, fall, x.mean() / x.std() * per_year**0.5
+
+
+def test_numbers_drawn_in_arrays_are_those_of_columns(spark):
+    got = [r["u"] for r in spark.range(500).select(maths.uniform(F.lit(9176 ^ 0x5BD1E995), F.col("id") * 7919).alias("u")).collect()]
+    assert got == maths.uniforms(9176 ^ 0x5BD1E995, np.arange(500) * 7919).tolist()
+
+
 def test_monte_carlo_has_5000_paths(spark, small):
     got = {r["id"]: r for r in queries.QUERIES["rsm_monte_carlo"](spark, "").collect()}
+    assert all(statistics.stationary_places(90, 15, np.array([rep]), 12345)[0].tolist() == places(90, 15, rep, 12345) for rep in (0, 17, 4999))
     for i, x in enumerate(small):
-        runs = np.array([statistics.path_stats(x[statistics.stationary_indices(90, 15, np.random.default_rng([12345, rep]))], 365) for rep in range(5000)])
+        draws = statistics.stationary_places(90, 15, np.arange(5000), 12345)
+        runs = np.array([falls_and_more(x[d]) for d in draws])
         assert got[f"s{i}"]["p_loss"] == pytest.approx((runs[:, 0] < 1).mean(), abs=1e-9)
         assert got[f"s{i}"]["max_dd_p5"] == pytest.approx(np.sort(runs[:, 1])[round(0.05 * 4999)])
+        assert got[f"s{i}"]["sharpe_p50"] == pytest.approx(np.sort(runs[:, 2])[int(0.5 * 4999 + 0.5)])
 
 
 def test_falls_are_held_against_500_shuffles(spark, small):
     got = {r["id"]: r["share"] for r in queries.QUERIES["rsm_shuffled_falls"](spark, "").collect()}
     for i, x in enumerate(small):
-        falls = [statistics.path_stats(x[np.random.default_rng([7, rep]).permutation(90)], 365)[1] for rep in range(500)]
-        assert got[f"s{i}"] == pytest.approx((np.array(falls) <= statistics.path_stats(x, 365)[1]).mean(), abs=1e-9)
-
-
-def test_reality_check_has_1000_replicates(spark, small):
-    got = queries.QUERIES["rsm_reality_check"](spark, "").first()
-    x = small.T
-    n, mean, sd = len(x), x.mean(axis=0), x.std(axis=0)
-    kept = np.where(mean * np.sqrt(n) / sd >= -np.sqrt(2 * np.log(np.log(n))), mean, 0.0)
-    again = np.array([x[statistics.stationary_indices(n, 10, np.random.default_rng([99, rep]))].mean(axis=0) for rep in range(1000)])
-    assert got["p_reality"] == pytest.approx(((again - mean).max(axis=1) >= mean.max()).mean(), abs=1e-9)
-    assert got["p_spa"] == pytest.approx((((again - kept) / sd).max(axis=1) >= max(0, (mean / sd).max())).mean(), abs=1e-9)
+        orders = [sorted(range(90), key=lambda k, rep=rep: maths.uniforms(7, np.array([rep * 90 + k]))[0]) for rep in range(500)]
+        assert got[f"s{i}"] == pytest.approx(np.mean([falls_and_more(x[o])[1] <= falls_and_more(x)[1] + 1e-12 for o in orders]), abs=1e-6)
+
+
+def maxima(streams, reps, seed, mean=20):
+    """By replicate the greatest recentred ratio of streams, one by one."""
+    out = []
+    for rep in range(reps):
+        v = []
+        for x in streams:
+            y = x[statistics.stationary_places(len(x), mean, np.array([rep]), seed)[0]]
+            v.append(len(x) ** 0.5 * (y.mean() - x.mean()) / y.std())
+        out.append(max(v))
+    return np.array(out)
+
+
+def test_reality_check_and_family_wise_chances(spark):
+    rng = np.random.default_rng(4)
+    x = [rng.normal(m, 0.02, n) for m, n in ((0.004, 90), (0.001, 90), (-0.02, 90), (0.002, 60), (0.0, 7))]
+    rows = [(f"s{i}", k, float(v)) for i, r in enumerate(x) for k, v in enumerate(r)] + [("short", k, 0.5) for k in range(4)] + [("s0", 200, None)]
+    own = spark.createDataFrame(rows, "id string, ts int, ret double").repartition(3)
+    stats = np.array([len(r) ** 0.5 * r.mean() / r.std() for r in x])
+    got = statistics.reality_check(own).first()
+    assert got["best"] == f"s{stats.argmax()}" and got["p_reality"] == pytest.approx(((maxima(x, 1000, 9176) >= stats.max()).sum() + 1) / 1001)
+    fair = [r for i, r in enumerate(x) if i != 2]
+    assert stats[2] < -3 and got["p_spa"] == pytest.approx(((maxima(fair, 1000, 9176) >= stats.max()).sum() + 1) / 1001)
+    p = {r["id"]: r["p"] for r in statistics.family_wise(own).collect()}
+    null = maxima(x, 600, 9176 ^ 0x5BD1E995)
+    assert p.pop("short") == 1.0 and [p[f"s{i}"] for i in range(5)] == pytest.approx([((null >= s).sum() + 1) / 601 for s in stats])
+    order = np.argsort(-stats)
+    assert all(p[f"s{a}"] <= p[f"s{b}"] for a, b in zip(order, order[1:], strict=False))  # a worse stream never has a smaller chance
+    none = statistics.reality_check(own.limit(0)).first()
+    assert (none["best"], none["p_reality"], none["p_spa"]) == (None, 1.0, 1.0)
+    assert statistics.family_wise(own.where("id = 'short'")).first()["p"] == 1.0
 
 
 def test_permutation_has_200_markets(spark, sf_dir):
@@ -102,14 +153,17 @@ def test_permutation_has_200_markets(spark, sf_dir):
     assert len(p) == 5 and np.abs(p * 201 - (p * 201).round()).max() < 1e-3 and np.abs(p * 21 - (p * 21).round()).max() > 1e-3
 
 
-def test_reality_check_gathers_no_matrix(spark, small):
-    assert "collect_list" not in queries.QUERIES["rsm_reality_check"](spark, "")._jdf.queryExecution().toString()
-
-
-def test_reality_check_of_streams_that_share_some_times(spark):
-    x = np.random.default_rng(8).normal(0.001, 0.02, (2, 60))
-    own = [(f"s{i}", k, None if (i, k) == (1, 7) else float(v)) for i, r in enumerate(x) for k, v in enumerate(r)] + [("s0", 99, 0.5)]
-    few = [(i, k, v) for i, k, v in own if k not in (7, 99)]
-    make = lambda rows: spark.createDataFrame(rows, "id string, ts int, ret double")
-    assert statistics.reality_check(make(own)).first() == statistics.reality_check(make(few)).first()
-    assert statistics.reality_check(make([("a", 0, 0.1), ("b", 1, 0.1)])).first().asDict() == {"p_reality": 1.0, "p_spa": 1.0}
+def test_permuted_markets_keep_returns_and_shapes(spark):
+    bars = spark.createDataFrame([("a", t, 1.0 * c, c + 1.0, c - 0.5, c + 0.25, float(t)) for t, c in enumerate((5, 7, 6, 9, 8, 12))], "symbol string, ts int, o double, h double, l double, c double, v double")
+    was = bars.orderBy("ts").toPandas()
+    seen = set()
+    for perm, own in statistics.permuted_markets(bars, 20).toPandas().sort_values(["perm", "ts"]).groupby("perm"):
+        assert own["c"].iloc[0] == was["c"].iloc[0] and own["v"].tolist() == was["v"].tolist()
+        moves = np.diff(np.log(own["c"]))
+        assert sorted(moves.round(9)) == sorted(np.diff(np.log(was["c"])).round(9))
+        source = [int(np.abs(np.diff(np.log(was["c"])) - m).argmin()) + 1 for m in moves]
+        assert (own["h"] / own["c"]).tolist()[1:] == pytest.approx((was["h"] / was["c"]).to_numpy()[source].tolist())
+        order = sorted(range(1, 6), key=lambda i, perm=perm: maths.uniforms(1337, np.array([perm * 5 + i - 1]))[0])
+        assert source == order
+        seen.add(tuple(order))
+    assert len(seen) > 10

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,15 @@ def uniform(seed: Column, draw: Column) -> Column:
     return t.bitwiseXOR(F.shiftright(t, 14)).cast("double") / 4294967296.0
 
 
+def uniforms(seed: int, draws: np.ndarray) -> np.ndarray:
+    """uniform() of an array of draw numbers, for kernels that need their numbers in order."""
+    low = np.uint64(0xFFFFFFFF)
+    s = (np.uint64(seed & 0xFFFFFFFF) + (draws.astype(np.uint64) + np.uint64(1)) * np.uint64(STEP)) & low
+    t = ((s ^ (s >> np.uint64(15))) * (s | np.uint64(1))) & low
+    t ^= (t + (((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & low)) & low
+    return (t ^ (t >> np.uint64(14))) / 4294967296.0
+
+
 def gaussian(seed: Column, draw: Column) -> Column:
     """A standard normal number by Box and Muller, of draws 2 draw and 2 draw + 1."""
     u = F.greatest(uniform(seed, 2 * draw), F.lit(1e-12))

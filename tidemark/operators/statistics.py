@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.maths import logit, uniform
+from tidemark.functions.maths import logit, uniform, uniforms
 from tidemark.operators import aggregates
 from tidemark.operators import windows as w
 
@@ -45,45 +45,58 @@ def bootstrap_interval(sharpes: DataFrame, by: tuple[str, ...] = ("symbol",)) ->
     return sharpes.groupBy(*by).agg(q(0.025).alias("lo"), q(0.975).alias("hi"), q(0.05).alias("p5"), q(0.5).alias("median"))
 
 
-def _resampled(returns: DataFrame, reps: int, by: tuple[str, ...], statistic, schema: str) -> DataFrame:
-    """statistic(ret, rep) as a row for each replicate; a replicate gets its stream as one array."""
-    own = returns.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ret"))), lambda x: x["ret"]).alias("rets"))
-    rows = own.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*by, "rep")
-    names = [*by, "rep"]
+#: Replicates of a task, and numbers that it holds at once.
+REPLICATES, HELD = 250, 1 << 21
 
-    def run(batches):
-        for pdf in batches:
-            out = [(*key, *statistic(np.asarray(r, dtype=np.float64), int(key[-1]))) for *key, r in pdf[[*names, "rets"]].itertuples(index=False)]
-            yield pd.DataFrame(out, columns=[*names, *[c.split()[0] for c in schema.split(", ")]])
 
-    return rows.mapInPandas(run, ", ".join([*[f"{b} string" for b in by], "rep int", schema]))
+def _resampled(returns: DataFrame, reps: int, by: tuple[str, ...], statistic, names: tuple[str, ...]) -> DataFrame:
+    """(by, rep, names): statistic(ret, reps), arrays of figures by replicate.
 
+    A stream's rows go to a task for every `REPLICATES` of them, not for each.
+    """
+    parts = -(-reps // REPLICATES)
+    rows = returns.select(*by, "ts", "ret").where(F.col("ret").isNotNull()).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-def path_stats(ret: np.ndarray, per_year: float) -> tuple[float, float, float, float]:
-    """Final multiple, deepest fall, ratio, growth over fall."""
-    eq = np.cumprod(1 + ret)
-    fall = float(min(0.0, (eq / np.maximum(np.maximum.accumulate(eq), 1.0) - 1).min()))
-    sd = ret.std()
-    growth = eq[-1] ** (1 / max(0.01, len(ret) / per_year)) - 1 if eq[-1] > 0 else -1.0
-    return float(eq[-1]), fall, float(ret.mean() / sd * math.sqrt(per_year)) if sd > 1e-12 else 0.0, float(growth / -fall) if fall < 0 else 0.0
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ret = pdf.sort_values("ts")["ret"].to_numpy(dtype=np.float64)
+        own = np.arange(key[-1] * REPLICATES, min(reps, (key[-1] + 1) * REPLICATES))
+        step = max(1, HELD // max(1, len(ret)))
+        found = [statistic(ret, own[at : at + step]) for at in range(0, len(own), step)]
+        figures = {n: np.concatenate([f[k] for f in found]) for k, n in enumerate(names)}
+        return pd.DataFrame({**{b: [v] * len(own) for b, v in zip(by, key, strict=False)}, "rep": own.astype("int32"), **figures})
 
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in returns.select(*by).schema.fields]
+    return rows.groupBy(*by, "_part").applyInPandas(run, ", ".join([*kinds, "rep int", *[f"{n} double" for n in names]]))
 
-def stationary_indices(n: int, mean: float, rng: np.random.Generator) -> np.ndarray:
-    """Places of a circular resample in blocks of geometric lengths."""
-    jumps = rng.random(n) < 1 / max(1.0001, mean)
-    jumps[0] = True
-    starts = rng.integers(0, n, n)
-    last = np.maximum.accumulate(np.where(jumps, np.arange(n), 0))
-    return (starts[last] + np.arange(n) - last) % n
 
+def path_stats(ret: np.ndarray, per_year: float) -> tuple[np.ndarray, ...]:
+    """Final multiple, deepest fall, ratio, growth over fall of each row of returns."""
+    ret = np.atleast_2d(ret)
+    eq = np.cumprod(1 + ret, axis=1)
+    fall = np.minimum(0.0, (eq / np.maximum(np.maximum.accumulate(eq, axis=1), 1.0) - 1).min(axis=1))
+    sd, last = ret.std(axis=1), eq[:, -1]
+    growth = np.where(last > 0, np.maximum(last, 1e-300) ** (1 / max(0.01, ret.shape[1] / per_year)) - 1, -1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return last, fall, np.where(sd > 1e-12, ret.mean(axis=1) / sd * math.sqrt(per_year), 0.0), np.where(fall < 0, growth / -fall, 0.0)
 
-def monte_carlo(returns: DataFrame, per_year: float, reps: int = 5000, mean_block: float = 15, seed: int = 12345, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """(by, rep, multiple, max_dd, sharpe, calmar) of stationary resamples; replicate r has the generator (seed, r)."""
 
-    def one(ret: np.ndarray, rep: int) -> tuple[float, ...]:
-        return path_stats(ret[stationary_indices(len(ret), mean_block, np.random.default_rng([seed, rep]))], per_year)
+def stationary_places(n: int, mean: float, reps: np.ndarray, seed: int) -> np.ndarray:
+    """Places of circular resamples in blocks of geometric lengths, a row for each replicate.
+
+    Of place i of replicate r, draw 2 (r n + i) says whether a block begins there and the next one where.
+    """
+    draws = 2 * (reps[:, None].astype(np.int64) * n + np.arange(n))
+    jumps = uniforms(seed, draws) < 1 / max(1.0001, mean)
+    jumps[:, 0] = True
+    last = np.maximum.accumulate(np.where(jumps, np.arange(n), 0), axis=1)
+    starts = np.floor(uniforms(seed, draws + 1) * n).astype(np.int64)
+    return (np.take_along_axis(starts, last, axis=1) + np.arange(n) - last) % n
 
-    return _resampled(returns, reps, by, one, "multiple double, max_dd double, sharpe double, calmar double")
+
+def monte_carlo(returns: DataFrame, per_year: float, reps: int = 5000, mean_block: float = 15, seed: int = 12345, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(by, rep, multiple, max_dd, sharpe, calmar) of stationary resamples."""
+    some = lambda ret, own: path_stats(ret[stationary_places(len(ret), mean_block, own, seed)], per_year)
+    return _resampled(returns, reps, by, some, ("multiple", "max_dd", "sharpe", "calmar"))
 
 
 def monte_carlo_summary(runs: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -92,32 +105,33 @@ def monte_carlo_summary(runs: DataFrame, by: tuple[str, ...] = ("symbol",)) -> D
 
 
 def shuffled_falls(returns: DataFrame, reps: int = 500, seed: int = 7, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """By stream the share of shuffles whose deepest fall isn't above the observed one."""
+    """By stream the share of shuffles whose deepest fall isn't above the observed one. A shuffle sorts the returns by its draws."""
 
-    def one(ret: np.ndarray, rep: int) -> tuple[float, float]:
-        mixed = ret[np.random.default_rng([seed, rep]).permutation(len(ret))]
-        return path_stats(mixed, 365.0)[1], path_stats(ret, 365.0)[1]
+    def some(ret: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(uniforms(seed, own[:, None].astype(np.int64) * len(ret) + np.arange(len(ret))), axis=1, kind="stable")
+        return path_stats(ret[order], 365.0)[1], np.repeat(path_stats(ret, 365.0)[1], len(own))
 
-    runs = _resampled(returns, reps, by, one, "max_dd double, observed double")
-    return runs.groupBy(*by).agg(F.avg((F.col("max_dd") <= F.col("observed")).cast("double")).alias("share"))
+    runs = _resampled(returns, reps, by, some, ("max_dd", "observed"))
+    return runs.groupBy(*by).agg(F.avg((F.col("max_dd") <= F.col("observed") + 1e-12).cast("double")).alias("share"))
 
 
 def permuted_markets(bars: DataFrame, reps: int, seed: int = 1337, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """bars with perm: markets whose log returns are shuffled, each bar keeping its shape relative to its close.
 
-    Volumes and times stay in place. A replicate is a group, so that the back-test of a permutation is one more key.
+    Volumes and times stay in place; the first bar too. A bar's place in a permutation is the rank of its draw, so that a
+    replicate is one more key and nothing needs a whole market at once.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("ts", ignore_index=True)
-        c, rep = own["c"].to_numpy(), int(own["perm"].iloc[0])
-        order = np.random.default_rng([seed, rep]).permutation(len(c) - 1)
-        src = np.concatenate(([0], order + 1))
-        price = c[0] * np.exp(np.concatenate(([0.0], np.cumsum(np.diff(np.log(c))[order]))))
-        return own.assign(c=price, **{k: price * (own[k].to_numpy() / c)[src] for k in ("o", "h", "l")})
-
-    many = bars.crossJoin(F.broadcast(bars.sparkSession.range(reps).select(F.col("id").cast("int").alias("perm"))))
-    return many.groupBy(*by, "perm").applyInPandas(one, many.schema)
+    o = Window.partitionBy(*by).orderBy("ts")
+    own = bars.select(*by, "ts", *"ohlc").withColumn("k", F.row_number().over(o) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    own = own.withColumns({"lr": F.ln(F.col("c") / F.lag("c").over(o)), **{f"r{x}": F.col(x) / F.col("c") for x in "ohl"}})
+    many = own.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    draw = uniform(F.lit(seed), F.col("perm") * (F.col("n") - 1) + F.col("k") - 1)
+    placed = many.withColumn("_u", draw).withColumn("_at", F.row_number().over(Window.partitionBy(*by, "perm").orderBy(F.col("k") > 0, "_u", "k")) - 1)
+    path = Window.partitionBy(*by, "perm").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    price = F.first(F.when(F.col("_at") == 0, F.col("c"))).over(path) * F.exp(F.coalesce(F.sum("lr").over(path), F.lit(0.0)))
+    shaped = placed.withColumn("_c", price).select(*by, "perm", "_at", F.col("_c").alias("c"), *[(F.col("_c") * F.col(f"r{x}")).alias(x) for x in "ohl"])
+    kept = bars.drop(*"ohlc").withColumn("_at", F.row_number().over(o) - 1)
+    return shaped.hint("merge").join(kept, [*by, "_at"]).select(*bars.columns, "perm")
 
 
 def permutation_p(sharpes: DataFrame, observed: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -126,37 +140,61 @@ def permutation_p(sharpes: DataFrame, observed: DataFrame, by: tuple[str, ...] =
     return own.groupBy(*by).agg(((F.count_if(F.col("sharpe") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
-def reality_check(streams: DataFrame, reps: int = 1000, mean_block: float = 10, seed: int = 99) -> DataFrame:
-    """One row: p of the best mean among streams (id, ts, ret) against none, plain and studentised (SPA).
+def _observed(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, n, k, ret) of streams (id, ts, ret) of five returns or more, and their (id, n, mean, sd, stat, kept)."""
+    own = streams.groupBy("id", "ts").agg(F.first("ret", ignorenulls=True).alias("ret")).where(F.col("ret").isNotNull())
+    own = numbered(own, ("id",)).where(F.col("n") >= 5).select("id", "n", "k", "ret")
+    stats = own.groupBy("id").agg(F.first("n").alias("n"), F.avg("ret").alias("mean"), F.greatest(F.stddev_pop("ret"), F.lit(1e-9)).alias("sd"))
+    hopeless = -F.col("sd") / F.sqrt("n") * F.sqrt(2 * F.ln(F.greatest(F.lit(3.0), F.ln(F.greatest(F.lit(3), F.col("n"))))))
+    return own, stats.withColumns({"stat": F.sqrt("n") * F.col("mean") / F.col("sd"), "kept": F.col("mean") >= hopeless})
+
+
+def null_maxima(own: DataFrame, stats: DataFrame, reps: int, mean_block: float, seed: int) -> DataFrame:
+    """(rep, plain, spa): the greatest recentred ratio of all streams in each stationary resample, and that of those not hopeless.
 
-    Replicates resample the times of all streams alike: (rep, place, how often) as rows, joined by place with the returns.
-    Without a time that all streams share, both are 1.
+    Streams of one length are resampled alike, so that what they share stays. Draws are rows (length, rep, place, how often),
+    joined by place with the returns.
     """
-    own = streams.groupBy("id", "ts").agg(F.first("ret").alias("ret"))
-    known = own.dropna(subset=["ret"])
-    ids = own.agg(F.count_distinct("id").alias("ids"))
-    times = known.groupBy("ts").agg(F.count("*").alias("m")).join(F.broadcast(ids), F.col("m") == F.col("ids")).select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("k"))
-    shared = known.join(times, "ts").select("id", "k", "ret")
-    x = F.col("ret")
-    stats = shared.groupBy("id").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.greatest(F.stddev_pop(x), F.lit(1e-12)).alias("sd"))
-    hopeless = -F.sqrt(2 * F.log(F.log(F.greatest(F.col("n"), F.lit(3)))))
-    stats = stats.withColumn("kept", F.when(F.col("mean") * F.sqrt("n") / F.col("sd") >= hopeless, F.col("mean")).otherwise(0.0))
 
     def draw(batches):
         for pdf in batches:
-            for rep, n in pdf.itertuples(index=False):
-                if n:
-                    k, m = np.unique(stationary_indices(n, mean_block, np.random.default_rng([seed, rep])), return_counts=True)
-                    yield pd.DataFrame({"rep": rep, "k": k, "m": m})
-
-    numbers = streams.sparkSession.range(reps).crossJoin(F.broadcast(times.agg(F.count("*").alias("length"))))
-    drawn = numbers.mapInPandas(draw, "rep long, k int, m long")
-    again = drawn.join(shared, "k").groupBy("rep", "id").agg((F.sum(F.col("m") * x) / F.sum("m")).alias("again")).join(stats, "id")
-    plain = F.max(F.col("again") - F.col("mean")) >= F.max("mean")
-    studentised = F.max((F.col("again") - F.col("kept")) / F.col("sd")) >= F.greatest(F.lit(0.0), F.max(F.col("mean") / F.col("sd")))
-    by_rep = again.groupBy("rep").agg(plain.alias("plain"), studentised.alias("studentised"))
-    share = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(1.0))
-    return by_rep.agg(share("plain").alias("p_reality"), share("studentised").alias("p_spa"))
+            for n, rep in pdf.itertuples(index=False):
+                k, m = np.unique(stationary_places(n, max(2.0, mean_block), np.array([rep]), seed), return_counts=True)
+                yield pd.DataFrame({"n": n, "rep": rep, "k": k, "m": m})
+
+    numbers = F.broadcast(own.select(F.col("n").cast("long").alias("n")).distinct()).crossJoin(own.sparkSession.range(reps).select(F.col("id").alias("rep")))
+    drawn = numbers.select("n", "rep").mapInPandas(draw, "n long, rep long, k int, m long")
+    x = F.col("ret")
+    again = drawn.hint("merge").join(own, ["n", "k"]).groupBy("rep", "id").agg((F.sum(F.col("m") * x) / F.sum("m")).alias("b"), (F.sum(F.col("m") * x * x) / F.sum("m")).alias("q"))
+    again = again.join(stats, "id")
+    spread = F.sqrt(F.greatest(F.lit(1e-18), F.col("q") - F.col("b") * F.col("b")))
+    v = F.sqrt("n") * (F.col("b") - F.col("mean")) / spread
+    return again.groupBy("rep").agg(F.max(v).alias("plain"), F.max(F.when(F.col("kept"), v)).alias("spa"))
+
+
+def reality_check(streams: DataFrame, reps: int = 1000, mean_block: float = 20, seed: int = 9176) -> DataFrame:
+    """One row: the stream of the greatest ratio, and the chance that the best of all is as good by luck, plain and without hopeless ones (SPA).
+
+    Streams of under five returns don't count; without any, id is NULL and both are 1.
+    """
+    own, stats = _observed(streams)
+    best = stats.agg(F.max_by("id", F.struct("stat", "id")).alias("best"), F.max("stat").alias("best_stat"))
+    maxima = null_maxima(own, stats, reps, mean_block, seed).crossJoin(F.broadcast(best.select("best_stat")))
+    share = lambda c: F.coalesce((F.count_if(F.col(c) >= F.col("best_stat")) + 1) / (F.lit(reps) + 1), F.lit(1.0))
+    counted = maxima.agg(F.count("*").alias("runs"), share("plain").alias("p_reality"), share("spa").alias("p_spa"))
+    p = lambda c: F.when(F.col("runs") > 0, F.col(c)).otherwise(1.0).alias(c)
+    return best.crossJoin(counted).select("best", p("p_reality"), p("p_spa"))
+
+
+def family_wise(streams: DataFrame, reps: int = 600, mean_block: float = 20, seed: int = 9176 ^ 0x5BD1E995) -> DataFrame:
+    """(id, stat, p) of every stream: the chance that the best of all resampled streams reaches its ratio; 1 for under five returns.
+
+    The replicates' maxima, one number each, are sent to every task: as many as there are replicates, whatever the streams.
+    """
+    own, stats = _observed(streams)
+    maxima = null_maxima(own, stats, reps, mean_block, seed).agg(F.collect_list("plain").alias("maxima"))
+    judged = stats.crossJoin(F.broadcast(maxima)).select("id", "stat", ((F.size(F.filter("maxima", lambda m: m >= F.col("stat"))) + 1) / (F.size("maxima") + 1)).alias("p"))
+    return streams.select("id").distinct().join(judged, "id", "left").select("id", "stat", F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
 def block_ratios(returns: DataFrame, blocks: int, per_year: float, by: tuple[str, ...] = ("config",)) -> DataFrame:

@@ -250,8 +250,34 @@ SELECT id, CAST(rep AS INTEGER) AS rep, round(CASE WHEN stddev_pop(ret) > 1e-12
 QUERIES["rsm_bootstrap_interval"] = lambda spark, d: statistics.bootstrap_interval(statistics.block_bootstrap(streams(spark, d), 365, by=("id",)), ("id",)).select("id", *[r(c).alias(c) for c in ("lo", "hi", "p5", "median")])
 SQL["rsm_bootstrap_interval"] = SQL["rsm_block_bootstrap"].replace("\nSELECT id, CAST", ", sh AS (SELECT id, CAST") + "), q AS (SELECT id, list_sort(list(sharpe)) AS s FROM sh GROUP BY id) SELECT id, s[26] AS lo, s[976] AS hi, s[51] AS p5, s[501] AS median FROM q"
 QUERIES["rsm_monte_carlo"] = lambda spark, d: statistics.monte_carlo_summary(statistics.monte_carlo(streams(spark, d), 365, by=("id",)), ("id",))
-QUERIES["rsm_shuffled_falls"] = lambda spark, d: statistics.shuffled_falls(streams(spark, d), by=("id",))
-QUERIES["rsm_reality_check"] = lambda spark, d: statistics.reality_check(streams(spark, d))
+QUERIES["rsm_shuffled_falls"] = lambda spark, d: statistics.shuffled_falls(streams(spark, d), by=("id",)).select("id", r("share").alias("share"))
+SQL["rsm_shuffled_falls"] = f"""WITH {STREAMS}, o AS (SELECT id, ret, row_number() OVER (PARTITION BY id ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM streams),
+d AS (SELECT *, unnest(range(500)) AS rep FROM o), {DRAW.format(seed=7, draw="(rep * n + k)", table="d")},
+ps AS (SELECT id, rep, u AS pos, k, ret FROM u UNION ALL SELECT id, -1, k, k, ret FROM o),
+l AS (SELECT id, rep, pos, k, sum(ln(1 + ret)) OVER (PARTITION BY id, rep ORDER BY pos, k ROWS UNBOUNDED PRECEDING) AS l FROM ps),
+dd AS (SELECT id, rep, exp(l - greatest(0, max(l) OVER (PARTITION BY id, rep ORDER BY pos, k ROWS UNBOUNDED PRECEDING))) - 1 AS f FROM l),
+mi AS (SELECT id, rep, least(0, min(f)) AS f FROM dd GROUP BY id, rep)
+SELECT id, round(avg(CASE WHEN x.f <= y.f + 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS share FROM mi x JOIN (SELECT id, f FROM mi WHERE rep = -1) y USING (id) WHERE rep >= 0 GROUP BY id"""
+QUERIES["rsm_reality_check"] = lambda spark, d: statistics.reality_check(streams(spark, d)).select("best", r("p_reality").alias("p_reality"), r("p_spa").alias("p_spa"))
+QUERIES["rsm_family_wise"] = lambda spark, d: statistics.family_wise(streams(spark, d)).select("id", r("stat").alias("stat"), r("p").alias("p"))
+
+
+def _maxima_sql(reps: int, seed: int) -> str:
+    return f"""WITH {STREAMS}, o AS (SELECT id, ret, row_number() OVER (PARTITION BY id ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM streams WHERE ret IS NOT NULL),
+st AS (SELECT *, sqrt(n) * mean / sd AS stat, mean >= -sd / sqrt(n) * sqrt(2 * ln(greatest(3, ln(greatest(3, n))))) AS kept FROM (SELECT id, any_value(n) AS n, avg(ret) AS mean, greatest(stddev_pop(ret), 1e-9) AS sd FROM o WHERE n >= 5 GROUP BY id)),
+d0 AS (SELECT n, rep, unnest(range(n)) AS i FROM (SELECT n, unnest(range({reps})) AS rep FROM (SELECT DISTINCT n FROM st))), d AS (SELECT *, unnest([0, 1]) AS second FROM d0),
+{DRAW.format(seed=seed, draw="(2 * (rep * n + i) + second)", table="d")},
+dr AS (SELECT n, rep, i, max(u) FILTER (WHERE second = 0) AS u0, max(u) FILTER (WHERE second = 1) AS u1 FROM u GROUP BY ALL),
+pl AS (SELECT n, rep, i, last_value(CASE WHEN i = 0 OR u0 < 0.05 THEN CAST(floor(u1 * n) AS BIGINT) - i END IGNORE NULLS) OVER (PARTITION BY n, rep ORDER BY i ROWS UNBOUNDED PRECEDING) AS shift FROM dr),
+ct AS (SELECT n, rep, (shift + i) % n AS k, count(*) AS m FROM pl GROUP BY ALL),
+ag AS (SELECT rep, id, sum(m * ret) / sum(m) AS b, sum(m * ret * ret) / sum(m) AS q FROM ct JOIN o USING (n, k) GROUP BY rep, id),
+ma AS (SELECT rep, max(v) AS plain, max(v) FILTER (WHERE kept) AS spa FROM (SELECT rep, kept, sqrt(n) * (b - mean) / sqrt(greatest(1e-18, q - b * b)) AS v FROM ag JOIN st USING (id)) GROUP BY rep)"""
+
+
+SQL["rsm_reality_check"] = f"""{_maxima_sql(1000, 9176)}, be AS (SELECT arg_max(id, (stat, id)) AS best, max(stat) AS best_stat FROM st)
+SELECT any_value(best) AS best, round((count(*) FILTER (WHERE plain >= best_stat) + 1) / 1001.0, 6) AS p_reality, round((count(*) FILTER (WHERE spa >= best_stat) + 1) / 1001.0, 6) AS p_spa FROM ma, be"""
+SQL["rsm_family_wise"] = f"""{_maxima_sql(600, 9176 ^ 0x5BD1E995)}
+SELECT id, round(stat, 6) + 0.0 AS stat, round((count(*) FILTER (WHERE plain >= stat) + 1) / 601.0, 6) AS p FROM st, ma GROUP BY id, stat"""
 
 
 def permutation(spark: SparkSession, d: str) -> DataFrame:
@@ -265,6 +291,14 @@ def permutation(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["rsm_permutation"] = permutation
+_SHUFFLED = f"""{BARS_1D}, m0 AS (SELECT symbol, i, ts, c, count(*) OVER (PARTITION BY symbol) AS n, ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY ts)) AS lr FROM bars_1d),
+m1 AS (SELECT *, unnest(range(200)) AS perm FROM m0), {DRAW.format(seed=1337, draw="(perm * (n - 1) + i - 1)", table="m1")},
+m2 AS (SELECT *, row_number() OVER (PARTITION BY symbol, perm ORDER BY CASE WHEN i > 0 THEN u ELSE -1 END, i) - 1 AS pos FROM u),
+m3 AS (SELECT symbol, perm, pos, first_value(c) OVER w * exp(coalesce(sum(lr) OVER w, 0)) AS c FROM m2 WINDOW w AS (PARTITION BY symbol, perm ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+market AS (SELECT symbol || '|' || perm AS symbol, pos AS i, ts, m3.c FROM m3 JOIN (SELECT symbol, i AS pos, ts FROM m0) USING (symbol, pos) UNION ALL SELECT symbol, i, ts, c FROM m0)"""
+SQL["rsm_permutation"] = f"""WITH {_SHUFFLED}, {_stages("momentum", "market")}, {RETURNS_SQL},
+sh AS (SELECT split_part(symbol, '|', 1) AS symbol, contains(symbol, '|') AS drawn, CASE WHEN stddev_pop(ret) > 1e-12 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END AS sharpe FROM x GROUP BY x.symbol)
+SELECT symbol, round((count(*) FILTER (WHERE drawn AND sharpe >= seen) + 1) / (count(*) FILTER (WHERE drawn) + 1), 6) AS p FROM sh JOIN (SELECT symbol, sharpe AS seen FROM sh WHERE NOT drawn) USING (symbol) GROUP BY symbol"""
 
 GRID = (10, 20, 40, 80)
 
