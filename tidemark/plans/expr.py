@@ -291,6 +291,21 @@ def evaluate(bars: DataFrame, expressions: dict[str, dict], params: dict[str, fl
     return plan.run(bars, outputs)
 
 
+def signals_of_many(bars: DataFrame, doc: dict, many: list[dict[str, float]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row of bars for each parameter set, numbered by config from 0, with the document's conditions.
+
+    One plan for all: a kernel with the same numbers in several sets is made once, and all share the exchange by symbol.
+    keep: columns of bars that rows carry besides symbol, ts, i and prices.
+    """
+    plan, wanted, outputs = Plan({}), [s for s in SIGNALS if doc.get(s)], {}
+    for k, own in enumerate(many):
+        plan.params = {**defaults(doc), **own}
+        outputs |= {f"{s}_{k}": plan.column(doc[s])[0] for s in wanted}
+    made = plan.run(bars, outputs)
+    rows = [F.struct(F.lit(k).alias("config"), *[(F.col(f"{s}_{k}") if s in wanted else F.lit(False)).alias(s) for s in SIGNALS]) for k in range(len(many))]
+    return made.select("symbol", "ts", "i", "o", "h", "l", "c", *keep, F.inline(F.array(*rows)))
+
+
 def signals(bars: DataFrame, doc: dict, params: dict[str, float] | None = None) -> DataFrame:
     """bars with the document's conditions (false where it has none) and atr14."""
     wanted = {s: doc[s] for s in SIGNALS if doc.get(s)}

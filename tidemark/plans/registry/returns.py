@@ -465,26 +465,6 @@ le AS (SELECT *, CASE WHEN count(x1) OVER p > 30 AND stddev_pop(x1) OVER p > 1e-
 SELECT symbol, {DAY}, round(sum(led * x) * 100, 5) + 0.0 AS score FROM le GROUP BY symbol, ts"""
 
 
-def gauntlet(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates are (symbol, length) of the trend grid: a screen, then the deflated ratio of those that pass it."""
-    runs = grid_runs(spark, d).select(F.concat_ws("|", "symbol", F.col("config").cast("string")).alias("candidate"), "ts", "ret", F.lit(0.0).alias("turnover")).where("ret <> 0")
-    only = lambda df: runs.join(df, "candidate", "left_semi")
-    stages = [
-        validation.Stage("S2", ("train_sharpe", "train_max_dd"), lambda df: validation.screen(only(df), 365), {"train_sharpe": -5.0, "train_max_dd": -0.97}),
-        validation.Stage("S5", ("dsr",), lambda df: validation.deflated(only(df), 40, 365), {"dsr": 0.5}),
-    ]
-    out = validation.gauntlet(runs.select("candidate").distinct(), stages)
-    return out.select("candidate", "failed_stage", r("train_sharpe").alias("train_sharpe"), r("dsr").alias("dsr"))
-
-
-QUERIES["vld_gauntlet"] = gauntlet
-SQL["vld_gauntlet"] = f"""WITH {GRID_SQL}, streams AS (SELECT symbol || '|' || config AS id, ts, ret FROM runs WHERE ret <> 0), {MOMENTS},
-l AS (SELECT id, sum(ln(1 + ret)) OVER w AS l, ts FROM streams WINDOW w AS (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING)), dd AS (SELECT id, min(x) AS dd FROM (SELECT id, exp(l - max(l) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING)) - 1 AS x FROM l) GROUP BY id),
-s AS (SELECT *, mean / sd * sqrt(365) AS sharpe, (mean / sd - {BEST_SQL}) * sqrt(n - 1) / sqrt(1 - skew * mean / sd + (kurt - 1) / 4 * (mean / sd) ** 2) AS z FROM mo JOIN dd USING (id)),
-p AS (SELECT *, sharpe >= -5 AND dd >= -0.97 AS ok, CASE WHEN n >= 10 THEN {_cdf_sql("z")} ELSE 0 END AS dsr FROM s)
-SELECT id AS candidate, CASE WHEN NOT ok THEN 'S2' WHEN dsr < 0.5 THEN 'S5' END AS failed_stage, round(sharpe, 6) + 0.0 AS train_sharpe, CASE WHEN ok THEN round(dsr, 6) END AS dsr FROM p"""
-
-
 def stability(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the trend grid as neighbours of the second one."""
     s = grid_runs(spark, d).groupBy(F.col("symbol").alias("candidate"), "config").agg(aggregates.sharpe(F.col("ret"), 365).alias("sharpe"))

@@ -16,3 +16,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "6g"
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in spark.checkpoint.dir; a local session without one gets its own."""
+    sc = spark.sparkContext
+    if folder := sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    from tempfile import mkdtemp
+
+    sc.setCheckpointDir(mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
