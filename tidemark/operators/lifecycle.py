@@ -20,7 +20,7 @@ BOUNDS: dict[str, dict[str, tuple[float, float]]] = {
 
 def digest(*parts: Column, length: int = 24) -> Column:
     """The identity of a document: the beginning of a hash of its parts as a JSON array; NULL is a part like any other."""
-    return F.substring(F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])), 256), 1, length)
+    return F.substring(F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256), 1, length)
 
 
 def faults(kind: str, fields: dict[str, Column], **rules: Column) -> Column:

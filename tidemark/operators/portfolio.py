@@ -273,14 +273,17 @@ def admitted(marginal: DataFrame, least: float = 0.05, most: float = 0.6) -> Dat
 
 
 def book_gate(streams: DataFrame, per_year: float, reps: int = 1000, least_sharpe: float = 1.0, least_p5: float = 1.0, most_corr: float = 0.5, scheme: str = "erc") -> DataFrame:
-    """Gate C, one row: the book's ratio, its bootstrap's 5 % point, the mean correlation within, and whether all pass."""
+    """Gate C, one row: the book's members, ratio, its bootstrap's 5 % point, diversification ratio, mean correlation within, whether all pass, and what doesn't."""
     weights = book_weights(streams, scheme)
     book = book_returns(streams, weights).withColumn("id", F.lit("book"))
     stats = book.agg(aggregates.sharpe(F.col("ret"), per_year, 1e-15).alias("sharpe"))
     low = statistics.bootstrap_interval(statistics.block_bootstrap(book, per_year, reps, by=("id",)), ("id",)).agg(F.coalesce(F.max("p5"), F.lit(-9.0)).alias("p5"))
     corr = aggregates.mean_abs_correlation(joins.intersection(streams, "id")).select(F.coalesce(F.max("mean_abs_corr"), F.lit(0.0)).alias("mean_abs_corr"))
-    out = stats.crossJoin(low).crossJoin(corr)
-    return out.withColumn("passes", (F.col("sharpe") >= least_sharpe) & (F.col("p5") >= least_p5) & (F.col("mean_abs_corr") <= most_corr))
+    spread = diversification_ratio(streams, weights).agg(F.coalesce(F.max("ratio"), F.lit(1.0)).alias("diversification"))
+    out = stats.crossJoin(low).crossJoin(corr).crossJoin(spread).crossJoin(weights.agg(F.count("*").alias("members")))
+    checks = {"sharpe": F.col("sharpe") >= least_sharpe, "p5": F.col("p5") >= least_p5, "mean_abs_corr": F.col("mean_abs_corr") <= most_corr}
+    reasons = F.array_join(F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks.items()]), lambda x: x.isNotNull()), "; ")
+    return out.withColumn("reasons", reasons).withColumn("passes", F.col("reasons") == "")
 
 
 def panel_walk_forward(

@@ -34,7 +34,7 @@ QUERIES["val_sleeves"] = lambda spark, d: sleeves(spark, d).select("id", F.array
 SQL["val_sleeves"] = """SELECT p_partkey AS id, concat_ws(',', CASE WHEN NOT p_partkey % 25 BETWEEN 1 AND 20 THEN 'topK' END, CASE WHEN NOT p_partkey % 70 BETWEEN 1 AND 60 THEN 'rebalEvery' END,
   CASE WHEN NOT p_size BETWEEN 5 AND 400 THEN 'lookback' END, CASE WHEN p_partkey % 9 = 0 THEN 'side' END) AS faults FROM part"""
 QUERIES["str_sleeve_hash"] = lambda spark, d: sleeves(spark, d).select("id", lifecycle.digest(F.lit("xs"), F.col("symbol"), F.col("lookback"), F.col("side")).alias("hash"))
-SQL["str_sleeve_hash"] = """SELECT p_partkey AS id, substr(sha256('["xs","' || p_brand || '","' || p_size || '","' || CASE WHEN p_partkey % 9 <> 0 THEN 'long-flat' ELSE 'null' END || '"]'), 1, 24) AS hash FROM part"""
+SQL["str_sleeve_hash"] = """SELECT p_partkey AS id, substr(sha256('["xs","' || p_brand || '","' || p_size || '",' || CASE WHEN p_partkey % 9 <> 0 THEN '"long-flat"' ELSE 'null' END || ']'), 1, 24) AS hash FROM part"""
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:

@@ -526,8 +526,12 @@ SQL["prt_gate_a"] = f"""WITH {STREAMS}, al AS (SELECT id, {_sharpe_sql("ret")} A
 SELECT id, round(sharpe, 6) + 0.0 AS sharpe, lo, p5, coalesce(lo > 0 AND p5 >= 0, false) AS passes FROM al LEFT JOIN bi USING (id)"""
 QUERIES["prt_gate_b"] = lambda spark, d: portfolio.admitted(portfolio.marginal_ratio(streams(spark, d), "5-LOW", 365)).select(r("marginal").alias("marginal"), r("max_corr").alias("max_corr"), "admits", "reason")
 SQL["prt_gate_b"] = f"SELECT marginal, max_corr, coalesce(max_corr, 0) < 0.6 AND marginal >= 0.05 AS admits, CASE WHEN coalesce(max_corr, 0) >= 0.6 THEN 'near-duplicate' WHEN marginal >= 0.05 THEN 'lifts the book' ELSE 'not accretive' END AS reason FROM ({SQL['prt_marginal']})"
-QUERIES["prt_gate_c"] = lambda spark, d: portfolio.book_gate(streams(spark, d), 365, scheme="equal").select(*[r(c).alias(c) for c in ("sharpe", "p5", "mean_abs_corr")], "passes")
-SQL["prt_gate_c"] = f"""WITH bo AS (WITH {STREAMS}, {SHARED} SELECT ts, avg(ret) AS ret FROM sh GROUP BY ts), ma AS ({SQL["agg_mean_abs_correlation"]}),
+QUERIES["prt_gate_c"] = lambda spark, d: portfolio.book_gate(streams(spark, d), 365).select("members", *[r(c, 4).alias(c) for c in ("sharpe", "p5", "mean_abs_corr", "diversification")], "reasons", "passes")
+_ERC = SQL["prt_book_erc"].replace("round(x / sum(x) OVER (), 6) AS weight, round(risk / sum(risk) OVER (), 6) AS risk", "x / sum(x) OVER () AS weight, 0 AS risk").replace("round(1 / (count(*) OVER ())::DOUBLE, 6)", "1 / (count(*) OVER ())::DOUBLE")
+SQL["prt_gate_c"] = f"""WITH wt AS ({_ERC}), bo AS (WITH {STREAMS}, {SHARED} SELECT ts, sum(weight * ret) AS ret FROM sh JOIN wt USING (id) GROUP BY ts), ma AS ({SQL["agg_mean_abs_correlation"]}),
 lo AS (SELECT max(p5) AS p5 FROM ({SQL["rsm_bootstrap_interval"].replace("WITH " + STREAMS, "WITH streams AS (SELECT 'book' AS id, ts, ret FROM bo)", 1)})),
-st AS (SELECT CASE WHEN stddev_pop(ret) > 1e-15 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END AS sharpe FROM bo)
-SELECT round(sharpe, 6) + 0.0 AS sharpe, coalesce(p5, -9) AS p5, coalesce(mean_abs_corr, 0) AS mean_abs_corr, sharpe >= 1 AND coalesce(p5, -9) >= 1 AND coalesce(mean_abs_corr, 0) <= 0.5 AS passes FROM st, lo, ma"""
+di AS (WITH {STREAMS}, {SHARED} SELECT sum(weight * sd) / (SELECT CASE WHEN stddev_pop(ret) > 0 THEN stddev_pop(ret) END FROM bo) AS diversification, count(*) AS members FROM (SELECT id, stddev_pop(ret) AS sd FROM sh GROUP BY id) JOIN wt USING (id)),
+st AS (SELECT CASE WHEN stddev_pop(ret) > 1e-15 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END AS sharpe FROM bo),
+al AS (SELECT members, sharpe, coalesce(p5, -9) AS p5, coalesce(mean_abs_corr, 0) AS mean_abs_corr, coalesce(diversification, 1) AS diversification FROM st, lo, ma, di)
+SELECT members, round(sharpe, 4) + 0.0 AS sharpe, round(p5, 4) + 0.0 AS p5, round(mean_abs_corr, 4) AS mean_abs_corr, round(diversification, 4) AS diversification,
+  array_to_string(list_filter([CASE WHEN NOT sharpe >= 1 THEN 'sharpe' END, CASE WHEN NOT p5 >= 1 THEN 'p5' END, CASE WHEN NOT mean_abs_corr <= 0.5 THEN 'mean_abs_corr' END], lambda x: x IS NOT NULL), '; ') AS reasons, sharpe >= 1 AND p5 >= 1 AND mean_abs_corr <= 0.5 AS passes FROM al"""

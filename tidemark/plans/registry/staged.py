@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import gauntlet
+from tidemark.plans import batches, book, gauntlet
+from tidemark.plans.registry.alignment import streams
 from tidemark.plans.registry.base import BARS_1D, over, r
 from tidemark.plans.registry.returns import CLOSE, COST, DRAW, RETURNS_SQL, _sharpe_sql, const, two
 from tidemark.session import shared_folder
 from tidemark.sources import panels
+from tidemark.sources.versioned import Versioned
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +122,44 @@ p AS (SELECT *, CAST(last_value(e IGNORE NULLS) OVER (PARTITION BY symbol ORDER
 {RETURNS_SQL}, sh AS (SELECT split_part(x.symbol, '|', 1) AS symbol, CAST(split_part(x.symbol, '|', 2) AS INTEGER) AS config, {_sharpe_sql("ret")} AS s FROM x GROUP BY x.symbol),
 me AS (SELECT symbol, max(s) FILTER (WHERE config = 0) AS base, avg(s) FILTER (WHERE config > 0) AS mean FROM sh GROUP BY symbol)
 SELECT symbol, round(base, 6) + 0.0 AS base, round(mean, 6) + 0.0 AS mean, base > 0 AND mean > 0.6 * base AS survives FROM me"""
+
+
+def admission(spark: SparkSession, d: str) -> DataFrame:
+    """Streams offered to a new book one after the other."""
+    own = streams(spark, d)
+    order = [r["id"] for r in own.select("id").distinct().orderBy("id").collect()]
+    store = Versioned(spark, f"{shared_folder(spark)}/book-{uuid.uuid4().hex}")
+    return book.admit(spark, own, order, store).select("id", "admitted", "forward_only", "reason", *[r(c, 5).alias(c) for c in ("marginal", "max_corr", "book_sharpe")], "members")
+
+
+QUERIES["pip_admission"] = admission
+
+
+def parts_as_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document for every part: one of three kernels over its size; some are no documents, some have no hypothesis."""
+    op = F.element_at(F.array(*map(F.lit, ("sma", "highest", "median"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    kernel = lambda: F.struct(op.alias("op"), F.struct(F.lit("price").alias("op"), F.lit("close").alias("field")).alias("src"), F.struct(F.lit("const").alias("op"), F.col("p_size").cast("double").alias("value")).alias("period"))
+    close = lambda: F.struct(F.lit("price").alias("op"), F.lit("close").alias("field"))
+    risk = F.struct(F.lit(0.5).alias("volTargetAnnual"), F.lit(1.0).alias("maxLeverage"))
+    why = F.when(F.col("p_partkey") % 11 == 0, "none").otherwise("closes against their past")
+    doc = F.to_json(F.struct(F.struct(F.lit("gt").alias("op"), close().alias("a"), kernel().alias("b")).alias("longEntry"), F.struct(F.lit("lt").alias("op"), close().alias("a"), kernel().alias("b")).alias("longExit"), risk.alias("risk"), why.alias("hypothesis")))
+    doc = F.when(F.col("p_partkey") % 13 != 0, doc).otherwise("no document")
+    return panels.table(spark, d, "part").select(F.concat(F.lit("lane"), F.col("p_partkey") % 2).alias("lane"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("name"), doc.alias("document"), "p_partkey")
+
+
+def batch(spark: SparkSession, d: str) -> DataFrame:
+    """Three parts in four as a batch, against a table in which the others of up to 40 are registered."""
+    every = parts_as_documents(spark, d)
+    old = batches.screened(every.where("p_partkey % 4 = 0").drop("p_partkey"), spark.createDataFrame([], batches.REGISTERED), 30).where("reason is null").withColumn("batch", F.lit("old"))
+    out = batches.screened(every.where("p_partkey % 4 <> 0").drop("p_partkey"), old, 40)
+    return out.select("lane", "name", F.regexp_extract("reason", "^(no hypothesis|not a document|registered|twice in the batch|family is full)", 1).alias("reason"))
+
+
+QUERIES["gen_batch"] = batch
+_SCREEN = """SELECT *, CASE WHEN key IS NULL THEN CASE WHEN k % 13 = 0 THEN 'not a document' ELSE 'no hypothesis' END WHEN known THEN 'registered' WHEN again > 1 THEN 'twice in the batch' WHEN place > {cap} THEN 'family is full' END AS reason
+  FROM (SELECT *, taken + sum(CASE WHEN key IS NOT NULL AND NOT known AND again = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY family ORDER BY lane, name ROWS UNBOUNDED PRECEDING) AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lane, name) AS again FROM {rows}))"""
+SQL["gen_batch"] = f"""WITH al AS (SELECT 'lane' || (p_partkey % 2) AS lane, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS name, p_partkey AS k, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 THEN (p_partkey % 3) || '|' || p_size END AS key, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 THEN p_partkey % 3 END AS family FROM part),
+o0 AS (SELECT *, false AS known, 0 AS taken FROM al WHERE k % 4 = 0), old AS (SELECT * FROM ({_SCREEN.format(cap=30, rows="o0")}) WHERE reason IS NULL),
+n0 AS (SELECT al.*, coalesce(al.key IN (SELECT key FROM old), false) AS known, coalesce((SELECT count(*) FROM old WHERE old.family = al.family), 0) AS taken FROM al WHERE k % 4 <> 0)
+SELECT lane, name, reason FROM ({_SCREEN.format(cap=40, rows="n0")})"""
