@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -29,6 +30,25 @@ def duck(sf_dir):
     return con
 
 
+#: Queries that SQL can't state, or not on whole tables in time, and the test that holds the whole result against a plain computation.
+NAMED = {
+    "rec_state_machine": "test_whole_jobs.py::test_positions_of_the_state_machine_by_plain_loops",
+    "slv_blend": "test_forward.py::test_blend_steps_hold_the_weights_of_the_batch",
+    "rsm_monte_carlo": "test_whole_jobs.py::test_monte_carlo_has_5000_paths",
+    "stm_forward_blend": "test_forward.py::test_blend_steps_hold_the_weights_of_the_batch",
+    "stm_forward_coins": "test_forward.py::test_core_of_coins_by_plain_loops",
+    "vld_gauntlet_whole": "test_gauntlet.py::test_stages_are_kept_and_later_ones_read_survivors_only",
+    "pip_admission": "test_versions_and_batches.py::test_admission_in_order_as_by_plain_arithmetic",
+}
+
+
+def test_every_query_has_sql_or_a_test_of_its_own():
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == set(NAMED)
+    for where in NAMED.values():
+        file, name = where.split("::")
+        assert f"def {name}(" in (Path(__file__).parent / file).read_text()
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, sf_dir, duck, name):
     got = queries.QUERIES[name](spark, sf_dir).toPandas()

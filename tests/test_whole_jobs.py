@@ -167,3 +167,44 @@ def test_permuted_markets_keep_returns_and_shapes(spark):
         assert source == order
         seen.add(tuple(order))
     assert len(seen) > 10
+
+
+def test_positions_of_the_state_machine_by_plain_loops(spark, sf_dir):
+    from tidemark.plans import expr
+    from tidemark.sources import panels
+
+    risk = registry.FULL_DOC["risk"]
+    signals = expr.signals(panels.bars_1d(spark, sf_dir), registry.FULL_DOC).toPandas()
+    got = {(r["symbol"], r["day"]): (r["dir"], r["w"]) for r in queries.QUERIES["rec_state_machine"](spark, sf_dir).collect()}
+    traded = 0
+    for symbol, own in signals.sort_values("ts").groupby("symbol"):
+        side, level, best, entry, armed, var, was = 0, None, 0.0, 0.0, False, None, None
+        for n, (ts, c, atr, enter, leave, short, cover) in enumerate(own[["ts", "c", "atr14", "longEntry", "longExit", "shortEntry", "shortExit"]].itertuples(index=False)):
+            atr = None if atr is None or np.isnan(atr) else atr
+            weight = 0.0
+            if n:
+                r = c / was - 1
+                var = r * r if var is None else 0.94 * var + 0.06 * r * r
+                out = False
+                if side:
+                    out = level is not None and (c <= level if side == 1 else c >= level)
+                    best = max(best, c) if side == 1 else min(best, c)
+                    if risk.get("trailActivate") and risk.get("trailOffset"):
+                        gain, back = (c / entry - 1, best / c - 1) if side == 1 else (entry / c - 1, c / best - 1)
+                        armed = armed or gain >= risk["trailActivate"]
+                        out = out or (armed and back >= risk["trailOffset"])
+                    if risk.get("trailAtrMult") and atr is not None:
+                        moved = best - side * risk["trailAtrMult"] * atr
+                        level = moved if level is None else max(level, moved) if side == 1 else min(level, moved)
+                held = 0 if side and (out or (leave if side == 1 else cover)) else side
+                new = held or (1 if enter else -1 if short else 0)
+                if new != side and new:
+                    entry = best = c
+                    armed, level = False, c - new * risk["stopAtrMult"] * atr if risk.get("stopAtrMult") and atr is not None else None
+                    traded += 1
+                side = new
+                if side:
+                    weight = side * min(risk["maxLeverage"], (risk["volTargetAnnual"] ** 2 / 365 / var) ** 0.5 if var > 1e-12 else 1.0)
+            was = c
+            assert got[symbol, f"{ts:%Y-%m-%d}"] == (side, pytest.approx(weight, abs=1e-6))
+    assert traded > 10
