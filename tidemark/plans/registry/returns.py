@@ -478,8 +478,8 @@ k AS (SELECT candidate, avg(CASE WHEN CASE WHEN base > 1e-9 THEN sharpe >= 0.7 *
 SELECT candidate, round(0.6 * near + 0.4 * greatest(0, 1 - rms / greatest(0.25, abs(base))), 6) AS stability FROM k"""
 
 
-def _z_past(n: int) -> str:
-    return f"CASE WHEN count(v) OVER {over(n, 1)} >= 20 THEN (v - avg(v) OVER {over(n, 1)}) / greatest(stddev_pop(v) OVER {over(n, 1)}, 1e-6) ELSE 0 END"
+def _z_past(n: int, x: str = "v") -> str:
+    return f"CASE WHEN count({x}) OVER {over(n, 1)} >= 20 THEN ({x} - avg({x}) OVER {over(n, 1)}) / greatest(stddev_pop({x}) OVER {over(n, 1)}, 1e-6) ELSE 0 END"
 
 
 ZS, EDGES, LENGTHS = (60, 120, 250), (0.0, 0.5, 1.0), (100, 150, 200, 250)
@@ -488,6 +488,9 @@ WALKS: dict[str, tuple[Callable, dict[int, tuple[str, int]], int, int, int, floa
     "wfd_trend": (lambda k: F.col("c") > w.sma(F.col("c"), LENGTHS[k]), {k: (f"c > {_avg(n)}", n + 1) for k, n in enumerate(LENGTHS)}, 540, 90, 5, None),
     "wfd_timing": (lambda k: w.past_zscore(F.col("v"), ZS[k // 3]) > EDGES[k % 3], {k: (f"{_z_past(ZS[k // 3])} > {EDGES[k % 3]}", ZS[k // 3] + 2) for k in range(9)}, 360, 120, 20, 0.4),
     "wfd_implied": (lambda k: w.past_zscore(F.col("v"), ZS[k // 3]) < -EDGES[k % 3], {k: (f"{_z_past(ZS[k // 3])} < -{EDGES[k % 3]}", max(ZS[k // 3] + 1, 22)) for k in range(9)}, 360, 120, 25, 0.4),
+    "wfd_implied_high": (lambda k: w.past_zscore(F.col("v"), ZS[k // 3]) > EDGES[k % 3], {k: (f"{_z_past(ZS[k // 3])} > {EDGES[k % 3]}", max(ZS[k // 3] + 1, 22)) for k in range(9)}, 360, 120, 25, 0.4),
+    "wfd_implied_gap_low": (lambda k: w.past_zscore(F.col("gap"), ZS[k // 3]) < -EDGES[k % 3], {k: (f"{_z_past(ZS[k // 3], 'gap')} < -{EDGES[k % 3]}", max(ZS[k // 3] + 1, 22)) for k in range(9)}, 360, 120, 25, 0.4),
+    "wfd_implied_gap_high": (lambda k: w.past_zscore(F.col("gap"), ZS[k // 3]) > EDGES[k % 3], {k: (f"{_z_past(ZS[k // 3], 'gap')} > {EDGES[k % 3]}", max(ZS[k // 3] + 1, 22)) for k in range(9)}, 360, 120, 25, 0.4),
 }
 
 
@@ -495,6 +498,8 @@ def walked(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame
     want, grid, train, step, purge, target = WALKS[name]
     # daily returns of the orders' bars are far above a market's: prices are drawn together
     daily = panels.bars_1d(spark, d).withColumn("c", F.exp(F.ln("c") / 50))
+    if "gap" in name:  # the index less realised volatility
+        daily = daily.withColumn("_r", F.col("c") / F.lag("c").over(w.order()) - 1).withColumn("gap", F.col("v") - F.coalesce(w.realised_vol(F.col("_r"), 20), F.lit(0.0))).drop("_r")
     return portfolio.sleeve_walk_forward(daily, {k: (want(k), warm) for k, (_, warm) in grid.items()}, train, step, purge, target=target, most=3.0)
 
 
@@ -502,8 +507,9 @@ def _walk_sql(name: str) -> str:
     _, grid, train, step, purge, target = WALKS[name]
     lev = "1.0" if target is None else f"CASE WHEN coalesce(stddev_pop(q) FILTER (WHERE live), 0) * sqrt(365) > 1e-9 THEN least(3.0, {target} / (stddev_pop(q) FILTER (WHERE live) * sqrt(365))) ELSE 1 END"
     runs = " UNION ALL ".join(f"SELECT symbol, ts, i, r, {k} AS config, {warm} AS warm, coalesce(CAST(lag(w{k}) OVER s AS DOUBLE), 0) AS one, coalesce(CAST(lag(w{k}, 2) OVER s AS DOUBLE), 0) AS two FROM b1 WINDOW s AS (PARTITION BY symbol ORDER BY ts)" for k, (_, warm) in grid.items())
-    return f"""{BARS_1D}, b0 AS (SELECT symbol, ts, i, v, exp(ln(c) / 50) AS c FROM bars_1d),
-b1 AS (SELECT symbol, ts, i, coalesce(c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0) AS r, {", ".join(f"coalesce({x}, false) AS w{k}" for k, (x, _) in grid.items())} FROM b0), ru AS ({runs}),
+    return f"""{BARS_1D}, bq AS (SELECT symbol, ts, i, v, exp(ln(c) / 50) AS c FROM bars_1d), br AS (SELECT *, c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS q FROM bq),
+b0 AS (SELECT * EXCLUDE (q), v - CASE WHEN count(q) OVER {over(21)} > 5 THEN stddev_pop(q) OVER {over(21)} * sqrt(365) * 100 ELSE 0 END AS gap FROM br),
+b1 AS (SELECT symbol, ts, i, gap, coalesce(c / lag(c) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0) AS r, {", ".join(f"coalesce({x}, false) AS w{k}" for k, (x, _) in grid.items())} FROM b0), ru AS ({runs}),
 st AS (SELECT symbol, ts0 + INTERVAL {train} DAY + INTERVAL {step} DAY * k AS t, k FROM (SELECT symbol, min(ts) AS ts0, max(ts) AS ts1, unnest(range(200)) AS k FROM b0 GROUP BY symbol) WHERE ts0 + INTERVAL {train} DAY + INTERVAL {step} DAY * k <= ts1),
 bo AS (SELECT symbol, k, min(i) AS a, min(i) FILTER (WHERE ts >= t) AS s, max(i) AS e FROM b1 JOIN st USING (symbol) WHERE ts >= t - INTERVAL {train} DAY AND ts < t + INTERVAL {step} DAY GROUP BY ALL HAVING max(i) > min(i) FILTER (WHERE ts >= t) + 5 AND min(i) FILTER (WHERE ts >= t) - 1 - {purge} - min(i) >= 120),
 o0 AS (SELECT *, CASE WHEN i - 1 >= greatest(warm, a) THEN one ELSE 0 END AS held, CASE WHEN i - 2 >= greatest(warm, a) THEN two ELSE 0 END AS was, i > greatest(warm, a) AS live FROM ru JOIN bo USING (symbol) WHERE i BETWEEN a AND e),
