@@ -39,6 +39,8 @@ from .common import cut
 SAMPLE, BRANCHES, LEAF, LEAVES, CHUNK = 1_600_000, 8, 200, 4096, 8192
 #: Rows of a leaf that gets a tree of its own, and rows that meet a copy of it at once.
 SPLIT, MEET = 8 * LEAF, 16_384
+#: Pairs that are scored at once.
+PAIRS = 1 << 15
 TRIALS, RECALL, SEED = 96, 0.97, 11
 
 
@@ -154,18 +156,37 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def nearest(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, whose own row has the number own, its place, and places in x and scores of its k nearest rows, by smaller id."""
-    units = unit(x)
+def near_pairs(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of rows of x, with their scores: for each query its k nearest rows, by smaller id.
+
+    own: the numbers of the queries' own rows, which don't count. Found by one product for some queries at a time, scored
+    again pair by pair, `PAIRS` at a time, since many rows can tie.
+    """
+    units, lengths = unit(x), np.sqrt((x * x).sum(axis=1))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), 256):
-        near = unit(queries[at : at + 256]) @ units.T
+        q = queries[at : at + 256]
+        near = unit(q) @ units.T
         near[own[at : at + 256, None] == uids[None, :]] = -np.inf
         bound = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
-        for i in range(len(near)):
-            found = np.flatnonzero(near[i] >= max(bound[i] - 1e-9, -2.0))
-            exact = scores(queries[at + i], x[found])
-            order = np.lexsort((uids[found], ids[found], -exact))[:k]
-            yield at + i, found[order], exact[order]
+        i, j = np.nonzero(near >= np.maximum(bound - 1e-9, -2.0)[:, None])
+        own_lengths, score = np.sqrt((q * q).sum(axis=1)), np.empty(len(i))
+        for a in range(0, len(i), PAIRS):
+            u, v = i[a : a + PAIRS], j[a : a + PAIRS]
+            score[a : a + PAIRS] = (x[v] * q[u]).sum(axis=1) / (lengths[v] * own_lengths[u])
+        kept = first_of_each(i, score, ids[j], uids[j], k)
+        found.append((i[kept] + at, j[kept], score[kept]))
+    i, j, s = (np.concatenate([f[c] for f in found]) for c in range(3)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    return i, j, s
+
+
+def first_of_each(query: np.ndarray, score: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query, by score, then by smaller id."""
+    order = np.lexsort((uids, ids, -score, query))
+    q = query[order]
+    begins = np.flatnonzero(np.diff(q, prepend=-1))
+    rank = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+    return order[rank < k]
 
 
 def usable(vector: Column) -> Column:
@@ -234,9 +255,8 @@ class Search:
         def true_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, x, uids, leaf = batch.column(0).to_numpy(), vectors(batch.column(1)), batch.column(3).to_numpy(), batch.column(4).to_numpy()
-                found = [(t, s, int(ids[p]), int(uids[p]), int(leaf[p])) for t, places, near in nearest(trials, own, x, ids, uids, k) for p, s in zip(places, near.tolist(), strict=True)]
-                columns = list(zip(*found, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["t", "score", "id", "uid", "leaf"])
+                t, row, score = near_pairs(trials, own, x, ids, uids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(score), pa.array(ids[row]), pa.array(uids[row]), pa.array(leaf[row])], ["t", "score", "id", "uid", "leaf"])
 
         best = Window.partitionBy("t").orderBy(F.desc("score"), "id", "uid")
         found = index.mapInArrow(true_ones, "t int, score double, id long, uid long, leaf long").withColumn("r", F.row_number().over(best))
@@ -322,26 +342,24 @@ class Search:
         vectors, k = self.vectors, self.k
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            best: dict[int, list[tuple[float, int, int]]] = {}
-            if left.num_rows and right.num_rows:
-                ids, uids, leaf, x = left.column("id").to_numpy(), left.column("uid").to_numpy(), left.column("leaf").to_numpy(), vectors(left.column("x"))
-                asked_uids, asked = right.column("uid").to_numpy(), vectors(right.column("x"))
-                by_leaf: dict[int, list[int]] = {}
-                for i, leaves in enumerate(right.column("leaves").to_pylist()):
-                    for v in leaves:
-                        by_leaf.setdefault(v, []).append(i)
-                for v, own in by_leaf.items():
-                    rows = np.flatnonzero(leaf == v)
+            empty = np.zeros(0, dtype=np.int64)
+            found = [(empty, empty, np.zeros(0))]
+            ids, uids, leaf, x = left.column("id").to_numpy(), left.column("uid").to_numpy(), left.column("leaf").to_numpy(), vectors(left.column("x"))
+            asked_uids, asked = right.column("uid").to_numpy(), vectors(right.column("x"))
+            if len(ids) and len(asked):
+                visits = right.column("leaves").combine_chunks()
+                who, where = np.repeat(np.arange(len(asked)), np.diff(visits.offsets.to_numpy())), visits.values.to_numpy()
+                order, row_order = np.argsort(where, kind="stable"), np.argsort(leaf, kind="stable")
+                for v in np.unique(where):
+                    own = who[order[slice(*np.searchsorted(where[order], (v, v + 1)))]]
+                    rows = row_order[slice(*np.searchsorted(leaf[row_order], (v, v + 1)))]
                     if len(rows):
-                        for q, places, s in nearest(asked[own], asked_uids[own], x[rows], ids[rows], uids[rows], k):
-                            found = best.setdefault(own[q], [])
-                            found += zip((-s).tolist(), ids[rows[places]].tolist(), uids[rows[places]].tolist(), strict=True)
-                            found.sort()
-                            del found[k:]
-            flat = [(q, -s, i, u) for q, found in best.items() for s, i, u in found]
-            columns = [np.array(c) for c in zip(*flat, strict=True)] or [np.zeros(0, dtype=np.int64)] * 4
-            at = columns[0].astype(np.int64)
-            return pa.table({"query": right.column("uid").take(at), "query_id": right.column("id").take(at), "vec_id": pa.array(columns[2], pa.int64()), "uid": pa.array(columns[3], pa.int64()), "score": pa.array(columns[1], pa.float64())})
+                        q, row, score = near_pairs(asked[own], asked_uids[own], x[rows], ids[rows], uids[rows], k)
+                        found.append((own[q], rows[row], score))
+            query, row, score = (np.concatenate([f[c] for f in found]) for c in range(3))
+            kept = first_of_each(query, score, ids[row], uids[row], k)
+            query, row, score = query[kept], row[kept], score[kept]
+            return pa.table({"query": right.column("uid").take(query), "query_id": right.column("id").take(query), "vec_id": pa.array(ids[row]), "uid": pa.array(uids[row]), "score": pa.array(score)})
 
         keys = ("parent", "g", "part")
         found = dealt.groupBy(*keys).cogroup(at.groupBy(*keys)).applyInArrow(meet, "query long, query_id long, vec_id long, uid long, score double")
