@@ -315,20 +315,20 @@ def signals(bars: DataFrame, doc: dict, params: dict[str, float] | None = None)
 
 
 def with_funding(bars: DataFrame, stamps: DataFrame, keys: DataFrame) -> DataFrame:
-    """bars with the streams made of funding stamps (ts, event_id, rate): level, changes, z and sum of the last 21."""
-    from tidemark.operators import joins
+    """bars with the streams made of funding stamps (ts, event_id, rate): level, changes, z and sum of the last 21.
 
-    each = joins.for_each_key(stamps, keys)
+    The streams are made once, along the stamps, which are one ordered series; each key then gets a copy to join as of.
+    """
     from pyspark.sql import Window
 
-    o = Window.partitionBy("symbol").orderBy("ts", "event_id")
+    from tidemark.operators import joins
+
+    o = Window.partitionBy(F.lit(1)).orderBy("ts", "event_id")
     last = o.rowsBetween(-20, 0)
-    each = each.withColumn("fundroc", F.coalesce(F.col("rate") - F.lag("rate").over(o), F.lit(0.0)))
-    each = each.withColumn("fundaccel", F.when(F.row_number().over(o) > 2, F.col("fundroc") - F.lag("fundroc").over(o)).otherwise(0.0))
+    own = stamps.withColumn("fundroc", F.coalesce(F.col("rate") - F.lag("rate").over(o), F.lit(0.0)))
+    own = own.withColumn("fundaccel", F.when(F.row_number().over(o) > 2, F.col("fundroc") - F.lag("fundroc").over(o)).otherwise(0.0))
     sd = F.stddev_pop("rate").over(last)
     z = F.when((F.count("rate").over(last) >= 10) & (sd > nulls.EPS), (F.col("rate") - F.avg("rate").over(last)) / sd).otherwise(0.0)
-    each = each.withColumns({"fundzscore": z, "fundmom": F.sum("rate").over(last), "funding": F.col("rate")})
+    own = own.withColumns({"fundzscore": z, "fundmom": F.sum("rate").over(last), "funding": F.col("rate")})
     names = ["funding", "fundroc", "fundaccel", "fundzscore", "fundmom"]
-    return joins.asof_backward(bars, each, names, ["symbol"], ["event_id"]).fillna(0.0, names)
-
-
+    return joins.asof_backward(bars, joins.for_each_key(own, keys), names, ["symbol"], ["event_id"]).fillna(0.0, names)
