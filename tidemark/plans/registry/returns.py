@@ -536,7 +536,7 @@ QUERIES["prt_gate_c"] = lambda spark, d: portfolio.book_gate(streams(spark, d),
 _ERC = SQL["prt_book_erc"].replace("round(x / sum(x) OVER (), 6) AS weight, round(risk / sum(risk) OVER (), 6) AS risk", "x / sum(x) OVER () AS weight, 0 AS risk").replace("round(1 / (count(*) OVER ())::DOUBLE, 6)", "1 / (count(*) OVER ())::DOUBLE")
 SQL["prt_gate_c"] = f"""WITH wt AS ({_ERC}), bo AS (WITH {STREAMS}, {SHARED} SELECT ts, sum(weight * ret) AS ret FROM sh JOIN wt USING (id) GROUP BY ts), ma AS ({SQL["agg_mean_abs_correlation"]}),
 lo AS (SELECT max(p5) AS p5 FROM ({SQL["rsm_bootstrap_interval"].replace("WITH " + STREAMS, "WITH streams AS (SELECT 'book' AS id, ts, ret FROM bo)", 1)})),
-di AS (WITH {STREAMS}, {SHARED} SELECT sum(weight * sd) / (SELECT CASE WHEN stddev_pop(ret) > 0 THEN stddev_pop(ret) END FROM bo) AS diversification, count(*) AS members FROM (SELECT id, stddev_pop(ret) AS sd FROM sh GROUP BY id) JOIN wt USING (id)),
+di AS (WITH {STREAMS}, {SHARED} SELECT sum(weight * sd) / (SELECT CASE WHEN stddev_pop(ret) > 0 THEN stddev_pop(ret) END FROM bo) AS diversification, (SELECT count(*) FROM wt) AS members FROM (SELECT id, stddev_pop(ret) AS sd FROM sh GROUP BY id) JOIN wt USING (id)),
 st AS (SELECT CASE WHEN stddev_pop(ret) > 1e-15 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END AS sharpe FROM bo),
 al AS (SELECT members, sharpe, coalesce(p5, -9) AS p5, coalesce(mean_abs_corr, 0) AS mean_abs_corr, coalesce(diversification, 1) AS diversification FROM st, lo, ma, di)
 SELECT members, round(sharpe, 4) + 0.0 AS sharpe, round(p5, 4) + 0.0 AS p5, round(mean_abs_corr, 4) AS mean_abs_corr, round(diversification, 4) AS diversification,
