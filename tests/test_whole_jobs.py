@@ -208,3 +208,10 @@ def test_positions_of_the_state_machine_by_plain_loops(spark, sf_dir):
             was = c
             assert got[symbol, f"{ts:%Y-%m-%d}"] == (side, pytest.approx(weight, abs=1e-6))
     assert traded > 10
+
+
+def test_equal_ratios_of_permuted_markets_count_however_they_were_summed(spark):
+    seen = -0.4616949407769154
+    sharpes = spark.createDataFrame([("a", k, x) for k, x in enumerate([seen, float(np.nextafter(seen, -1)), float(np.nextafter(seen, 1)), seen - 1e-6])], "symbol string, perm int, sharpe double")
+    observed = spark.createDataFrame([("a", seen)], "symbol string, observed double")
+    assert statistics.permutation_p(sharpes, observed).first()["p"] == pytest.approx(4 / 5)

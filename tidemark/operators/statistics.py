@@ -135,9 +135,13 @@ def permuted_markets(bars: DataFrame, reps: int, seed: int = 1337, by: tuple[str
 
 
 def permutation_p(sharpes: DataFrame, observed: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """(better + 1) / (n + 1) of permuted ratios (by, perm, sharpe) against observed ones (by, observed)."""
+    """(better + 1) / (n + 1) of permuted ratios (by, perm, sharpe) against observed ones (by, observed).
+
+    Equal ratios count as better: accounts lost on the first bar held have the same returns in another order, whose sums
+    differ in the last digit by how Spark merges them.
+    """
     own = sharpes.join(observed, list(by))
-    return own.groupBy(*by).agg(((F.count_if(F.col("sharpe") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"))
+    return own.groupBy(*by).agg(((F.count_if(F.col("sharpe") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def _observed(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
