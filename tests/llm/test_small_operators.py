@@ -537,6 +537,60 @@ def test_scores_of_long_unseen_words_have_no_floor(spark):
     assert a_char > 0.5 and (got[5000] - got[10000]) / 5000 == pytest.approx(a_char, rel=1e-3)
 
 
+def test_expected_pieces_by_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "<0xC3>", "<0xA9>"]
+    w = np.random.default_rng(2).uniform(0.01, 0.3, 8)
+    lattice = lattice_lm.Lattice(pieces, np.log(w))
+
+    def ways(text):
+        return [(i, *rest) for i, p in enumerate(pieces[:6]) if text.startswith(p) for rest in ways(text[len(p) :])] if text else [()]
+
+    words, want = ["a", "ab", "aab", "abab"], np.zeros(8)
+    for word in words:
+        own = ways("▁" + word)
+        chances = np.array([np.prod(w[list(x)]) for x in own])
+        for x, share in zip(own, chances / chances.sum(), strict=True):
+            np.add.at(want, list(x), share)
+    assert lattice.expectations(words) == pytest.approx(want)
+    alone = np.zeros(8)
+    for word in words:
+        lattice.expected("▁" + word, alone)
+    assert alone == pytest.approx(want)
+    assert lattice.expectations(["é"]).tolist() == pytest.approx([1, 0, 0, 0, 0, 0, 1, 1])  # a character without a piece
+    thin = lattice.having(np.full(8, -30.0))  # 30 pieces have a chance of e to the -900, which no double holds
+    assert np.isfinite(thin.expectations(["ba" * 15])).all() and thin.expectations(["bb" * 15])[3] == pytest.approx(30)
+
+
+def test_fitted_scores_of_held_out_texts_come_near_the_base_score(spark):
+    """The query's score, on texts of syllables: it learns pieces, words and what a text repeats."""
+    rng = np.random.default_rng(5)
+    syllables = ["th", "re", "on", "and", "tion", "er", "st", "wh"]
+    common_words = ["".join(rng.choice(syllables, 3)) for _ in range(150)]
+    word = lambda: "".join(rng.choice(syllables, 4)) if rng.random() < 0.1 else common_words[min(149, int(rng.exponential(30)))]
+    rows = [(k, " ".join(word() for _ in range(60)), k % 7 != 2) for k in range(300)]
+    rows += [(900, "héé 日本 " + "zq" * 400 + " zq" * 3, False), (901, None, False), (902, ("zq" * 400 + " ") * 5, False)]
+    got = {r["doc_id"]: r for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string, learnt boolean"), F.col("learnt"), tokenizer_path("piece_bpe_32k.model")).collect()}
+    assert len(got) == len(rows) and all(np.isfinite(r["adapted_score"]) and r["adapted_score"] < 0 for r in got.values())
+    held = [got[k] for k in range(2, 300, 7)]
+    mean = lambda c: sum(r[c] for r in held) / sum(r["n_tokens"] for r in held)
+    assert mean("adapted_score") > 1.15 * mean("base_score") > mean("score")
+    # a long word said again costs no more than one of the text's own words
+    assert got[902]["adapted_score"] > 1.1 * (got[900]["adapted_score"])
+
+
+def test_a_text_with_repeats_by_plain_arithmetic(spark, monkeypatch):
+    """Words have the chances that texts of one word have; earlier words of the text add their share, rare or sent to tasks."""
+    words = "cat zyx cat zyx zyx".split()
+    docs = spark.createDataFrame([(1, "the cat sat", True), (2, " ".join(words), False), (3, "cat", False), (4, "zyx", False)], "doc_id long, text string, learnt boolean")
+    end, go_on = np.log10(1.5 / 5), np.log10(1 - 1.5 / 5)
+    for most in (0, 300_000):
+        monkeypatch.setattr(lattice_lm, "HOT", most)
+        got = {r["doc_id"]: r["adapted_score"] for r in lattice_lm.score(docs, F.col("learnt"), tokenizer_path("piece_bpe_32k.model")).collect()}
+        chance = {"cat": 10 ** (got[3] - end - go_on), "zyx": 10 ** (got[4] - end - go_on)}
+        want = end + sum(go_on + np.log10((1 - 0.2 * i / (i + 20)) * chance[w] + 0.2 * words[:i].count(w) / (i + 20)) for i, w in enumerate(words))
+        assert got[2] == pytest.approx(want, abs=1e-9)
+
+
 # ------------------------------------------------------------------ media
 def test_media_round_trip(odd, none):
     out = media.read_back(media.with_media(odd)).collect()

@@ -94,10 +94,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's probability by the lattice, and by counts of whole words."""
+    """Every document's probability by the lattice fitted to the training documents, by the vocabulary's own, and by counts of whole words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lattice_lm.score(docs, remainder(F.col("doc_id"), 7) != 2, tokenizer_path("piece_bpe_32k.model"))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "adapted_score")
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", F.col("adapted_score").alias("score"), F.col("score").alias("vocabulary_score"))
 
 
 def op11_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
