@@ -476,6 +476,40 @@ def test_words_are_encoded_as_in_texts():
         assert np.frombuffer(ids[w.encode()], dtype="<u4").tolist() == ids.tokenizer.encode(w, add_special_tokens=False).ids
 
 
+def test_words_that_are_no_utf8_or_hold_white_space_have_the_ids_of_the_whole_way():
+    words = [b"caf\xc3\xa9,", "É\u3000é".encode(), "q\u0300".encode(), "\u0300x".encode(), b"ab\xff!", b"\xed\xa0\x80x", "ΣΑΣ.".encode(), b"plain"]
+    for own in (words, words[:1] + words[2:4] + words[6:]):
+        ids = packing.Ids(tokenizer_path("word_bpe_49k.json"))
+        ids.learn(set(own))
+        for w in own:
+            assert np.frombuffer(ids[w], dtype="<u4").tolist() == ids.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
+def test_bins_are_taken_back_and_filled_anew(monkeypatch):
+    """Pieces that the least waste bin by bin packs into 6 bins, and 19 of which the search finds 5 and 18."""
+    few = [10, 29, 39, 22, 42, 12, 11, 30, 8, 5, 31, 35, 25]
+    many = {37: 1, 38: 1, 54: 2, 55: 1, 23: 3, 31: 5, 35: 1, 51: 1, 30: 1, 29: 5, 65: 1, 64: 1, 49: 1, 63: 1, 45: 2, 61: 2, 20: 1, 68: 1, 60: 1, 39: 1, 32: 1, 28: 1, 53: 1, 33: 1, 44: 2, 69: 1, 26: 1, 47: 1, 21: 1}
+    for items, cap, want in ((Counter(few), 60, 5), (Counter(many), 100, 18)):
+        bins = packing.fillings(dict(items), cap)
+        assert sum(t for _, t in bins) == want == packing.lower_bound(items, cap)
+        used = Counter()
+        for own, times in bins:
+            assert sum(own) <= cap
+            used.update({n: times * u for n, u in Counter(own).items()})
+        assert used == items
+    assert len(packing.fewest(few, 60)) == 5
+    monkeypatch.setattr(packing, "BRANCHES", 0)
+    assert sum(t for _, t in packing.fillings(Counter(few), 60)) == 6
+
+
+def test_completions_come_by_waste_and_none_is_dominated():
+    left = {2: 2, 3: 1, 5: 2, 9: 1}
+    found = list(packing.completions(left, sorted(left), 10))
+    sums = [sum(f) for f in found]
+    assert found[0] == (5, 5) and sums == sorted(sums, reverse=True) and len(set(found)) == len(found)
+    assert not any(packing.dominates(a, b) for i, a in enumerate(found) for b in found[i + 1 :])
+
+
 # ------------------------------------------------------------------ scoring
 def test_lattice_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "<0xC3>", "<0xA9>"]

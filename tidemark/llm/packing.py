@@ -4,9 +4,11 @@ Lengths are whole numbers up to the capacity, so that a histogram of them, at mo
 search needs, however many pieces there are. The driver fills bins around the largest length left. Best fit's filling is
 the incumbent; where it wastes something, branches by the largest lengths first are pruned by an exact bound, the sums
 that the smaller lengths can still make, so that the filling found has the least waste of all and the largest lengths
-among those. It is used as often as its scarcest length allows, so that one search fills many bins. The last few pieces
-are packed by a search through all their bins: branches are the fillings that no other one dominates, pruned where even the
-lower bound of what is left can't beat the incumbent. lower_bound() tells how far a packing can be from the best one.
+among those. It is used as often as its scarcest length allows, so that one search fills many bins. The packing so made is
+the incumbent of a search over all bins, which ends where the lower bound of the whole proves it the best there is.
+Otherwise bins are taken back from the last on, one of a run of equal ones after the other, and filled by the next filling
+that no other one dominates; a branch is pruned where even the lower bound of what is left can't beat the incumbent. The last
+few pieces of every branch get the fewest bins there can be for them.
 Pieces then find their places by length and rank: a join, not a loop.
 
 Nulls and odd rows: a null text is empty and is its end mark alone; every row is packed, also with null or repeated ids;
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 from .common import cut, others, packed_up, unpacked
 
 CAPACITY, END_ID = 2048, 0
+#: Bins that the search fills anew before it stays with its incumbent, and pieces of a filling up to which dominance is looked for.
+BRANCHES, COMPARED = 1000, 12
 #: Pieces that are packed last, by a search through all their bins, and pieces of one length that one task ranks (of over
 #: a million, their square root).
 LAST, RANKED = 12, 1000
 #: Words whose ids a worker remembers: so many lately used ones, and as many before these.
 WORDS = 500_000
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 class Ids(dict):
@@ -66,6 +70,21 @@ class Ids(dict):
             text = "".join([self.alphabet[b] for b in text.encode()])
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
+    def normalized(self, texts: list[str]) -> Iterator[str]:
+        """Of words, all at once unless one holds white space or isn't UTF-8; those have no letters' normal form."""
+        try:
+            found = self.normal.normalize_str(" ".join(texts)).split(" ") if texts else []
+        except UnicodeEncodeError:
+            found = []
+        if len(found) == len(texts):
+            yield from found
+            return
+        for x in texts:
+            try:
+                yield self.normal.normalize_str(x)
+            except UnicodeEncodeError:
+                yield "0"
+
     def __missing__(self, word: bytes) -> bytes:
         self[word] = found = self.before[word]
         return found
@@ -74,23 +93,24 @@ class Ids(dict):
         if len(self) + len(words) > WORDS:
             self.before = dict(self)
             self.clear()
-        before, parts, odd = self.before, {"": b""}, []
-        for w in words:
-            if w in self or w in before:
-                continue
-            core = w.rstrip(PUNCTUATION)
-            try:
-                letters = core.decode().lower() if core.isascii() else self.normal.normalize_str(core.decode())
-            except UnicodeDecodeError:
-                letters = ""
+        new = list(words.difference(self).difference(self.before))
+        # white space parts words, so that one decoding does for all; what is no UTF-8 goes the whole way
+        texts = b"\n".join(new).decode("utf-8", "surrogateescape").split("\n") if new else []
+        cores = [x.rstrip(PUNCTUATION) for x in texts]
+        parts, odd, part, normal = {"": b""}, [], self.part, self.normalized([c for c in cores if not c.isascii()])
+        for w, x, core in zip(new, texts, cores, strict=True):
+            tail = x[len(core) :]
+            letters = core.lower() if core.isascii() else next(normal)
             if core and not letters.isalpha():
                 odd.append(w)
                 continue
-            tail = w[len(core) :].decode()
-            for x in (letters, tail):
-                if x not in parts:
-                    parts[x] = self.part(x)
-            self[w] = parts[letters] + parts[tail]
+            if (head := parts.get(letters)) is None:
+                head = parts[letters] = part(letters)
+            if tail:
+                if (end := parts.get(tail)) is None:
+                    end = parts[tail] = part(tail)
+                head += end
+            self[w] = head
         for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
             self[w] = array("I", e.ids).tobytes()
 
@@ -118,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
             ids.learn(set().union(*texts))
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(texts):
-                data = b"".join([ids[w] for w in t]) + end
+                data = b"".join(map(ids.__getitem__, t)) + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     row.append(i)
@@ -264,30 +284,95 @@ def fewest(pieces: list[int], capacity: int) -> list[tuple[int, ...]]:
     return best
 
 
+def completions(left: dict[int, int], lengths: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """The fillings of `room` by increasing waste, those with the largest lengths first, without what an earlier one dominates.
+
+    A filling of over COMPARED pieces is always a branch, since placing its pieces may take long.
+    """
+    lengths = lengths[: bisect.bisect_right(lengths, room)]
+    sums = reachable(left, lengths, room)
+    seen: list[tuple[int, ...]] = []
+
+    def exactly(k: int, need: int) -> Iterator[tuple[int, ...]]:
+        if not need:
+            yield ()
+        while k and need and sums[k] >> need & 1:
+            x = lengths[k - 1]
+            for copies in range(min(left[x], need // x), 0, -1):
+                if sums[k - 1] >> need - copies * x & 1:
+                    for rest in exactly(k - 1, need - copies * x):
+                        yield (x,) * copies + rest
+            k -= 1
+
+    for need in range(sums[-1].bit_length() - 1, -1, -1):
+        for own in exactly(len(lengths), need):
+            if len(own) > COMPARED or not any(len(other) <= COMPARED and dominates(other, own) for other in seen):
+                seen.append(own)
+                yield own
+
+
 def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a bin, number of such bins) that use up the histogram.
 
-    Bins are filled around the largest length left, each with the least waste there is; the last `LAST` pieces get the
-    fewest bins there can be for them, by a search through all bins.
+    Depth first: each bin is filled around the largest length left, with the least waste first, and the last `LAST` pieces get
+    the fewest bins there can be for them; then bins are taken back and filled otherwise, until the lower bound is met, nothing
+    is left to try or BRANCHES bins were filled anew.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
-    lengths, pieces = sorted(left), sum(left.values())
-    out: list[tuple[tuple[int, ...], int]] = []
-    while pieces > LAST:
-        top = lengths[-1]
-        left[top] -= 1
-        found = (top, *completion(left, lengths, capacity - top))
-        left[top] += 1
-        uses = Counter(found)
-        times = min(left[n] // u for n, u in uses.items())
-        out.append((found, times))
-        pieces -= times * len(found)
-        for n, u in uses.items():
+    lengths, pieces, used = sorted(left), sum(left.values()), 0
+    path: list[tuple[tuple[int, ...], int, Iterator[tuple[int, ...]] | None]] = []
+    best: list[tuple[tuple[int, ...], int]] = []
+    fewest_yet, least = pieces + 1, lower_bound(left, capacity)
+
+    def take(found: tuple[int, ...], times: int) -> None:
+        """Bins filled; taken back, if times is negative."""
+        nonlocal pieces, used
+        for n, u in Counter(found).items():
+            if n not in left:
+                left[n] = 0
+                bisect.insort(lengths, n)
             left[n] -= u * times
             if not left[n]:
                 del left[n]
                 lengths.pop(bisect.bisect_left(lengths, n))
-    return out + [(own, 1) for own in fewest(list(Counter(left).elements()), capacity)]
+        pieces -= times * len(found)
+        used += times
+
+    def dive() -> None:
+        nonlocal best, fewest_yet
+        while pieces > LAST:
+            top = lengths[-1]
+            left[top] -= 1
+            found = (top, *completion(left, lengths, capacity - top))
+            left[top] += 1
+            times = min(left[n] // u for n, u in Counter(found).items())
+            path.append((found, times, None))
+            take(found, times)
+        last = fewest(list(Counter(left).elements()), capacity)
+        if used + len(last) < fewest_yet:
+            fewest_yet, best = used + len(last), [(found, times) for found, times, _ in path] + [(own, 1) for own in last]
+
+    dive()
+    tried = 0
+    while path and fewest_yet > least and tried < BRANCHES:
+        found, times, others_left = path.pop()
+        take(found, -1)
+        if others_left is None:
+            if times > 1:  # the last of several bins alike is filled anew, the others stay
+                path.append((found, times - 1, None))
+            top, own = found[0], dict(left)
+            own[top] -= 1
+            others_left = completions(own, list(lengths), capacity - top)
+            next(others_left)  # the filling that was there
+        filling = next(others_left, None)
+        if filling is None:
+            continue
+        tried += 1
+        path.append(((found[0], *filling), 1, others_left))
+        take(path[-1][0], 1)
+        if used + lower_bound(left, capacity) < fewest_yet:
+            dive()
+    return best
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32")) -> DataFrame:
