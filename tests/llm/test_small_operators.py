@@ -502,6 +502,34 @@ def test_bins_are_taken_back_and_filled_anew(monkeypatch):
     assert sum(t for _, t in packing.fillings(Counter(few), 60)) == 6
 
 
+def test_pieces_that_many_fillings_suit_get_the_fewest_bins():
+    """400 pieces, half of them near a sixth of a bin: the first packing takes 67 bins, and a search from its last bins on stays there."""
+    rng = random.Random(30)
+    items = Counter(max(1, min(2048, int(rng.gauss(308, 6) if rng.random() < 0.5 else rng.lognormvariate(5.6, 0.6)))) for _ in range(400))
+    bins = packing.fillings(dict(items))
+    assert sum(t for _, t in bins) == packing.lower_bound(items) == 66
+    used = Counter()
+    for own, times in bins:
+        assert sum(own) <= 2048
+        used.update({n: times * u for n, u in Counter(own).items()})
+    assert used == items
+
+
+def test_a_search_ends_with_its_steps(monkeypatch):
+    """Of pieces that can't meet the lower bound: whole, no worse than the first packing, the same again."""
+    rng = random.Random(2)
+    items = Counter(rng.randint(500, 700) for _ in range(500))
+    monkeypatch.setattr(packing, "STEPS", 300_000)
+    bins = packing.fillings(dict(items))
+    assert bins == packing.fillings(dict(items)) and sum(t for _, t in bins) > packing.lower_bound(items)
+    used = Counter()
+    for own, times in bins:
+        assert sum(own) <= 2048
+        used.update({n: times * u for n, u in Counter(own).items()})
+    monkeypatch.setattr(packing, "BRANCHES", 0)
+    assert used == items and sum(t for _, t in bins) <= sum(t for _, t in packing.fillings(dict(items)))
+
+
 def test_completions_come_by_waste_and_none_is_dominated():
     left = {2: 2, 3: 1, 5: 2, 9: 1}
     found = list(packing.completions(left, sorted(left), 10))

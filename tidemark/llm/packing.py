@@ -6,9 +6,11 @@ the incumbent; where it wastes something, branches by the largest lengths first
 that the smaller lengths can still make, so that the filling found has the least waste of all and the largest lengths
 among those. It is used as often as its scarcest length allows, so that one search fills many bins. The packing so made is
 the incumbent of a search over all bins, which ends where the lower bound of the whole proves it the best there is.
-Otherwise bins are taken back from the last on, one of a run of equal ones after the other, and filled by the next filling
+Otherwise all bins are filled anew, first around the lengths that were left for bins with waste, a few times. Then bins of the
+best packing are taken back from the last on, one of a run of equal ones after the other, and filled by the next filling
 that no other one dominates; a branch is pruned where even the lower bound of what is left can't beat the incumbent. The last
-few pieces of every branch get the fewest bins there can be for them.
+few pieces of every branch get the fewest bins there can be for them. All that comes after the first packing shares a number of
+steps, counted and not timed, so that reruns agree; when they are used up, the incumbent stays.
 Pieces then find their places by length and rank: a join, not a loop.
 
 Nulls and odd rows: a null text is empty and is its end mark alone; every row is packed, also with null or repeated ids;
@@ -35,6 +37,8 @@ from .common import cut, others, packed_up, unpacked
 CAPACITY, END_ID = 2048, 0
 #: Bins that the search fills anew before it stays with its incumbent, and pieces of a filling up to which dominance is looked for.
 BRANCHES, COMPARED = 1000, 12
+#: Times that all bins are filled anew, and steps of all that comes after the first packing: lengths and fillings looked at.
+RESTARTS, STEPS = 12, 10_000_000
 #: Pieces that are packed last, by a search through all their bins, and pieces of one length that one task ranks (of over
 #: a million, their square root).
 LAST, RANKED = 12, 1000
@@ -220,10 +224,28 @@ def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
     return int((alone + pairs + more).max(initial=0))
 
 
-def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+class Spent(Exception):
+    """The steps of a search are used up."""
+
+
+class Steps:
+    """The steps that a search has left."""
+
+    def __init__(self, left: float = math.inf) -> None:
+        self.left = left
+
+    def take(self, n: int = 1) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise Spent
+
+
+def dominates(a: tuple[int, ...], b: tuple[int, ...], steps: Steps | None = None) -> bool:
     """Whether the lengths of b fit into those of a as bins, so that a in b's place never needs more bins."""
+    steps = steps or Steps()
 
     def place(rooms: list[int], rest: tuple[int, ...]) -> bool:
+        steps.take()
         if not rest:
             return True
         tried = set()
@@ -237,11 +259,13 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return place(list(a), tuple(sorted(b, reverse=True)))
 
 
-def undominated(rest: list[int], room: int) -> list[tuple[int, ...]]:
+def undominated(rest: list[int], room: int, steps: Steps | None = None) -> list[tuple[int, ...]]:
     """Fillings of `room` by some of `rest` (descending) that nothing more fits into and that no other one dominates."""
+    steps = steps or Steps()
     found: set[tuple[int, ...]] = set()
 
     def widen(at: int, space: int, own: tuple[int, ...]) -> None:
+        steps.take(len(rest) + 1)
         i = at
         while i < len(rest):
             if rest[i] <= space:
@@ -256,12 +280,12 @@ def undominated(rest: list[int], room: int) -> list[tuple[int, ...]]:
     widen(0, room, ())
     out: list[tuple[int, ...]] = []
     for own in sorted(found, key=lambda f: (-sum(f), tuple(-x for x in f))):
-        if not any(dominates(other, own) for other in out):
+        if not any(dominates(other, own, steps) for other in out):
             out.append(own)
     return out
 
 
-def fewest(pieces: list[int], capacity: int) -> list[tuple[int, ...]]:
+def fewest(pieces: list[int], capacity: int, steps: Steps | None = None) -> list[tuple[int, ...]]:
     """A packing of few pieces into as few bins as there can be: branches are undominated fillings, pruned by the bound."""
     best: list[tuple[int, ...]] = []
     rest = sorted(pieces, reverse=True)
@@ -276,7 +300,7 @@ def fewest(pieces: list[int], capacity: int) -> list[tuple[int, ...]]:
         if not rest:
             best = bins if len(bins) < len(best) else best
         elif len(bins) + lower_bound(Counter(rest), capacity) < len(best):
-            for own in undominated(rest[1:], capacity - rest[0]):
+            for own in undominated(rest[1:], capacity - rest[0], steps):
                 left = sorted((Counter(rest[1:]) - Counter(own)).elements(), reverse=True)
                 descend(left, [*bins, (rest[0], *own)])
 
@@ -284,12 +308,14 @@ def fewest(pieces: list[int], capacity: int) -> list[tuple[int, ...]]:
     return best
 
 
-def completions(left: dict[int, int], lengths: list[int], room: int) -> Iterator[tuple[int, ...]]:
+def completions(left: dict[int, int], lengths: list[int], room: int, steps: Steps | None = None) -> Iterator[tuple[int, ...]]:
     """The fillings of `room` by increasing waste, those with the largest lengths first, without what an earlier one dominates.
 
     A filling of over COMPARED pieces is always a branch, since placing its pieces may take long.
     """
+    steps = steps or Steps()
     lengths = lengths[: bisect.bisect_right(lengths, room)]
+    steps.take(len(lengths))
     sums = reachable(left, lengths, room)
     seen: list[tuple[int, ...]] = []
 
@@ -297,6 +323,7 @@ def completions(left: dict[int, int], lengths: list[int], room: int) -> Iterator
         if not need:
             yield ()
         while k and need and sums[k] >> need & 1:
+            steps.take()
             x = lengths[k - 1]
             for copies in range(min(left[x], need // x), 0, -1):
                 if sums[k - 1] >> need - copies * x & 1:
@@ -306,7 +333,7 @@ def completions(left: dict[int, int], lengths: list[int], room: int) -> Iterator
 
     for need in range(sums[-1].bit_length() - 1, -1, -1):
         for own in exactly(len(lengths), need):
-            if len(own) > COMPARED or not any(len(other) <= COMPARED and dominates(other, own) for other in seen):
+            if len(own) > COMPARED or not any(len(other) <= COMPARED and dominates(other, own, steps) for other in seen):
                 seen.append(own)
                 yield own
 
@@ -315,14 +342,19 @@ def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     """(lengths of a bin, number of such bins) that use up the histogram.
 
     Depth first: each bin is filled around the largest length left, with the least waste first, and the last `LAST` pieces get
-    the fewest bins there can be for them; then bins are taken back and filled otherwise, until the lower bound is met, nothing
-    is left to try or BRANCHES bins were filled anew.
+    the fewest bins there can be for them. Where the lower bound isn't met, lengths that lay in bins with waste go first, those of
+    the latest packing before the others, and all bins are filled anew; then bins of the best packing are taken back and filled
+    otherwise. That ends when the lower bound is met, nothing is left to try, BRANCHES bins were filled anew or STEPS are used up.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     lengths, pieces, used = sorted(left), sum(left.values()), 0
     path: list[tuple[tuple[int, ...], int, Iterator[tuple[int, ...]] | None]] = []
+    last: list[tuple[int, ...]] = []
     best: list[tuple[tuple[int, ...], int]] = []
+    kept: list[tuple[tuple[int, ...], int]] = []  # the path of the best packing
     fewest_yet, least = pieces + 1, lower_bound(left, capacity)
+    awkward: dict[int, int] = {}  # lengths that go first, by the packing that left them for bins with waste
+    steps = Steps()
 
     def take(found: tuple[int, ...], times: int) -> None:
         """Bins filled; taken back, if times is negative."""
@@ -339,39 +371,68 @@ def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
         used += times
 
     def dive() -> None:
-        nonlocal best, fewest_yet
+        nonlocal best, kept, fewest_yet, last
+        first = sorted(awkward, key=lambda n: (awkward[n], n))
         while pieces > LAST:
-            top = lengths[-1]
+            while first and first[-1] not in left:
+                first.pop()
+            top = first[-1] if first else lengths[-1]
+            steps.take(len(lengths))
             left[top] -= 1
             found = (top, *completion(left, lengths, capacity - top))
             left[top] += 1
             times = min(left[n] // u for n, u in Counter(found).items())
             path.append((found, times, None))
             take(found, times)
-        last = fewest(list(Counter(left).elements()), capacity)
+        last = fewest(list(Counter(left).elements()), capacity, steps)
         if used + len(last) < fewest_yet:
-            fewest_yet, best = used + len(last), [(found, times) for found, times, _ in path] + [(own, 1) for own in last]
+            kept = [(found, times) for found, times, _ in path]
+            fewest_yet, best = used + len(last), kept + [(own, 1) for own in last]
+
+    def search() -> None:
+        tried = 0
+        while fewest_yet > least and tried < min(RESTARTS, BRANCHES):
+            tried += 1
+            for found in [*(found for found, _, _ in path), *last]:
+                if sum(found) < capacity:
+                    awkward.update(dict.fromkeys(found, tried))
+            while path:
+                found, times, _ = path.pop()
+                take(found, -times)
+            dive()
+        while path:
+            found, times, _ = path.pop()
+            take(found, -times)
+        for found, times in kept:
+            path.append((found, times, None))
+            take(found, times)
+        while path and fewest_yet > least and tried < BRANCHES:
+            found, times, others_left = path.pop()
+            take(found, -1)
+            if others_left is None:
+                if times > 1:  # the last of several bins alike is filled anew, the others stay
+                    path.append((found, times - 1, None))
+                top, own = found[0], dict(left)
+                own[top] -= 1
+                others_left = completions(own, list(lengths), capacity - top, steps)
+                next(others_left)  # the filling that was there
+            filling = next(others_left, None)
+            if filling is None:
+                continue
+            tried += 1
+            path.append(((found[0], *filling), 1, others_left))
+            take(path[-1][0], 1)
+            steps.take(len(lengths))
+            if used + lower_bound(left, capacity) < fewest_yet:
+                dive()
 
     dive()
-    tried = 0
-    while path and fewest_yet > least and tried < BRANCHES:
-        found, times, others_left = path.pop()
-        take(found, -1)
-        if others_left is None:
-            if times > 1:  # the last of several bins alike is filled anew, the others stay
-                path.append((found, times - 1, None))
-            top, own = found[0], dict(left)
-            own[top] -= 1
-            others_left = completions(own, list(lengths), capacity - top)
-            next(others_left)  # the filling that was there
-        filling = next(others_left, None)
-        if filling is None:
-            continue
-        tried += 1
-        path.append(((found[0], *filling), 1, others_left))
-        take(path[-1][0], 1)
-        if used + lower_bound(left, capacity) < fewest_yet:
-            dive()
+    if fewest_yet > least:
+        steps.left = STEPS
+        try:
+            search()
+        except Spent:
+            pass
     return best
 
 
