@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -684,6 +685,37 @@ def test_files_read_side_by_side():
         list(media.samples([f[: max(40, len(f) // 2)] for f in files if len(f) > 400][:64]))
 
 
+def test_images_of_several_batches_are_read_side_by_side():
+    """All rows in their order, no batch beyond the rows and bytes that are read at once unless it came so."""
+    rows = [(k, 10) for k in range(5000)] + [(5000 + k, 6_000_000) for k in range(5)] + [(5005, webp.TOGETHER * media.BYTES)]
+    sizes, batches, at = [512] * 9 + [392] + [1] * 6, [], 0
+    for n in sizes:
+        batches.append(pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in rows[at : at + n]], "n_bytes": [n for _, n in rows[at : at + n]]}))
+        at += n
+    got = list(media.gathered(iter([*batches, batches[0].slice(0, 0)]), 1))
+    assert [k for b in got for k in b.column(0).to_pylist()] == list(range(5006))
+    assert [b.num_rows for b in got] == [2048, 2048, 906, 2, 1, 1]
+    assert list(media.gathered(iter([]), 1)) == []
+
+
+def test_stated_codes_are_read_back():
+    rng = np.random.default_rng(6)
+    lengths = [np.zeros(280, dtype=np.uint8)]
+    for s in (0, 1, 255, 256, 279):
+        lengths.append(np.eye(280, dtype=np.uint8)[s])
+    for used in (2, 3, 7, 40, 280, 1304):  # runs of zeros and of equal lengths, short and long
+        for _ in range(8):
+            counts = np.zeros(1304, dtype=np.int64)
+            counts[rng.integers(0, 1304, used) if rng.random() < 0.5 else np.arange(used)] = rng.integers(1, 4 ** rng.integers(1, 12))
+            counts[rng.integers(0, 1304, 3)] += rng.integers(0, 1000, 3)
+            lengths.append(webp.code_lengths(counts, 11))
+    for own in lengths:
+        bits = webp.Bits(webp._written(*webp._code_fields(own)))
+        want = webp.Code(own.tobytes())
+        got = webp._read_code(bits, len(own))
+        assert got.most == want.most and got.numbers.tolist() == want.numbers.tolist()
+
+
 def kinds_in(file):
     """Which transforms a file has, and whether its main image has a cache and back-references."""
     seen = set()

@@ -22,6 +22,8 @@ from . import webp
 from .common import others
 
 UNIT = 64
+#: Bytes of texts, beyond those of one batch, whose images are read side by side.
+BYTES = 1 << 24
 
 
 def store(payload: bytes) -> bytes:
@@ -39,6 +41,24 @@ def samples(files: list[bytes]) -> Iterator[np.ndarray]:
         yield np.ascontiguousarray(pixels, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].ravel()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches as large as can be read side by side, by the sizes in column n_bytes no larger than BYTES.
+
+    A batch that alone is larger stays as it is.
+    """
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        own = sum(batch.column(n_bytes).to_pylist())
+        if held and (rows + batch.num_rows > webp.TOGETHER or size + own > BYTES):
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + own
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def feature(x: np.ndarray) -> str:
     """Mean, deviation, entropy in bits and share of the eight ranges of 32 values, of all samples."""
     counts = np.bincount(x, minlength=256)
@@ -70,7 +90,7 @@ def read_back(stored: DataFrame) -> DataFrame:
     at = keep.index("n_bytes")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, at):
             rows = []
             files = batch.column(len(keep)).to_pylist()
             for n, file, x in zip(batch.column(at).to_pylist(), files, samples(files), strict=True):

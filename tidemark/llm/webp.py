@@ -8,6 +8,7 @@ take longer to find than they could save on bytes of text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -260,7 +261,7 @@ def _rest(coded: Coded, out: list[int], cache: list[int]) -> list[int]:
 
 
 #: Images that are read side by side, and the fewest for which this is worth its while.
-TOGETHER, FEW = 512, 24
+TOGETHER, FEW = 2048, 40
 _NEAR = np.array(NEAR, dtype=np.int64)
 
 
@@ -537,13 +538,12 @@ def decode(file: bytes) -> np.ndarray:
     return next(decode_all([file]))
 
 
-def code_lengths(counts: np.ndarray, most: int = 15) -> list[int]:
+def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     """Lengths of a prefix code for the counts, at most `most`: Huffman's, with flatter counts if those are too long."""
     used = np.flatnonzero(counts)
-    lengths = [0] * len(counts)
+    lengths = np.zeros(len(counts), dtype=np.uint8)
     if len(used) < 2:
-        if len(used):
-            lengths[int(used[0])] = 1
+        lengths[used] = 1
         return lengths
     weights = counts[used]
     while True:
@@ -567,8 +567,7 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> list[int]:
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
         if max(depth[:n]) <= most:
-            for s, d in zip(used[order].tolist(), depth, strict=False):
-                lengths[s] = d
+            lengths[used[order]] = depth[:n]
             return lengths
         weights = (weights >> 2) + 1
 
@@ -580,40 +579,46 @@ _TOKENS = canonical(_TOKEN_LENGTHS)
 _STATED = (15 << 1 | sum(_TOKEN_LENGTHS[k] << 5 + 3 * i for i, k in enumerate(CODE_LENGTH_ORDER)), 5 + 3 * 19)
 
 
-def _code_fields(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The fields of bits that state a code, for any alphabet that has its symbols."""
-    own = np.array(lengths, dtype=np.int64)
-    used = np.flatnonzero(own)
-    if len(used) <= 1 and (s := int(used[0]) if len(used) else 0) < 256:
-        return _fields(0b101 | s << 3, 11)  # a simple code of one symbol in 8 bits
-    own = own[: used[-1] + 1]
-    begins = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
-    size = np.diff(np.append(begins, len(own)))
-    run = np.repeat(np.arange(len(begins)), size)
-    zero = own == 0
-    # a run's first length is said as it is, if it isn't 0; the rest is dealt into repetitions, and few left over said as they are
-    most = np.where(zero, 138, 6)
-    at, rest = np.arange(len(own)) - begins[run] - ~zero, size[run] - ~zero
-    last = at >= rest - rest % most
-    repeats = np.where(last, rest % most, most)
-    whole = (at < 0) | (repeats < 3)
-    said = np.flatnonzero(whole | (at % most == 0))
-    whole, zero, repeats, own = whole[said], zero[said], repeats[said], own[said]
-    token = np.where(whole, own, np.where(~zero, 16, np.where(repeats < 11, 17, 18)))
-    more = np.where(whole, 0, repeats - np.where(zero & (repeats >= 11), 11, 3)).astype(np.uint64)
-    if len(token) < 2:
-        token, more = np.append(token, 0), np.append(more, np.uint64(0))
-    bits, n = _STATED
-    top = _fields(bits | (1 | 5 << 1 | len(token) - 2 << 4) << n, n + 16)
-    return np.concatenate((top[0], _TOKEN[token] | more << _TOKEN_BITS[token])), np.concatenate((top[1], _TOKEN_BITS[token] + _MORE_BITS[token]))
+_MORE_BITS = (0,) * 16 + (2, 3, 7)
+
 
+def _tokens(*said: tuple[int, int]) -> tuple[int, int, int]:
+    """Tokens with what they add, as one field: its value, its size and how many tokens it has."""
+    value = size = 0
+    for t, more in said:
+        code, n = _TOKENS[t]
+        value |= (code | more << n) << size
+        size += n + _MORE_BITS[t]
+    return value, size, len(said)
 
-_TOKEN, _TOKEN_BITS = (np.array([_TOKENS[t][k] for t in range(19)], dtype=np.uint64) for k in (0, 1))
-_MORE_BITS = np.array([0] * 16 + [2, 3, 7], dtype=np.uint64)
+
+#: Stretches of code lengths that are said at once: zeros, a length and its repetitions, or a length alone.
+_STRETCH = re.compile(rb"\x00{3,138}|([^\x00])\1\1\1(?:\1(?:\1\1?)?)?|.", re.DOTALL)
+_SAID = {bytes([n]): _tokens((n, 0)) for n in range(16)}
+_SAID |= {bytes([n]) * k: _tokens((n, 0), (16, k - 4)) for n in range(1, 16) for k in range(4, 8)}
+_SAID |= {bytes(k): _tokens((17, k - 3) if k < 11 else (18, k - 11)) for k in range(3, 139)}
+
+
+def _code_fields(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fields of bits that state a code, for any alphabet that has its symbols."""
+    own = lengths.tobytes().rstrip(b"\0")
+    if len(own) <= 256 and own.count(0) >= len(own) - 1:
+        return _fields(0b101 | max(0, len(own) - 1) << 3, 11)  # a simple code of one symbol in 8 bits
+    said = [_SAID[m[0]] for m in _STRETCH.finditer(own)]
+    number = sum([n for _, _, n in said])
+    if number < 2:
+        said.append(_SAID[b"\0"])
+        number = 2
+    bits, n = _STATED
+    top = _fields(bits | (1 | 5 << 1 | number - 2 << 4) << n, n + 16)
+    values, sizes = np.array([v for v, _, _ in said], dtype=np.uint64), np.array([k for _, k, _ in said], dtype=np.uint64)
+    return np.concatenate((top[0], values)), np.concatenate((top[1], sizes))
 
 
 def _fields(bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A number's bits as fields of 32."""
+    """A number's bits as fields of 32, or as one, if they are few."""
+    if size < 64:
+        return np.array([bits], dtype=np.uint64), np.array([size], dtype=np.uint64)
     words = -(-size // 32)
     sizes = np.full(words, 32, dtype=np.uint64)
     sizes[-1] = size - 32 * (words - 1)
@@ -691,7 +696,7 @@ def _coded(pixels: np.ndarray, width: int, main: bool) -> tuple[np.ndarray, np.n
         symbols[copies] = 256 + size_symbol
     first = code_lengths(np.bincount(symbols, minlength=280 + (1 << cache_bits if cache_bits else 0)), LONGEST)
     other = code_lengths(np.bincount(np.concatenate(rest), minlength=256), LONGEST)
-    last = code_lengths(np.bincount(far_symbol, minlength=40), LONGEST) if len(begin) else [0] * 40
+    last = code_lengths(np.bincount(far_symbol, minlength=40), LONGEST) if len(begin) else np.zeros(40, dtype=np.uint8)
     values, bits = _codes(first)
     said, sizes = values[symbols], bits[symbols]
     values, bits = _codes(other)
@@ -716,20 +721,21 @@ def _append(values: np.ndarray, sizes: np.ndarray, at: np.ndarray, fields: list[
     values[at], sizes[at] = own, size
 
 
-def _codes(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By symbol its code and the number of its bits; none for a symbol alone. Codes as of canonical()."""
-    bits = np.array(lengths, dtype=np.int64)
-    order = np.argsort(bits, kind="stable")[np.count_nonzero(bits == 0) :]
-    code = np.zeros(len(bits), dtype=np.uint64)
-    if len(order) < 2:
-        return code, np.zeros(len(bits), dtype=np.uint64)
-    own = bits[order]
+    used = np.flatnonzero(lengths)
+    code, bits = np.zeros(len(lengths), dtype=np.uint64), lengths.astype(np.uint64)
+    if len(used) < 2:
+        return code, np.zeros(len(lengths), dtype=np.uint64)
+    order = used[np.argsort(lengths[used], kind="stable")]
     # a code's place among all of 15 bits is the sum of what the codes before it take up
-    place = np.concatenate(([0], (1 << 15 - own).cumsum()[:-1]))
-    code[order] = _TURNED[place]
-    return code, bits.astype(np.uint64)
+    share = _SHARE[lengths[order]]
+    code[order] = _TURNED[share.cumsum() - share]
+    return code, bits
 
 
+#: By a code's length what it takes up of all codes of 15 bits.
+_SHARE = 1 << 15 - np.arange(16)
 _TURNED = np.array(TURNED, dtype=np.uint64)
 
 
