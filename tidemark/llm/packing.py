@@ -245,7 +245,7 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...], steps: Steps | None = None
     steps = steps or Steps()
 
     def place(rooms: list[int], rest: tuple[int, ...]) -> bool:
-        steps.take()
+        steps.take(4)  # as long as four others
         if not rest:
             return True
         tried = set()
