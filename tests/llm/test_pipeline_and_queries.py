@@ -36,6 +36,49 @@ def test_stages_keep_columns_and_clean_documents(spark, sf_dir, docs, tmp_path):
     assert now.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n > 2048 or n <> m").isEmpty()
 
 
+def test_packing_stage_leaves_no_words_in_workers(spark, docs, tmp_path):
+    """Workers outlive a stage; what they remember there is memory that later stages don't get."""
+    import shutil
+
+    import pyarrow as pa
+
+    from tidemark.llm import packing
+
+    path = str(shutil.copy(queries.tokenizer_path("word_bpe_49k.json"), tmp_path / "own.json"))  # of no other test
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    got = stages.packed(docs, path).select(columns).collect()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        own = packing._IDS.get(path)
+        yield pa.RecordBatch.from_arrays([pa.array([own is not None]), pa.array([0 if own is None else len(own) + len(own.before)], pa.int64())], ["packed", "words"])
+
+    found = spark.range(0, 64, 1, 16).mapInArrow(held, "packed boolean, words long").collect()
+    assert any(r["packed"] for r in found) and not any(r["words"] for r in found)
+    # what is remembered changes no result
+    assert sorted(got) == sorted(packing.pieces(docs.select("doc_id", "text"), path).select(columns).collect())
+    ids = packing.Ids(path)
+    for k in range(20):
+        own = {f"w{i}".encode() for i in range(40 * k, 40 * k + 90)}
+        ids.learn(own, 100)
+        assert [ids[w] for w in own] and len(ids) <= 100 and len(ids.before) <= 100
+
+
+def test_packing_holds_the_words_of_a_stretch_only(monkeypatch):
+    """Of a long text, or of many short ones, not all words at once."""
+    from tidemark.llm import packing
+
+    texts = [b" ".join(b"w%d" % (k * i % 97) for i in range(n)) for k, n in enumerate((0, 3, 5000, 1, 40, 40, 40, 0, 900), 1)] + [b"", b"x" * 900 + b"\tq\n"]
+    ids = packing.Ids(queries.tokenizer_path("word_bpe_49k.json"))
+    want = [ids.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    asked, learn = [], ids.learn
+    monkeypatch.setattr(packing, "STRETCH", 200)
+    monkeypatch.setattr(ids, "learn", lambda words, most=None: (asked.append(sum(map(len, words))), learn(words, most)))
+    got = [memoryview(x).cast("I").tolist() for x in packing.encoded(texts, ids)]
+    assert got == want and max(asked) <= 901
+
+
 def test_one_of_each_keeps_one_row_of_repeated_rows(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (None, "q r s t", "en", "s", 1), (None, None, None, None, None), (5, "", "en", "s", 0)]
     own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

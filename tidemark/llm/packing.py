@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -42,8 +43,11 @@ RESTARTS, STEPS = 12, 10_000_000
 #: Pieces that are packed last, by a search through all their bins, and pieces of one length that one task ranks (of over
 #: a million, their square root).
 LAST, RANKED = 12, 1000
-#: Words whose ids a worker remembers: so many lately used ones, and as many before these.
-WORDS = 500_000
+#: Words whose ids a worker remembers: so many lately used ones, and as many before these. A stage among others remembers fewer.
+WORDS, STAGE_WORDS = 500_000, 60_000
+#: Bytes of text that are parted into words at once.
+STRETCH = 1 << 21
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -93,8 +97,13 @@ class Ids(dict):
         self[word] = found = self.before[word]
         return found
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > WORDS:
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
+    def learn(self, words: set[bytes], most: int | None = None) -> None:
+        """most: words to remember, WORDS if None; those of one call are remembered in any case."""
+        if len(self) + len(words) > (WORDS if most is None else most):
             self.before = dict(self)
             self.clear()
         new = list(words.difference(self).difference(self.before))
@@ -129,29 +138,64 @@ def worker_ids(path: str) -> Ids:
     return _IDS[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """For each document its pieces: piece, start, length, ids_crc32, with the other columns of the document."""
+def encoded(texts: list[bytes], ids: Ids, words: int | None = None) -> Iterator[bytes]:
+    """The ids of each text as bytes. Only the words of about STRETCH bytes are held at a time, of one long text or many short."""
+    held: list[list[bytes]] = []
+    size = 0
+
+    def flushed() -> Iterator[bytes]:
+        ids.learn(set().union(*held), words)
+        for t in held:
+            yield b"".join(map(ids.__getitem__, t))
+
+    for text in texts:
+        if held and size + len(text) > STRETCH:
+            yield from flushed()
+            held, size = [], 0
+        if len(text) <= STRETCH:
+            held.append(text.split())
+            size += len(text)
+            continue
+        data, at = [], 0
+        while at < len(text):
+            end = SPACE.search(text, at + STRETCH)
+            own = text[at : end.start() if end else len(text)].split()
+            at = end.start() if end else len(text)
+            ids.learn(set(own), words)
+            data.append(b"".join(map(ids.__getitem__, own)))
+        yield b"".join(data)
+    yield from flushed()
+
+
+def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, words: int | None = None) -> DataFrame:
+    """For each document its pieces: piece, start, length, ids_crc32, with the other columns of the document.
+
+    words: those that a task remembers, and forgets at its end; if None, workers remember WORDS from task to task, which
+    saves time, but workers outlive a query and are lent in turn, so that in time each of them holds as many.
+    """
     keep = others(docs, text, "piece", "start", "length", "ids_crc32")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = worker_ids(tokenizer)
-        for batch in batches:
-            texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(len(keep)).to_pylist()]
-            texts = [t.split() for t in texts]
-            ids.learn(set().union(*texts))
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(texts):
-                data = b"".join(map(ids.__getitem__, t)) + end
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            kept = batch.select(keep).take(pa.array(row, pa.int64())) if keep else None
-            yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], [*keep, "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(len(keep)).to_pylist()]
+                row, piece, start, length, crc = [], [], [], [], []
+                for i, data in enumerate(encoded(texts, ids, words)):
+                    data += end
+                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        row.append(i)
+                        piece.append(k)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                kept = batch.select(keep).take(pa.array(row, pa.int64())) if keep else None
+                yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], [*keep, "piece", "start", "length", "ids_crc32"])
+        finally:
+            if words is not None:
+                ids.forget()
 
     kinds = docs.select(*keep).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     return docs.select(*keep, text).mapInArrow(cut_up, kinds)

@@ -66,5 +66,5 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Pieces of the documents with their sequences."""
-    parts = packing.pieces(docs.select("doc_id", "text"), tokenizer)
+    parts = packing.pieces(docs.select("doc_id", "text"), tokenizer, words=packing.STAGE_WORDS)
     return packing.packed(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
