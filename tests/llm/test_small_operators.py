@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows, no rows and extra columns."""
 
 import hashlib
+import heapq
 import os
 import random
 import re
@@ -240,6 +241,69 @@ def test_search_through_several_levels(spark, monkeypatch):
     assert [by[250][k][0][0] for k in range(1, 6)] == [200, 201, 202, 203, 204]
 
 
+def test_a_query_meets_a_group_once_however_many_leaves_it_visits(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 5)
+    seen, met = [], ann.Search.met
+
+    def counted(self, index, asked, *more):
+        seen.append((asked.count(), asked.groupBy("uid").count().count()))
+        return met(self, index, asked, *more)
+
+    monkeypatch.setattr(ann.Search, "met", counted)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.random.default_rng(4).normal(size=(3000, 16)))]
+    by, want = lists(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()), dict(brute([(i, np.float32(r).astype(float)) for i, r in rows]))
+    assert set(by) == set(want) and sum(r[k][0] in want[q] for q, r in by.items() for k in r) >= 0.9 * 5 * len(want)
+    [(met_rows, queries)] = seen
+    assert queries == 60 and met_rows <= 60 * 3  # 600 leaves in 3 groups
+
+
+def test_leaves_come_best_bin_first():
+    rng = np.random.default_rng(6)
+    x = ann.unit(rng.normal(size=(2000, 5)))
+    tree = ann.Tree(x, 10, 300)
+    sizes = np.bincount(tree.assign(x), minlength=tree.leaves)
+    sizes[3] = 0
+    for margin, least in ((0.05, 6), (0.0, 40), (1e9, 6)):
+        got = tree.visits(x[:40], margin, sizes, least)
+        for q in range(40):
+            heap, far, first, held, want = [(0.0, 0)], -np.inf, None, 0, set()
+            while heap:
+                cost, node = heapq.heappop(heap)
+                far = max(far, cost) if node else far
+                for c in tree.children[node]:
+                    heapq.heappush(heap, (float(0.5 * (tree.centres[c] ** 2).sum() - x[q] @ tree.centres[c]), c))
+                leaf = tree.leaf[node]
+                if leaf >= 0 and sizes[leaf]:
+                    first = far if first is None else first
+                    if held >= least and far - first > margin + 1e-12:
+                        break
+                    want.add(leaf)
+                    held += sizes[leaf]
+            assert set(np.flatnonzero(got[:, q]).tolist()) == want
+
+
+def test_visits_leave_in_batches_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(ann, "BATCH", 7)
+    rows = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array([[1.0], [2.0], [3.0]]), pa.array([50, 60, 70])], ["id", "x", "uid"])
+    who, leaf = np.repeat([0, 2], 20), np.tile(np.arange(20), 2)
+    out = list(ann.by_group(rows, who, leaf, 9, leaf // 3))
+    assert [b.num_rows for b in out] == [7, 7] and all(b.column("b").to_pylist() == [9] * 7 for b in out)
+    assert [(b["id"], b["uid"], b["x"]) for b in out[1].to_pylist()] == [(7, 70, [3.0])] * 7
+    assert [v for b in out[0].to_pylist() for v in b["leaves"]] == list(range(20)) and [b["g"] for b in out[0].to_pylist()] == list(range(7))
+
+
+def test_search_through_several_bundles(spark, monkeypatch):
+    for name, value in (("LEAF", 25), ("LEAVES", 6), ("SPLIT", 50), ("MEET", 90), ("CHUNK", 100), ("BUNDLE", 400), ("WALK", 7), ("BATCH", 5)):
+        monkeypatch.setattr(ann, name, value)
+    x = np.random.default_rng(8).normal(size=(3000, 4)).astype(np.float32)
+    x[1000:1250] = x[1000]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    by, want = lists(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), F.col("vec_id") % 50 == 0).collect()), dict(brute(rows))
+    assert set(by) == set(want) and all(sorted(r) == [1, 2, 3, 4, 5] for r in by.values())
+    assert sum(r[k][0] in want[q] for q, r in by.items() for k in r) >= 0.9 * 5 * len(want)
+    assert [by[1050][k][0][0] for k in range(1, 6)] == [1000, 1001, 1002, 1003, 1004]
+
+
 # ------------------------------------------------------------------ classifiers
 def test_isotonic_is_the_nearest_rising_curve():
     from tidemark.llm.linear import isotonic

@@ -5,16 +5,19 @@ leaves, so that it can be sent to every task. While leaves hold over `SPLIT` row
 can divide into leaves of `LEAF`, each of them gets a tree of its own, fitted in a task on a bounded sample of its rows and
 met there by its rows and queries; so the rows of a leaf, and a query's work, don't grow with the table.
 
-A query walks a tree through a priority queue, the node with the nearest centre first, and so reaches leaves in order. It
-widens its visits until the way to the next leaf is farther than to its first one by a margin, and until the leaves that it
+A query walks a tree best bin first, the node with the nearest centre next, and so reaches leaves in order; the order is
+worked out for many queries at once, by one matrix product with all centres. It widens its visits until the way to the next leaf is farther than to its first one by a margin, and until the leaves that it
 visits hold more than k rows (all of them, where there are fewer): so no query gets less than k neighbours while there are
 k. The margin of each level is calibrated: `TRIALS` sampled vectors that no tree is fitted on are compared with all rows,
 and the margin is the least by which they would have found `RECALL` of their true neighbours.
 
-Rows and visits meet in groups of neighbouring leaves, of about `CHUNK` rows; a leaf of more is dealt into several groups
-by a hash, each of which all its visits reach. A query comes to a group once, with the leaves that it visits there, and
-leaves with its k nearest of them: for each leaf candidates are found by one matrix product and scored again row by row,
-in a way that gives equal vectors equal scores; so ties go to the smaller id.
+Rows and visits meet in groups of neighbouring leaves, of about `CHUNK` rows (`BUNDLE` where trees of their own follow); a
+leaf of more is dealt into several groups by a hash, each of which all its visits reach. A query comes to a group once, with
+the leaves that it visits there, however many these are: its vector isn't repeated for each. A task holds the rows of one
+group and lets the queries pass by, a batch at a time, so that it needs no more memory where more queries come or where
+they visit more leaves. A query leaves a group with its k nearest there: for each leaf candidates are found by one matrix
+product, those that can still be among the k are scored again row by row, in a way that gives equal vectors equal scores; so
+ties go to the smaller id.
 
 Nulls and odd rows: a vector that is null, zero or that holds null or a number not finite takes no part, nor does a null
 id; only vectors of one length are compared, each length is searched apart; every query row has a list of its own, in which
@@ -36,9 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLE, BRANCHES, LEAF, LEAVES, CHUNK = 1_600_000, 8, 200, 4096, 8192
+SAMPLE, BRANCHES, LEAF, LEAVES, CHUNK, BUNDLE = 1_600_000, 8, 200, 4096, 16_384, 1 << 18
 #: Rows of a leaf that gets a tree of its own, and rows that meet a copy of it at once.
 SPLIT, MEET = 8 * LEAF, 16_384
+#: Queries that walk a tree at once, and rows of a batch that they leave with.
+WALK, BATCH = 128, 4096
 #: Pairs that are scored at once.
 PAIRS = 1 << 15
 TRIALS, RECALL, SEED = 96, 0.97, 11
@@ -81,6 +86,12 @@ class Tree:
             self.leaf[node] = number
         self.leaves = max(self.leaf) + 1
         self.matrix = np.array(self.centres)
+        self.ends = np.array([n for n, c in enumerate(self.children) if not c])
+        self.steps: list[tuple[np.ndarray, np.ndarray]] = []  # nodes and their parents, by depth from 2
+        above = self.children[0]
+        while below := [(c, n) for n in above for c in self.children[n]]:
+            above = [c for c, _ in below]
+            self.steps.append((np.array(above), np.array([n for _, n in below])))
 
     @staticmethod
     def _split(own: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -114,41 +125,43 @@ class Tree:
             todo += [(c, own[best == k]) for k, c in enumerate(self.children[node]) if (best == k).any()]
         return out
 
-    def ways(self, x: np.ndarray) -> Iterator[tuple[int, float]]:
-        """The leaves, best bin first, each with how far the way there has led so far: never less than before."""
-        heap, far = [(0.0, 0)], -math.inf
-        while heap:
-            cost, node = heapq.heappop(heap)
-            if node:
-                far = max(far, cost)
-            if not self.children[node]:
-                yield self.leaf[node], far
-                continue
-            for c, near in zip(self.children[node], self.nearness(self.children[node], x).tolist(), strict=True):
-                heapq.heappush(heap, (-near, c))
-
-    def visits(self, x: np.ndarray, margin: float, sizes: np.ndarray, least: int) -> list[int]:
-        """The first leaves up to the margin, and on until they hold `least` rows; leaves without rows don't count."""
-        out, held, first = [], 0, None
-        for leaf, far in self.ways(x):
-            if not sizes[leaf]:
-                continue
-            first = far if first is None else first
-            if held >= least and far - first > margin:
-                break
-            out.append(leaf)
-            held += int(sizes[leaf])
+    def ways(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far the way to each leaf leads, by leaf and unit vector, beyond that to the first one; and each node's own distance.
+
+        Best bin first, the queue hands out the node with the nearest centre next: so a leaf comes when the farthest node on
+        the way to it does. Leaves without rows are never reached.
+        """
+        cost = 0.5 * (self.matrix * self.matrix).sum(axis=1)[:, None] - self.matrix @ x.T
+        far = cost.copy()
+        for nodes, parents in self.steps:
+            far[nodes] = np.maximum(far[nodes], far[parents])
+        far = far[self.ends]
+        far[sizes == 0] = math.inf
+        return far - far.min(axis=0), cost
+
+    def visits(self, x: np.ndarray, margin: float, sizes: np.ndarray, least: int) -> np.ndarray:
+        """By leaf and unit vector: whether the leaf is visited, being up to the margin or needed to hold `least` rows."""
+        far, cost = self.ways(x, sizes)
+        out = (far <= margin) & (sizes > 0)[:, None]
+        for q in np.flatnonzero(sizes @ out < least):
+            out[self.first(cost[:, q], sizes, least), q] = True
+        return out
+
+    def first(self, cost: np.ndarray, sizes: np.ndarray, least: int) -> list[int]:
+        """The leaves that come first, until they hold `least` rows, through a priority queue of nodes; cost: of each node."""
+        heap, out, held = [(0.0, 0)], [], 0
+        while heap and held < least:
+            _, node = heapq.heappop(heap)
+            if (leaf := self.leaf[node]) >= 0 and sizes[leaf]:
+                out.append(leaf)
+                held += sizes[leaf]
+            for c in self.children[node]:
+                heapq.heappush(heap, (float(cost[c]), c))
         return out
 
     def need(self, x: np.ndarray, leaf: int, sizes: np.ndarray) -> float:
         """The margin at which a leaf is visited."""
-        first = None
-        for now, far in self.ways(x):
-            if sizes[now]:
-                first = far if first is None else first
-                if now == leaf:
-                    return far - first
-        return math.inf
+        return float(self.ways(x[None, :], sizes)[0][leaf, 0])
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -156,37 +169,62 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def near_pairs(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries and of rows of x, with their scores: for each query its k nearest rows, by smaller id.
+class Nearest:
+    """The k nearest of some queries, by smaller id, among rows that come in turns.
 
-    own: the numbers of the queries' own rows, which don't count. Found by one product for some queries at a time, scored
-    again pair by pair, `PAIRS` at a time, since many rows can tie.
+    own: the numbers of the queries' own rows, which don't count.
     """
-    units, lengths = unit(x), np.sqrt((x * x).sum(axis=1))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
-        near = unit(q) @ units.T
-        near[own[at : at + 256, None] == uids[None, :]] = -np.inf
-        bound = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
-        i, j = np.nonzero(near >= np.maximum(bound - 1e-9, -2.0)[:, None])
-        own_lengths, score = np.sqrt((q * q).sum(axis=1)), np.empty(len(i))
-        for a in range(0, len(i), PAIRS):
-            u, v = i[a : a + PAIRS], j[a : a + PAIRS]
-            score[a : a + PAIRS] = (x[v] * q[u]).sum(axis=1) / (lengths[v] * own_lengths[u])
-        kept = first_of_each(i, score, ids[j], uids[j], k)
-        found.append((i[kept] + at, j[kept], score[kept]))
-    i, j, s = (np.concatenate([f[c] for f in found]) for c in range(3)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
-    return i, j, s
-
-
-def first_of_each(query: np.ndarray, score: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each query, by score, then by smaller id."""
+
+    def __init__(self, queries: np.ndarray, own: np.ndarray, k: int) -> None:
+        self.queries, self.own, self.k = queries, own, k
+        self.lengths = np.sqrt((queries * queries).sum(axis=1))
+        self.units = queries / self.lengths[:, None]
+        #: The best scores of each query so far, the least first: what is under it needn't be looked at again.
+        self.top = np.full((len(queries), k), -math.inf)
+
+    def among(self, which: np.ndarray, x: np.ndarray, units: np.ndarray, lengths: np.ndarray, ids: np.ndarray, uids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, rows and scores: of the queries `which`, those of these rows that can be among their k nearest.
+
+        Found by one product for some queries at a time, scored again pair by pair, `PAIRS` at a time, since many rows can tie.
+        """
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(which), 256):
+            own = which[at : at + 256]
+            near, bound = self.units[own] @ units.T, self.top[own, 0]
+            if near.shape[1] > self.k + 1 and (bound == -math.inf).any():  # one more, which may be the query itself
+                bound = np.maximum(bound, np.partition(near, -self.k - 1, axis=1)[:, -self.k - 1])
+            i, j = np.nonzero(near >= (bound - 1e-9)[:, None])
+            other = self.own[own[i]] != uids[j]
+            i, j = i[other], j[other]
+            if not len(i):
+                continue
+            q, score = own[i], np.empty(len(i))
+            for a in range(0, len(i), PAIRS):
+                u, v = q[a : a + PAIRS], j[a : a + PAIRS]
+                score[a : a + PAIRS] = (x[v] * self.queries[u]).sum(axis=1) / (lengths[v] * self.lengths[u])
+            kept, rank = first_of_each(i, score, ids[j], uids[j], self.k)
+            i, j, score = i[kept], j[kept], score[kept]
+            new = np.full((len(own), self.k), -math.inf)
+            new[i, rank] = score
+            self.top[own] = np.sort(np.concatenate([self.top[own], new], axis=1), axis=1)[:, -self.k :]
+            found.append((own[i], j, score))
+        return joined(found)
+
+
+def joined(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, rows and scores of several turns."""
+    empty = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    i, j, score = (np.concatenate([f[c] for f in [empty, *found]]) for c in range(3))
+    return i, j, score
+
+
+def first_of_each(query: np.ndarray, score: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each query, by score, then by smaller id, and their ranks from 0."""
     order = np.lexsort((uids, ids, -score, query))
     q = query[order]
     begins = np.flatnonzero(np.diff(q, prepend=-1))
     rank = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
-    return order[rank < k]
+    return order[rank < k], rank[rank < k]
 
 
 def usable(vector: Column) -> Column:
@@ -203,25 +241,36 @@ def margin(needs: list[float], share: float) -> float:
 def search(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank from 1, vec_id and score of each query's k nearest rows found. is_query: an expression over rows."""
     own = rows.where(F.col(vec_id).isNotNull() & usable(F.col(vector)))
-    own = cut(own.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("uid")))
+    kind = rows.select(vector).schema[0].dataType.elementType.typeName()
+    kind = kind if kind == "float" else "double"  # a float is carried as one and reckoned with as the same double
+    own = cut(own.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("uid")))
     widths = own.groupBy(F.size("x").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect()
     found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for r in widths:
-        found = found.unionByName(Search(own.where(F.size("x") == r["width"]), r["n"], r["width"], k).run())
+        found = found.unionByName(Search(own.where(F.size("x") == r["width"]), r["n"], r["width"], k, kind).run())
     return found
 
 
 class Search:
-    """One search over rows (id, x, q, uid) of one width. Leaves are numbers, `LEAVES` times their parent's plus their own."""
+    """One search over rows (id, x, q, uid) of one width. Leaves are numbers, `LEAVES` times their parent's plus their own.
+
+    Groups of leaves are numbered within their bundle b, and a bundle is the group of the level above.
+    """
 
-    def __init__(self, rows: DataFrame, n: int, width: int, k: int) -> None:
+    def __init__(self, rows: DataFrame, n: int, width: int, k: int, kind: str = "double") -> None:
         self.rows, self.n, self.width, self.k, self.spark = rows, n, width, k, rows.sparkSession
         self.vectors = lambda column: rows_of(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, width)
+        self.kinds = f"id long, x array<{kind}>, q boolean, uid long"
+        self.asking = f"id long, x array<{kind}>, uid long, b long, g long, leaves array<long>"
+        self.chunk = min(CHUNK, max(1024, n // 32))
 
     def run(self) -> DataFrame:
         levels = next((k for k in range(1, 5) if self.n <= LEAF * LEAVES**k), 5)
         self.share = RECALL ** (1 / levels)  # what is missed on one level is missed for good
-        sample = self.rows.orderBy(F.xxhash64("uid"), "uid").limit(max(2 * TRIALS, SAMPLE // self.width)).select("uid", "x").toArrow()
+        most = max(2 * TRIALS, SAMPLE // self.width)
+        hashed = F.xxhash64("uid")
+        small = hashed < int(2**64 * 2 * most / self.n) - 2**63 if self.n > 4 * most else F.lit(True)  # about twice as many as are taken
+        sample = self.rows.where(small).orderBy(hashed, "uid").limit(most).select("uid", "x").toArrow()
         points, uids = self.vectors(sample.column("x")), np.asarray(sample.column("uid").to_numpy())
         self.trials, self.trial_uids = points[:TRIALS], uids[:TRIALS]
         fitted = points[TRIALS:] if len(points) > 4 * TRIALS else points
@@ -233,10 +282,10 @@ class Search:
         for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect():
             sizes[r["leaf"]] = r["n"]
         far = margin([top.need(unit(self.trials[r["t"]]), r["leaf"], sizes) for r in truth.collect()], self.share)
-        asked = self.visited(index, top, far, sizes)
-        for _ in range(levels - 1):
-            index, asked, truth = self.split(index, asked, truth)
-        return self.met(index, asked)
+        asked, dealing = self.visited(index, top, far, sizes, self.chunk if levels == 1 else BUNDLE)
+        for level in range(2, levels + 1):
+            index, asked, truth, dealing = self.split(index, asked, truth, dealing, self.chunk if level == levels else BUNDLE)
+        return self.met(index, asked, dealing)
 
     def placed(self, top: Tree) -> DataFrame:
         shared, vectors = self.spark.sparkContext.broadcast(top), self.vectors
@@ -246,32 +295,61 @@ class Search:
                 leaf = shared.value.assign(unit(vectors(batch.column(1)))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*ROWS, "leaf"])
 
-        return self.rows.select(*ROWS).mapInArrow(place, f"{KINDS}, leaf long")
+        return self.rows.select(*ROWS).mapInArrow(place, f"{self.kinds}, leaf long")
 
     def truth(self, index: DataFrame) -> DataFrame:
         """The true neighbours of the trials: t, uid and leaf."""
         trials, own, vectors, k = self.trials, self.trial_uids, self.vectors, self.k
 
         def true_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nearest, all_of = Nearest(trials, own, k), np.arange(len(trials))
             for batch in batches:
                 ids, x, uids, leaf = batch.column(0).to_numpy(), vectors(batch.column(1)), batch.column(3).to_numpy(), batch.column(4).to_numpy()
-                t, row, score = near_pairs(trials, own, x, ids, uids, k)
+                t, row, score = nearest.among(all_of, x, unit(x), np.sqrt((x * x).sum(axis=1)), ids, uids)
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(score), pa.array(ids[row]), pa.array(uids[row]), pa.array(leaf[row])], ["t", "score", "id", "uid", "leaf"])
 
         best = Window.partitionBy("t").orderBy(F.desc("score"), "id", "uid")
         found = index.mapInArrow(true_ones, "t int, score double, id long, uid long, leaf long").withColumn("r", F.row_number().over(best))
         return cut(found.where(F.col("r") <= k).select("t", "uid", "leaf"))
 
-    def visited(self, index: DataFrame, top: Tree, far: float, sizes: np.ndarray) -> DataFrame:
-        """(id, x, q, uid, leaf): a row for each leaf that a query visits."""
-        shared, vectors, least = self.spark.sparkContext.broadcast((top, far, sizes)), self.vectors, self.k + 1
+    def visited(self, index: DataFrame, top: Tree, far: float, sizes: np.ndarray, chunk: int) -> tuple[DataFrame, DataFrame]:
+        """(id, x, uid, b, g, leaves): a row for each group that a query visits leaves of; and the leaves' groups of about `chunk` rows."""
+        g = np.unique((np.cumsum(sizes) - sizes) // chunk, return_inverse=True)[1].astype(np.int64)
+        dealing = self.spark.createDataFrame(pa.table({"leaf": np.arange(len(g)), "n": sizes, "b": np.zeros(len(g), dtype=np.int64), "g": g}))
+        shared, vectors, least = self.spark.sparkContext.broadcast((top, far, sizes, g)), self.vectors, self.k + 1
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, margin, held = shared.value
+            tree, margin, held, group = shared.value
             for batch in batches:
-                yield with_leaves(batch, [tree.visits(u, margin, held, least) for u in unit(vectors(batch.column(1)))])
+                for at in range(0, batch.num_rows, WALK):
+                    own = batch.slice(at, WALK)
+                    who, leaf = np.nonzero(tree.visits(unit(vectors(own.column(1))), margin, held, least).T)
+                    yield from by_group(own, who, leaf, 0, group[leaf])
 
-        return index.where("q").select(*ROWS).mapInArrow(walk, f"{KINDS}, leaf long")
+        return index.where("q").select("id", "x", "uid").mapInArrow(walk, self.asking), dealing
+
+    def streamed(self, held: DataFrame, asked: DataFrame, keys: list[str], hold: Callable[[pa.RecordBatch], object], answer: Callable[[object, pa.RecordBatch], Iterator[pa.RecordBatch]], kinds: str) -> DataFrame:
+        """answer(hold(rows held under some keys), some of the rows asked there), the held ones of one set of keys at a time."""
+        names = ["late", *dict.fromkeys([*keys, *held.columns, *asked.columns])]
+        both = held.withColumn("late", F.lit(0)).unionByName(asked.withColumn("late", F.lit(1)), allowMissingColumns=True).select(*names)
+
+        def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, own, ready = None, [], None
+            for batch in batches:
+                marks = np.stack([batch.column(name).to_numpy() for name in [*keys, "late"]], axis=1)
+                begins = np.flatnonzero((np.diff(marks, axis=0, prepend=marks[:1] - 1) != 0).any(axis=1))
+                for a, b in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                    *key, late = marks[a].tolist()
+                    if key != now:
+                        now, own, ready = key, [], None
+                    if not late:
+                        own.append(batch.slice(a, b - a))
+                    elif own or ready is not None:
+                        if ready is None:
+                            ready, own = hold(pa.Table.from_batches(own).combine_chunks().to_batches()[0]), []
+                        yield from answer(ready, batch.slice(a, b - a))
+
+        return both.repartition(*keys).sortWithinPartitions(*keys, "late").mapInArrow(pass_by, kinds)
 
     def beside(self, rows: DataFrame, trees: DataFrame, answer: Callable[[pa.Table, pa.Table], pa.Table], kinds: str) -> DataFrame:
         """answer(rows of a leaf, its tree), the rows dealt into parts of about MEET rows, each with a copy of the tree."""
@@ -280,7 +358,7 @@ class Search:
         copies = trees.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         return dealt.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(answer, kinds)
 
-    def split(self, index: DataFrame, asked: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def split(self, index: DataFrame, asked: DataFrame, truth: DataFrame, dealing: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """The next level: leaves of over SPLIT rows divided by a tree of their own; the others go on as their only child."""
         vectors, k, most = self.vectors, self.k, max(2, SAMPLE // self.width)
         large = index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
@@ -294,7 +372,7 @@ class Search:
             return pa.table({"leaf": own.column("leaf").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
         trees = cut(sampled.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary"))
-        kinds = f"{KINDS}, leaf long"
+        kinds = f"{self.kinds}, leaf long"
 
         def place(own: pa.Table, tree: pa.Table) -> pa.Table:
             leaf = pickle.loads(tree.column("tree")[0].as_py()).assign(unit(vectors(own.column("x")))).astype(np.int64)  # noqa: S301
@@ -302,7 +380,13 @@ class Search:
 
         only = lambda df: df.join(trees.select("leaf"), "leaf", "left_anti").withColumn("leaf", F.col("leaf") * LEAVES)
         new = cut(self.beside(index, trees, place, kinds).unionByName(only(index)))
-        held = new.groupBy("leaf").agg(F.count("*").alias("n")).groupBy(F.call_function("div", F.col("leaf"), F.lit(LEAVES).cast("long")).alias("leaf")).agg(F.collect_list(F.struct(F.pmod("leaf", F.lit(LEAVES)).alias("own"), "n")).alias("held"))
+        parent = F.call_function("div", F.col("leaf"), F.lit(LEAVES).cast("long"))
+        bundles = dealing.select(F.col("leaf").alias("parent"), (F.col("b") * 2 * LEAVES + F.col("g")).alias("b"))
+        along = Window.partitionBy("b").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = new.groupBy("leaf").agg(F.count("*").alias("n")).withColumn("parent", parent).join(bundles, "parent")
+        sizes = sizes.withColumn("at", F.floor(F.coalesce(F.sum("n").over(along), F.lit(0)) / chunk))
+        sizes = cut(sizes.withColumn("g", F.dense_rank().over(Window.partitionBy("b").orderBy("at")).cast("long") - 1).select("leaf", "n", "b", "g"))
+        held = sizes.groupBy(parent.alias("leaf")).agg(F.collect_list(F.struct(F.pmod("leaf", F.lit(LEAVES)).alias("own"), "n")).alias("held"))
         known = trees.join(held, "leaf")
 
         def with_sizes(tree: pa.Table) -> tuple[Tree, np.ndarray]:
@@ -321,57 +405,93 @@ class Search:
 
         now = cut(truth.join(new.select("uid", F.col("leaf").alias("new")), "uid"))
         far = margin([r["need"] for r in self.beside(now, known, need, "need double").collect()], self.share)
-
-        def walk(own: pa.Table, tree: pa.Table) -> pa.Table:
-            t, sizes = with_sizes(tree)
-            leaves = [t.visits(u, far, sizes, k + 1) for u in unit(vectors(own.column("x")))]
-            parents = own.column("leaf").to_pylist()
-            return pa.Table.from_batches([with_leaves(own.select(ROWS).combine_chunks().to_batches()[0], [[p * LEAVES + v for v in vs] for p, vs in zip(parents, leaves, strict=True)])])
-
-        return new, self.beside(asked, known, walk, kinds).unionByName(only(asked)), now.select("t", "uid", F.col("new").alias("leaf"))
-
-    def met(self, index: DataFrame, asked: DataFrame) -> DataFrame:
+        children = sizes.groupBy("b", parent.alias("parent")).agg(F.collect_list(F.struct("leaf", "n", "g")).alias("children"))
+
+        def bundle(own: pa.RecordBatch) -> dict[int, tuple[Tree | None, np.ndarray, np.ndarray]]:
+            """By parent: its tree, and the sizes and groups of its leaves."""
+            out = {}
+            for p, tree, held in zip(own.column("parent").to_pylist(), own.column("tree").to_pylist(), own.column("children").to_pylist(), strict=True):
+                made = pickle.loads(tree) if tree else None  # noqa: S301
+                sizes, group = np.zeros((2, made.leaves if made else 1), dtype=np.int64)
+                for h in held:
+                    sizes[h["leaf"] % LEAVES], group[h["leaf"] % LEAVES] = h["n"], h["g"]
+                out[p] = made, sizes, group
+            return out
+
+        def walk(parents: dict[int, tuple[Tree | None, np.ndarray, np.ndarray]], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            b = batch.column("b")[0].as_py()
+            for at in range(0, batch.num_rows, WALK):
+                own = batch.slice(at, WALK)
+                u, found = unit(vectors(own.column("x"))), []
+                for p, which in by_leaf(own.column("leaves")):
+                    tree, sizes, group = parents[p]
+                    who, leaf = np.nonzero(tree.visits(u[which], far, sizes, k + 1).T) if tree else (np.arange(len(which)), np.zeros(len(which), dtype=np.int64))
+                    found.append((which[who], p * LEAVES + leaf, group[leaf]))
+                who, leaf, group = (np.concatenate([f[c] for f in found]) for c in range(3))
+                order = np.lexsort((leaf, who))
+                yield from by_group(own.select(["id", "x", "uid"]), who[order], leaf[order], b, group[order])
+
+        together = children.join(trees.withColumnRenamed("leaf", "parent"), "parent", "left")
+        here = asked.withColumn("b", F.col("b") * 2 * LEAVES + F.col("g")).drop("g")
+        return new, cut(self.streamed(together, here, ["b"], bundle, walk, self.asking)), now.select("t", "uid", F.col("new").alias("leaf")), sizes
+
+    def met(self, index: DataFrame, asked: DataFrame, dealing: DataFrame) -> DataFrame:
         """The k nearest of each query among the rows of the leaves that it visits."""
-        along = Window.partitionBy("parent").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = cut(index.groupBy("leaf").agg(F.count("*").alias("n")).withColumn("parent", F.call_function("div", F.col("leaf"), F.lit(LEAVES).cast("long"))))
-        dealing = sizes.withColumn("g", F.floor(F.coalesce(F.sum("n").over(along), F.lit(0)) / CHUNK)).withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
-        ways = F.broadcast if sizes.count() <= 1 << 20 else lambda df: df
-        dealt = index.join(ways(dealing.select(*[F.col(c).alias(c) for c in dealing.columns])), "leaf").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.col("parts")).cast("int"))
-        at = asked.join(ways(dealing), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        at = at.groupBy("parent", "g", "part", "uid").agg(F.first("id").alias("id"), F.first("x").alias("x"), F.collect_list("leaf").alias("leaves"))
+        dealing = dealing.withColumn("parts", F.ceil(F.col("n") / self.chunk).cast("int"))
+        ways = F.broadcast if dealing.count() <= 1 << 20 else lambda df: df
+        rows = index.join(ways(dealing.select("leaf", "b", "g", "parts")), "leaf")
+        rows = rows.select("b", "g", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.col("parts")).alias("part"), "id", "x", "uid", F.array("leaf").alias("leaves"))
+        parts = dealing.groupBy("b", "g").agg(F.max("parts").alias("parts")).where(F.col("parts") > 1)
+        asked = asked.join(ways(parts), ["b", "g"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
         vectors, k = self.vectors, self.k
 
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            empty = np.zeros(0, dtype=np.int64)
-            found = [(empty, empty, np.zeros(0))]
-            ids, uids, leaf, x = left.column("id").to_numpy(), left.column("uid").to_numpy(), left.column("leaf").to_numpy(), vectors(left.column("x"))
-            asked_uids, asked = right.column("uid").to_numpy(), vectors(right.column("x"))
-            if len(ids) and len(asked):
-                visits = right.column("leaves").combine_chunks()
-                who, where = np.repeat(np.arange(len(asked)), np.diff(visits.offsets.to_numpy())), visits.values.to_numpy()
-                order, row_order = np.argsort(where, kind="stable"), np.argsort(leaf, kind="stable")
-                for v in np.unique(where):
-                    own = who[order[slice(*np.searchsorted(where[order], (v, v + 1)))]]
-                    rows = row_order[slice(*np.searchsorted(leaf[row_order], (v, v + 1)))]
-                    if len(rows):
-                        q, row, score = near_pairs(asked[own], asked_uids[own], x[rows], ids[rows], uids[rows], k)
-                        found.append((own[q], rows[row], score))
-            query, row, score = (np.concatenate([f[c] for f in found]) for c in range(3))
-            kept = first_of_each(query, score, ids[row], uids[row], k)
-            query, row, score = query[kept], row[kept], score[kept]
-            return pa.table({"query": right.column("uid").take(query), "query_id": right.column("id").take(query), "vec_id": pa.array(ids[row]), "uid": pa.array(uids[row]), "score": pa.array(score)})
-
-        keys = ("parent", "g", "part")
-        found = dealt.groupBy(*keys).cogroup(at.groupBy(*keys)).applyInArrow(meet, "query long, query_id long, vec_id long, uid long, score double")
+        def ready(own: pa.RecordBatch) -> tuple:
+            """The rows, those of a leaf beside one another, and the leaves' places."""
+            leaf = own.column("leaves").flatten().to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            x, leaf = vectors(own.column("x"))[order], leaf[order]
+            begins = np.flatnonzero(np.diff(leaf, prepend=-1))
+            at = {int(v): slice(a, b) for v, a, b in zip(leaf[begins], begins, [*begins[1:], len(leaf)], strict=True)}
+            return at, x, unit(x), np.sqrt((x * x).sum(axis=1)), own.column("id").to_numpy()[order], own.column("uid").to_numpy()[order]
+
+        def meet(rows: tuple, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            at, *columns = rows
+            ids, uids = columns[-2:]
+            query, query_id = batch.column("uid").to_numpy(), batch.column("id").to_numpy()
+            nearest, found = Nearest(vectors(batch.column("x")), query, k), []
+            for v, which in by_leaf(batch.column("leaves")):
+                if v in at:
+                    i, j, score = nearest.among(which, *[c[at[v]] for c in columns])
+                    found.append((i, j + at[v].start, score))
+            i, j, score = joined(found)
+            kept, _ = first_of_each(i, score, ids[j], uids[j], k)
+            i, j, score = i[kept], j[kept], score[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(query[i]), pa.array(query_id[i]), pa.array(ids[j]), pa.array(uids[j]), pa.array(score)], ["query", "query_id", "vec_id", "uid", "score"])
+
+        found = self.streamed(rows, asked, ["b", "g", "part"], ready, meet, "query long, query_id long, vec_id long, uid long, score double")
         order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-ROWS, KINDS = ["id", "x", "q", "uid"], "id long, x array<double>, q boolean, uid long"
+ROWS = ["id", "x", "q", "uid"]
+
+
+def by_leaf(leaves: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each leaf with the places of the lists that name it."""
+    who, where = np.repeat(np.arange(len(leaves)), np.diff(leaves.offsets.to_numpy())), leaves.flatten().to_numpy()
+    order = np.argsort(where, kind="stable")
+    who, where = who[order], where[order]
+    begins = np.flatnonzero(np.diff(where, prepend=-1))
+    for a, b in zip(begins, [*begins[1:], len(where)], strict=True):
+        yield int(where[a]), who[a:b]
 
 
-def with_leaves(batch: pa.RecordBatch, leaves: list[list[int]]) -> pa.RecordBatch:
-    """Each row once for each of its leaves."""
-    at = pa.array(np.repeat(np.arange(len(leaves)), [len(v) for v in leaves]))
-    return pa.RecordBatch.from_arrays([*batch.take(at).columns, pa.array([x for v in leaves for x in v], pa.int64())], [*ROWS, "leaf"])
+def by_group(rows: pa.RecordBatch, who: np.ndarray, leaf: np.ndarray, b: int, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows (id, x, uid), each once for each group of its leaves, with these as a list; by row, then by leaf."""
+    begins = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(g, prepend=-1) != 0))
+    ends = np.append(begins[1:], len(who))
+    for at in range(0, len(begins), BATCH):
+        a, z = begins[at : at + BATCH], ends[at : at + BATCH]
+        leaves = pa.ListArray.from_arrays(pa.array((np.append(a, z[-1]) - a[0]).astype(np.int32)), pa.array(leaf[a[0] : z[-1]].astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([*rows.take(pa.array(who[a])).columns, pa.array(np.full(len(a), b)), pa.array(g[a]), leaves], ["id", "x", "uid", "b", "g", "leaves"])
