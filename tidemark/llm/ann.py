@@ -263,6 +263,8 @@ class Search:
         self.kinds = f"id long, x array<{kind}>, q boolean, uid long"
         self.asking = f"id long, x array<{kind}>, uid long, b long, g long, leaves array<long>"
         self.chunk = min(CHUNK, max(1024, n // 32))
+        #: For tables with a row for each divided leaf, of which there are n / SPLIT at most: rows that join with them stay where they are.
+        self.small = F.broadcast if n <= SPLIT << 20 else lambda df: df
 
     def run(self) -> DataFrame:
         levels = next((k for k in range(1, 5) if self.n <= LEAF * LEAVES**k), 5)
@@ -354,7 +356,7 @@ class Search:
     def beside(self, rows: DataFrame, trees: DataFrame, answer: Callable[[pa.Table, pa.Table], pa.Table], kinds: str) -> DataFrame:
         """answer(rows of a leaf, its tree), the rows dealt into parts of about MEET rows, each with a copy of the tree."""
         parts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts")).join(trees.select("leaf"), "leaf", "left_semi")
-        dealt = rows.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.col("parts")).cast("int")).drop("parts")
+        dealt = rows.join(self.small(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.col("parts")).cast("int")).drop("parts")
         copies = trees.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         return dealt.groupBy("leaf", "part").cogroup(copies.groupBy("leaf", "part")).applyInArrow(answer, kinds)
 
@@ -364,7 +366,7 @@ class Search:
         large = index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
         rank = F.pmod(F.xxhash64("uid", F.lit(SEED + 1)), F.lit(1 << 30)) / float(1 << 30)
         outside = F.broadcast(self.spark.createDataFrame([(int(u),) for u in self.trial_uids], "uid long"))
-        sampled = index.join(large, "leaf").where(rank * F.col("n") < most).join(outside, "uid", "left_anti").select("leaf", "n", "x")
+        sampled = index.join(self.small(large), "leaf").where(rank * F.col("n") < most).join(outside, "uid", "left_anti").select("leaf", "n", "x")
 
         def fit(own: pa.Table) -> pa.Table:
             leaves = min(LEAVES, max(2, own.column("n")[0].as_py() // LEAF))
@@ -378,7 +380,7 @@ class Search:
             leaf = pickle.loads(tree.column("tree")[0].as_py()).assign(unit(vectors(own.column("x")))).astype(np.int64)  # noqa: S301
             return own.select(ROWS).append_column("leaf", pa.array(own.column("leaf").to_numpy() * LEAVES + leaf))
 
-        only = lambda df: df.join(trees.select("leaf"), "leaf", "left_anti").withColumn("leaf", F.col("leaf") * LEAVES)
+        only = lambda df: df.join(self.small(trees.select("leaf")), "leaf", "left_anti").withColumn("leaf", F.col("leaf") * LEAVES)
         new = cut(self.beside(index, trees, place, kinds).unionByName(only(index)))
         parent = F.call_function("div", F.col("leaf"), F.lit(LEAVES).cast("long"))
         bundles = dealing.select(F.col("leaf").alias("parent"), (F.col("b") * 2 * LEAVES + F.col("g")).alias("b"))
